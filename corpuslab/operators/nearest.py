@@ -21,7 +21,6 @@ from corpuslab.functions.vectors import exact_distances
 BLOCK_ROWS = 8192
 _CHUNK_CELLS = 4_000_000
 _EXACT_CELLS = 8_000_000
-ALL = "__all__"
 
 
 def _floats(table: pa.Table, name: str) -> np.ndarray:
@@ -30,6 +29,11 @@ def _floats(table: pa.Table, name: str) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def _ids(table: pa.Table, name: str) -> np.ndarray:
+    values = table.column(name).to_numpy(zero_copy_only=False)
+    return values.astype(str) if values.dtype == object else values
+
+
 def _approximate(q: np.ndarray, d: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
     """Distances by matrix product, with a bound on their rounding error."""
     if metric == "cosine":
@@ -61,6 +65,7 @@ def block_best(q, d, d_ids, k, metric, farthest=False, skip=None, after=None):
     everything near a boundary is measured again exactly, so ties fall by id.
     """
     out = []
+    _, id_rank = np.unique(d_ids, return_inverse=True)
     chunk = max(1, _CHUNK_CELLS // max(1, len(d)))
     for lo in range(0, len(q), chunk):
         part = q[lo : lo + chunk]
@@ -84,7 +89,8 @@ def block_best(q, d, d_ids, k, metric, farthest=False, skip=None, after=None):
         else:
             rows, cols = np.nonzero(np.isfinite(approx))
         dist = _exact(part, d, rows, cols, metric)
-        order = np.lexsort((d_ids[cols], -dist if farthest else dist, rows))
+        sign = -1 if farthest else 1
+        order = np.lexsort((sign * id_rank[cols], sign * dist, rows))
         rows, cols, dist = rows[order], cols[order], dist[order]
         first = np.searchsorted(rows, rows, side="left")
         keep = np.arange(len(rows)) - first < k
@@ -107,13 +113,12 @@ def _kernel(k, metric, farthest, drop_zero, drop_same_key, has_after, out_type):
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table({"query_id": [], "doc_id": [], "distance": []}).cast(out_type)
         q, d = _floats(left, "vec"), _floats(right, "vec")
-        q_ids = left.column("query_id").to_numpy(zero_copy_only=False)
-        d_ids = right.column("doc_id").to_numpy(zero_copy_only=False)
+        q_ids, d_ids = _ids(left, "query_id"), _ids(right, "doc_id")
         codes = []
         if drop_zero:
             codes.append(_row_codes(q, d))
         if drop_same_key:
-            codes.append(tuple(t.column("key").to_numpy(zero_copy_only=False) for t in (left, right)))
+            codes.append((_ids(left, "key"), _ids(right, "key")))
         skip = None
         if codes:
             def skip(lo, hi):
@@ -122,7 +127,7 @@ def _kernel(k, metric, farthest, drop_zero, drop_same_key, has_after, out_type):
 
         after = None
         if has_after:
-            after = tuple(left.column(c).to_numpy(zero_copy_only=False) for c in ("after_distance", "after_id"))
+            after = (left.column("after_distance").to_numpy(), _ids(left, "after_id"))
         rows, cols, dist = block_best(q, d, d_ids, k, metric, farthest, skip, after)
         return pa.table(
             {"query_id": pa.array(q_ids[rows]), "doc_id": pa.array(d_ids[cols]), "distance": pa.array(dist)}
@@ -162,14 +167,16 @@ def nearest(
     drop_zero      documents with the very same vector do not compete
     drop_same_key  nor do those with the same `key`
     after_*        per query the first (distance, id) that still counts
+    farthest       the k last of the full ranking instead of the first
     """
     has_after = "after_distance" in queries.columns
     spark = queries.sparkSession
     cores = spark.sparkContext.defaultParallelism
     extra_q = (["key"] if drop_same_key else []) + (["after_distance", "after_id"] if has_after else [])
     extra_d = ["key"] if drop_same_key else []
-    q = queries.select("query_id", "vec", *extra_q, *(by or []))
-    d = docs.select("doc_id", "vec", *extra_d, *(by or []))
+    # Aliases give both sides columns of their own, also when one table plays both parts.
+    q = queries.select(*[F.col(c).alias(c) for c in ("query_id", "vec", *extra_q, *(by or []))])
+    d = docs.select(*[F.col(c).alias(c) for c in ("doc_id", "vec", *extra_d, *(by or []))])
 
     if not by:
         nq = F.lit(_blocks(q.count(), block_rows, 1))
@@ -221,8 +228,8 @@ def nearest(
 
 def top(scored: DataFrame, k: int, farthest: bool = False) -> DataFrame:
     """The k best rows per query by (distance, doc_id); at most k per block arrive here."""
-    distance = F.col("distance").desc() if farthest else F.col("distance")
-    w = Window.partitionBy("query_id").orderBy(distance, "doc_id")
+    keys = [F.col("distance"), F.col("doc_id")]
+    w = Window.partitionBy("query_id").orderBy(*[c.desc() for c in keys] if farthest else keys)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
