@@ -43,6 +43,11 @@ def straighten_quotes(text: Column) -> Column:
     return strip(F.translate(text, CURLY_QUOTES, STRAIGHT_QUOTES))
 
 
+def _once(value: Column, use) -> Column:
+    """`use(value)` with the value computed a single time, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def drop_semicolon(sql: Column) -> Column:
     return F.regexp_replace(sql, r";\z", "")
 
@@ -76,8 +81,11 @@ def lower_outside_quotes(sql: Column) -> Column:
 
 def add_ascending(sql: Column) -> Column:
     """Spell out `asc` after sort keys where the text states no direction at all."""
-    implicit = sql.contains("order by") & ~sql.rlike(r"\b(asc|desc)\b")
-    return F.when(implicit, F.regexp_replace(sql, f"({_SORT_CLAUSE})", "$1 asc")).otherwise(sql)
+    def spelled(text: Column) -> Column:
+        implicit = text.contains("order by") & ~text.rlike(r"\b(asc|desc)\b")
+        return F.when(implicit, F.regexp_replace(text, f"({_SORT_CLAUSE})", "$1 asc")).otherwise(text)
+
+    return _once(sql, spelled)
 
 
 def inline_aliases(sql: Column) -> Column:
@@ -87,7 +95,6 @@ def inline_aliases(sql: Column) -> Column:
     declaration counts, hence the reversed fold.
     """
     declared = rf"\b(?:from|join|,) ([\w.]+ as t(?:{ALIAS_NUMBERS}))\b"
-    pairs = F.reverse(F.regexp_extract_all(sql, F.lit(declared), F.lit(1)))
 
     def fold(text: Column, pair: Column) -> Column:
         table = F.substring_index(pair, " as ", 1)
@@ -95,9 +102,11 @@ def inline_aliases(sql: Column) -> Column:
         undeclared = F.regexp_replace(text, F.concat(F.lit(r"\bas "), alias, F.lit(" ")), F.lit(""))
         return F.regexp_replace(undeclared, F.concat(F.lit(r"\b"), alias, F.lit(r"\b")), table)
 
-    return F.when(
-        sql.rlike(declared), F.aggregate(pairs, sql, fold)
-    ).otherwise(sql)
+    def replaced(text: Column) -> Column:
+        pairs = F.reverse(F.regexp_extract_all(text, F.lit(declared), F.lit(1)))
+        return F.when(text.rlike(declared), F.aggregate(pairs, text, fold)).otherwise(text)
+
+    return _once(sql, replaced)
 
 
 def normalize(sql: Column) -> Column:

@@ -100,10 +100,10 @@ def block_best(q, d, d_ids, k, metric, farthest=False, skip=None, after=None):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _row_codes(q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal vectors get equal codes, across both blocks."""
-    both = np.concatenate([q, d]) + 0.0
-    _, codes = np.unique(both, axis=0, return_inverse=True)
+def _shared_codes(q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys, or equal vectors, get equal numbers across both blocks."""
+    axis = 0 if q.ndim == 2 else None
+    _, codes = np.unique(np.concatenate([q, d]), axis=axis, return_inverse=True)
     codes = codes.reshape(-1)
     return codes[: len(q)], codes[len(q) :]
 
@@ -116,9 +116,9 @@ def _kernel(k, metric, farthest, drop_zero, drop_same_key, has_after, out_type):
         q_ids, d_ids = _ids(left, "query_id"), _ids(right, "doc_id")
         codes = []
         if drop_zero:
-            codes.append(_row_codes(q, d))
+            codes.append(_shared_codes(q + 0.0, d + 0.0))
         if drop_same_key:
-            codes.append((_ids(left, "key"), _ids(right, "key")))
+            codes.append(_shared_codes(_ids(left, "key"), _ids(right, "key")))
         skip = None
         if codes:
             def skip(lo, hi):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.vectors import pair_distance
 from corpuslab.operators import batching, mining, selection
 from corpuslab.operators import nearest as nn
 from corpuslab.plans.registry import Tables, query
 from corpuslab.plans.vector_queries import as_docs, as_queries, rounded, sql_ranking
+from corpuslab.session import cut
 
 SEED = "12345"
 
@@ -106,8 +106,11 @@ WORD_COUNTS = rf"""words AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS
 def mine_bands_text(t: Tables) -> DataFrame:
     from corpuslab.operators.embed import word_count_vectors
 
-    vecs = word_count_vectors(t.documents, "doc_id", "text", DIM).join(
-        t.documents.select("doc_id", F.md5("text").alias("key")), "doc_id"
+    # The embedded texts are written once and read by both searches.
+    vecs = cut(
+        word_count_vectors(t.documents, "doc_id", "text", DIM).join(
+            t.documents.select("doc_id", F.md5("text").alias("key")), "doc_id"
+        )
     )
     bands = mining.mine_bands(vecs.withColumnRenamed("doc_id", "query_id"), vecs, 3, 1, 20, mode="text")
     return bands.select(
@@ -206,8 +209,6 @@ def nway_batches(t: Tables) -> DataFrame:
     pairs = mining.mine_bands(as_queries(t), as_docs(t), n_pos=2, gap=0, n_neg=0).select(
         "query_id", F.col("doc_id").alias("pos_id")
     )
-    from corpuslab.session import cut
-
     pairs = cut(pairs)
     cutup = batching.batches(batching.epoch_order(pairs, ["query_id", "pos_id"], SEED, 3), pairs.count(), 16, 4, 4)
     return cutup.select(
