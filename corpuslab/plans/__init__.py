@@ -11,4 +11,4 @@ def load():
     return registry
 
 
-MODULES = ["text_queries", "vector_queries", "mining_queries", "evaluation_queries"]
+MODULES = ["text_queries", "vector_queries", "mining_queries", "evaluation_queries", "corpus_queries"]
