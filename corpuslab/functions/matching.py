@@ -4,6 +4,7 @@ batches of candidate pairs."""
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 # Fixed values.
 SEPARATORS = "'\"()`,.?! "
@@ -26,8 +27,11 @@ LOOK_BACK, LOOK_AHEAD = 1, 3
 POPULAR_FROM = 200
 
 
+@lru_cache(maxsize=4096)
 def fold_case(text: str) -> str:
     """Lower case character by character, so that places stay the same."""
+    if text.isascii():
+        return text.lower()
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 

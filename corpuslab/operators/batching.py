@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators import mining
 from corpuslab.operators.ordering import hashed_ordinal, order_key
+from corpuslab.session import cut
 
 # Fixed values.
 NWAY, EASY_NWAY = 32, 5
@@ -35,7 +36,7 @@ def nway_groups(
     an error.
     """
     hard_quota = _quota(nway, easy_nway)
-    seed = f"{seed}|{epoch}"
+    seed, bands = f"{seed}|{epoch}", cut(bands)
     pairs = bands.where("band = 'pos'").select("query_id", F.col("doc_id").alias("pos_id"), F.col("score").alias("pos_score"))
     hard = bands.where("band = 'hard'").select("query_id", "doc_id", "score")
     w = Window.partitionBy("query_id", "pos_id").orderBy(order_key(seed, "query_id", "pos_id", "doc_id"))

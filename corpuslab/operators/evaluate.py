@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import sqltext
 from corpuslab.functions.vectors import pair_distance
+from corpuslab.operators.catalog import maskable_names
+from corpuslab.operators.linking import attach_catalog
 from corpuslab.operators.ordering import running_totals
 
 # Fixed values.
@@ -211,13 +213,17 @@ def register_golds(samples: DataFrame, catalog_raw: DataFrame) -> DataFrame:
     return samples.join(arrays, "db_id")
 
 
-def exact_match(pairs: DataFrame) -> DataFrame:
-    """Per pair (gold, prediction): equal normal form (`exact`), and equal skeleton when
-    skeleton columns are there (`same_skeleton`)."""
-    out = pairs.withColumn("exact", sqltext.normalize(F.col("gold")) == sqltext.normalize(F.col("prediction")))
-    if "gold_skeleton" in pairs.columns:
-        out = out.withColumn("same_skeleton", F.col("gold_skeleton") == F.col("predicted_skeleton"))
-    return out
+def exact_match(pairs: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Per pair (gold, prediction): `exact`, equal normal forms, and, given the catalogs of
+    the pairs' databases, `same_skeleton`."""
+    normal = pairs.withColumn("_gold", sqltext.normalize(F.col("gold"))).withColumn(
+        "_prediction", sqltext.normalize(F.col("prediction"))
+    )
+    if catalog is not None:
+        names = catalog.select("db_id", maskable_names(F.col("db_schema")).alias("_names"))
+        skeletons = [sqltext.skeleton(F.col(c), F.col("_names")) for c in ("_gold", "_prediction")]
+        normal = attach_catalog(normal, names).withColumn("same_skeleton", skeletons[0] == skeletons[1]).drop("_names")
+    return normal.withColumn("exact", F.col("_gold") == F.col("_prediction")).drop("_gold", "_prediction")
 
 
 def result_match(a: DataFrame, b: DataFrame) -> DataFrame:

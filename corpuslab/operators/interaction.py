@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators.nearest import top
+from corpuslab.session import cut, width
 
 PIECE = 64
 # Score of a query token no document token counts for; sizes of the
@@ -123,7 +124,7 @@ def rerank_all(query_tokens: DataFrame, doc_tokens: DataFrame, k: int, block_tex
             F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "m"))), lambda x: x["m"])).alias("m")
         )
 
-    q, d = whole(query_tokens, "query_id", False), whole(doc_tokens, "doc_id", True)
+    q, d = cut(whole(query_tokens, "query_id", False)), cut(whole(doc_tokens, "doc_id", True))
     cores = q.sparkSession.sparkContext.defaultParallelism
     n_q = max(1, -(-q.count() // block_texts))
     n_d = max(cores, -(-d.count() // block_texts))
@@ -134,7 +135,7 @@ def rerank_all(query_tokens: DataFrame, doc_tokens: DataFrame, k: int, block_tex
         "_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint")))
     )
     keys = ["_qb", "_db"]
-    parts = max(cores, int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = width(q.sparkSession)
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (d, "doc_id"))}
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

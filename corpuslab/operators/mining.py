@@ -161,7 +161,7 @@ def easy_draws(
 def mine_pos_neg(queries: DataFrame, docs: DataFrame, n: int = 5, seed: str = "12345", metric: str = "l2") -> DataFrame:
     """n nearest that are not copies, and n random ones ranked between the n+1 nearest
     and the very last. Random picks are never positives and never at distance 0."""
-    near = after_own_run(queries, docs, n, metric)
+    near = cut(after_own_run(queries, docs, n, metric))
     head = nn.nearest(queries, docs, n + 1, metric)
     last = nn.nearest(queries, docs, 1, metric, farthest=True)
     excluded = (

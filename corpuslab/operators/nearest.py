@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.vectors import exact_distances
+from corpuslab.session import width
 
 BLOCK_ROWS = 8192
 _CHUNK_CELLS = 4_000_000
@@ -211,8 +212,7 @@ def nearest(
     out = pa.schema(
         [("query_id", _id_type(queries, "query_id")), ("doc_id", _id_type(docs, "doc_id")), ("distance", pa.float64())]
     )
-    # An explicit number keeps AQE from folding small but compute-heavy blocks into one task.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+    parts = width(spark)
     keys = [c for c in group if c in q.columns]
     q, d = q.repartition(parts, *keys), d.repartition(parts, *keys)
     kernel = _kernel(k, metric, farthest, drop_zero, drop_same_key, has_after, out)

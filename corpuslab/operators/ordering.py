@@ -44,7 +44,7 @@ def sorted_ordinal(df: DataFrame, columns: list, name: str = "ordinal") -> DataF
     """0-based position in the order of `columns`, which must be unique.
 
     A range sort spreads the rows; the engine's increasing id holds (partition, place).
-    The sorted rows are checkpointed so that both uses below see the same partitions.
+    The sorted rows are written out so that both uses below see the same partitions.
     """
     placed = cut(df.orderBy(*columns).withColumn("_mid", F.monotonically_increasing_id()))
     return _dense(placed, name)

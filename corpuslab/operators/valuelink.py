@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions.matching import KEY_TERMS, SEPARATORS, STOP_WORDS, judge
 from corpuslab.functions.sqltext import strip
 from corpuslab.operators.skew import HOT_ROWS, blocked_join
+from corpuslab.session import cut, width
 
 # Fixed values.
 THRESHOLD, TOP_K = 0.85, 2
@@ -119,14 +120,15 @@ def question_keys(questions: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def candidate_pairs(questions: DataFrame, values: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
-    """Distinct (question_id, value) pairs that may match; values are plain texts here."""
-    keys = value_keys(values)
+    """Distinct (question_id, value) pairs that may match."""
+    keys = cut(value_keys(values))
     # At most one row per key size, some forty in all.
     sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())
     if not sizes:
         return questions.select("question_id").limit(0).withColumn("value", F.lit(""))
-    met = blocked_join(question_keys(questions, sizes), keys, ["size", "key"], "question_id", "value", hot)
-    return met.select("question_id", "value").distinct()
+    asked = cut(question_keys(questions, sizes))
+    met = blocked_join(asked, keys, ["size", "key"], "question_id", "value", hot).select("question_id", "value")
+    return met.repartition(width(values.sparkSession), "question_id", "value").distinct()
 
 
 def judged_pairs(pairs: DataFrame, questions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -160,7 +162,7 @@ def link_values(
     if threshold < THRESHOLD:
         raise ValueError(f"the candidate keys hold for thresholds from {THRESHOLD} on")
     asked = questions.select("question_id", strip(F.col("question")).alias("question"))
-    held = usable_values(values)
+    held = cut(usable_values(values))
     found = judged_pairs(candidate_pairs(asked, held, hot), asked, threshold)
     placed = found.join(held, "value")
     per_match = placed.groupBy("question_id", "table_name", "column_name", "match_text").agg(

@@ -73,7 +73,7 @@ def latest_by_id(t: Tables) -> DataFrame:
 @query("SELECT l.doc_id, quality, toxic, lang, source, text FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
 def lookup_by_id(t: Tables) -> DataFrame:
     """Documents for the labelled ids; an unknown id would raise."""
-    return src.lookup(t.documents.drop("n_chars"), t.labels, "doc_id")
+    return src.lookup(t.documents.select("doc_id", "text", "lang", "source"), t.labels, "doc_id")
 
 
 @query("SELECT doc_id, lang AS db_id, source AS domain FROM documents WHERE lang IN ('fr', 'de') AND source IN ('src1', 'src2', 'src3', 'src10') AND n_chars % 2 = 0")
@@ -166,7 +166,7 @@ def ranking_texts(t: Tables) -> DataFrame:
 def document_words(t: Tables) -> DataFrame:
     """Every distinct word of the documents as a value of the column of its language."""
     words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("value")
-    return t.documents.select("lang", words).distinct().select(
+    return t.wide("documents", "lang", "text").select("lang", words).distinct().select(
         F.lit("documents").alias("table_name"), F.col("lang").alias("column_name"), "value"
     )
 
@@ -232,7 +232,7 @@ def name_repair_nearest(t: Tables) -> DataFrame:
 # Masking: user turns against the items of a database and the first two words of the
 # turn itself; sensitivities and tags are made from word lengths.
 def mask_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    asked = t.conversations.where("role = 'user'").select(
+    asked = t.wide("conversations").where("role = 'user'").select(
         F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.concat(F.lit("db"), F.col("conv_id").cast("string")).alias("db_id"),
         F.col("text").alias("question"),
     )
@@ -264,11 +264,11 @@ SQL_MASK = f"""{CATALOG},
     scores AS (SELECT question_id, pos, token, ((e + 0.5 * m) / n_items + CASE WHEN length(token) > 5 THEN 0.9 ELSE 0 END) / 2 AS score FROM eff JOIN n USING (question_id))"""
 
 
-@query(f"WITH {SQL_MASK} SELECT question_id, pos, token, round(score, 6) AS score FROM scores")
+@query(f"WITH {SQL_MASK} SELECT question_id, pos, token, round(score, 9) AS score FROM scores")
 def mask_scores(t: Tables) -> DataFrame:
     _, tokens, vocab, sensitivity = mask_inputs(t)
     scores = masking.token_scores(tokens, vocab, sensitivity)
-    return scores.select("question_id", F.col("pos").cast("bigint").alias("pos"), "token", F.round("score", 6).alias("score"))
+    return scores.select("question_id", F.col("pos").cast("bigint").alias("pos"), "token", F.round("score", 9).alias("score"))
 
 
 @query(
@@ -288,13 +288,13 @@ def question_mask(t: Tables) -> DataFrame:
     SELECT doc_id, CAST(b AS BIGINT) AS bucket, round(w / greatest(len, 1e-12), 6) AS weight FROM x JOIN l USING (doc_id)"""
 )
 def hash_embed(t: Tables) -> DataFrame:
-    weights = embed.tf_idf(t.documents, "doc_id", "text", DIM)
+    weights = embed.tf_idf(t.wide("documents", "doc_id", "text"), "doc_id", "text", DIM)
     return weights.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
 def fresh_collection(t: Tables) -> VectorCollection:
     """The documents, in two datasets by parity of their ids; each is offered twice."""
-    rows = t.documents.select(
+    rows = t.wide("documents").select(
         F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("source").alias("domain"),
         F.when(F.col("n_chars") % 2 == 0, F.array(F.lit("nested"))).otherwise(F.array(F.lit("join"))).alias("difficulty_type"),
         (F.col("doc_id") % 2).alias("part"),

@@ -30,7 +30,8 @@ def query_log(t: Tables) -> DataFrame:
             F.lit("SELECT o_orderkey , o_custkey FROM orders WHERE o_orderstatus = '"), F.col("o_orderstatus"),
             F.lit("' AND o_totalprice <= "), price))
     )
-    return t.orders.select(
+    columns = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return t.wide("orders", *columns).select(
         F.col("o_orderkey").alias("log_id"),
         F.concat(F.lit("db"), F.col("o_custkey").cast("string")).alias("db_id"),
         text.alias("sql"),
@@ -88,7 +89,7 @@ def raw_catalog(t: Tables) -> DataFrame:
         )
         return F.concat(head, tail)
 
-    return t.customer.select(
+    return t.wide("customer", "c_custkey", "c_nationkey", "c_mktsegment").select(
         F.concat(F.lit("db"), F.col("c_custkey").cast("string")).alias("db_id"),
         F.array(F.lit("Customer"), F.lit("Orders"), segment).alias("table_names_original"),
         F.array(F.lit("Customer Data"), F.lit("Order Data"), segment).alias("table_names"),

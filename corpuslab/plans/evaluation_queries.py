@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import sqltext
 from corpuslab.functions.vectors import pair_distance
-from corpuslab.operators import evaluate, interaction, losses, querylog
+from corpuslab.operators import evaluate, interaction, losses
 from corpuslab.operators import nearest as nn
 from corpuslab.plans.derived import NORMAL_LOG, query_log, raw_catalog
 from corpuslab.plans.mining_queries import HALF, SQL_GROUPS, first_half, groups_of
@@ -342,13 +342,7 @@ SQL_MATCHES = SQL_PREDICTED + ", " + _second_chain(SKELETON) + """,
 
 
 def matches(t: Tables) -> DataFrame:
-    pairs = predicted_log(t)
-    catalog = nested(t)
-    for side in ("gold", "prediction"):
-        name = "gold_skeleton" if side == "gold" else "predicted_skeleton"
-        pairs = querylog.with_skeleton(pairs.withColumn("norm_sql", sqltext.normalize(F.col(side))), catalog)
-        pairs = pairs.withColumnRenamed("sql_skeleton", name)
-    return evaluate.exact_match(pairs)
+    return evaluate.exact_match(predicted_log(t), nested(t))
 
 
 @query(f"WITH {SQL_MATCHES} SELECT log_id, exact, same_skeleton FROM m")

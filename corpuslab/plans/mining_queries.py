@@ -108,7 +108,7 @@ def mine_bands_text(t: Tables) -> DataFrame:
 
     # The embedded texts are written once and read by both searches.
     vecs = cut(
-        word_count_vectors(t.documents, "doc_id", "text", DIM).join(
+        word_count_vectors(t.wide("documents", "doc_id", "text"), "doc_id", "text", DIM).join(
             t.documents.select("doc_id", F.md5("text").alias("key")), "doc_id"
         )
     )

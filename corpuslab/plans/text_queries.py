@@ -26,7 +26,7 @@ def nested(t: Tables) -> DataFrame:
 )
 def straight_quotes(t: Tables) -> DataFrame:
     marked = F.replace(F.col("text"), F.lit("th"), F.lit("“th”"))
-    return t.documents.select("doc_id", sqltext.straighten_quotes(marked).alias("question"))
+    return t.wide("documents", "doc_id", "text").select("doc_id", sqltext.straighten_quotes(marked).alias("question"))
 
 
 @query(f"WITH {NORMAL_LOG} SELECT log_id, db_id, norm_sql FROM norm")
@@ -81,7 +81,7 @@ def log_tokens(t: Tables) -> DataFrame:
 )
 def numeric_tokens(t: Tables) -> DataFrame:
     tokens = F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))
-    return t.documents.select(
+    return t.wide("documents", "doc_id", "text").select(
         "doc_id",
         F.size(tokens).cast("bigint").alias("n_tokens"),
         F.size(F.filter(tokens, sqltext.is_number_token)).cast("bigint").alias("n_numbers"),

@@ -43,8 +43,6 @@ def shared_dir(spark: SparkSession) -> str:
         if folder is None:
             folder = tempfile.mkdtemp(prefix="corpuslab-")
             spark._corpuslab_dir = folder
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -54,6 +52,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise reliably and cut the lineage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from there. The result outlives the
+    loss of executors, is computed once however often it is used, and has a known size."""
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores, as of one small file, is dealt out to all
+    cores before costly row work; any larger scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def width(spark: SparkSession) -> int:
+    """Number of partitions for compute-heavy stages, which AQE would else fold by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
