@@ -109,17 +109,17 @@ def sort_by_length(rows: DataFrame, group: list[str], length: str, order: str, b
 
 def length_buckets(rows: DataFrame, length: str, quantiles: list[float] = STRIDE_QUANTILES) -> DataFrame:
     """Smallest bucket that holds each row. Buckets: whole parts of the interpolated
-    quantiles, and the maximum. Lengths are counted first, so the exact quantiles work
-    on one row per distinct length."""
+    quantiles, and the maximum; these few numbers are fetched first. Lengths are counted
+    before, so the exact quantiles work on one row per distinct length."""
     counted = rows.groupBy(length).agg(F.count("*").alias("n"))
     bounds = counted.agg(
         F.expr(f"percentile({length}, array({','.join(map(str, quantiles))}), n)").alias("q"), F.max(length).alias("m")
-    ).select(F.concat(F.transform("q", lambda x: F.floor(x).cast("bigint")), F.array(F.col("m").cast("bigint"))).alias("_bounds"))
-    # A single row.
-    sized = rows.join(F.broadcast(bounds))
-    return sized.withColumn(
-        "bucket", F.array_min(F.filter("_bounds", lambda b: b >= F.col(length)))
-    ).drop("_bounds")
+    ).first()
+    if bounds.m is None:
+        return rows.withColumn("bucket", F.lit(None).cast("bigint"))
+    buckets = sorted({*(int(x) for x in bounds.q), int(bounds.m)})
+    fitting = [F.when(F.col(length) <= b, F.lit(b).cast("bigint")) for b in buckets]
+    return rows.withColumn("bucket", F.coalesce(*fitting))
 
 
 def word_tokens(text: Column) -> Column:

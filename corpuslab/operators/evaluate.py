@@ -282,8 +282,9 @@ def wrong_rows(rows: DataFrame, key: str, correct: str = "correct") -> DataFrame
 
 
 def merge_metrics(*tables: DataFrame) -> DataFrame:
-    """One-row metric tables side by side."""
-    return reduce(lambda a, b: a.join(F.broadcast(b)), tables)
+    """One-row metric tables with names of their own, side by side in one row."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def filtered_samples(

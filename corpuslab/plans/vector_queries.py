@@ -70,6 +70,12 @@ def knn_same_tag(t: Tables) -> DataFrame:
     return rounded(nn.nearest(as_queries(t), as_docs(t), 5, "l2", by=["label"]))
 
 
+@query(sql_top("l2", 5))
+def knn_pruned(t: Tables) -> DataFrame:
+    """The same result by cells and bounds; see `nearest_pruned`."""
+    return rounded(nn.nearest_pruned(as_queries(t), as_docs(t), 5, "l2", cells=32))
+
+
 @query()
 def knn_lsh(t: Tables) -> DataFrame:
     return rounded(nn.nearest_lsh(as_queries(t), as_docs(t), 5, 64, width=1.0, tables=4, hashes=2))
