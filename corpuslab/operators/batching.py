@@ -111,9 +111,9 @@ def length_buckets(rows: DataFrame, length: str, quantiles: list[float] = STRIDE
     """Smallest bucket that holds each row. Buckets: whole parts of the interpolated
     quantiles, and the maximum; these few numbers are fetched first. Lengths are counted
     before, so the exact quantiles work on one row per distinct length."""
-    counted = rows.groupBy(length).agg(F.count("*").alias("n"))
+    counted = rows.groupBy(length).agg(F.count("*").alias("_rows"))
     bounds = counted.agg(
-        F.expr(f"percentile({length}, array({','.join(map(str, quantiles))}), n)").alias("q"), F.max(length).alias("m")
+        F.expr(f"percentile({length}, array({','.join(map(str, quantiles))}), _rows)").alias("q"), F.max(length).alias("m")
     ).first()
     if bounds.m is None:
         return rows.withColumn("bucket", F.lit(None).cast("bigint"))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.operators.nearest import top
+from corpuslab.operators.nearest import _id_type, _ids, top
 from corpuslab.session import cut, width
 
 PIECE = 64
@@ -111,6 +112,15 @@ def best_by_maxsim(scores: DataFrame, k: int) -> DataFrame:
     return ranked.drop("distance")
 
 
+def _ragged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Matrices held in column `m`, one per row, and their numbers of tokens."""
+    column = table.column("m").combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    flat = np.asarray(column.flatten().flatten(), dtype=np.float64)
+    rows = flat.reshape(int(sizes.sum()), -1) if len(flat) else flat.reshape(0, 0)
+    return np.split(rows, np.cumsum(sizes)[:-1]) if len(sizes) else [], sizes
+
+
 def rerank_all(query_tokens: DataFrame, doc_tokens: DataFrame, k: int, block_texts: int = 1024) -> DataFrame:
     """Top k of the whole collection by MaxSim, exact.
 
@@ -138,26 +148,27 @@ def rerank_all(query_tokens: DataFrame, doc_tokens: DataFrame, k: int, block_tex
     parts = width(q.sparkSession)
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (d, "doc_id"))}
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
-        if not len(left) or not len(right):
-            return empty
-        sizes = np.array([len(m) for m in right["m"]])
-        tokens = np.concatenate([np.stack(m) for m in right["m"] if len(m)]) if sizes.sum() else None
-        held = np.flatnonzero(sizes)
-        starts = np.concatenate([[0], np.cumsum(sizes[held])[:-1]]).astype(int) if len(held) else None
-        ids, out = right["doc_id"].to_numpy(), []
-        for query_id, m in zip(left["query_id"], left["m"]):
-            matrix = np.stack(m).astype(float)
+    out = pa.schema([("query_id", _id_type(q, "query_id")), ("doc_id", _id_type(d, "doc_id")), ("distance", pa.float64())])
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, _ = _ragged(left)
+        held_tokens, sizes = _ragged(right)
+        ids, held = _ids(right, "doc_id"), np.flatnonzero(sizes)
+        starts = np.cumsum(sizes[held]) - sizes[held]
+        tokens = np.concatenate([held_tokens[i] for i in held]) if len(held) else None
+        found = []
+        for query_id, matrix in zip(_ids(left, "query_id"), asked):
             score = np.full(len(ids), NO_TOKEN * len(matrix))
-            if tokens is not None:
-                score[held] = np.maximum.reduceat(matrix @ tokens.T, starts, axis=1).sum(axis=0)
+            if len(held):
+                best = np.maximum.reduceat(tokens @ matrix.T, starts, axis=0)
+                score[held] = best.sum(axis=1)
             order = np.lexsort((ids, -score))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "doc_id": ids[order], "distance": -score[order]}))
-        return pd.concat(out)
+            found.append((np.full(len(order), query_id), ids[order], -score[order]))
+        columns = [np.concatenate(x) for x in zip(*found)] if found and len(ids) else [[], [], []]
+        return pa.table(dict(zip(out.names, columns))).cast(out)
 
     best = (
         q.repartition(parts, *keys).groupBy(*keys).cogroup(d.repartition(parts, *keys).groupBy(*keys))
-        .applyInPandas(kernel, f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double")
+        .applyInArrow(kernel, f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double")
     )
     return top(best, k).select("query_id", "doc_id", (-F.col("distance")).alias("score"), "rank")
