@@ -11,6 +11,9 @@ NEVER_MASKED = ["name", "number"]
 MASK = "[Mask]"
 WORD = r"[\p{L}\p{N}_]+"
 NOUN_TAGS = ["NOUN", "NUM", "PROPN"]
+# A sum of fractions differs in its last digits with the order of the rows; scores are
+# compared with the limit after rounding.
+DIGITS = 12
 
 
 def question_words(text: Column) -> Column:
@@ -65,7 +68,7 @@ def token_scores(tokens: DataFrame, vocab: DataFrame, sensitivity: DataFrame) ->
         tokens.join(n_items, "question_id")
         .join(effect, ["question_id", "pos"], "left")
         .join(mentions(tokens, vocab), ["question_id", "pos"], "left")
-        .select("question_id", "pos", "token", ((total / F.col("n_items") + noun) / 2).alias("score"))
+        .select("question_id", "pos", "token", F.round((total / F.col("n_items") + noun) / 2, DIGITS).alias("score"))
     )
 
 

@@ -261,7 +261,7 @@ SQL_MASK = f"""{CATALOG},
     sens AS (SELECT t.question_id, pos, token, o, word, n_words, ((length(token) * 7 + length(word) * 3) % 11) / 10.0 AS value FROM toks t JOIN vocab v ON v.question_id = t.question_id),
     high AS (SELECT question_id, max(value) AS high FROM sens GROUP BY ALL),
     eff AS (SELECT s.question_id, pos, token, sum(CAST(value AS DOUBLE) / CASE WHEN high = 0 THEN 1 ELSE CAST(high AS DOUBLE) END / n_words) AS e, count(DISTINCT CASE WHEN token = word THEN o END) AS m FROM sens s JOIN high h ON h.question_id = s.question_id GROUP BY ALL),
-    scores AS (SELECT question_id, pos, token, ((e + 0.5 * m) / n_items + CASE WHEN length(token) > 5 THEN 0.9 ELSE 0 END) / 2 AS score FROM eff JOIN n USING (question_id))"""
+    scores AS (SELECT question_id, pos, token, round(((e + 0.5 * m) / n_items + CASE WHEN length(token) > 5 THEN 0.9 ELSE 0 END) / 2, 12) AS score FROM eff JOIN n USING (question_id))"""
 
 
 @query(f"WITH {SQL_MASK} SELECT question_id, pos, token, round(score, 9) AS score FROM scores")
