@@ -4,7 +4,6 @@ batches of candidate pairs."""
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 # Fixed values.
 SEPARATORS = "'\"()`,.?! "
@@ -27,7 +26,6 @@ LOOK_BACK, LOOK_AHEAD = 1, 3
 POPULAR_FROM = 200
 
 
-@lru_cache(maxsize=4096)
 def fold_case(text: str) -> str:
     """Lower case character by character, so that places stay the same."""
     if text.isascii():
@@ -111,13 +109,14 @@ def is_number(text: str) -> bool:
     return True
 
 
-def judge(question: str, value: str, threshold: float) -> tuple[str, str, float, int] | None:
-    """(match, span of the question, score, length of the match), or None.
+def judge(question: str, folded: str, value: str, threshold: float) -> tuple[str, str, float, int] | None:
+    """(match, span of the question, score, length of the match), or None; `folded` is the
+    question in folded case.
 
     A span that ends in the match and `'s` would score 1, but the widening stops at the
     apostrophe, so that case cannot arise and is not written down.
     """
-    s, v = fold_case(question), fold_case(value)
+    s, v = folded, fold_case(value)
     start, at, size = longest_common(s, v)
     span = word_span(s, start, start + size) if size else None
     if span is None or span[1] - span[0] <= 1:

@@ -8,7 +8,9 @@ Values of six characters and more: the span begins at a word start and, but for
 two characters at its end, is a part of the value. So its first g = ceil(17/23 L) - 2
 characters stand in the value, no later than at place L - ceil(17/23 L) + 2, and they
 begin with the value's own first letter (or with white space that is no separator). The
-join key is a hash of g characters, g rounded down to one of a few sizes.
+join key is a hash of g characters, g rounded down to one of a few sizes. Small keys
+meet often by chance; there the question's key carries its whole span, and the pair goes
+on only if the edit distance, never above the insertions and deletions, allows the ratio.
 
 Shorter values: at most one character is inserted or deleted. The keys are the text
 itself and the text without one character, of the value as of every short span between
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.functions.matching import KEY_TERMS, SEPARATORS, STOP_WORDS, judge
+from corpuslab.functions.matching import KEY_TERMS, SEPARATORS, STOP_WORDS, fold_case, judge
 from corpuslab.functions.sqltext import strip
 from corpuslab.operators.skew import HOT_ROWS, blocked_join
 from corpuslab.session import cut, width
@@ -33,6 +35,9 @@ INTERNAL_TABLES = ["sqlite_sequence"]
 KEY_SIZES = sorted({2**k for k in range(2, 21)} | {3 * 2**k for k in range(0, 20)})
 
 SHORT, SHORT_SPAN = 5, 6
+# Keys up to this size carry their span; values under them have at most 17 characters
+# and their spans at most 23.
+SPAN_KEYS, LONGEST_SPAN = 8, 23
 
 
 def _fold(text: Column) -> Column:
@@ -90,33 +95,44 @@ def value_keys(values: DataFrame) -> DataFrame:
     )
 
 
+def _sizes_for_span(span: int) -> list[int]:
+    """Key sizes of the values a span of this length can match under the span rule."""
+    lengths = [n for n in range(SHORT + 1, 2 * span + 2) if 17 * n <= 23 * span and 17 * span <= 23 * n]
+    reach = {max(s for s in KEY_SIZES if s <= -(-17 * n // 23) - 2) for n in lengths}
+    return sorted(s for s in reach if s <= SPAN_KEYS)
+
+
 def question_keys(questions: DataFrame, sizes: list[int]) -> DataFrame:
-    """(question_id, size, key) for all word starts of each question."""
+    """(question_id, size, key, span) for all word starts of each question; the span is
+    there for small keys only."""
     text = _fold(F.col("question"))
-    edge = rf"[{SEPARATORS}\s]"
+    edge, inner = rf"[{SEPARATORS}\s]", rf"[^{SEPARATORS}\s]"
 
     def found(pattern: str) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-
-    def of_size(size: int) -> Column:
-        if size:
-            parts = found(rf"(?s)(?:^|(?<=[{SEPARATORS}]))(?=([^{SEPARATORS}].{{{size - 1}}}))")
-        else:
-            inner = rf"[^{SEPARATORS}\s]"
-            spans = F.concat(
-                *[
-                    found(rf"(?sU)(?:^|(?<={edge}))(?=({inner}.{{{n - 2}}}{inner})(?:\z|{edge}))")
-                    for n in range(2, SHORT_SPAN + 1)
-                ]
-            )
-            parts = F.flatten(F.transform(F.array_distinct(spans), _one_less))
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+    def spans(n: int) -> Column:
+        """Texts of n characters from a word start to a word end."""
+        return found(rf"(?sU)(?:^|(?<={edge}))(?=({inner}.{{{n - 2}}}{inner})(?:\z|{edge}))")
+
+    def keyed(size: int, parts: Column, part_of=lambda p: p, span_of=lambda p: F.lit(None).cast("string")) -> Column:
         return F.transform(
-            F.array_distinct(parts), lambda p: F.struct(F.lit(size).alias("size"), F.xxhash64(p).alias("key"))
+            parts,
+            lambda p: F.struct(F.lit(size).alias("size"), F.xxhash64(part_of(p)).alias("key"), span_of(p).alias("span")),
         )
 
-    return questions.select("question_id", F.explode(F.concat(*[of_size(s) for s in sizes])).alias("k")).select(
-        "question_id", "k.size", "k.key"
-    )
+    lists = []
+    if 0 in sizes:
+        short = F.concat(*[spans(n) for n in range(2, SHORT_SPAN + 1)])
+        lists.append(keyed(0, F.array_distinct(F.flatten(F.transform(short, _one_less)))))
+    small = [s for s in sizes if 0 < s <= SPAN_KEYS]
+    for n in range(SHORT, LONGEST_SPAN + 1):
+        for size in set(_sizes_for_span(n)) & set(small):
+            lists.append(keyed(size, spans(n), lambda p, s=size: F.left(p, F.lit(s)), lambda p: p))
+    for size in (s for s in sizes if s > SPAN_KEYS):
+        starts = found(rf"(?s)(?:^|(?<=[{SEPARATORS}]))(?=([^{SEPARATORS}].{{{size - 1}}}))")
+        lists.append(keyed(size, starts))
+    return questions.select("question_id", F.explode(F.concat(*lists)).alias("k")).select("question_id", "k.*")
 
 
 def candidate_pairs(questions: DataFrame, values: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
@@ -127,8 +143,11 @@ def candidate_pairs(questions: DataFrame, values: DataFrame, hot: int = HOT_ROWS
     if not sizes:
         return questions.select("question_id").limit(0).withColumn("value", F.lit(""))
     asked = cut(question_keys(questions, sizes))
-    met = blocked_join(asked, keys, ["size", "key"], "question_id", "value", hot).select("question_id", "value")
-    return met.repartition(width(values.sparkSession), "question_id", "value").distinct()
+    met = blocked_join(asked, keys, ["size", "key"], "question_id", "value", hot)
+    low = _fold(F.col("value"))
+    allowed = 0.15 * (F.length(low) + F.length("span")) + 1e-6
+    near = met.where(F.col("span").isNull() | (F.levenshtein("span", low) <= allowed)).select("question_id", "value")
+    return near.repartition(width(values.sparkSession), "question_id", "value").distinct()
 
 
 def judged_pairs(pairs: DataFrame, questions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -136,7 +155,9 @@ def judged_pairs(pairs: DataFrame, questions: DataFrame, threshold: float = THRE
 
     @F.pandas_udf("struct<match_text:string, source:string, score:double, match_size:int>")
     def verdict(question: pd.Series, value: pd.Series) -> pd.DataFrame:
-        rows = [judge(q, v, threshold) or (None, None, None, None) for q, v in zip(question, value)]
+        folded = {q: fold_case(q) for q in question.unique()}
+        none = (None, None, None, None)
+        rows = [judge(q, folded[q], v, threshold) or none for q, v in zip(question, value)]
         out = pd.DataFrame(rows, columns=["match_text", "source", "score", "match_size"])
         return out.astype({"match_size": "Int32", "score": "float64"})
 
