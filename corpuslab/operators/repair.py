@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import sqltext
+from corpuslab.operators.skew import blocked_join
+from corpuslab.session import cut
 
 # Fixed values.
 MAX_DISTANCE = 3
@@ -27,13 +29,14 @@ def repair_map(unknown_in: DataFrame, names: DataFrame, nearest: bool = False) -
     Among names within distance 3 the last in catalog order wins, or with `nearest` the
     closest. The join meets only names whose length differs by at most 3.
     """
-    unknown = unknown_in.distinct().join(
+    unknown = cut(unknown_in.distinct().join(
         names.select("db_id", F.col("name").alias("identifier")).distinct(), ["db_id", "identifier"], "left_anti"
-    )
+    ))
     length = F.length("identifier")
     reach = F.explode(F.sequence(length - MAX_DISTANCE, length + MAX_DISTANCE))
-    met = unknown.withColumn("_length", reach).join(
-        names.withColumn("_length", F.length("name")), ["db_id", "_length"]
+    met = blocked_join(
+        unknown.withColumn("_length", reach), names.withColumn("_length", F.length("name")),
+        ["db_id", "_length"], "identifier", "name",
     )
     near = met.withColumn("_distance", F.levenshtein("identifier", "name", MAX_DISTANCE)).where("_distance >= 0")
     order = F.struct(-F.col("_distance"), F.col("pos")) if nearest else F.col("pos")

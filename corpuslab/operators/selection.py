@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.functions.vectors import pair_distance
+from corpuslab.functions.documents import document
+from corpuslab.functions.vectors import metric_of, pair_distance
 from corpuslab.operators import mining
 from corpuslab.operators import nearest as nn
+from corpuslab.operators.embed import embed
+from corpuslab.session import cut
 
 
 def select_random(queries: DataFrame, docs: DataFrame, n: int, seed: str) -> DataFrame:
@@ -26,6 +29,38 @@ def select_similar(
     return nn.nearest(queries, docs if where is None else docs.where(where), n, metric, by=same)
 
 
+def select_examples(
+    samples: DataFrame, pool: DataFrame, n: int, fields: str = "SQL", similarity: str = "EUCLIDEAN",
+    statement: str = "sql", same_type: str | None = None, encoder: str | Callable = "default",
+    big: int | None = None, second: Callable[[DataFrame], DataFrame] | None = None, descending: bool = False,
+) -> DataFrame:
+    """Ranked examples (query_id, doc_id, distance, rank) from `pool` for each sample.
+
+    fields      what is embedded on both sides: question, statement, both, full, ..
+    similarity  EUCLIDEAN, COSINE or IP
+    statement   the samples' column that stands for the statement: gold or predicted
+    same_type   the samples' column of type tags (gold or predicted) that must equal the
+                pool's difficulty_type
+    big, second retrieve `big` first, then order by the added column `second`, keep n
+    """
+    metric = metric_of(similarity)
+    text = document(fields)
+
+    def side(df: DataFrame, name: str, tags: str) -> DataFrame:
+        extra = [F.array_join(tags, "+").alias("type")] if same_type else []
+        texts = df.select(F.col("id").alias(name), text.alias("_text"), *extra)
+        vectors = embed(texts, name, "_text", encoder)
+        return cut(vectors.join(texts.drop("_text"), name) if same_type else vectors)
+
+    asked = samples if statement == "sql" else samples.withColumn("sql", F.col(statement))
+    queries = side(asked, "query_id", same_type or "")
+    docs = side(pool, "doc_id", "difficulty_type")
+    by = ["type"] if same_type else None
+    if big is None:
+        return nn.nearest(queries, docs, n, metric, by=by)
+    return resort(second(nn.nearest(queries, docs, big, metric, by=by).drop("rank")), n, descending)
+
+
 def resort(candidates: DataFrame, n: int | None = None, descending: bool = False) -> DataFrame:
     """Order a small list per query by its `second` score; ties by doc_id. Keep n."""
     second = F.col("second").desc() if descending else F.col("second")

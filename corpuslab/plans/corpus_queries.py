@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import documents, sqltext
 from corpuslab.operators import catalog as cat
-from corpuslab.operators import embed, evaluate, linking, masking, mining, repair, valuelink
+from corpuslab.operators import embed, evaluate, linking, masking, mining, repair, selection, valuelink
 from corpuslab.operators.ordering import sorted_ordinal
 from corpuslab.plans.derived import CATALOG, NORMAL_LOG, QUERY_LOG, query_log, raw_catalog
 from corpuslab.plans.mining_queries import DIM, SEED, WORD_COUNTS, sql_bands
@@ -288,11 +288,50 @@ def question_mask(t: Tables) -> DataFrame:
     l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM x GROUP BY doc_id)
     SELECT doc_id, CAST(b AS BIGINT) AS bucket, round(w / greatest(len, 1e-12), 6) AS weight FROM x JOIN l USING (doc_id)"""
 )
-def hash_embed(t: Tables) -> DataFrame:
+def tf_idf_weights(t: Tables) -> DataFrame:
     weights = embed.tf_idf(t.wide("documents", "doc_id", "text"), "doc_id", "text", DIM)
     return weights.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
+@query(
+    f"""WITH {WORD_COUNTS}, l AS (SELECT doc_id, sqrt(sum(c * c)) AS len FROM counts GROUP BY doc_id)
+    SELECT doc_id, CAST(b AS BIGINT) AS bucket, round(c / len, 6) AS weight FROM counts JOIN l USING (doc_id)"""
+)
+def hash_embed(t: Tables) -> DataFrame:
+    """The default encoder's vectors, entry by entry."""
+    vecs = embed.hash_embed(t.wide("documents", "doc_id", "text"), "doc_id", "text", DIM)
+    entries = vecs.select("doc_id", F.posexplode("vec").alias("bucket", "weight")).where("weight > 0")
+    return entries.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 6).alias("weight"))
+
+
+def counted(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Word counts as an encoder: whole numbers, so equal distances are equal everywhere."""
+    return embed.word_count_vectors(df, key, text, DIM)
+
+
+SQL_TEXT_PICK = f"""{SQL_TURNS}, texts AS (SELECT id, question AS asked, sql AS doc, length(sql) % 2 AS tag FROM turns),
+    hashed AS (SELECT id, side, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {DIM} AS b FROM (
+      SELECT id, 'q' AS side, unnest(regexp_extract_all(lower(asked), '[a-z0-9]+')) AS w FROM texts UNION ALL SELECT id, 'd', unnest(regexp_extract_all(lower(doc), '[a-z0-9]+')) FROM texts)),
+    n AS (SELECT id, side, b, count(*) AS c FROM hashed GROUP BY ALL),
+    vq AS (SELECT id, tag, (SELECT list(coalesce(c, 0) :: DOUBLE ORDER BY i) FROM range({DIM}) r(i) LEFT JOIN n ON n.id = t.id AND side = 'q' AND b = i) AS v FROM texts t),
+    vd AS (SELECT id, tag, (SELECT list(coalesce(c, 0) :: DOUBLE ORDER BY i) FROM range({DIM}) r(i) LEFT JOIN n ON n.id = t.id AND side = 'd' AND b = i) AS v FROM texts t),
+    scored AS (SELECT q.id AS query_id, d.id AS doc_id, CAST(round(list_distance(q.v, d.v) ** 2) AS DOUBLE) AS distance FROM vq q JOIN vd d ON q.tag = d.tag)"""
+
+
+@query(
+    f"""WITH {SQL_TEXT_PICK} SELECT query_id, doc_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM scored QUALIFY rank <= 4"""
+)
+def select_by_text(t: Tables) -> DataFrame:
+    """Examples of the asker's type whose answer is nearest to a predicted answer, for
+    which the question stands in."""
+    rows = turn_pairs(t).withColumn("difficulty_type", F.array((F.length("sql") % 2).cast("string")))
+    asked = rows.withColumn("predicted", F.col("question"))
+    picked = selection.select_examples(
+        asked, rows, 4, fields="SQL", statement="predicted", same_type="difficulty_type", encoder=counted
+    )
+    return picked.select("query_id", "doc_id", "distance", F.col("rank").cast("bigint").alias("rank"))
+
+
 def fresh_collection(t: Tables) -> VectorCollection:
     """The documents, in two datasets by parity of their ids; each is offered twice."""
     rows = t.wide("documents").select(

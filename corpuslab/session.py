@@ -68,4 +68,5 @@ def spread(df: DataFrame) -> DataFrame:
 
 def width(spark: SparkSession) -> int:
     """Number of partitions for compute-heavy stages, which AQE would else fold by size."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
