@@ -8,7 +8,6 @@ built from per-piece maxima, which combine by max over pieces and then by sum.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,37 +22,51 @@ NO_TOKEN = -9999.0
 SPLIT_LENGTH, SPLIT_FIRST, SPLIT_REST = 64, 32, 8
 
 
-def pieces(tokens: DataFrame, text_id: str, name: str, masked: bool = True) -> DataFrame:
+def pieces(tokens: DataFrame, text_id: str, name: str, masked: bool = True, by: list[str] | None = None) -> DataFrame:
     """(text_id, first, <name>) rows: up to PIECE token vectors in order, from place `first`.
 
     With `masked`, tokens whose `keep` is false drop out, but a piece left empty stays.
     """
     kept = F.col("keep") if masked and "keep" in tokens.columns else F.lit(True)
-    item = F.when(kept, F.struct("pos", F.col("vec").cast("array<double>").alias("vec")))
+    item = F.when(kept, F.struct("pos", "vec"))
     return (
         tokens.withColumn("first", (F.floor(F.col("pos") / PIECE) * PIECE).cast("int"))
-        .groupBy(text_id, "first")
+        .groupBy(text_id, *(by or []), "first")
         .agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["vec"]).alias(name))
     )
 
 
-def _piece_maxima(metric: str):
-    def one(q, d) -> list[float]:
-        left = np.stack(q).astype(float)
-        if len(d) == 0:
-            return [NO_TOKEN] * len(left)
-        right = np.stack(d).astype(float)
+def _ragged(table: pa.Table, name: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """Matrices held in a column of nested lists, one per row, and their numbers of vectors."""
+    column = table.column(name).combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    flat = np.asarray(column.flatten().flatten(), dtype=np.float64)
+    rows = flat.reshape(int(sizes.sum()), -1) if len(flat) else flat.reshape(0, 0)
+    return np.split(rows, np.cumsum(sizes)[:-1]) if len(sizes) else [], sizes
+
+
+def _piece_maxima(metric: str, out: pa.Schema):
+    """Per row of (.., q, d): the best value of each vector of q over the vectors of d."""
+    def one(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(right):
+            return np.full(len(left), NO_TOKEN)
         if metric == "l2":
-            values = -((left[:, None, :] - right[None, :, :]) ** 2).sum(-1)
-        else:
-            values = left @ right.T
-        return values.max(axis=1).tolist()
+            return (-((left[:, None, :] - right[None, :, :]) ** 2).sum(-1)).max(axis=1)
+        return (left @ right.T).max(axis=1)
 
-    @F.pandas_udf("array<double>")
-    def maxima(q: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([one(a, b) for a, b in zip(q, d)])
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            (left, sizes), (right, _) = (_ragged(table, c) for c in ("q", "d"))
+            values = np.concatenate([one(a, b) for a, b in zip(left, right)])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            best = pa.ListArray.from_arrays(offsets, pa.array(values))
+            kept = [table.column(c).combine_chunks() for c in out.names[:-1]]
+            yield pa.table([*kept, best], names=out.names).cast(out).to_batches()[0]
 
-    return maxima
+    return run
 
 
 def token_maxima(pairs: DataFrame, query_tokens: DataFrame, doc_tokens: DataFrame, metric: str = "dot") -> DataFrame:
@@ -62,7 +75,14 @@ def token_maxima(pairs: DataFrame, query_tokens: DataFrame, doc_tokens: DataFram
     q = pieces(query_tokens, "query_id", "q", masked=False).withColumnRenamed("first", "q_first")
     d = pieces(doc_tokens, "doc_id", "d", masked=metric != "l2").drop("first")
     met = pairs.select("query_id", "doc_id").distinct().join(q, "query_id").join(d, "doc_id")
-    best = met.select("query_id", "doc_id", "q_first", F.posexplode(_piece_maxima(metric)("q", "d")).alias("_i", "best"))
+    ids = ["query_id", "doc_id"]
+    types = {c: met.schema[c].dataType.simpleString() for c in ids}
+    out = pa.schema(
+        [*((c, _id_type(met, c)) for c in ids), ("q_first", pa.int32()), ("best", pa.list_(pa.float64()))]
+    )
+    ddl = ", ".join(f"{c} {types[c]}" for c in ids) + ", q_first int, best array<double>"
+    scored = met.select(*ids, "q_first", "q", "d").mapInArrow(_piece_maxima(metric, out), ddl)
+    best = scored.select(*ids, "q_first", F.posexplode("best").alias("_i", "best"))
     return best.groupBy("query_id", "doc_id", (F.col("q_first") + F.col("_i")).alias("pos")).agg(
         F.max("best").alias("best")
     )
@@ -112,25 +132,19 @@ def best_by_maxsim(scores: DataFrame, k: int) -> DataFrame:
     return ranked.drop("distance")
 
 
-def _ragged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-    """Matrices held in column `m`, one per row, and their numbers of tokens."""
-    column = table.column("m").combine_chunks()
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(int)
-    flat = np.asarray(column.flatten().flatten(), dtype=np.float64)
-    rows = flat.reshape(int(sizes.sum()), -1) if len(flat) else flat.reshape(0, 0)
-    return np.split(rows, np.cumsum(sizes)[:-1]) if len(sizes) else [], sizes
-
-
-def rerank_all(query_tokens: DataFrame, doc_tokens: DataFrame, k: int, block_texts: int = 1024) -> DataFrame:
-    """Top k of the whole collection by MaxSim, exact.
+def rerank_all(
+    query_tokens: DataFrame, doc_tokens: DataFrame, k: int, block_texts: int = 1024, by: list[str] | None = None
+) -> DataFrame:
+    """Top k of the whole collection by MaxSim, exact. With `by`, only documents that agree
+    on these columns, of the text as a whole, compete.
 
     As in the vector search, blocks of queries meet blocks of documents in a kernel that
     passes on k rows per query. A document is one array of its kept tokens here, so this
     form is for documents cut to a token limit, as the padding step makes them.
     """
     def whole(tokens: DataFrame, text_id: str, masked: bool) -> DataFrame:
-        parts = pieces(tokens, text_id, "m", masked)
-        return parts.groupBy(text_id).agg(
+        parts = pieces(tokens, text_id, "m", masked, by)
+        return parts.groupBy(text_id, *(by or [])).agg(
             F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "m"))), lambda x: x["m"])).alias("m")
         )
 
@@ -144,15 +158,15 @@ def rerank_all(query_tokens: DataFrame, doc_tokens: DataFrame, k: int, block_tex
     d = d.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int")).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint")))
     )
-    keys = ["_qb", "_db"]
+    keys = [*(by or []), "_qb", "_db"]
     parts = width(q.sparkSession)
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (d, "doc_id"))}
 
     out = pa.schema([("query_id", _id_type(q, "query_id")), ("doc_id", _id_type(d, "doc_id")), ("distance", pa.float64())])
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked, _ = _ragged(left)
-        held_tokens, sizes = _ragged(right)
+        asked, _ = _ragged(left, "m")
+        held_tokens, sizes = _ragged(right, "m")
         ids, held = _ids(right, "doc_id"), np.flatnonzero(sizes)
         starts = np.cumsum(sizes[held]) - sizes[held]
         tokens = np.concatenate([held_tokens[i] for i in held]) if len(held) else None

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.functions.documents import document
+from corpuslab.functions.documents import doc_text, document, query_text
 from corpuslab.functions.vectors import metric_of, pair_distance
-from corpuslab.operators import mining
+from corpuslab.operators import interaction, mining
 from corpuslab.operators import nearest as nn
-from corpuslab.operators.embed import embed
+from corpuslab.operators.embed import embed, word_token_vectors
 from corpuslab.session import cut
 
 
@@ -88,6 +88,42 @@ def select_two_stage(
     return resort(second(wide), small, descending)
 
 
+def rerank_by_text(
+    samples: DataFrame, pool: DataFrame, n: int, left: str = "question", right: str = "sql", dataset: str = "spider",
+    big: int | None = None, type_tags: str | None = None, statement: str = "sql",
+    tokens: Callable[[DataFrame, str, str], DataFrame] = word_token_vectors, encoder: str | Callable = "default",
+) -> DataFrame:
+    """Ranked examples (query_id, doc_id, score, rank) by late interaction between the
+    `left` text of each sample and the `right` text of the pool.
+
+    The whole pool competes, or with `big` the nearest by text vectors. `type_tags` names the samples' column
+    of predicted type tags that the pool's difficulty_type must equal. `tokens` encodes
+    a text as (id, pos, vec [, keep]); `statement` is the gold or predicted one.
+    """
+    check_rerank_formats(left, right, dataset, type_tags is not None)
+    asked = samples if statement == "sql" else samples.withColumn("sql", F.col(statement))
+
+    def side(df: DataFrame, name: str, text: Column, tags: str) -> DataFrame:
+        extra = [F.array_join(tags, "+").alias("type")] if type_tags else []
+        return cut(df.select(F.col("id").alias(name), text.alias("_text"), *extra))
+
+    queries = side(asked, "query_id", query_text(left), type_tags or "")
+    docs = side(pool, "doc_id", doc_text(right), "difficulty_type")
+    by = ["type"] if type_tags else None
+
+    def with_type(df: DataFrame, source: DataFrame, name: str) -> DataFrame:
+        return df.join(source.select(name, "type"), name) if by else df
+
+    q, d = (tokens(s, name, "_text") for s, name in ((queries, "query_id"), (docs, "doc_id")))
+    if big is None:
+        return interaction.rerank_all(with_type(q, queries, "query_id"), with_type(d, docs, "doc_id"), n, by=by)
+    vectors = [
+        cut(with_type(embed(s, name, "_text", encoder), s, name)) for s, name in ((queries, "query_id"), (docs, "doc_id"))
+    ]
+    wide = cut(nn.nearest(*vectors, big, by=by).select("query_id", "doc_id"))
+    return interaction.best_by_maxsim(interaction.maxsim(wide, q, d), n)
+
+
 # The text formats a reranker accepts on each side.
 RERANK_FORMATS = {
     ("question", "sql"), ("question", "question_sql"), ("question_sql", "sql"), ("question_sql", "question_sql"),

@@ -332,6 +332,23 @@ def select_by_text(t: Tables) -> DataFrame:
     return picked.select("query_id", "doc_id", "distance", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    f"""WITH {SQL_TEXT_PICK}, near AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) <= 10),
+    asked_words AS (SELECT id AS query_id, b, count(*) AS c FROM hashed WHERE side = 'q' GROUP BY ALL), held AS (SELECT DISTINCT id AS doc_id, b FROM hashed WHERE side = 'd'),
+    s AS (SELECT n.query_id, n.doc_id, CAST(coalesce(sum(CASE WHEN h.b IS NOT NULL THEN w.c END), 0) AS DOUBLE) AS score FROM near n JOIN asked_words w ON w.query_id = n.query_id LEFT JOIN held h ON h.doc_id = n.doc_id AND h.b = w.b GROUP BY ALL)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3"""
+)
+def rerank_by_text(t: Tables) -> DataFrame:
+    """Questions against answers of their type: ten by text vectors, three by interaction."""
+    rows = turn_pairs(t).withColumn("difficulty_type", F.array((F.length("sql") % 2).cast("string")))
+
+    def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+        return embed.word_token_vectors(df, key, text, DIM)
+
+    best = selection.rerank_by_text(rows, rows, 3, big=10, type_tags="difficulty_type", tokens=tokens, encoder=counted)
+    return best.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 def fresh_collection(t: Tables) -> VectorCollection:
     """The documents, in two datasets by parity of their ids; each is offered twice."""
     rows = t.wide("documents").select(

@@ -153,3 +153,17 @@ def test_rerank_formats():
             selection.check_rerank_formats(*bad)
     with pytest.raises(ValueError):
         selection.check_rerank_formats("question_evidence", "sql", "bird", type_filter=True)
+
+
+def test_rerank_whole_pool_by_type(spark):
+    rows = spark.createDataFrame(
+        [("a", "red fox", "fox runs", ["x"]), ("b", "blue fish", "fish swims blue", ["x"]), ("c", "red fish", "blue fish red fish", [])],
+        "id string, question string, sql string, difficulty_type array<string>",
+    )
+    every = selection.rerank_by_text(rows, rows, 2).collect()
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in every}
+    assert got["c", 1] == ("c", 2.0) and got["b", 1] == ("b", 2.0) and got["b", 2] == ("c", 2.0)
+    typed = selection.rerank_by_text(rows, rows, 5, type_tags="difficulty_type").collect()
+    assert {(r.query_id, r.doc_id) for r in typed} == {("a", "a"), ("a", "b"), ("b", "a"), ("b", "b"), ("c", "c")}
+    picked = selection.select_examples(rows, rows, 1, fields="QUESTION_SQL", similarity="COSINE")
+    assert all(r.query_id == r.doc_id for r in picked.collect())
