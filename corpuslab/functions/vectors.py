@@ -73,10 +73,14 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def pair_distance(a: Column, b: Column, metric: str) -> Column:
-    """Distance of two vector columns, whole Arrow batches at a time."""
+    """Distance of two vector columns, whole Arrow batches at a time.
+
+    Declared non-deterministic, as all Arrow functions here: Spark then keeps it in one place
+    and does not run it again inside a filter on its result.
+    """
 
     @F.pandas_udf("double")
     def distance(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series(exact_distances(_matrix(left), _matrix(right), metric))
 
-    return distance(a, b)
+    return distance.asNondeterministic()(a, b)

@@ -13,6 +13,7 @@ from corpuslab.functions.vectors import pair_distance
 from corpuslab.operators.catalog import maskable_names
 from corpuslab.operators.linking import attach_catalog
 from corpuslab.operators.ordering import running_totals
+from corpuslab.session import cut
 
 # Fixed values.
 RECALL_DEPTHS = (5, 10)
@@ -103,9 +104,12 @@ def _with_runs(evaluated: DataFrame, queries: DataFrame, docs: DataFrame) -> Dat
         evaluated.join(queries.select("query_id", F.col("vec").alias("_q")), "query_id")
         .join(docs.select("doc_id", F.col("vec").alias("_d")), "doc_id")
     )
-    return pairs.groupBy("run_name", "query_id").agg(
-        F.avg(F.sqrt(pair_distance(F.col("_q"), F.col("_d"), "l2"))).alias("evaluated"),
-        F.avg(1 - pair_distance(F.col("_q"), F.col("_d"), "cosine")).alias("cosine"),
+    measured = pairs.select(
+        "run_name", "query_id", pair_distance(F.col("_q"), F.col("_d"), "l2").alias("_l2"),
+        pair_distance(F.col("_q"), F.col("_d"), "cosine").alias("_cosine"),
+    )
+    return measured.groupBy("run_name", "query_id").agg(
+        F.avg(F.sqrt("_l2")).alias("evaluated"), F.avg(1 - F.col("_cosine")).alias("cosine")
     )
 
 
@@ -259,8 +263,11 @@ def accuracy_by(rows: DataFrame, correct: str = "correct", tags: str = "tags", l
     a negative turn_idx do not count."""
     if "turn_idx" in rows.columns:
         rows = rows.where(F.coalesce("turn_idx", F.lit(0)) >= 0)
-    slim = rows.groupBy(F.col(tags).alias("tags"), F.col(level).alias("hardness")).agg(
-        F.sum(F.col(correct).cast("bigint")).alias("correct"), F.count("*").alias("total")
+    # A row per combination of tags and level, used four times below.
+    slim = cut(
+        rows.groupBy(F.col(tags).alias("tags"), F.col(level).alias("hardness")).agg(
+            F.sum(F.col(correct).cast("bigint")).alias("correct"), F.count("*").alias("total")
+        )
     )
     kinds = {
         "tag": F.explode("tags"),

@@ -251,7 +251,7 @@ def bucketed(df: DataFrame, dim: int, width: float, tables: int, hashes: int, se
         cells = cells.reshape(len(matrix), tables, hashes)
         return pd.Series([[",".join(map(str, row)) for row in one] for one in cells])
 
-    return df.select("*", F.posexplode(buckets("vec")).alias("_table", "_bucket"))
+    return df.select("*", F.posexplode(buckets.asNondeterministic()("vec")).alias("_table", "_bucket"))
 
 
 def nearest_lsh(
@@ -282,7 +282,7 @@ def _own_cells(vec: Column, centres: np.ndarray, probes: int) -> Column:
             out.append([{"cell": int(c), "reach": float(dist[c])} for c in best])
         return pd.Series(out)
 
-    return near(vec)
+    return near.asNondeterministic()(vec)
 
 
 def _other_cells(vec: Column, bound: Column, centres: np.ndarray, radius: np.ndarray, probes: int) -> Column:
@@ -300,7 +300,7 @@ def _other_cells(vec: Column, bound: Column, centres: np.ndarray, radius: np.nda
             out.append(np.flatnonzero(held).tolist())
         return pd.Series(out)
 
-    return within(vec, bound)
+    return within.asNondeterministic()(vec, bound)
 
 
 def nearest_pruned(

@@ -29,6 +29,7 @@ def repair_map(unknown_in: DataFrame, names: DataFrame, nearest: bool = False) -
     Among names within distance 3 the last in catalog order wins, or with `nearest` the
     closest. The join meets only names whose length differs by at most 3.
     """
+    names = cut(names.select("db_id", "pos", "name"))
     unknown = cut(unknown_in.distinct().join(
         names.select("db_id", F.col("name").alias("identifier")).distinct(), ["db_id", "identifier"], "left_anti"
     ))

@@ -163,7 +163,7 @@ def judged_pairs(pairs: DataFrame, questions: DataFrame, threshold: float = THRE
 
     joined = pairs.join(questions.select("question_id", "question"), "question_id")
     return (
-        joined.select("question_id", "value", verdict("question", "value").alias("m"))
+        joined.select("question_id", "value", verdict.asNondeterministic()("question", "value").alias("m"))
         .where("m.match_text IS NOT NULL")
         .select("question_id", "value", "m.*")
     )
