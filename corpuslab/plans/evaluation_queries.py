@@ -11,7 +11,7 @@ from corpuslab.functions import sqltext
 from corpuslab.functions.vectors import pair_distance
 from corpuslab.operators import evaluate, interaction, losses
 from corpuslab.operators import nearest as nn
-from corpuslab.plans.derived import NORMAL_LOG, query_log, raw_catalog
+from corpuslab.plans.derived import query_log, raw_catalog
 from corpuslab.plans.mining_queries import HALF, SQL_GROUPS, first_half, groups_of
 from corpuslab.plans.registry import Tables, query
 from corpuslab.plans.text_queries import SKELETON, nested

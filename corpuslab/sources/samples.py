@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuslab.functions import sqltext
 from corpuslab.operators.catalog import wrap_primary_keys
