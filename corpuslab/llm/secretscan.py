@@ -54,14 +54,18 @@ def transitions(name: str) -> np.ndarray:
 
 
 class Ratio:
-    """Log-likelihood ratio per transition, from counts (random, ordinary) by transition."""
+    """Log-likelihood ratio per transition, from counts (random, ordinary) by transition.
 
-    def __init__(self, random: np.ndarray, ordinary: np.ndarray, smooth: float = 1.0):
+    A transition is estimated from its row of counts and `weight` times the share of its second
+    character, of which `uniform` is dealt out evenly, so that what was never met is rare."""
+
+    def __init__(self, random: np.ndarray, ordinary: np.ndarray, weight: float = 10.0, uniform: float = 0.02):
         n = len(ALPHABET)
 
         def logs(counts):
-            rows = counts.reshape(n, n) + smooth
-            return np.log(rows / rows.sum(1, keepdims=True)).ravel()
+            rows = counts.reshape(n, n)
+            share = (1 - uniform) * rows.sum(0) / max(rows.sum(), 1) + uniform / n if rows.any() else np.full(n, 1 / n)
+            return np.log((rows + weight * share) / (rows.sum(1, keepdims=True) + weight)).ravel()
 
         self.score = logs(random) - logs(ordinary)
 
@@ -108,13 +112,13 @@ def samples(docs: DataFrame, column: str = "text", key: str = "doc_id", most_doc
     return picked.mapInArrow(count, "label int, transition long, n long").groupBy("label", "transition").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, smooth: float = 1.0) -> Ratio:
+def train(labelled: DataFrame) -> Ratio:
     """The two models from (label: 0 random, 1 ordinary; transition; n). Bounded by the
     alphabet: 67 characters, so at most 8,978 rows reach the driver."""
     counts = np.zeros((2, len(ALPHABET) ** 2))
     for r in labelled.collect():
         counts[r["label"], r["transition"]] += r["n"]
-    return Ratio(*counts, smooth)
+    return Ratio(*counts)
 
 
 def labelled_names(rows: DataFrame, column: str = "name", label: str = "label") -> DataFrame:

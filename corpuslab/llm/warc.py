@@ -192,6 +192,6 @@ def assembled(found: DataFrame) -> DataFrame:
         F.collect_set(F.when(of("request"), F.struct("record_id", "uri"))).alias("requests"),
         F.collect_set(F.when(of("metadata"), F.struct("record_id", F.map_entries("fields").alias("fields")))).alias("metadata"),
     )
-    whole = cut(whole.withColumn("page", F.expr("transform(metadata, m -> map_from_entries(m.fields)['pageId'])[0]").cast("long")))
+    whole = cut(whole.withColumn("page", F.expr("get(transform(metadata, m -> map_from_entries(m.fields)['pageId']), 0)").cast("long")))
     origin = whole.where(F.col("response.type") == "response").select(F.col("capture_id").alias("origin"), F.col("page").alias("refers_to_page"))
     return whole.join(origin, F.col("response.refers_to") == F.col("origin"), "left").drop("origin")
