@@ -1,29 +1,36 @@
-"""Judging one (question, value) pair for value linking: a small helper run on Arrow
-batches of candidate pairs."""
+"""Comparing one question with one value for value linking: a small helper run on Arrow
+batches of candidate pairs. What can be told from the texts it finds is tested in columns
+(`operators.valuelink`)."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+import re
+from bisect import bisect_left
 
 # Fixed values.
 SEPARATORS = "'\"()`,.?! "
-STOP_WORDS = frozenset(
-    """i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself
-    yourselves he him his himself she she's her hers herself it it's its itself they them their
-    theirs themselves what which who whom this that that'll these those am is are was were be been
-    being have has had having do does did doing a an the and but if or because as until while of at
-    by for with about against between into through during before after above below to from up down
-    in out on off over under again further then once here there when where why how all any both each
-    few more most other some such nor not only own same so than too very s t can will just don
-    don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn
-    doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn
-    needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't""".split()
-)
+STOP_WORDS = frozenset([
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've", "you'll",
+    "you'd", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "she's",
+    "her", "hers", "herself", "it", "it's", "its", "itself", "they", "them", "their", "theirs",
+    "themselves", "what", "which", "who", "whom", "this", "that", "that'll", "these", "those", "am", "is",
+    "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did",
+    "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at",
+    "by", "for", "with", "about", "against", "between", "into", "through", "during", "before", "after",
+    "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again",
+    "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each",
+    "few", "more", "most", "other", "some", "such", "nor", "not", "only", "own", "same", "so", "than",
+    "too", "very", "s", "t", "can", "will", "just", "don", "don't", "should", "should've", "now", "d", "ll",
+    "m", "o", "re", "ve", "y", "ain", "aren", "aren't", "couldn", "couldn't", "didn", "didn't", "doesn",
+    "doesn't", "hadn", "hadn't", "hasn", "hasn't", "haven", "haven't", "isn", "isn't", "ma", "mightn",
+    "mightn't", "mustn", "mustn't", "needn", "needn't", "shan", "shan't", "shouldn", "shouldn't", "wasn",
+    "wasn't", "weren", "weren't", "won", "won't", "wouldn", "wouldn't",
+])
 COMMON_WORDS = frozenset({"no", "yes", "many"})
 KEY_TERMS = frozenset({"id"})
-# The match extends at most this many characters beyond the common part.
-LOOK_BACK, LOOK_AHEAD = 1, 3
-POPULAR_FROM = 200
+# A span may go on this many characters behind the common part.
+LOOK_AHEAD = 2
+TOKEN = re.compile(f"[^{re.escape(SEPARATORS)}]+")
 
 
 def fold_case(text: str) -> str:
@@ -34,22 +41,18 @@ def fold_case(text: str) -> str:
 
 
 def longest_common(s: str, v: str) -> tuple[int, int, int]:
-    """(place in s, place in v, length) of the longest common part, earliest first.
+    """(place in s, place in v, length) of the longest common part, earliest in s first, then in v.
 
     Grows the length while some part of v of that length occurs in s; the search itself
-    is the built-in one. Values of 200 characters and more go through the standard
-    matcher, whose popularity rule matters there.
+    is the built-in one. The same for values of any length.
     """
-    if len(v) >= POPULAR_FROM:
-        m = SequenceMatcher(None, s, v).find_longest_match(0, len(s), 0, len(v))
-        return m.a, m.b, m.size
     size, at = 0, 0
     for i in range(len(v)):
         while i + size < len(v) and v[i : i + size + 1] in s:
             size, at = size + 1, i
     if not size:
         return 0, 0, 0
-    starts = {}
+    starts: dict[int, int] = {}
     for i in range(at, len(v) - size + 1):
         place = s.find(v[i : i + size])
         if place >= 0:
@@ -58,21 +61,25 @@ def longest_common(s: str, v: str) -> tuple[int, int, int]:
     return place, starts[place], size
 
 
-def word_span(s: str, start: int, end: int) -> tuple[int, int] | None:
-    """The common part s[start:end] widened to word boundaries, as [from, to)."""
-    near = [i for i in range(start, start - LOOK_BACK - 1, -1) if i < 0 or s[i] in SEPARATORS]
-    if not near:
-        return None
-    low = max(near[0], 0)
-    ahead = [i for i in range(end - 1, end + LOOK_AHEAD) if i >= len(s) or s[i] in SEPARATORS]
-    if not ahead:
-        return None
-    high = ahead[0] - 1 if ahead[0] >= len(s) else ahead[0]
-    while low < len(s) and s[low] in SEPARATORS:
-        low += 1
-    while high >= 0 and s[high] in SEPARATORS:
-        high -= 1
-    return low, high + 1
+class Words:
+    """Where the words of a text, its runs without separators, begin and end."""
+
+    def __init__(self, text: str):
+        found = [m.span() for m in TOKEN.finditer(text)]
+        self.begins, self.ends = [a for a, _ in found], [b for _, b in found]
+
+    def span(self, start: int, end: int) -> tuple[int, int] | None:
+        """The whole words that a common part [start, end) stands for, or None.
+
+        It must begin where a word does, or between words, and end in a word that goes on for
+        `LOOK_AHEAD` characters at most, or between words."""
+        first, last = bisect_left(self.begins, start), bisect_left(self.begins, end) - 1
+        inside = first > 0 and self.ends[first - 1] > start
+        if inside or first > last:
+            return None
+        if self.ends[last] > end + LOOK_AHEAD:
+            return None
+        return self.begins[first], self.ends[last]
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -96,39 +103,12 @@ def indel_ratio(a: str, b: str) -> float:
     return (1.0 - (total - 2 * common_subsequence(a, b)) / total) * 100 / 100
 
 
-def first_letter(text: str) -> str:
-    """The first character that separates nothing, else the last one."""
-    return next((c for c in text if c not in SEPARATORS), text[-1:])
-
-
-def is_number(text: str) -> bool:
-    try:
-        float(text.replace(",", ""))
-    except ValueError:
-        return False
-    return True
-
-
-def judge(question: str, folded: str, value: str, threshold: float) -> tuple[str, str, float, int] | None:
-    """(match, span of the question, score, length of the match), or None; `folded` is the
-    question in folded case.
-
-    A span that ends in the match and `'s` would score 1, but the widening stops at the
-    apostrophe, so that case cannot arise and is not written down.
-    """
-    s, v = folded, fold_case(value)
-    start, at, size = longest_common(s, v)
-    span = word_span(s, start, start + size) if size else None
+def compared(question: str, folded: str, words: Words, value: str) -> tuple[str, str, float, int] | None:
+    """(match, span of the question, ratio of span and value, length of the match), or None;
+    `folded` is the question in folded case, `words` its words."""
+    start, at, size = longest_common(folded, fold_case(value))
+    span = words.span(start, start + size) if size else None
     if span is None or span[1] - span[0] <= 1:
         return None
-    match, source = value[at : at + size], question[span[0] : span[1]]
-    low_match, low_source, low_value = (x.lower().strip() for x in (match, source, value))
-    parts = {low_match, low_source, low_value}
-    if not low_match or is_number(low_match) or low_match in KEY_TERMS or parts & STOP_WORDS:
-        return None
-    same_start = first_letter(low_value) == first_letter(low_source)
-    score = indel_ratio(low_value, low_source) if same_start else 0.0
-    strict = bool(parts & COMMON_WORDS) or value.isupper()
-    if score < threshold or (strict and score < 1):
-        return None
-    return match, source, score, size
+    source = question[span[0] : span[1]]
+    return value[at : at + size], source, indel_ratio(value.lower().strip(), source.lower().strip()), size

@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.functions.matching import KEY_TERMS, SEPARATORS, STOP_WORDS, fold_case, judge
+from corpuslab.functions.matching import COMMON_WORDS, KEY_TERMS, SEPARATORS, STOP_WORDS, Words, compared, fold_case
 from corpuslab.functions.sqltext import strip
 from corpuslab.operators.skew import HOT_ROWS, blocked_join
-from corpuslab.session import cut, width
+from corpuslab.session import cut
 
 # Fixed values.
 THRESHOLD, TOP_K = 0.85, 2
@@ -147,26 +147,49 @@ def candidate_pairs(questions: DataFrame, values: DataFrame, hot: int = HOT_ROWS
     low = _fold(F.col("value"))
     allowed = 0.15 * (F.length(low) + F.length("span")) + 1e-6
     near = met.where(F.col("span").isNull() | (F.levenshtein("span", low) <= allowed)).select("question_id", "value")
-    return near.repartition(width(values.sparkSession), "question_id", "value").distinct()
+    return near.distinct()
+
+
+# Numbers once commas are taken out.
+DIGITS = r"\p{Nd}+(_\p{Nd}+)*"
+NUMBER = rf"(?i)^\s*[+-]?(nan|inf|infinity|({DIGITS}\.?({DIGITS})?|\.{DIGITS})(e[+-]?{DIGITS})?)\s*$"
+CAPITALS = r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$"
+
+
+def first_letter(text: Column) -> Column:
+    """The first character that separates nothing, else the last one."""
+    found = F.regexp_extract(text, f"(?s)([^{SEPARATORS}])", 1)
+    return F.when(found != "", found).otherwise(F.right(text, F.lit(1)))
 
 
 def judged_pairs(pairs: DataFrame, questions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Accepted pairs with match, source, score and match_size."""
+    """Accepted pairs with match, source, score and match_size.
+
+    The function finds the common part, its words in the question and their ratio to the
+    value; every rule on these is a column: no numbers, key terms or stop words, the same
+    first letter, and an exact match for common words and for values in capitals."""
 
     @F.pandas_udf("struct<match_text:string, source:string, score:double, match_size:int>")
-    def verdict(question: pd.Series, value: pd.Series) -> pd.DataFrame:
-        folded = {q: fold_case(q) for q in question.unique()}
+    def found(question: pd.Series, value: pd.Series) -> pd.DataFrame:
+        folded = {q: (f, Words(f)) for q in question.unique() for f in [fold_case(q)]}
         none = (None, None, None, None)
-        rows = [judge(q, folded[q], v, threshold) or none for q, v in zip(question, value)]
+        rows = [compared(q, *folded[q], v) or none for q, v in zip(question, value)]
         out = pd.DataFrame(rows, columns=["match_text", "source", "score", "match_size"])
         return out.astype({"match_size": "Int32", "score": "float64"})
 
     joined = pairs.join(questions.select("question_id", "question"), "question_id")
-    return (
-        joined.select("question_id", "value", verdict.asNondeterministic()("question", "value").alias("m"))
-        .where("m.match_text IS NOT NULL")
-        .select("question_id", "value", "m.*")
-    )
+    met = joined.select("question_id", "value", found.asNondeterministic()("question", "value").alias("m"))
+    met = met.where("m.match_text IS NOT NULL").select("question_id", "value", "m.*")
+    part, source, value = (strip(F.lower(c)) for c in ("match_text", "source", "value"))
+
+    def any_of(words: frozenset) -> Column:
+        return part.isin(*sorted(words)) | source.isin(*sorted(words)) | value.isin(*sorted(words))
+
+    score = F.when(first_letter(value) == first_letter(source), F.col("score")).otherwise(0.0)
+    strict = any_of(COMMON_WORDS) | F.col("value").rlike(CAPITALS)
+    ruled_out = (part == "") | F.replace(part, F.lit(",")).rlike(NUMBER) | part.isin(*KEY_TERMS) | any_of(STOP_WORDS)
+    met = met.where(~ruled_out).withColumn("score", score)
+    return met.where((F.col("score") >= threshold) & (~strict | (F.col("score") >= 1)))
 
 
 def link_values(
