@@ -6,55 +6,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import sqltext
-from corpuslab.operators.skew import blocked_join
-from corpuslab.session import cut
 
 # Fixed values.
 MAX_DISTANCE = 3
-RESERVED = """select from where group by order limit intersect union except join on as not between in
-like is exists max min count sum avg and or desc asc having distinct inner left right full outer cross
-natural using all case when then else end null with offset cast true false""".split()
-
-
-def identifiers(sql: Column) -> Column:
-    """Distinct names in a statement: words outside literals that are no key words."""
-    names = F.regexp_extract_all(sqltext.without_literals(sqltext.single_quotes(sql)), F.lit(r"[A-Za-z_]\w*"), F.lit(0))
-    return F.filter(F.array_distinct(names), lambda n: ~F.lower(n).isin(*RESERVED))
-
-
-def repair_map(unknown_in: DataFrame, names: DataFrame, nearest: bool = False) -> DataFrame:
-    """(db_id, identifier, name) for identifiers that are no name of their database.
-
-    unknown_in: db_id, identifier;  names: db_id, pos, name in catalog order.
-    Among names within distance 3 the last in catalog order wins, or with `nearest` the
-    closest. The join meets only names whose length differs by at most 3.
-    """
-    names = cut(names.select("db_id", "pos", "name"))
-    unknown = cut(unknown_in.distinct().join(
-        names.select("db_id", F.col("name").alias("identifier")).distinct(), ["db_id", "identifier"], "left_anti"
-    ))
-    length = F.length("identifier")
-    reach = F.explode(F.sequence(length - MAX_DISTANCE, length + MAX_DISTANCE))
-    met = blocked_join(
-        unknown.withColumn("_length", reach), names.withColumn("_length", F.length("name")),
-        ["db_id", "_length"], "identifier", "name",
-    )
-    near = met.withColumn("_distance", F.levenshtein("identifier", "name", MAX_DISTANCE)).where("_distance >= 0")
-    order = F.struct(-F.col("_distance"), F.col("pos")) if nearest else F.col("pos")
-    return near.groupBy("db_id", "identifier").agg(F.max_by("name", order).alias("name"))
-
-
-def repair(log: DataFrame, names: DataFrame, key: str = "log_id", sql: str = "sql", nearest: bool = False) -> DataFrame:
-    """`log` with column `repaired`. Whole words are replaced, all at once."""
-    used = log.select(key, "db_id", F.explode(identifiers(F.col(sql))).alias("identifier"))
-    mapping = repair_map(used.select("db_id", "identifier"), names, nearest)
-    changes = used.join(mapping, ["db_id", "identifier"]).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("identifier", "name"))).alias("_changes")
-    )
-    words = F.regexp_extract_all(sql, F.lit(r"\w+|\W+"), F.lit(0))
-    renamed = F.array_join(F.transform(words, lambda t: F.coalesce(F.try_element_at("_changes", t), t)), "")
-    return (
-        log.join(changes, key, "left")
-        .withColumn("repaired", F.when(F.col("_changes").isNull(), F.col(sql)).otherwise(renamed))
-        .drop("_changes")
-    )
+RESERVED = [
+    "select", "from", "where", "group", "by", "order", "limit", "intersect", "union", "except", "join", "on", "as", "not",
+    "between", "in", "like", "is", "exists", "max", "min", "count", "sum", "avg", "and", "or", "desc", "asc", "having",
+    "distinct", "inner", "left", "right", "full", "outer", "cross", "natural", "using", "all", "case", "when", "then",
+    "else", "end", "null", "with", "offset", "cast", "true", "false",
+]
+NAME = r"[A-Za-z_]\w*"
+FUNCTION = rf"({NAME})\s*\("
+# After AS, or after the table of FROM and JOIN and of a comma in between.
+ALIAS = rf"(?i)\bas\s+({NAME})"
+TABLE_ALIAS = rf"(?i)\b(?:from|join)\s+{NAME}\s+({NAME})"
+# Literals stay whole.
+PIECES = r"'[^']*'|\"[^\"]*\"|\w+|[^\w'\"]+|['\"]"
+
+
+def declared(sql: Column) -> Column:
+    """Lower-case names of the functions and the aliases of a statement."""
+    text = sqltext.without_literals(sqltext.single_quotes(sql))
+    lists = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (FUNCTION, ALIAS, TABLE_ALIAS)]
+    return F.transform(F.array_distinct(F.concat(*lists)), F.lower)
+
+
+def identifiers(sql: Column, others: Column) -> Column:
+    """Distinct names of tables and columns in a statement: words outside literals that are no
+    key words and none of `others`."""
+    text = sqltext.without_literals(sqltext.single_quotes(sql))
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)))
+    return F.filter(names, lambda n: ~F.lower(n).isin(*RESERVED) & ~F.array_contains(others, F.lower(n)))
+
+
+def renames(unknown: Column, names: Column, nearest: bool = False) -> Column:
+    """Map from unknown names to names of the catalog (an array in catalog order).
+
+    Among names within distance 3 the last one wins, or with `nearest` the closest. Names with none
+    so near have no entry."""
+    def best(word: Column) -> Column:
+        near = F.filter(
+            F.transform(names, lambda n, i: F.struct(F.levenshtein(word, n, MAX_DISTANCE).alias("distance"), i.alias("pos"), n.alias("name"))),
+            lambda c: c["distance"] >= 0,
+        )
+        order = F.transform(near, lambda c: F.struct((-c["distance"] if nearest else F.lit(0)).alias("closeness"), c["pos"].alias("pos"), c["name"].alias("name")))
+        return F.array_max(order)["name"]
+
+    pairs = F.transform(unknown, lambda w: F.struct(w.alias("key"), best(w).alias("value")))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+
+def repair(log: DataFrame, names: DataFrame, sql: str = "sql", nearest: bool = False) -> DataFrame:
+    """`log` with column `repaired`: words that are no name of their database become the name
+    that `renames` finds, all at once. names: db_id, pos, name.
+
+    Row-local but for one join with the list of names of a database; only names that the list does not
+    hold are measured against it. Statements of unknown databases stay as they are."""
+    lists = names.groupBy("db_id").agg(F.array_sort(F.collect_set(F.struct("pos", "name"))).alias("_n"))
+    lists = lists.select("db_id", F.transform("_n", lambda n: n["name"]).alias("_names"))
+    # As output of a generator, a list is computed once a row and not once for each use.
+    rows = log.join(lists, "db_id", "left").select("*", F.explode(F.array(F.coalesce(declared(F.col(sql)), F.array()))).alias("_others"))
+    unknown = F.array_except(identifiers(F.col(sql), F.col("_others")), F.coalesce("_names", F.array()))
+    rows = rows.select("*", F.explode(F.array(F.coalesce(unknown, F.array()))).alias("_unknown"))
+    changes = F.when(F.col("_names").isNotNull() & (F.size("_unknown") > 0), renames(F.col("_unknown"), F.col("_names"), nearest))
+    rows = rows.select("*", F.explode(F.array(changes)).alias("_changes"))
+    pieces = F.regexp_extract_all(sql, F.lit(PIECES), F.lit(0))
+    renamed = F.array_join(F.transform(pieces, lambda t: F.coalesce(F.try_element_at("_changes", t), t)), "")
+    repaired = F.when(F.coalesce(F.cardinality("_changes"), F.lit(0)) > 0, renamed).otherwise(F.col(sql))
+    return rows.withColumn("repaired", repaired).select(*log.columns, "repaired")
