@@ -49,8 +49,7 @@ def select_examples(
     def side(df: DataFrame, name: str, tags: str) -> DataFrame:
         extra = [F.array_join(tags, "+").alias("type")] if same_type else []
         texts = df.select(F.col("id").alias(name), text.alias("_text"), *extra)
-        vectors = embed(texts, name, "_text", encoder)
-        return cut(vectors.join(texts.drop("_text"), name) if same_type else vectors)
+        return cut(embed(texts, "_text", encoder).drop("_text"))
 
     asked = samples if statement == "sql" else samples.withColumn("sql", F.col(statement))
     queries = side(asked, "query_id", same_type or "")
@@ -117,9 +116,7 @@ def rerank_by_text(
     q, d = (tokens(s, name, "_text") for s, name in ((queries, "query_id"), (docs, "doc_id")))
     if big is None:
         return interaction.rerank_all(with_type(q, queries, "query_id"), with_type(d, docs, "doc_id"), n, by=by)
-    vectors = [
-        cut(with_type(embed(s, name, "_text", encoder), s, name)) for s, name in ((queries, "query_id"), (docs, "doc_id"))
-    ]
+    vectors = [cut(embed(s, "_text", encoder).drop("_text")) for s in (queries, docs)]
     wide = cut(nn.nearest(*vectors, big, by=by).select("query_id", "doc_id"))
     return interaction.best_by_maxsim(interaction.maxsim(wide, q, d), n)
 

@@ -29,6 +29,7 @@ class VectorCollection:
     def __init__(self, spark: SparkSession, root: str, settings: dict, encoder=None):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
         self.encoder = encoder or settings["embedding_method"]
+        self.version = 0
         self.metric = metric_of(settings["similarity_method"])
 
     @property
@@ -49,22 +50,32 @@ class VectorCollection:
             "embedding_method": method, "similarity_method": similarity, "used_embedding_fields": fields,
         }
         made = cls(spark, root, settings, encoder)
+        try:
+            made.version = cls.load(spark, root, name, encoder).version
+        except FileNotFoundError:
+            pass
         made._save()
         return made
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, name: str, encoder=None) -> "VectorCollection":
-        """Settings of an existing collection; a missing one is an error."""
+        """Newest settings of an existing collection; a missing one is an error."""
         folder = f"{root.rstrip('/')}/{name}/settings"
         try:
-            row = spark.read.schema(SETTINGS_SCHEMA).json(folder).first()
+            row = spark.read.schema(f"{SETTINGS_SCHEMA}, version int").json(folder).orderBy(F.desc("version")).first()
         except Exception as error:  # noqa: BLE001
             raise FileNotFoundError(f"no collection settings at {folder}") from error
-        return cls(spark, root, row.asDict(), encoder)
+        if row is None:
+            raise FileNotFoundError(f"no collection settings at {folder}")
+        held = cls(spark, root, {k: v for k, v in row.asDict().items() if k != "version"}, encoder)
+        held.version = row["version"]
+        return held
 
     def _save(self) -> None:
+        """A version of its own beside the older ones: until it is whole, those hold."""
+        self.version += 1
         one = self.spark.createDataFrame([self.settings], SETTINGS_SCHEMA)
-        one.coalesce(1).write.mode("overwrite").json(f"{self.folder}/settings")
+        one.coalesce(1).write.mode("overwrite").json(f"{self.folder}/settings/version={self.version}")
 
     def rows(self) -> DataFrame:
         """All documents of the datasets in the settings. A folder that a broken ingest
@@ -77,23 +88,27 @@ class VectorCollection:
     def _data(self, path: str) -> str:
         return f"{self.folder}/data/{md5(path.encode()).hexdigest()}"
 
-    def insert(self, samples: DataFrame, path: str, dataset: str) -> bool:
+    def insert(self, samples: DataFrame, path: str, dataset: str, order: str | None = None) -> bool:
         """Embed and add a dataset known by its path; False if it is already there.
 
         samples: id, difficulty_type [, domain] and the columns of the chosen fields.
-        Ids that the collection holds already are left out. Writing replaces the
-        dataset's own folder, so a repeated try leaves no doubles.
+        Ids that the collection holds already are left out; of equal ids in `samples` the
+        last counts, by the column `order` if it is named, else by the values of the row.
+        Writing replaces the dataset's own folder, so a repeated try leaves no doubles.
         """
         if path in self.settings["rag_dataset_paths"]:
             return False
         text = documents.document(self.settings["used_embedding_fields"])
         domain = F.coalesce("domain", F.lit("")) if "domain" in samples.columns else F.lit("")
         flags = [c.alias(f"tag_{n}") for n, c in sqltext.tag_flags(F.col("difficulty_type")).items()]
-        new = samples.select("id", text.alias("document"), domain.alias("domain"), *flags)
+        place = F.col(order).alias("_place") if order else F.lit(0).alias("_place")
+        new = samples.select("id", place, text.alias("document"), domain.alias("domain"), *flags)
+        values = F.struct(*[c for c in new.columns if c != "id"])
+        new = new.groupBy("id").agg(F.max(values).alias("v")).select("id", "v.*").drop("_place")
         if self.settings["rag_dataset_paths"]:
             new = new.join(self.rows().select("id"), "id", "left_anti")
-        vectors = emb.embed(new, "id", "document", self.encoder)
-        new.join(vectors, "id").withColumn("dataset", F.lit(dataset)).write.mode("overwrite").parquet(self._data(path))
+        rows = emb.embed(new, "document", self.encoder)
+        rows.withColumn("dataset", F.lit(dataset)).write.mode("overwrite").parquet(self._data(path))
         self.settings["rag_dataset_paths"] = [*self.settings["rag_dataset_paths"], path]
         self.settings["datasets"] = [*self.settings["datasets"], dataset]
         self._save()

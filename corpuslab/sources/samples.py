@@ -102,15 +102,16 @@ def attach_predictions(samples: DataFrame, paths: list, ordinal: str = "ordinal"
     return out.withColumn("predicted_sql_list", F.array(*[entry(n) for n in names])).drop(*names)
 
 
-def latest_by_id(files: list[DataFrame], key: str = "id", order: str | None = None) -> DataFrame:
+def latest_by_id(files: list[DataFrame], key: str = "id", order: str = "place") -> DataFrame:
     """Union of several files where the later file, then the later row, wins per id.
 
-    `order` names a column with the place in the file. The winner is found by an
+    `order` names the column with the place in the file (`ordering.file_ordinal` makes one):
+    the number of a task would be no such place. The winner is found by an
     aggregate that combines on the map side, so an id repeated often does no harm.
     """
     place = [F.lit(i).alias("_file") for i in range(len(files))]
     tagged = [
-        df.select("*", p, (F.col(order) if order else F.monotonically_increasing_id()).alias("_row"))
+        df.select("*", p, F.col(order).alias("_row"))
         for df, p in zip(files, place)
     ]
     rows = reduce(DataFrame.unionByName, tagged)
