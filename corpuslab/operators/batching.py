@@ -75,8 +75,8 @@ def epoch_order(pairs: DataFrame, keys: list[str], seed: str, epoch: int, digits
 
 
 def batches(ordered: DataFrame, total: int, bsize: int, nranks: int = 1, accumsteps: int = 1) -> DataFrame:
-    """Shard by rank, cut into batches and micro-batches; the incomplete last batch of
-    each rank is left out, as it is in training."""
+    """Shard by rank, cut into batches and micro-batches. `complete` is false in the last
+    batch of a rank if it is not full; training leaves that one out."""
     if bsize % accumsteps:
         raise ValueError("bsize must be a multiple of accumsteps")
     rank = F.pmod("ordinal", F.lit(nranks))
@@ -87,7 +87,7 @@ def batches(ordered: DataFrame, total: int, bsize: int, nranks: int = 1, accumst
         ordered.withColumn("rank", rank)
         .withColumn("_place", place)
         .withColumn("batch", F.floor(F.col("_place") / bsize))
-        .where(F.col("batch") < F.floor(in_rank / bsize))
+        .withColumn("complete", F.col("batch") < F.floor(in_rank / bsize))
         .withColumn("place", F.pmod("_place", F.lit(bsize)))
         .withColumn("micro_batch", F.floor(F.col("place") / micro))
         .drop("_place")
@@ -124,17 +124,25 @@ def length_buckets(rows: DataFrame, length: str, quantiles: list[float] = STRIDE
 
 def word_tokens(text: Column) -> Column:
     """Lower-case words and single symbols; stands in for an external tokenizer."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+|[^\sa-z0-9]"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))
+
+
+def windows(tokens: Column, size: Column | int) -> Column:
+    """Consecutive parts of `size` tokens, one at least; every token is in one."""
+    size = F.lit(size) if isinstance(size, int) else size
+    last = F.greatest(F.ceil(F.size(tokens) / size).cast("int"), F.lit(1)) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda w: F.slice(tokens, w * size + 1, size))
 
 
 def doc_tokens(tokens: Column, maxlen: int) -> Column:
-    """Marker at place 1, content cut so that the whole has at most maxlen tokens."""
-    return F.concat(
-        F.array(F.lit(CLS), F.lit(DOC_MARKER)), F.slice(tokens, 1, maxlen - 3), F.array(F.lit(SEP))
+    """Windows of at most maxlen tokens, each with its marker at place 1."""
+    return F.transform(
+        windows(tokens, maxlen - 3), lambda w: F.concat(F.array(F.lit(CLS), F.lit(DOC_MARKER)), w, F.array(F.lit(SEP)))
     )
 
 
 def query_maxlen(tokens: Column, maxlen: int, full_length: bool) -> Column:
+    """Length of a window: `maxlen`, or with `full_length` that of the query up to a limit."""
     if not full_length:
         return F.lit(maxlen)
     return F.least(F.lit(FULL_LENGTH_LIMIT), F.greatest(F.lit(maxlen), F.size(tokens)))
@@ -143,16 +151,22 @@ def query_maxlen(tokens: Column, maxlen: int, full_length: bool) -> Column:
 def query_tokens(
     tokens: Column, maxlen: int, full_length: bool = False, context: Column | None = None, context_maxlen: int = 0
 ) -> Column:
-    """Marker at place 1, padded to the full length by the mask token; a context, cut
-    to its own limit and without its leading token, follows."""
+    """Windows with a marker at place 1, each padded to the full length by the mask token. A
+    context, in windows of its own limit without their leading token, follows: window by
+    window, and the shorter side goes on with empty ones."""
     limit = query_maxlen(tokens, maxlen, full_length)
-    core = F.concat(
-        F.array(F.lit(CLS), F.lit(QUERY_MARKER)), F.slice(tokens, F.lit(1), limit - 3), F.array(F.lit(SEP))
-    )
-    padded = F.concat(core, F.array_repeat(F.lit(MASK_TOKEN), limit - F.size(core)))
+
+    def padded(w: Column) -> Column:
+        core = F.concat(F.array(F.lit(CLS), F.lit(QUERY_MARKER)), w, F.array(F.lit(SEP)))
+        return F.concat(core, F.array_repeat(F.lit(MASK_TOKEN), limit - F.size(core)))
+
+    own = windows(tokens, limit - 3)
     if context is None:
-        return padded
-    return F.concat(padded, F.slice(context, 1, context_maxlen - 2), F.array(F.lit(SEP)))
+        return F.transform(own, padded)
+    other, empty = windows(context, context_maxlen - 2), F.array().cast("array<string>")
+    return F.zip_with(
+        own, other, lambda a, b: F.concat(padded(F.coalesce(a, empty)), F.coalesce(b, empty), F.array(F.lit(SEP)))
+    )
 
 
 def keep_mask(tokens: Column, skip_punctuation: bool = True) -> Column:

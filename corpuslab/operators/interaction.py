@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators.nearest import _id_type, _ids, top
-from corpuslab.session import cut, width
+from corpuslab.session import cut
 
 PIECE = 64
 # Score of a query token no document token counts for; sizes of the
@@ -132,15 +132,19 @@ def best_by_maxsim(scores: DataFrame, k: int) -> DataFrame:
     return ranked.drop("distance")
 
 
+BLOCK_TOKENS = 65_536
+
+
 def rerank_all(
-    query_tokens: DataFrame, doc_tokens: DataFrame, k: int, block_texts: int = 1024, by: list[str] | None = None
+    query_tokens: DataFrame, doc_tokens: DataFrame, k: int, block_tokens: int = BLOCK_TOKENS, by: list[str] | None = None
 ) -> DataFrame:
     """Top k of the whole collection by MaxSim, exact. With `by`, only documents that agree
     on these columns, of the text as a whole, compete.
 
     As in the vector search, blocks of queries meet blocks of documents in a kernel that
-    passes on k rows per query. A document is one array of its kept tokens here, so this
-    form is for documents cut to a token limit, as the padding step makes them.
+    passes on k rows per query. Blocks are bounded in tokens: so many texts a block as hold
+    `block_tokens` tokens if all were as long as the longest. A document is one array of its
+    kept tokens here, as the windows of the padding step are.
     """
     def whole(tokens: DataFrame, text_id: str, masked: bool) -> DataFrame:
         parts = pieces(tokens, text_id, "m", masked, by)
@@ -149,9 +153,12 @@ def rerank_all(
         )
 
     q, d = cut(whole(query_tokens, "query_id", False)), cut(whole(doc_tokens, "doc_id", True))
-    cores = q.sparkSession.sparkContext.defaultParallelism
-    n_q = max(1, -(-q.count() // block_texts))
-    n_d = max(cores, -(-d.count() // block_texts))
+
+    def blocks(df: DataFrame) -> int:
+        size = df.agg(F.count("*").alias("n"), F.max(F.size("m")).alias("longest")).first()
+        return max(1, -(-size.n * (size.longest or 1) // block_tokens))
+
+    n_q, n_d = blocks(q), blocks(d)
     q = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
         "_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1)))
     )
@@ -159,7 +166,6 @@ def rerank_all(
         "_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint")))
     )
     keys = [*(by or []), "_qb", "_db"]
-    parts = width(q.sparkSession)
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (d, "doc_id"))}
 
     out = pa.schema([("query_id", _id_type(q, "query_id")), ("doc_id", _id_type(d, "doc_id")), ("distance", pa.float64())])
@@ -182,7 +188,7 @@ def rerank_all(
         return pa.table(dict(zip(out.names, columns))).cast(out)
 
     best = (
-        q.repartition(parts, *keys).groupBy(*keys).cogroup(d.repartition(parts, *keys).groupBy(*keys))
+        q.groupBy(*keys).cogroup(d.groupBy(*keys))
         .applyInArrow(kernel, f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double")
     )
     return top(best, k).select("query_id", "doc_id", (-F.col("distance")).alias("score"), "rank")

@@ -179,14 +179,3 @@ def mine_pos_neg(queries: DataFrame, docs: DataFrame, n: int = 5, seed: str = "1
         (F.lit(SCORE_SCALE) / F.col("distance")).alias("score"),
     )
     return pos.unionByName(neg)
-
-
-def full_ranking(queries: DataFrame, docs: DataFrame, metric: str = "l2") -> DataFrame:
-    """Every document ranked for every query. The result is quadratic by its meaning:
-    meant for few queries. Ranks come from a range sort, so no task holds a ranking."""
-    from corpuslab.operators.ordering import sorted_ordinal
-
-    total = docs.count()
-    scored = nn.nearest(queries, docs, total, metric, keep_rank=False)
-    placed = sorted_ordinal(scored, ["query_id", "distance", "doc_id"], "_place")
-    return placed.withColumn("rank", F.pmod(F.col("_place"), F.lit(total)) + 1).drop("_place")

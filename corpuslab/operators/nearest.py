@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.vectors import exact_distances, unit
-from corpuslab.session import cut, width
+from corpuslab.session import cut
 
 BLOCK_ROWS = 8192
 _CHUNK_CELLS = 4_000_000
@@ -27,6 +27,9 @@ _EXACT_CELLS = 8_000_000
 def _floats(table: pa.Table, name: str) -> np.ndarray:
     column = table.column(name).combine_chunks()
     flat = np.asarray(column.flatten(), dtype=np.float64)
+    sizes = np.diff(np.asarray(column.offsets))
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError(f"vectors of {sizes.min()} and of {sizes.max()} entries")
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
@@ -169,7 +172,10 @@ def nearest(
     drop_same_key  nor do those with the same `key`
     after_*        per query the first (distance, id) that still counts
     farthest       the k last of the full ranking instead of the first
+
+    Rows without a vector take no part; vectors of unequal lengths are an error.
     """
+    queries, docs = queries.where("vec IS NOT NULL"), docs.where("vec IS NOT NULL")
     has_after = "after_distance" in queries.columns
     spark = queries.sparkSession
     cores = spark.sparkContext.defaultParallelism
@@ -212,9 +218,7 @@ def nearest(
     out = pa.schema(
         [("query_id", _id_type(queries, "query_id")), ("doc_id", _id_type(docs, "doc_id")), ("distance", pa.float64())]
     )
-    parts = width(spark)
     keys = [c for c in group if c in q.columns]
-    q, d = q.repartition(parts, *keys), d.repartition(parts, *keys)
     kernel = _kernel(k, metric, farthest, drop_zero, drop_same_key, has_after, out)
     ddl = (
         f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
@@ -267,6 +271,15 @@ def nearest_lsh(
     return top(found.dropDuplicates(["query_id", "doc_id"]), k)
 
 
+def _centre_distances(vecs, centres: np.ndarray) -> np.ndarray:
+    """Plain distances of a batch of vectors to all centres; the matrix product is refined where it loses digits."""
+    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
+    square = (matrix * matrix).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * matrix @ centres.T
+    scale = 1e-9 * (1.0 + square.max(initial=0.0))
+    rows, cols = np.nonzero(square <= scale)
+    square[rows, cols] = ((matrix[rows] - centres[cols]) ** 2).sum(1)
+    return np.sqrt(np.maximum(square, 0.0))
+
 
 def _own_cells(vec: Column, centres: np.ndarray, probes: int) -> Column:
     """The `probes` nearest centres of each vector with the plain distance to them."""
@@ -275,12 +288,9 @@ def _own_cells(vec: Column, centres: np.ndarray, probes: int) -> Column:
     def near(vecs):
         import pandas as pd
 
-        out = []
-        for row in vecs:
-            dist = np.sqrt(((centres - np.asarray(row, dtype=np.float64)) ** 2).sum(axis=1))
-            best = np.argsort(dist, kind="stable")[:probes]
-            out.append([{"cell": int(c), "reach": float(dist[c])} for c in best])
-        return pd.Series(out)
+        dist = _centre_distances(vecs, centres)
+        best = np.argsort(dist, axis=1, kind="stable")[:, :probes]
+        return pd.Series([[{"cell": int(c), "reach": float(row[c])} for c in cells] for row, cells in zip(dist, best)])
 
     return near.asNondeterministic()(vec)
 
@@ -292,13 +302,11 @@ def _other_cells(vec: Column, bound: Column, centres: np.ndarray, radius: np.nda
     def within(vecs, bounds):
         import pandas as pd
 
-        out = []
-        for row, limit in zip(vecs, bounds):
-            dist = np.sqrt(((centres - np.asarray(row, dtype=np.float64)) ** 2).sum(axis=1))
-            held = (dist - radius <= limit * (1 + 1e-9) + 1e-6) & (radius >= 0)
-            held[np.argsort(dist, kind="stable")[:probes]] = False
-            out.append(np.flatnonzero(held).tolist())
-        return pd.Series(out)
+        dist = _centre_distances(vecs, centres)
+        limit = np.asarray(bounds, dtype=np.float64)[:, None]
+        held = (dist - radius <= limit * (1 + 1e-9) + 1e-6) & (radius >= 0)
+        np.put_along_axis(held, np.argsort(dist, axis=1, kind="stable")[:, :probes], False, axis=1)
+        return pd.Series([np.flatnonzero(row).tolist() for row in held])
 
     return within.asNondeterministic()(vec, bound)
 
@@ -323,6 +331,9 @@ def nearest_pruned(
         raise ValueError("the bound holds for l2 and cosine")
     space = unit if metric == "cosine" else (lambda vec: vec)
     scale = 2.0 if metric == "cosine" else 1.0
+    queries, docs = queries.where("vec IS NOT NULL"), docs.where("vec IS NOT NULL")
+    if docs.isEmpty():
+        return nearest(queries, docs, k, metric)
     picked = docs.select("doc_id", space(F.col("vec")).alias("vec"))
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(cells)
     centres = np.stack([np.asarray(r.vec, dtype=np.float64) for r in picked.collect()])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A scan below this size may be dealt out again: so much is shuffled at most.
+SMALL_SCAN = 64 << 20
+
 
 def local_session(cores: str | int = "*", app: str = "corpuslab") -> SparkSession:
     """Session for tests and local benches. On a cluster the caller brings its own."""
@@ -28,27 +30,22 @@ def local_session(cores: str | int = "*", app: str = "corpuslab") -> SparkSessio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir` as the cluster names it.
+    """Folder that every executor can reach, for this application's intermediate tables: under
+    `spark.checkpoint.dir` as the cluster names it, or, where that is unset, under the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/corpuslab-{spark.sparkContext.applicationId}"
 
-    Only where that is unset (tests, local runs) a fresh temporary folder is made
-    and set, so that later calls in the same session see the same place.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = getattr(spark, "_corpuslab_dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="corpuslab-")
-            spark._corpuslab_dir = folder
-    return folder
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Results that are not yet written need them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,13 +57,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than cores, as of one small file, is dealt out to all
-    cores before costly row work; any larger scan is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def width(spark: SparkSession) -> int:
-    """Number of partitions for compute-heavy stages, which AQE would else fold by size."""
-    cores = spark.sparkContext.defaultParallelism
-    return max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
+    """Deals out a small table, of `SMALL_SCAN` bytes at most by Spark's own estimate, before costly
+    row work. One small file is one split, which would be one task; what is shuffled is bounded,
+    and any larger scan is left as its splits are."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_SCAN else df
