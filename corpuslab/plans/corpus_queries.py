@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import documents
@@ -131,14 +131,14 @@ def turn_pairs(t: Tables) -> DataFrame:
     return asked.join(answers, ["conv_id", "turn"]).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), "question", "sql",
         F.when(F.col("turn") > 0, F.concat(F.lit("turn "), F.col("turn").cast("string"))).alias("evidence"),
-        F.left("sql", F.lit(20)).alias("sql_skeleton"),
+        F.regexp_replace("sql", r"[\p{L}\p{N}]+", "_").alias("sql_skeleton"),
         F.concat(F.lit("Table conv, columns = ["), F.col("conv_id").cast("string"), F.lit("]")).alias("db_schema_sequence"),
         F.concat(F.lit("conv."), F.col("turn").cast("string")).alias("schema_link"),
     )
 
 
 SQL_TURNS = """turns AS (SELECT a.conv_id || '-' || a.turn AS id, a.text AS question, b.text AS sql, CASE WHEN a.turn > 0 THEN 'turn ' || a.turn END AS evidence,
-    left(b.text, 20) AS skel, 'Table conv, columns = [' || a.conv_id || ']' AS seq, 'conv.' || a.turn AS link
+    regexp_replace(b.text, '[\\p{L}\\p{N}]+', '_', 'g') AS skel, 'Table conv, columns = [' || a.conv_id || ']' AS seq, 'conv.' || a.turn AS link
     FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant')"""
 
 
@@ -191,21 +191,29 @@ def value_contents(t: Tables) -> DataFrame:
     return contents.withColumn("contents", F.array_join("contents", ","))
 
 
+MISSPELLINGS = [("c_name", "c_nmae"), ("o_totalprice", "o_totlprice"), ("customer AS", "custommer AS"), ("FROM orders", "FROM ordrs")]
+
+
 def misspelt(t: Tables) -> DataFrame:
-    """The normalised log with some names misspelt."""
-    text = F.col("norm_sql")
-    for right, wrong in (("c_name", "c_nmae"), ("o_totalprice", "o_totlprice"), ("customer", "custommer"), ("from orders", "from ordrs")):
+    """The log as it is written, with aliases, functions and literals, and some names misspelt."""
+    text = F.col("sql")
+    for right, wrong in MISSPELLINGS:
         text = F.replace(text, F.lit(right), F.lit(wrong))
-    # Written once, as a log would be held.
-    return cut(norm_log(t).select("log_id", "db_id", text.alias("sql")))
+    return query_log(t).select("log_id", "db_id", text.alias("sql"))
 
 
 RESERVED = ", ".join(f"'{w}'" for w in repair.RESERVED)
-SQL_MISSPELT = f"""{NORMAL_LOG}, {CATALOG},
-    bad AS (SELECT log_id, db_id, replace(replace(replace(replace(norm_sql, 'c_name', 'c_nmae'), 'o_totalprice', 'o_totlprice'), 'customer', 'custommer'), 'from orders', 'from ordrs') AS sql FROM norm),
+MISSPELT = "sql"
+for right, wrong in MISSPELLINGS:
+    MISSPELT = f"replace({MISSPELT}, '{right}', '{wrong}')"
+SQL_MISSPELT = rf"""{QUERY_LOG}, {CATALOG},
+    bad AS (SELECT log_id, db_id, {MISSPELT} AS sql FROM qlog),
     names AS (SELECT DISTINCT db_id, table_name_original AS name, table_idx * 1000 AS pos FROM cat UNION ALL SELECT db_id, column_name_original, table_idx * 1000 + column_idx FROM cat),
-    used AS (SELECT DISTINCT log_id, db_id, unnest(regexp_extract_all(regexp_replace(sql, '''[^'']*''', '''''', 'g'), '[A-Za-z_]\\w*')) AS ident FROM bad),
-    unknown AS (SELECT * FROM used u WHERE ident NOT IN ({RESERVED}) AND NOT EXISTS (SELECT 1 FROM names n WHERE n.db_id = u.db_id AND n.name = u.ident))"""
+    plain AS (SELECT log_id, db_id, regexp_replace(replace(sql, '"', ''''), '''[^'']*''', '''''', 'g') AS sql FROM bad),
+    others AS (SELECT log_id, list_transform(list_concat(list_concat(regexp_extract_all(sql, '([A-Za-z_]\w*)\s*\(', 1), regexp_extract_all(sql, '(?i)\bas\s+([A-Za-z_]\w*)', 1)),
+      regexp_extract_all(sql, '(?i)\b(?:from|join)\s+[A-Za-z_]\w*\s+([A-Za-z_]\w*)', 1)), lambda x: lower(x)) AS o FROM plain),
+    used AS (SELECT DISTINCT log_id, db_id, unnest(regexp_extract_all(sql, '[A-Za-z_]\w*')) AS ident FROM plain),
+    unknown AS (SELECT u.* FROM used u JOIN others x ON x.log_id = u.log_id WHERE lower(ident) NOT IN ({RESERVED}) AND NOT list_contains(o, lower(ident)) AND NOT EXISTS (SELECT 1 FROM names n WHERE n.db_id = u.db_id AND n.name = u.ident))"""
 
 
 def catalog_names(t: Tables) -> DataFrame:
@@ -216,7 +224,7 @@ def _sql_repair(order: str) -> str:
     return f"""WITH {SQL_MISSPELT},
     maps AS (SELECT u.log_id, u.ident, arg_max(n.name, {order}) AS name FROM unknown u JOIN names n ON n.db_id = u.db_id WHERE levenshtein(u.ident, n.name) <= 3 GROUP BY ALL),
     agg AS (SELECT log_id, list(ident) AS idents, list(name) AS targets FROM maps GROUP BY log_id)
-    SELECT b.log_id, CASE WHEN idents IS NULL THEN b.sql ELSE array_to_string(list_transform(regexp_extract_all(b.sql, '\\w+|\\W+'), lambda w: coalesce(targets[list_position(idents, w)], w)), '') END AS repaired
+    SELECT b.log_id, CASE WHEN idents IS NULL THEN b.sql ELSE array_to_string(list_transform(regexp_extract_all(b.sql, '''[^'']*''|"[^"]*"|\\w+|[^\\w''"]+|[''"]'), lambda w: coalesce(targets[list_position(idents, w)], w)), '') END AS repaired
     FROM bad b LEFT JOIN agg USING (log_id)"""
 
 
@@ -299,19 +307,19 @@ def tf_idf_weights(t: Tables) -> DataFrame:
 )
 def hash_embed(t: Tables) -> DataFrame:
     """The default encoder's vectors, entry by entry."""
-    vecs = embed.hash_embed(t.wide("documents", "doc_id", "text"), "doc_id", "text", DIM)
+    vecs = t.wide("documents", "doc_id", "text").select("doc_id", embed.hash_embed(F.col("text"), DIM).alias("vec"))
     entries = vecs.select("doc_id", F.posexplode("vec").alias("bucket", "weight")).where("weight > 0")
     return entries.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
-def counted(df: DataFrame, key: str, text: str) -> DataFrame:
+def counted(text: Column) -> Column:
     """Word counts as an encoder: whole numbers, so equal distances are equal everywhere."""
-    return embed.word_count_vectors(df, key, text, DIM)
+    return embed.word_count_vector(text, DIM)
 
 
 SQL_TEXT_PICK = f"""{SQL_TURNS}, texts AS (SELECT id, question AS asked, sql AS doc, length(sql) % 2 AS tag FROM turns),
     hashed AS (SELECT id, side, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {DIM} AS b FROM (
-      SELECT id, 'q' AS side, unnest(regexp_extract_all(lower(asked), '[a-z0-9]+')) AS w FROM texts UNION ALL SELECT id, 'd', unnest(regexp_extract_all(lower(doc), '[a-z0-9]+')) FROM texts)),
+      SELECT id, 'q' AS side, unnest(regexp_extract_all(lower(asked), '[\\p{{L}}\\p{{N}}]+')) AS w FROM texts UNION ALL SELECT id, 'd', unnest(regexp_extract_all(lower(doc), '[\\p{{L}}\\p{{N}}]+')) FROM texts)),
     n AS (SELECT id, side, b, count(*) AS c FROM hashed GROUP BY ALL),
     vq AS (SELECT id, tag, (SELECT list(coalesce(c, 0) :: DOUBLE ORDER BY i) FROM range({DIM}) r(i) LEFT JOIN n ON n.id = t.id AND side = 'q' AND b = i) AS v FROM texts t),
     vd AS (SELECT id, tag, (SELECT list(coalesce(c, 0) :: DOUBLE ORDER BY i) FROM range({DIM}) r(i) LEFT JOIN n ON n.id = t.id AND side = 'd' AND b = i) AS v FROM texts t),
@@ -378,7 +386,7 @@ def collection_ingest(t: Tables) -> DataFrame:
 def collection_query(t: Tables) -> DataFrame:
     """Benchmark texts against the stored documents tagged nested."""
     held = fresh_collection(t)
-    asked = embed.embed(t.benchmark, "item_id", "text").withColumnRenamed("item_id", "query_id")
+    asked = embed.embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), "vec")
     found = held.query(asked, 3, F.col("tag_nested"))
     return found.select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank", "document")
 
@@ -419,13 +427,13 @@ def pos_neg_lines(t: Tables) -> DataFrame:
     return sinks.pos_neg_lines(mining.mine_pos_neg(as_queries(t), as_docs(t), 5, SEED))
 
 
-@query("SELECT doc_id, trim(text, chr(10)) AS document FROM documents WHERE trim(text, chr(10)) <> ''")
+@query("SELECT doc_id, trim(coalesce(text, ''), chr(10)) AS document FROM documents")
 def document_dump(t: Tables) -> DataFrame:
     """Documents dumped with five newlines between them, and read back by that gap."""
     path = new_folder(t.spark, "dump")
     rows = t.documents.select(
-        F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.btrim("text", F.lit("\n"))).alias("document")
-    ).where("NOT endswith(document, '\t')")
+        F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.btrim(F.coalesce("text", F.lit("")), F.lit("\n"))).alias("document")
+    )
     sinks.write_dump(rows, path)
     read = t.spark.read.option("lineSep", sinks.DOCUMENT_GAP).text(path)
     return read.select(

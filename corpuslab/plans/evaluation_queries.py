@@ -12,7 +12,7 @@ from corpuslab.functions.vectors import pair_distance
 from corpuslab.operators import evaluate, interaction, losses
 from corpuslab.operators import nearest as nn
 from corpuslab.plans.derived import query_log, raw_catalog
-from corpuslab.plans.mining_queries import HALF, SQL_GROUPS, first_half, groups_of
+from corpuslab.plans.mining_queries import SQL_GROUPS, groups_of, sql_tilted, tilted
 from corpuslab.plans.registry import Tables, query
 from corpuslab.plans.text_queries import SKELETON, nested
 from corpuslab.plans.vector_queries import as_docs, as_queries, sql_ranking
@@ -104,10 +104,10 @@ def rerank_candidates(t: Tables) -> DataFrame:
     )
 
 
-# Groups scored by half of the dimensions, with the mined score as the target.
+# Groups scored by the tilted vectors, with the mined score as the target.
 def scored_groups(t: Tables) -> DataFrame:
-    q = first_half(as_queries(t)).select("query_id", F.col("vec").alias("_q"))
-    d = first_half(as_docs(t)).select("doc_id", F.col("vec").alias("_d"))
+    q = tilted(as_queries(t)).select("query_id", F.col("vec").alias("_q"))
+    d = tilted(as_docs(t)).select("doc_id", F.col("vec").alias("_d"))
     return (
         groups_of(t).withColumnRenamed("score", "target").join(q, "query_id").join(d, "doc_id")
         .select("query_id", "pos_id", "slot", "target", (1 - pair_distance(F.col("_q"), F.col("_d"), "ip")).alias("score"))
@@ -115,7 +115,7 @@ def scored_groups(t: Tables) -> DataFrame:
 
 
 SQL_SCORED = f"""{SQL_GROUPS}, scored AS (SELECT query_id, pos_id, slot, g.score AS target,
-    list_inner_product(q.v[1:{HALF}], d.v[1:{HALF}]) AS score FROM groups g JOIN vecs q ON q.vec_id = query_id JOIN vecs d ON d.vec_id = doc_id)"""
+    list_inner_product({sql_tilted("q.v")}, {sql_tilted("d.v")}) AS score FROM groups g JOIN vecs q ON q.vec_id = query_id JOIN vecs d ON d.vec_id = doc_id)"""
 GROUP = ["query_id", "pos_id"]
 
 
@@ -182,12 +182,12 @@ def golden(t: Tables, k: int = 10) -> DataFrame:
 
 
 def evaluated(t: Tables, k: int = 10) -> DataFrame:
-    return nn.nearest(first_half(as_queries(t)), first_half(as_docs(t)), k, "l2")
+    return nn.nearest(tilted(as_queries(t)), tilted(as_docs(t)), k, "l2")
 
 
 SQL_TWO = f"""vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     dists AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_distance(q.v, d.v) AS dist, list_cosine_similarity(q.v, d.v) AS cosine,
-      list_distance(q.v[1:{HALF}], d.v[1:{HALF}]) ** 2 AS half FROM vecs q, vecs d),
+      list_distance({sql_tilted("q.v")}, {sql_tilted("d.v")}) ** 2 AS half FROM vecs q, vecs d),
     gold AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM dists QUALIFY rank <= 10),
     eval AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY half, doc_id) AS rank FROM dists QUALIFY rank <= 10)"""
 
@@ -243,7 +243,7 @@ def prediction_map(t: Tables) -> DataFrame:
     return done.select("query_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-RUNS = {"epoch_1": 8, "epoch_2": 16, "epoch_10": 32, "epoch_20": 64}
+RUNS = {"epoch_1": 7, "epoch_2": 5, "epoch_10": 3, "epoch_20": 1}
 
 
 @query(
@@ -252,19 +252,19 @@ RUNS = {"epoch_1": 8, "epoch_2": 16, "epoch_10": 32, "epoch_20": 64}
     + ", runs AS ("
     + " UNION ALL ".join(
         f"""SELECT {int(name.split('_')[1])} AS epoch, * FROM (SELECT q.vec_id AS query_id, list_distance(q.v, d.v) AS dist, list_cosine_similarity(q.v, d.v) AS cosine,
-        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v[1:{dims}], d.v[1:{dims}]) ** 2, d.vec_id) AS rank FROM vecs q, vecs d QUALIFY rank <= 5)"""
-        for name, dims in RUNS.items()
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance({sql_tilted("q.v", steps)}, {sql_tilted("d.v", steps)}) ** 2, d.vec_id) AS rank FROM vecs q, vecs d QUALIFY rank <= 5)"""
+        for name, steps in RUNS.items()
     )
     + """), g AS (SELECT query_id, avg(dist) AS d FROM gold WHERE rank <= 5 GROUP BY ALL), e AS (SELECT epoch, query_id, avg(dist) AS d, avg(cosine) AS c FROM runs GROUP BY ALL)
     SELECT epoch, round(avg(g.d), 6) AS golden_distance, round(avg(e.d), 6) AS evaluated_distance, round(avg(e.d - g.d), 6) AS gap, round(avg(c), 6) AS mean_cosine FROM e JOIN g USING (query_id) GROUP BY epoch"""
 )
 def epoch_sweep(t: Tables) -> DataFrame:
-    """Four runs at once: rankings by the first 8, 16, 32 and all dimensions."""
+    """Four runs at once: rankings by vectors less and less tilted, the last by the plain ones."""
     runs = [
         nn.nearest(
-            as_queries(t).withColumn("vec", F.slice("vec", 1, dims)), as_docs(t).withColumn("vec", F.slice("vec", 1, dims)), 5, "l2"
+            tilted(as_queries(t), steps), tilted(as_docs(t), steps), 5, "l2"
         ).withColumn("run_name", F.lit(name))
-        for name, dims in RUNS.items()
+        for name, steps in RUNS.items()
     ]
     done = evaluate.epoch_sweep(reduce(DataFrame.unionByName, runs), golden(t, 5), as_queries(t), as_docs(t))
     return done.select("epoch", *[F.round(c, 6).alias(c) for c in done.columns if c != "epoch"])
@@ -381,20 +381,20 @@ STATEMENTS = [
     ("joined", "SELECT c_name FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000", "SELECT c.c_name AS who FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND NOT o.o_totalprice <= 300000"),
     ("wide", "SELECT c_custkey, c_name FROM customer", "SELECT c_custkey FROM customer"),
     ("broken", "SELECT c_custkey FROM customer", "SELECT no_such_column FROM customer"),
+    ("failing", "SELECT c_custkey FROM customer", "SELECT CAST(c_name AS INT) FROM customer"),
+    ("command", "SELECT c_custkey FROM customer", "DROP VIEW customer"),
 ]
 
 
 def _sql_match(key: str, a: str, b: str) -> str:
-    if key in ("wide", "broken"):
+    if key in ("wide", "broken", "failing", "command"):
         return f"SELECT '{key}' AS id, FALSE AS match"
     return f"SELECT '{key}' AS id, NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a})) AS match"
 
 
 @query(" UNION ALL ".join(_sql_match(*s) for s in STATEMENTS))
 def execution_match(t: Tables) -> DataFrame:
-    for name in ("orders", "customer"):
-        getattr(t, name).createOrReplaceTempView(name)
-    return evaluate.execution_match(t.spark, STATEMENTS)
+    return evaluate.execution_match(t.spark, STATEMENTS, {n: f"{t.folder}/{n}.parquet" for n in ("orders", "customer")})
 
 
 @query(

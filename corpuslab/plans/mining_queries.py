@@ -89,7 +89,7 @@ def mine_pos_neg(t: Tables) -> DataFrame:
 # distances are whole numbers and copies of a text lie at distance 0 with equal keys.
 DIM = 32
 WORD_COUNTS = rf"""words AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {DIM} AS b FROM
-      (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)),
+      (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM documents)),
     counts AS (SELECT doc_id, b, count(*) AS c FROM words GROUP BY ALL),
     vecs AS (SELECT d.doc_id, md5(d.text) AS key, (SELECT list(coalesce(c, 0) :: DOUBLE ORDER BY i) FROM range({DIM}) r(i) LEFT JOIN counts ON counts.doc_id = d.doc_id AND b = i) AS v FROM documents d)"""
 
@@ -104,13 +104,11 @@ WORD_COUNTS = rf"""words AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS
     FROM kept WHERE rank <= 3 OR rank BETWEEN 5 AND 24"""
 )
 def mine_bands_text(t: Tables) -> DataFrame:
-    from corpuslab.operators.embed import word_count_vectors
+    from corpuslab.operators.embed import word_count_vector
 
     # The embedded texts are written once and read by both searches.
     vecs = cut(
-        word_count_vectors(t.wide("documents", "doc_id", "text"), "doc_id", "text", DIM).join(
-            t.documents.select("doc_id", F.md5("text").alias("key")), "doc_id"
-        )
+        t.wide("documents", "doc_id", "text").select("doc_id", word_count_vector(F.col("text"), DIM).alias("vec"), F.md5("text").alias("key"))
     )
     bands = mining.mine_bands(vecs.withColumnRenamed("doc_id", "query_id"), vecs, 3, 1, 20, mode="text")
     return bands.select(
@@ -127,15 +125,17 @@ def select_random(t: Tables) -> DataFrame:
     return selection.select_random(as_queries(t), as_docs(t), 5, SEED).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-HALF = 32
+# A second space over all dimensions, in which they count differently.
+def tilted(df: DataFrame, steps: int = 3) -> DataFrame:
+    return df.withColumn("vec", F.transform("vec", lambda x, i: x * (1 + i % steps)))
 
 
-def first_half(df: DataFrame) -> DataFrame:
-    return df.withColumn("vec", F.slice("vec", 1, HALF))
+def sql_tilted(vec: str, steps: int = 3) -> str:
+    return f"list_transform({vec}, lambda x, i: x * (1 + (i - 1) % {steps}))"
 
 
 SQL_TWO_STAGE = f"""vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    wide AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_distance(q.v[1:{HALF}], d.v[1:{HALF}]) ** 2 AS distance, list_distance(q.v, d.v) ** 2 AS second FROM vecs q, vecs d),
+    wide AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_distance({sql_tilted("q.v")}, {sql_tilted("d.v")}) ** 2 AS distance, list_distance(q.v, d.v) ** 2 AS second FROM vecs q, vecs d),
     big AS (SELECT * FROM wide QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) <= 100),
     small AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second, doc_id) AS rank FROM big)"""
 
@@ -144,11 +144,11 @@ SQL_TWO_STAGE = f"""vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FRO
     f"""WITH {SQL_TWO_STAGE} SELECT query_id, doc_id, round(distance, 6) AS distance, round(second, 6) AS second, rank FROM small WHERE rank <= 5"""
 )
 def select_two_stage(t: Tables) -> DataFrame:
-    """Wide by half of the dimensions, then the exact distance decides."""
+    """Wide by the tilted vectors, then the exact distance decides."""
     def second(wide: DataFrame) -> DataFrame:
         return selection.second_distance(wide, as_queries(t), as_docs(t), "l2")
 
-    chosen = selection.select_two_stage(first_half(as_queries(t)), first_half(as_docs(t)), 100, 5, second)
+    chosen = selection.select_two_stage(tilted(as_queries(t)), tilted(as_docs(t)), 100, 5, second)
     return rounded(chosen).join(chosen.select("query_id", "doc_id", F.round("second", 6).alias("second")), ["query_id", "doc_id"])
 
 
@@ -157,7 +157,7 @@ def select_two_stage(t: Tables) -> DataFrame:
     SELECT query_id, doc_id, round(distance, 6) AS distance, rank FROM small"""
 )
 def resort_reversed(t: Tables) -> DataFrame:
-    few = nn.nearest(first_half(as_queries(t)), first_half(as_docs(t)), 5, "l2").drop("rank")
+    few = nn.nearest(tilted(as_queries(t)), tilted(as_docs(t)), 5, "l2").drop("rank")
     return rounded(selection.resort(selection.second_distance(few, as_queries(t), as_docs(t), "l2"), descending=True))
 
 
@@ -201,8 +201,7 @@ def group_texts(t: Tables) -> DataFrame:
     f"""WITH {sql_bands(2, 0, 0)}, pairs_ AS (SELECT query_id, doc_id AS pos_id FROM banded WHERE band = 'pos'),
     o AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}|3|' || query_id || '|' || pos_id), query_id, pos_id) - 1 AS ordinal, count(*) OVER () AS n FROM pairs_),
     r AS (SELECT *, ordinal % 4 AS rank, ordinal // 4 AS place_ FROM o)
-    SELECT query_id, pos_id, ordinal, rank, place_ // 16 AS batch, place_ % 16 AS place, (place_ % 16) // 4 AS micro_batch FROM r
-    WHERE place_ // 16 < ((n - 1 - rank) // 4 + 1) // 16"""
+    SELECT query_id, pos_id, ordinal, rank, place_ // 16 AS batch, place_ % 16 AS place, (place_ % 16) // 4 AS micro_batch, place_ // 16 < ((n - 1 - rank) // 4 + 1) // 16 AS complete FROM r"""
 )
 def nway_batches(t: Tables) -> DataFrame:
     """One epoch over the positives: 4 ranks, batches of 16 in 4 micro-batches."""
@@ -212,7 +211,7 @@ def nway_batches(t: Tables) -> DataFrame:
     pairs = cut(pairs)
     cutup = batching.batches(batching.epoch_order(pairs, ["query_id", "pos_id"], SEED, 3), pairs.count(), 16, 4, 4)
     return cutup.select(
-        "query_id", "pos_id", *[F.col(c).cast("bigint").alias(c) for c in ("ordinal", "rank", "batch", "place", "micro_batch")]
+        "query_id", "pos_id", "complete", *[F.col(c).cast("bigint").alias(c) for c in ("ordinal", "rank", "batch", "place", "micro_batch")]
     )
 
 
@@ -238,34 +237,42 @@ def length_sorted(t: Tables) -> DataFrame:
     return done.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("batch", "old_place", "new_place", "length_batch")])
 
 
-SQL_TOKENS = r"toks AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+|[^\sa-z0-9]') AS w FROM benchmark)"
+SQL_TOKENS = r"toks AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]') AS w FROM benchmark)"
+
+
+def sql_windows(size: str, words: str = "w") -> str:
+    return f"unnest(list_transform(range(greatest(1, CAST(ceil(len({words}) / {size}) AS BIGINT))), lambda k: {{'win': k, 'part': {words}[k * {size} + 1 : k * {size} + {size}]}}))"
 
 
 @query(
-    f"""WITH {SQL_TOKENS} SELECT item_id, '[CLS] [D] ' || array_to_string(w[1:21], ' ') || ' [SEP]' AS doc,
-    CAST(len(list_filter(w[1:21], lambda x: NOT regexp_full_match(x, '[[:punct:]]'))) + 3 AS BIGINT) AS n_kept FROM toks"""
+    f"""WITH {SQL_TOKENS}, cutup AS (SELECT item_id, {sql_windows("21")} AS c FROM toks)
+    SELECT item_id, CAST(c.win AS BIGINT) AS win, '[CLS] [D] ' || array_to_string(list_append(c.part, '[SEP]'), ' ') AS doc,
+    CAST(len(list_filter(c.part, lambda x: NOT regexp_full_match(x, '[[:punct:]]'))) + 3 AS BIGINT) AS n_kept FROM cutup"""
 )
 def truncate_pad_docs(t: Tables) -> DataFrame:
-    tokens = batching.doc_tokens(batching.word_tokens(F.col("text")), 24)
-    kept = F.size(F.filter(batching.keep_mask(tokens), lambda k: k))
-    return t.benchmark.select("item_id", F.array_join(tokens, " ").alias("doc"), kept.cast("bigint").alias("n_kept"))
+    """Texts in windows of 24 tokens, markers included."""
+    rows = t.benchmark.select("item_id", F.posexplode(batching.doc_tokens(batching.word_tokens(F.col("text")), 24)).alias("win", "tokens"))
+    kept = F.size(F.filter(batching.keep_mask(F.col("tokens")), lambda k: k))
+    return rows.select("item_id", F.col("win").cast("bigint").alias("win"), F.array_join("tokens", " ").alias("doc"), kept.cast("bigint").alias("n_kept"))
 
 
 @query(
-    f"""WITH {SQL_TOKENS}, c AS (SELECT *, list_concat(list_concat(['[CLS]', '[Q]'], w[1:29]), ['[SEP]']) AS core FROM toks)
-    SELECT item_id, array_to_string(list_concat(core, list_transform(range(32 - len(core)), lambda i: '[MASK]')), ' ') AS query,
-      array_to_string(w[1:6], ' ') || ' [SEP]' AS context,
-      CAST(least(500, greatest(32, len(w))) AS BIGINT) AS full_length FROM c"""
+    f"""WITH {SQL_TOKENS}, q AS (SELECT item_id, len(w) AS n, {sql_windows("29")} AS c FROM toks), x AS (SELECT item_id, {sql_windows("6")} AS c FROM toks),
+    both_ AS (SELECT coalesce(q.item_id, x.item_id) AS item_id, coalesce(q.c.win, x.c.win) AS win, coalesce(q.c.part, []) AS a, coalesce(x.c.part, []) AS b FROM q FULL JOIN x ON q.item_id = x.item_id AND q.c.win = x.c.win),
+    core AS (SELECT *, list_concat(list_concat(['[CLS]', '[Q]'], a), ['[SEP]']) AS core FROM both_)
+    SELECT c.item_id, CAST(c.win AS BIGINT) AS win, array_to_string(list_concat(core, list_transform(range(32 - len(core)), lambda i: '[MASK]')), ' ') AS query,
+      array_to_string(list_append(b, '[SEP]'), ' ') AS context, CAST(least(500, greatest(32, len(w))) AS BIGINT) AS full_length FROM core c JOIN toks USING (item_id)"""
 )
 def pad_queries(t: Tables) -> DataFrame:
+    """Queries in windows of 32 tokens, each with a window of 8 of the context."""
     words = batching.word_tokens(F.col("text"))
-    plain = batching.query_tokens(words, 32)
-    with_context = batching.query_tokens(words, 32, context=words, context_maxlen=8)
-    return t.benchmark.select(
-        "item_id",
-        F.array_join(plain, " ").alias("query"),
-        F.array_join(F.slice(with_context, 33, 100), " ").alias("context"),
-        batching.query_maxlen(words, 32, True).cast("bigint").alias("full_length"),
+    rows = t.benchmark.select(
+        "item_id", batching.query_maxlen(words, 32, True).cast("bigint").alias("full_length"),
+        F.posexplode(batching.query_tokens(words, 32, context=words, context_maxlen=8)).alias("win", "tokens"),
+    )
+    return rows.select(
+        "item_id", F.col("win").cast("bigint").alias("win"), "full_length",
+        F.array_join(F.slice("tokens", 1, 32), " ").alias("query"), F.array_join(F.slice("tokens", 33, 100), " ").alias("context"),
     )
 
 

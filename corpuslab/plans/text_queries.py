@@ -76,16 +76,16 @@ def log_tokens(t: Tables) -> DataFrame:
 
 @query(
     """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\n]+')) AS token FROM documents)
-    SELECT doc_id, count(*) AS n_tokens, CAST(sum(CASE WHEN regexp_full_match(token, '-?[0-9]+(\\.[0-9]+)?') THEN 1 ELSE 0 END) AS BIGINT) AS n_numbers
-    FROM w GROUP BY doc_id"""
+    SELECT d.doc_id, count(token) AS n_tokens, CAST(sum(CASE WHEN regexp_full_match(token, '-?[0-9]+(\\.[0-9]+)?') THEN 1 ELSE 0 END) AS BIGINT) AS n_numbers
+    FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id GROUP BY d.doc_id"""
 )
 def numeric_tokens(t: Tables) -> DataFrame:
-    tokens = F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))
+    tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \n]+"), F.lit(0))
     return t.wide("documents", "doc_id", "text").select(
         "doc_id",
         F.size(tokens).cast("bigint").alias("n_tokens"),
         F.size(F.filter(tokens, sqltext.is_number_token)).cast("bigint").alias("n_numbers"),
-    ).where("n_tokens > 0")
+    )
 
 
 TAGS = (

@@ -12,10 +12,11 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from corpuslab.session import local_session
+    from corpuslab.session import clear_shared, local_session
 
     session = local_session(8, "corpuslab-tests")
     yield session
+    clear_shared(session)
     session.stop()
 
 

@@ -143,3 +143,18 @@ def test_filter_reaches_the_scan(spark, folder):
     plan = evaluate.filtered_samples(docs, ["fr"])._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,fr)]" in plan or "PushedFilters: [In(lang" in plan
     assert "text" not in plan.split("ReadSchema")[1]
+
+
+def test_execution_match(spark, folder):
+    """Untrusted predictions: commands are refused, failures count for their own id, views stay."""
+    spark.range(3).createOrReplaceTempView("customer")
+    gold = "SELECT c_custkey FROM customer"
+    statements = [
+        ("same", gold, "SELECT c_custkey AS k FROM customer"), ("fails", gold, "SELECT CAST(c_name AS INT) FROM customer"),
+        ("drops", gold, "DROP VIEW customer"), ("writes", gold, "WITH x AS (SELECT 1) INSERT INTO customer SELECT * FROM x"), ("none", gold, "no sql"), ("after", gold, gold),
+    ]
+    out = {r.id: r.match for r in evaluate.execution_match(spark, statements, {"customer": f"{folder}/customer.parquet"}).collect()}
+    assert out == {"same": True, "fails": False, "drops": False, "writes": False, "none": False, "after": True}
+    assert spark.table("customer").count() == 3
+    with pytest.raises(Exception):
+        evaluate.execution_match(spark, [("x", "SELECT nothing FROM customer", gold)], {"customer": f"{folder}/customer.parquet"})

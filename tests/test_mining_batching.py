@@ -60,14 +60,6 @@ def test_pos_neg(spark):
     assert text.startswith('["0", ["3", ') and text.count("[") == 11
 
 
-def test_full_ranking(spark):
-    q, d = line(spark, [3, 1, 4, 1, 5, 9, 2, 6])
-    rows = mining.full_ranking(q, d).collect()
-    assert len(rows) == 64
-    first = sorted((r["rank"], r.doc_id) for r in rows if r.query_id == 0)
-    assert [i for _, i in first] == [0, 2, 6, 1, 3, 4, 7, 5]
-
-
 def test_next_prime():
     assert [mining.next_prime(n) for n in (3, 4, 90, 500)] == [3, 5, 97, 503]
 
@@ -99,13 +91,13 @@ def test_shortage_is_an_error(spark):
         batching.nway_groups(bands, q, d, nway=8, easy_nway=7)
 
 
-def test_batches_drop_the_incomplete_one(spark):
+def test_batches_mark_the_incomplete_one(spark):
     rows = batching.epoch_order(spark.range(35).withColumnRenamed("id", "pair"), ["pair"], "s", 0)
     cut = batching.batches(rows, 35, 16, accumsteps=4)
     got = cut.collect()
-    assert len(got) == 32 and {r.batch for r in got} == {0, 1} and {r.micro_batch for r in got} == {0, 1, 2, 3}
+    assert len(got) == 35 and {(r.batch, r.complete) for r in got} == {(0, True), (1, True), (2, False)} and {r.micro_batch for r in got} == {0, 1, 2, 3}
     assert sorted(r.ordinal for r in rows.collect()) == list(range(35))
-    two = batching.batches(rows, 35, 4, nranks=2).groupBy("rank").count().collect()
+    two = batching.batches(rows, 35, 4, nranks=2).where("complete").groupBy("rank").count().collect()
     assert {r["rank"]: r["count"] for r in two} == {0: 16, 1: 16}
 
 
@@ -129,11 +121,13 @@ def test_padding(spark):
     out = row.select(
         batching.doc_tokens(F.col("t"), 6).alias("d"), batching.query_tokens(F.col("t"), 9).alias("q"),
         batching.query_tokens(F.col("t"), 6, full_length=True).alias("full"),
+        batching.query_tokens(F.col("t"), 7, context=F.col("t"), context_maxlen=4).alias("both"),
         batching.keep_mask(F.array(*[F.lit(x) for x in ("a", ",", "[PAD]")])).alias("k"),
     ).first()
-    assert out.d == ["[CLS]", "[D]", "a", ",", "b", "[SEP]"]
-    assert out.q == ["[CLS]", "[Q]", "a", ",", "b", "c", "[SEP]", "[MASK]", "[MASK]"]
-    assert out.full == ["[CLS]", "[Q]", "a", ",", "b", "[SEP]"]
+    assert out.d == [["[CLS]", "[D]", "a", ",", "b", "[SEP]"], ["[CLS]", "[D]", "c", "[SEP]"]]
+    assert out.q == [["[CLS]", "[Q]", "a", ",", "b", "c", "[SEP]", "[MASK]", "[MASK]"]]
+    assert out.full == [["[CLS]", "[Q]", "a", ",", "b", "[SEP]"], ["[CLS]", "[Q]", "c", "[SEP]", "[MASK]", "[MASK]"]]
+    assert out.both == [["[CLS]", "[Q]", "a", ",", "b", "c", "[SEP]", "a", ",", "[SEP]"], ["[CLS]", "[Q]", "[SEP]", *["[MASK]"] * 4, "b", "c", "[SEP]"]]
     assert out.k == [True, False, False]
     two = spark.createDataFrame([(0, ["a"]), (0, ["a", "b"])], "g int, t array<string>")
     assert sorted(map(len, (r.t for r in batching.pad_longest(two, ["g"], "t").collect()))) == [2, 2]

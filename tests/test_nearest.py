@@ -121,3 +121,13 @@ def test_no_pair_table_in_the_plan(spark, folder):
     plan = nn.nearest(q, q.withColumnRenamed("query_id", "doc_id"), 5)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_rows_without_vectors(spark):
+    q = spark.createDataFrame([(1, [0.0, 1.0]), (2, None)], "query_id long, vec array<double>")
+    d = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [2.0, 1.0])], "doc_id long, vec array<double>")
+    assert [(r.query_id, r.doc_id) for r in nn.nearest(q, d, 5).collect()] == [(1, 1), (1, 3)]
+    assert nn.nearest_pruned(q, d.where("vec IS NULL"), 2).count() == 0
+    uneven = d.unionByName(spark.createDataFrame([(4, [1.0])], "doc_id long, vec array<double>"))
+    with pytest.raises(Exception, match="vectors of"):
+        nn.nearest(q, uneven, 2).collect()

@@ -44,8 +44,8 @@ def test_file_order_over_many_parts(spark, tmp_path):
 
 
 def test_store(spark):
-    a = spark.createDataFrame([("1", "x"), ("2", "y"), ("1", "z")], "id string, v string").coalesce(1)
-    b = spark.createDataFrame([("2", "w")], "id string, v string")
+    a = spark.createDataFrame([("1", "x", 0), ("2", "y", 1), ("1", "z", 2)], "id string, v string, place int")
+    b = spark.createDataFrame([("2", "w", 0)], "id string, v string, place int")
     store = samples.latest_by_id([a, b])
     assert {(r.id, r.v) for r in store.collect()} == {("1", "z"), ("2", "w")}
     ids = spark.createDataFrame([("1",)], "id string")
@@ -127,10 +127,12 @@ def test_stream_ingest(spark, tmp_path):
 
 def test_encoders(spark):
     rows = spark.createDataFrame([(1, "aa bb"), (2, "aa aa"), (3, "")], "id int, text string")
-    vecs = {r.id: r.vec for r in embed.embed(rows, "id", "text").collect()}
+    vecs = {r.id: r.vec for r in embed.embed(rows, "text").collect()}
+    other = embed.embed(spark.createDataFrame([(1, "Über café 日本"), (2, "日本")], "id int, text string"), "text").collect()
+    assert sum(x > 0 for x in other[0].vec) == 3 and any(other[1].vec)
     assert len(vecs[1]) == 64 and abs(sum(x * x for x in vecs[1]) - 1) < 1e-9 and not any(vecs[3])
     lengths = embed.batch_encoder(lambda s: s.map(lambda x: [float(len(x))]))
-    assert {r.id: r.vec for r in embed.embed(rows, "id", "text", lengths).collect()} == {1: [5.0], 2: [5.0], 3: [0.0]}
+    assert {r.id: r.vec for r in embed.embed(rows, "text", lengths).collect()} == {1: [5.0], 2: [5.0], 3: [0.0]}
 
 
 def test_formats_raise():
