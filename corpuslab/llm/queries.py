@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import chat, licenses, linkgraph, neardup, quality, secretscan, tiling, tokencount, warc, wordbpe
+from corpuslab.llm.oracles import ORACLES  # noqa: F401  registered beside QUERIES
 from corpuslab.session import new_folder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,7 +24,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = quality.judged(docs, host="source", keep=["doc_id", "source"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
 
 
 def op2_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,7 +94,8 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return linkgraph.judged(table(spark, folder, "pages"))
+    out = linkgraph.judged(table(spark, folder, "pages"))
+    return out.withColumn("trust", F.round("trust", 12)).withColumn("distrust", F.round("distrust", 12))
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,4 +111,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_near_duplicates, op8_token_counts, op9_decontamination, op10_url_filter, pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
