@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.joins import listed
 from corpuslab.llm.rows import ROWS_A_BATCH
 from corpuslab.session import cut
 
@@ -150,25 +151,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 5, covera
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_A_BATCH):
                 batch = whole.slice(at, ROWS_A_BATCH)
-                keys, out = batch.column(0).to_pylist(), ([], [])
-                for key, text in zip(keys, batch.column(1)):
-                    h = hashed(tokens(text.as_py()))
+                rows, found = [], []
+                for row, text in enumerate(batch.column(1)):
+                    h, own = hashed(tokens(text.as_py())), []
                     for length in lengths:
                         w = windows(h, length)
                         for i in range(PROBES):
                             spot = place(w, i, bits)
                             w = w[(filled[spot >> 5] >> (spot & 31).astype(np.uint32)) & np.uint32(1) == 1]
-                        if len(w):
-                            w = np.unique(w).view(np.int64)
-                            out[0].extend([key] * len(w))
-                            out[1].extend(w.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64())], names=["doc_key", "seed"])
-
-    hits = texts.mapInArrow(run, "doc_key string, seed long")
-    spots = hits.join(seeds, "seed").groupBy("doc_key", "item").agg(F.first("n_words").alias("n_words"), F.first("length").alias("length"), F.array_sort(F.collect_set("at")).alias("at"))
+                        own += np.unique(w).view(np.int64).tolist()
+                    if own:
+                        rows.append(row)
+                        found.append(own)
+                kept = batch.take(pa.array(rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.list_(pa.int64()))], names=["doc_key", "text", "seeds"])
+
+    # Texts without a seed end here; those with one are written beside their seeds and never read again from `docs`.
+    hits = cut(texts.mapInArrow(run, "doc_key string, text string, seeds array<long>"))
+    spots = hits.select("doc_key", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("doc_key", "item").agg(F.first("n_words").alias("n_words"), F.first("length").alias("length"), F.array_sort(F.collect_set("at")).alias("at"))
     reach = F.expr("aggregate(at, named_struct('end', 0, 'sum', 0), (s, x) -> named_struct('end', x + length, 'sum', s.sum + x + length - greatest(x, s.end)), s -> s.sum)")
     pairs = cut(spots.where(reach >= coverage * F.col("n_words")).select("doc_key", "item"))
-    picked = texts.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    picked = hits.select("doc_key", "text").join(pairs.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
     items = benchmark.where(F.col(bench_column).isNotNull()).select(F.md5(bench_column).alias("item"), F.col(bench_column).alias("item_text")).dropDuplicates(["item"])
     both = pairs.join(picked, "doc_key").join(items, "item").select("doc_key", "item", "text", "item_text")
 
@@ -200,5 +203,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, column: str = "text", bench_column: str = "text", **limits) -> DataFrame:
     """Documents that overlap no item, with all their columns; null texts stay."""
-    found = cut(overlaps(docs, benchmark, column=column, bench_column=bench_column, **limits).select("doc_key").distinct())
-    return docs.join(found, F.md5(docs[column]) == found["doc_key"], "left_anti")
+    found = cut(overlaps(docs, benchmark, column=column, bench_column=bench_column, **limits).select(F.col("doc_key").alias("doc_key__")).distinct())
+    return docs.join(listed(found), F.md5(docs[column]) == F.col("doc_key__"), "left_anti")
