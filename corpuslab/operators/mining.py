@@ -6,6 +6,8 @@ the easy band, which is all the rest, by its size and by exact random draws from
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from corpuslab.session import cut
 
 # Default sizes and the score scale.
 N_POS, GAP, N_NEG = 5, 0, 200
+LONGEST_STRETCH = 4096
 SCORE_SCALE, SCORE_SHIFT = 10.0, 0.01
 
 
@@ -107,43 +110,47 @@ def draw(
     returns   draw_id, query_id, doc_id, distance, pick (1..n)
 
     Each draw walks through all document numbers in its own order and takes the first
-    n that count, so no (draw, document) table is formed. A stretch of the walk that is
-    twice what is needed nearly always suffices; draws that are still short walk on,
-    in rounds of doubled length, until they have n or the walk is complete.
+    n that count, so no (draw, document) table is formed. Draws that are still short after a
+    stretch of the walk go on with the next one, longer up to `LONGEST_STRETCH`; what was met
+    is not met again. Only ids walk; vectors are brought to the n picks. With `skip_zero`
+    documents of the query's very vector do not count. A draw that has walked through all
+    documents and is short raises.
     """
-    numbered = hashed_ordinal(docs.select("doc_id", "vec"), ["doc_id"], seed)
+    numbered = cut(hashed_ordinal(docs.select("doc_id", F.xxhash64("vec").alias("_dh")), ["doc_id"], seed))
     total = docs.count()
     prime = prime or next_prime(max(total, 3))
     taken = None if excluded is None else cut(excluded.select("query_id", "doc_id").distinct())
     start, stride = walk_of(F.col("draw_id"), prime, seed)
-    pending = draws.select("draw_id", "query_id", "vec", start.alias("_start"), stride.alias("_stride"))
-    done = None
-    length = 2 * n + 8
+    pending = draws.select(
+        "draw_id", "query_id", F.xxhash64("vec").alias("_qh"), start.alias("_start"), stride.alias("_stride"), F.lit(0).alias("_have")
+    )
+    done: list[DataFrame] = []
+    begin, stretch = 0, 2 * n + 8
     while True:
-        length = min(length, prime)
-        steps = pending.select("*", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("_step")).withColumn(
+        end = min(begin + stretch, prime)
+        steps = pending.select("*", F.explode(F.sequence(F.lit(begin), F.lit(end - 1))).alias("_step")).withColumn(
             "ordinal", F.pmod(F.col("_start") + F.col("_step") * F.col("_stride"), F.lit(prime))
         )
-        met = steps.withColumnRenamed("vec", "_qvec").where(F.col("ordinal") < total).join(numbered, "ordinal")
+        met = steps.where(F.col("ordinal") < total).join(numbered, "ordinal")
         if taken is not None:
             met = met.join(taken, ["query_id", "doc_id"], "left_anti")
-        met = met.withColumn("distance", pair_distance(F.col("_qvec"), F.col("vec"), metric))
         if skip_zero:
-            met = met.where("distance > 0")
-        w = Window.partitionBy("draw_id").orderBy("_step")
-        picks = cut(
-            met.select("draw_id", "query_id", "doc_id", "distance", F.row_number().over(w).alias("pick"))
-            .where(F.col("pick") <= n)
-        )
-        full = picks.groupBy("draw_id").agg(F.count("*").alias("c")).where(F.col("c") == n).select("draw_id")
-        if length >= prime:
-            return picks if done is None else done.unionByName(picks)
-        short = pending.join(full, "draw_id", "left_anti")
-        if short.isEmpty():
-            return picks if done is None else done.unionByName(picks)
-        finished = picks.join(full, "draw_id", "left_semi")
-        done = finished if done is None else done.unionByName(finished)
-        pending, length = cut(short), length * 2
+            met = met.where("_qh <> _dh")
+        place = F.col("_have") + F.row_number().over(Window.partitionBy("draw_id").orderBy("_step"))
+        picks = cut(met.select("draw_id", "query_id", "doc_id", place.alias("pick")).where(F.col("pick") <= n))
+        done.append(picks)
+        got = picks.groupBy("draw_id").agg(F.max("pick").alias("_got"))
+        pending = pending.join(got, "draw_id", "left").withColumn("_have", F.greatest("_have", F.coalesce("_got", F.lit(0)))).drop("_got")
+        pending = cut(pending.where(F.col("_have") < n))
+        if pending.isEmpty():
+            break
+        if end >= prime:
+            raise ValueError(f"too few negatives for {pending.count()} draws of {n}")
+        begin, stretch = end, min(2 * stretch, LONGEST_STRETCH)
+    picked = reduce(DataFrame.unionByName, done)
+    picked = picked.join(draws.select("draw_id", F.col("vec").alias("_qvec")), "draw_id").join(docs.select("doc_id", "vec"), "doc_id")
+    distance = pair_distance(F.col("_qvec"), F.col("vec"), metric)
+    return picked.select("draw_id", "query_id", "doc_id", distance.alias("distance"), "pick")
 
 
 def easy_draws(
