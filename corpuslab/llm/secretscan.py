@@ -27,6 +27,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = np.zeros(128, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
 LEAST = 20  # characters of an identifier that the models judge
+DIVERSE = 8  # different characters that it must have: rules and padding are not random
 TAUGHT = 8  # characters of an ordinary identifier that they learn from
 
 
@@ -79,7 +80,7 @@ class Ratio:
         found = []
         for m in NAME.finditer(text):
             a, b = m.span()
-            if b - a >= LEAST and not any(s < b and a < e for s, e, _ in base) and self.of(m[0]) > over:
+            if b - a >= LEAST and len(set(m[0])) >= DIVERSE and not any(s < b and a < e for s, e, _ in base) and self.of(m[0]) > over:
                 found.append((a, b, "random"))
         return found
 
@@ -90,7 +91,7 @@ def samples(docs: DataFrame, column: str = "text", key: str = "doc_id", most_doc
     identifiers of `TAUGHT` characters and more ordinary ones. Counted in the batches, then
     summed: at most two rows per pair of characters."""
     few = docs.select(F.xxhash64(key).alias("h")).distinct().orderBy("h").limit(most_docs)
-    picked = docs.select(F.col(column).alias("text"), F.xxhash64(key).alias("h")).join(few, "h", "left_semi").select("text")
+    picked = docs.select(F.col(column).alias("text"), F.xxhash64(key).alias("h")).join(F.broadcast(few), "h", "left_semi").select("text")
 
     def count(batches):
         import pyarrow as pa
