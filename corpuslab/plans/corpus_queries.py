@@ -14,7 +14,7 @@ from corpuslab.operators import embed, evaluate, linking, masking, mining, repai
 from corpuslab.operators.ordering import sorted_ordinal
 from corpuslab.plans.derived import CATALOG, NORMAL_LOG, QUERY_LOG, query_log, raw_catalog
 from corpuslab.plans.mining_queries import DIM, SEED, WORD_COUNTS, sql_bands
-from corpuslab.plans.registry import Tables, query
+from corpuslab.plans.registry import ORACLES, Tables, query
 from corpuslab.plans.text_queries import norm_log
 from corpuslab.plans.vector_queries import as_docs, as_queries
 from corpuslab.session import cut, new_folder
@@ -382,13 +382,22 @@ def collection_ingest(t: Tables) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""WITH texts AS (SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE n_chars % 2 = 0 UNION ALL SELECT 'q', CAST(item_id AS VARCHAR), text FROM benchmark),
+    words AS (SELECT side, id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM texts),
+    counts AS (SELECT side, id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, count(*) AS c FROM words GROUP BY ALL),
+    lens AS (SELECT side, id, sqrt(sum(c * c)) AS len FROM counts GROUP BY ALL),
+    vecs AS (SELECT t.side, t.id, text, (SELECT list(coalesce(c, 0) / greatest(coalesce(len, 0), 1e-12) ORDER BY i) FROM range(64) r(i) LEFT JOIN counts ON counts.side = t.side AND counts.id = t.id AND b = i) AS v
+      FROM texts t LEFT JOIN lens ON lens.side = t.side AND lens.id = t.id),
+    scored AS (SELECT CAST(q.id AS BIGINT) AS query_id, d.id AS doc_id, list_distance(q.v, d.v) ** 2 AS distance, d.text AS document FROM vecs q JOIN vecs d ON q.side = 'q' AND d.side = 'd')
+    SELECT query_id, doc_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS rank, document FROM scored QUALIFY rank <= 3"""
+)
 def collection_query(t: Tables) -> DataFrame:
     """Benchmark texts against the stored documents tagged nested."""
     held = fresh_collection(t)
     asked = embed.embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), "vec")
     found = held.query(asked, 3, F.col("tag_nested"))
-    return found.select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank", "document")
+    return found.select("query_id", "doc_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"), "document")
 
 
 @query(
@@ -422,9 +431,19 @@ def positive_lines(t: Tables) -> DataFrame:
     )
 
 
-@query()
+@query(
+    f"""SELECT CAST(query_id AS VARCHAR) AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY band = 'neg', slot) AS place, CAST(doc_id AS VARCHAR) AS doc_id, score
+    FROM ({ORACLES["mine_pos_neg"]})"""
+)
 def pos_neg_lines(t: Tables) -> DataFrame:
-    return sinks.pos_neg_lines(mining.mine_pos_neg(as_queries(t), as_docs(t), 5, SEED))
+    """Lines of ids and scores, taken apart again."""
+    parts = F.from_json("line", "array<string>")
+    lines = sinks.pos_neg_lines(mining.mine_pos_neg(as_queries(t), as_docs(t), 5, SEED))
+    rows = lines.select(parts[0].alias("query_id"), F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("place", "item"))
+    pair = F.from_json("item", "array<string>")
+    return rows.select(
+        "query_id", (F.col("place") + 1).cast("bigint").alias("place"), pair[0].alias("doc_id"), F.round(pair[1].cast("double"), 6).alias("score")
+    )
 
 
 @query("SELECT doc_id, trim(coalesce(text, ''), chr(10)) AS document FROM documents")
