@@ -5,7 +5,7 @@ document down the branches of a few of its tokens, chosen by hash so that about
 branches are followed at a node: documents of that similarity meet below each node with a
 probability that does not fade with depth, and independent trees repeat the chance. Nodes
 of few documents are compared exhaustively; larger ones link their members to a pivot first, and
-branch on where that leaves more than one component. Links are confirmed on full sets.
+branch on where that leaves more than one component; what then is large still is compared in blocks. Links are confirmed on full sets.
 
 Equal sets are one class from the start, so copies cost nothing, and within a component
 nothing more is compared, so a group of near copies takes about as many comparisons as members.
@@ -19,17 +19,20 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm.graph import components
+from corpuslab.llm.joins import listed
 from corpuslab.llm.rows import ROWS_A_BATCH
 from corpuslab.session import cut
 
-TOKENS = 96  # minwise tokens of a sketch
-TREES = 16
+TOKENS = 64  # minwise tokens of a sketch
+BINS = 512  # ranges of hashes of which a sketch keeps one byte of the smallest member
+TREES = 8
 SMALL = 256  # documents of a node that are compared exhaustively
-DEPTH = 4
+BLOCK = 2048  # documents of a side of a block of a large node that branching does not part
+DEEPER = 3  # levels that large nodes go down at once
 U64 = np.uint64
 SALTS = np.array([xxhash.xxh64_intdigest(b"", i) for i in range(4 * TOKENS)], U64)
 
@@ -55,8 +58,16 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def binned(own: np.ndarray) -> np.ndarray:
+    """Of each range of hashes one byte of the smallest member of the sorted set; 0: none."""
+    out = np.zeros(BINS, np.uint8)
+    spot, first = np.unique(own >> U64(64 - (BINS.bit_length() - 1)), return_index=True)
+    out[spot.astype(np.int64)] = np.maximum(own[first] & U64(255), U64(1))
+    return out
+
+
 def sketched(docs: DataFrame, size: int, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """doc_id, text_key, n_shingles, class (digest of the set; null: empty set) and tokens (binary)."""
+    """doc_id, text_key, n_shingles, class (digest of the set; null: empty set), tokens and bins (binary)."""
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(column).alias("text_key"), F.col(column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -65,7 +76,7 @@ def sketched(docs: DataFrame, size: int, key: str = "doc_id", column: str = "tex
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_A_BATCH // 4):
                 batch = whole.slice(at, ROWS_A_BATCH // 4)
-                n, names, tokens = [], [], []
+                n, names, tokens, bins = [], [], [], []
                 for text in batch.column(2):
                     own = shingles(text.as_py(), size)
                     n.append(len(own))
@@ -75,43 +86,68 @@ def sketched(docs: DataFrame, size: int, key: str = "doc_id", column: str = "tex
                     for i in range(0, len(own), 4096):
                         low = np.minimum(low, (own[i : i + 4096, None] * odd).min(0))
                     tokens.append((low >> U64(32)).astype("<u4").tobytes() if len(own) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "text_key", "n_shingles", "class", "tokens"])
+                    bins.append(binned(own).tobytes() if len(own) else None)
+                columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (names, tokens, bins)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "class", "tokens", "bins"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, class binary, tokens binary, bins binary")
+
+
+def chances(path: np.ndarray, threshold: float) -> np.ndarray:
+    """Which tokens a node follows: each with chance 1 / (threshold * TOKENS), by a hash of node and token."""
+    return mixed(path[:, None] ^ SALTS[2 * TOKENS : 3 * TOKENS]) < U64(int(2**64 / (threshold * TOKENS)))
+
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, class binary, tokens binary")
+def child(path: np.ndarray, at: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mixed(mixed(path ^ SALTS[3 * TOKENS + at]) ^ token)
 
 
-def branched(rows: DataFrame, threshold: float, root: bool) -> DataFrame:
-    """Children of rows (path, class, tokens), as (path, class): of each row those tokens whose hash with the path
-    is among the share 1 / (threshold * TOKENS), one at least. `root`: rows have no path, and
-    begin every tree."""
-    share = U64(int(2**64 / (threshold * TOKENS)))
+def root_slots(threshold: float) -> list[tuple[int, int]]:
+    """(tree, token) of the branches below the roots, one at least of each tree. They are the same for all documents."""
+    starts = SALTS[TOKENS : TOKENS + TREES]
+    picked = chances(starts, threshold)
+    picked[np.arange(TREES), mixed(starts[:, None] ^ SALTS[2 * TOKENS : 3 * TOKENS]).argmin(1)] = True
+    return list(zip(*(x.tolist() for x in np.nonzero(picked))))
+
+
+def rooted(rows: DataFrame, slots: list[tuple[int, int]]) -> DataFrame:
+    """Nodes below the roots of rows (class, tokens), as (path, class, slot)."""
+    trees, at = (np.array(x) for x in zip(*slots))
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                tokens = matrix(batch.column("tokens"), "<u4").astype(U64)
+                path = child(SALTS[TOKENS + trees][None, :], at[None, :], tokens[:, at])
+                row = np.repeat(np.arange(len(tokens)), len(at))
+                slot = np.tile(np.arange(len(at), dtype=np.int32), len(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(path.ravel().view(np.int64)), batch.column("class").take(pa.array(row)), pa.array(slot)], names=["path", "class", "slot"])
+
+    return rows.select("class", "tokens").mapInArrow(run, "path long, class binary, slot int")
+
+
+def branched(rows: DataFrame, threshold: float, levels: int) -> DataFrame:
+    """Descendants of rows (path, class, tokens) some levels down, as (path, class, slot: none)."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u4").reshape(-1, TOKENS).astype(U64)
-            starts = [np.full(len(tokens), SALTS[TOKENS + t], U64) for t in range(TREES)] if root else [np.array(batch.column("path").to_pylist(), np.int64).view(U64)]
-            for start in starts:
-                chance = mixed(start[:, None] ^ SALTS[2 * TOKENS : 3 * TOKENS])
-                picked = chance < share
-                picked[np.arange(len(tokens)), chance.argmin(1)] = True
-                row, at = np.nonzero(picked)
-                path = mixed(mixed(start[row] ^ SALTS[3 * TOKENS + at]) ^ tokens[row, at])
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("class").take(pa.array(row))], names=["path", "class"])
+            tokens, path = matrix(batch.column("tokens"), "<u4").astype(U64), np.asarray(batch.column("path")).view(U64)
+            row = np.arange(len(tokens))
+            for _ in range(levels):
+                came, at = np.nonzero(chances(path, threshold))
+                row = row[came]
+                path = child(path[came], at, tokens[row, at])
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("class").take(pa.array(row)), pa.nulls(len(row), pa.int32())], names=["path", "class", "slot"])
 
-    return rows.mapInArrow(run, "path long, class binary")
+    return rows.select("path", "class", "tokens").mapInArrow(run, "path long, class binary, slot int")
 
 
 def populated(rows: DataFrame) -> DataFrame:
-    """(path, size) of the nodes of two classes and more, of nodes with the same members one."""
-    sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("members")).where("size > 1")
-    return sizes.groupBy("size", "members").agg(F.min("path").alias("path")).select("path", "size")
-
-
-def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Equal tokens of every row of one with every row of the other."""
-    return (left[:, None, :] == right[None, :, :]).sum(2)
+    """(path, size, slot) of the nodes of two classes and more, of nodes with the same members the first."""
+    sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("members"), F.min("slot").alias("slot")).where("size > 1")
+    first = F.min(F.struct("slot", "path")).alias("first")
+    return sizes.groupBy("size", "members").agg(first).select("first.path", "size", "first.slot")
 
 
 class Rule:
@@ -119,70 +155,121 @@ class Rule:
 
     def __init__(self, percent: int):
         self.percent, p = percent, percent / 100
-        # Five standard deviations below the threshold: about one linked pair in a million has fewer.
+        # Over five standard deviations below the threshold: about one linked pair in a million has fewer.
         self.seen = max(1, math.floor(TOKENS * p - 5.3 * math.sqrt(TOKENS * p * (1 - p))))
 
-    def candidates(self, left, right, n_left, n_right) -> np.ndarray:
-        """Matrix of what may be linked, from sketches and sizes."""
-        small, large = np.minimum(n_left[:, None], n_right), np.maximum(n_left[:, None], n_right)
-        return (alike(left, right) >= self.seen) & (100 * small >= self.percent * large)
-
+    def likely(self, left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Rows of two tables of bins that may be linked. The share of equal bins among the filled
+        ones estimates the similarity from as many members, drawn without putting back from what
+        the two sets have together; small sets are seen nearly whole."""
+        filled = ((left | right) > 0).sum(1)
+        equal = ((left == right) & (left > 0)).sum(1)
+        p = self.percent / 100
+        whole = (n + m) / (1 + p)
+        spread = np.sqrt(np.maximum(filled * p * (1 - p) * np.clip((whole - filled) / np.maximum(whole - 1, 1), 0.02, 1), 0))
+        return equal >= p * filled - 6 * spread - 2
+
+    def candidates(self, tokens: np.ndarray, bins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs i < j of rows that may be linked, from sketches and sizes. One byte of each token is
+        compared first, which only ever finds more of them equal."""
+        low, found = np.ascontiguousarray(tokens & 255).astype(np.uint8), ([], [])
+        step = max(1, 4_000_000 // (len(n) * TOKENS))
+        for at in range(0, len(n), step):
+            part = slice(at, at + step)
+            close = (low[part, None, :] == low[None, at:, :]).sum(2, dtype=np.uint8) >= self.seen
+            sizes = n[part, None], n[None, at:]
+            close &= 100 * np.minimum(*sizes) >= self.percent * np.maximum(*sizes)
+            i, j = np.nonzero(np.triu(close, 1))
+            for k in range(0, len(i), 4096):
+                a, b = at + i[k : k + 4096], at + j[k : k + 4096]
+                same = ((tokens[a] == tokens[b]).sum(1) >= self.seen) & self.likely(bins[a], bins[b], n[a], n[b])
+                found[0].append(a[same])
+                found[1].append(b[same])
+        empty = [np.empty(0, np.int64)]
+        return np.concatenate(found[0] + empty).astype(np.int64), np.concatenate(found[1] + empty).astype(np.int64)
+
+
+def matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """A binary column of values of one length as a matrix, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
+
+
+def names(column: pa.Array) -> np.ndarray:
+    """Class digests as two numbers whose order is that of the bytes."""
+    return np.ascontiguousarray(matrix(column, ">u8")).astype(U64)
+
+
+def forest_of(a: np.ndarray, b: np.ndarray, score: np.ndarray, size: int) -> list[int]:
+    """Which of the pairs make a spanning forest, taken by falling score."""
+    top, keep = list(range(size)), []
+    for i in np.argsort(-score, kind="stable").tolist():
+        x, y = int(a[i]), int(b[i])
+        while top[x] != x:
+            x = top[x]
+        while top[y] != y:
+            y = top[y]
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            keep.append(i)
+    return keep
+
+
+def node_pairs(nodes: DataFrame, rule: Rule, forest: bool, slots: list[tuple[int, int]]) -> DataFrame:
+    """Candidate pairs (a, b) of gathered small nodes (slot, members: class, n, tokens, bins, mask,
+    component). `forest`: of each node only a spanning forest of the most similar ones; else all
+    pairs whose components differ. Of the small nodes below the roots that two documents
+    share, the first alone passes their pair on; `mask` has the slots of a document's small nodes."""
+    at = np.array([i for _, i in slots])
+    bit = U64(1) << np.arange(len(slots), dtype=U64)
 
-def node_pairs(nodes: DataFrame, rule: Rule, forest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of gathered small nodes (members: class, n, tokens, component). `forest`:
-    of each node only a spanning forest of the most similar ones; else all pairs whose
-    components differ."""
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                out_a, out_b = [], []
-                for node in whole.slice(at, 64).column(0).to_pylist():
-                    node.sort(key=lambda m: m["class"])
-                    sets = np.frombuffer(b"".join(m["tokens"] for m in node), "<u4").reshape(-1, TOKENS)
-                    n = np.array([m["n"] for m in node])
-                    good = np.triu(rule.candidates(sets, sets, n, n), 1)
-                    a, b = np.nonzero(good)
-                    parts = {c: i for i, c in enumerate({m["component"] for m in node})}
-                    part = np.array([parts[m["component"]] for m in node])
-                    differ = part[a] != part[b]
-                    a, b = a[differ], b[differ]
-                    if forest and len(a) > 1:
-                        top = np.arange(len(node))
-
-                        def find(x):
-                            while top[x] != x:
-                                top[x] = x = top[top[x]]
-                            return x
-
-                        score, keep = (sets[a] == sets[b]).sum(1), []
-                        for i in np.argsort(-score, kind="stable"):
-                            x, y = find(a[i]), find(b[i])
-                            if x != y:
-                                top[max(x, y)] = min(x, y)
-                                keep.append(i)
-                        a, b = a[keep], b[keep]
-                    out_a += [node[i]["class"] for i in a]
-                    out_b += [node[i]["class"] for i in b]
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
-
-    return nodes.select("members").mapInArrow(run, "a binary, b binary").distinct()
+        for batch in batches:
+            lists = batch.column("members")
+            members = lists.flatten()
+            if not len(members):
+                continue
+            ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
+            name, part = names(members.field("class")), names(members.field("component"))
+            tokens, bins = matrix(members.field("tokens"), "<u4"), matrix(members.field("bins"), np.uint8)
+            n, mask = np.asarray(members.field("n")), np.asarray(members.field("mask")).view(U64)
+            left, right = [], []
+            for start, end, slot in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column("slot").to_pylist()):
+                order = start + np.lexsort((name[start:end, 1], name[start:end, 0]))
+                sets, own, sizes = tokens[order], part[order], n[order]
+                a, b = rule.candidates(sets, bins[order], sizes)
+                differ = (own[a] != own[b]).any(1)
+                a, b = a[differ], b[differ]
+                if forest and len(a) > 1:
+                    keep = forest_of(a, b, (sets[a] == sets[b]).sum(1), len(order))
+                    a, b = a[keep], b[keep]
+                elif slot is not None and len(a):
+                    shared = np.where(sets[a][:, at] == sets[b][:, at], bit, U64(0)).sum(1, dtype=U64) & mask[order[a]] & mask[order[b]]
+                    here = (shared & (~shared + U64(1))) == bit[slot]
+                    a, b = a[here], b[here]
+                left.append(order[a])
+                right.append(order[b])
+            digests = members.field("class")
+            yield pa.RecordBatch.from_arrays([digests.take(pa.array(np.concatenate(left))), digests.take(pa.array(np.concatenate(right)))], names=["a", "b"])
+
+    return nodes.select("slot", "members").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def row_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs of rows (class, n, tokens, other: the same fields)."""
+    """Candidate pairs of rows (class, n, tokens, bins, other: the same fields)."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             other = batch.column("other")
-            left = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u4").reshape(-1, TOKENS)
-            right = np.frombuffer(b"".join(other.field("tokens").to_pylist()), "<u4").reshape(-1, TOKENS)
-            n, m = np.array(batch.column("n").to_pylist()), np.array(other.field("n").to_pylist())
+            left, right = (matrix(x, "<u4") for x in (batch.column("tokens"), other.field("tokens")))
+            n, m = np.asarray(batch.column("n")), np.asarray(other.field("n"))
             good = ((left == right).sum(1) >= rule.seen) & (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m))
+            good &= rule.likely(matrix(batch.column("bins"), np.uint8), matrix(other.field("bins"), np.uint8), n, m)
             pairs = [(min(a, b), max(a, b)) for a, b, g in zip(batch.column("class").to_pylist(), other.field("class").to_pylist(), good) if g and a != b]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
-    return rows.select("class", "n", "tokens", "other").mapInArrow(run, "a binary, b binary").distinct()
+    return rows.select("class", "n", "tokens", "bins", "other").mapInArrow(run, "a binary, b binary").distinct()
 
 
 class Join:
@@ -192,6 +279,7 @@ class Join:
         self.docs, self.classes, self.size, self.rule, self.column = docs, classes, size, rule, column
         self.links: list[DataFrame] = []
         self.tested: list[DataFrame] = []
+        self.sets: list[DataFrame] = []
         self.parts: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame) -> bool:
@@ -202,20 +290,10 @@ class Join:
         if pairs.isEmpty():
             return False
         self.tested.append(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(self.classes.select("class", "text_key"), "class")
-        texts = self.docs.select(F.xxhash64(self.column).alias("text_key"), F.col(self.column).alias("text"))
-        texts = texts.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
-        size = self.size
-
-        def sets(batches):
-            for whole in batches:
-                for at in range(0, whole.num_rows, ROWS_A_BATCH // 4):
-                    own = [shingles(t, size) for t in whole.slice(at, ROWS_A_BATCH // 4).column(0).to_pylist()]
-                    names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], names=["class", "items"])
-
-        # Texts of one class may differ where their sets do not; one set each is enough.
-        full = cut(texts.select("text").mapInArrow(sets, "class binary, items array<long>").dropDuplicates(["class"]))
+        self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+        full = self.sets[0]
+        for more in self.sets[1:]:
+            full = full.unionByName(more)
         both = pairs.join(full.select(F.col("class").alias("a"), F.col("items").alias("items_a")), "a")
         both = both.join(full.select(F.col("class").alias("b"), F.col("items").alias("items_b")), "b")
         both = both.withColumn("shared", F.size(F.array_intersect("items_a", "items_b")))
@@ -230,6 +308,25 @@ class Join:
             self.parts = components(every)
         return True
 
+    def fetch(self, wanted: DataFrame) -> None:
+        """Full sets of the wanted classes that are not there yet, from one text of each."""
+        for held in self.sets:
+            wanted = wanted.join(held.select("class"), "class", "left_anti")
+        wanted = cut(wanted.join(self.classes.select("class", "text_key"), "class").select("text_key"))
+        texts = self.docs.select(F.xxhash64(self.column).alias("text_key"), F.col(self.column).alias("text"))
+        texts = texts.join(listed(wanted), "text_key", "left_semi").dropDuplicates(["text_key"])
+        size = self.size
+
+        def sets(batches):
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS_A_BATCH // 4):
+                    own = [shingles(t, size) for t in whole.slice(at, ROWS_A_BATCH // 4).column(0).to_pylist()]
+                    names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], names=["class", "items"])
+
+        # Texts of one class may differ where their sets do not; one set each is enough.
+        self.sets.append(cut(texts.select("text").mapInArrow(sets, "class binary, items array<long>").dropDuplicates(["class"])))
+
     def placed(self, rows: DataFrame) -> DataFrame:
         """Rows with the component of their class so far."""
         rows = rows.drop("component")
@@ -245,44 +342,57 @@ class Join:
 
     def gathered(self, rows: DataFrame) -> DataFrame:
         """Small nodes as one row each: at most `SMALL` members."""
-        return rows.groupBy("path").agg(F.collect_list(F.struct("class", "n", "tokens", "component")).alias("members"))
+        return rows.groupBy("path").agg(F.min("slot").alias("slot"), F.collect_list(F.struct("class", "n", "tokens", "bins", "mask", "component")).alias("members"))
+
+    def placed_nodes(self, paths: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+        """Members of the small and of the large nodes, and whether there are large ones."""
+        nodes = cut(populated(paths))
+        members = paths.drop("slot").join(nodes, "path").join(self.classes.select("class", F.col("n_shingles").alias("n"), "tokens", "bins"), "class")
+        # A class is in as many nodes as it has slots at most.
+        own = F.when((F.col("size") <= SMALL) & F.col("slot").isNotNull(), F.expr("shiftleft(1L, slot)")).otherwise(0)
+        members = cut(members.withColumn("mask", F.bit_or(own).over(Window.partitionBy("class"))))
+        large = members.where(F.col("size") > SMALL)
+        return members.where(F.col("size") <= SMALL), large, not large.isEmpty()
+
+    def sketch(self, small: DataFrame, large: DataFrame | None) -> DataFrame:
+        """Forests of small nodes and stars around a pivot of large ones."""
+        pairs = node_pairs(self.gathered(self.placed(small)), self.rule, True, self.slots)
+        if large is None:
+            return pairs
+        pivot = large.groupBy("path").agg(F.min_by(F.struct("class", "n", "tokens", "bins"), F.xxhash64("class", "path")).alias("other"))
+        return pairs.unionByName(row_pairs(large.join(pivot, "path"), self.rule)).distinct()
+
+    def rest(self, small: DataFrame) -> DataFrame:
+        """All candidates of small nodes that components found so far leave open."""
+        return node_pairs(self.gathered(self.unsettled(small)), self.rule, False, self.slots)
 
     def run(self, threshold: float) -> None:
-        rows, root = self.classes.select("class", "tokens"), True
-        for depth in range(DEPTH):
-            paths = branched(rows, threshold, root)
-            if not root:
-                paths = cut(paths)
-            nodes = cut(populated(paths))
-            members = paths.join(nodes, "path").join(self.classes.select("class", F.col("n_shingles").alias("n"), "tokens"), "class")
-            members = cut(members)
-            small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
-            pairs = node_pairs(self.gathered(self.placed(small)), self.rule, True)
-            any_large = not large.isEmpty()
-            if any_large:
-                pivot = large.groupBy("path").agg(F.min_by(F.struct("class", "n", "tokens"), F.xxhash64("class", "path")).alias("other"))
-                pairs = pairs.unionByName(row_pairs(large.join(pivot, "path"), self.rule)).distinct()
-            self.confirm(pairs)
-            self.confirm(node_pairs(self.gathered(self.unsettled(small)), self.rule, False))
-            if not any_large:
-                return
-            rows, root = cut(self.unsettled(large)), False
-            if rows.isEmpty():
-                return
-        self.confirm(self.blocked(rows))
+        self.slots = root_slots(threshold)
+        small, large, any_large = self.placed_nodes(rooted(self.classes, self.slots))
+        self.confirm(self.sketch(small, large if any_large else None))
+        rows = cut(self.unsettled(large)) if any_large else None
+        if rows is None or rows.isEmpty():
+            self.confirm(self.rest(small))
+            return
+        lower, wide, any_wide = self.placed_nodes(cut(branched(rows, threshold, DEEPER)))
+        self.confirm(self.rest(small).unionByName(self.sketch(lower, wide if any_wide else None)).distinct())
+        last = self.rest(lower)
+        if any_wide:
+            last = last.unionByName(self.blocked(cut(self.unsettled(wide)))).distinct()
+        self.confirm(last)
 
     def blocked(self, rows: DataFrame) -> DataFrame:
         """Candidates of large nodes that branching did not part: those outside the node's most
-        frequent component against all members, in blocks of `SMALL` by `SMALL`."""
+        frequent component against all members, in blocks of `BLOCK` by `BLOCK`."""
         rows = self.placed(rows)
         by = rows.groupBy("path", "component").agg(F.count("*").alias("many"))
         largest = by.groupBy("path").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.sum("many").alias("all"), (F.sum("many") - F.max("many")).alias("outside"))
-        rows = rows.join(largest, "path").withColumn("blocks", F.ceil(F.col("all") / SMALL).cast("int")).withColumn("out_blocks", F.greatest(F.lit(1), F.ceil(F.col("outside") / SMALL)).cast("int"))
+        rows = rows.join(largest, "path").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("out_blocks", F.greatest(F.lit(1), F.ceil(F.col("outside") / BLOCK)).cast("int"))
         spot = F.xxhash64("class")
-        inner = rows.select("path", F.pmod(spot, "blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, out_blocks - 1)")).alias("j"), F.lit(0).alias("side"), "class", "n", "tokens", "component")
-        outer = rows.where(~F.col("component").eqNullSafe(F.col("largest"))).select("path", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.pmod(spot, "out_blocks").cast("int").alias("j"), F.lit(1).alias("side"), "class", "n", "tokens", "component")
-        both = inner.unionByName(outer).groupBy("path", "i", "j").agg(F.collect_set(F.struct("class", "n", "tokens", "component")).alias("members"))
-        return node_pairs(both, self.rule, False)
+        inner = rows.select("path", F.pmod(spot, "blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, out_blocks - 1)")).alias("j"), F.lit(0).alias("side"), "class", "n", "tokens", "bins", "mask", "component")
+        outer = rows.where(~F.col("component").eqNullSafe(F.col("largest"))).select("path", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.pmod(spot, "out_blocks").cast("int").alias("j"), F.lit(1).alias("side"), "class", "n", "tokens", "bins", "mask", "component")
+        both = inner.unionByName(outer).groupBy("path", "i", "j").agg(F.lit(None).cast("int").alias("slot"), F.collect_set(F.struct("class", "n", "tokens", "bins", "mask", "component")).alias("members"))
+        return node_pairs(both, self.rule, False, [])
 
 
 def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -297,18 +407,18 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
     A row comes back for every row. What is confirmed are pairs between classes of equal sets;
     the trees miss a pair of exactly the threshold with a chance below 1e-5."""
     sketches = cut(sketched(docs, size, key, column))
-    classes = cut(sketches.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")))
+    classes = cut(sketches.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("bins").alias("bins")))
     join = Join(docs, classes, size, Rule(percent), column)
     join.run(percent / 100)
     least = join.placed(classes.select("class", "least"))
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(least.join(names, "component").select("class", "component_id"))
-    out = sketches.drop("tokens").join(named, "class", "left")
+    out = sketches.drop("tokens", "bins").join(named, "class", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def thinned(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text") -> DataFrame:
     """Documents without those that are not `kept`, with all their columns."""
-    gone = grouped(docs, size, percent, key, column).where("not kept").select(F.col("doc_id").alias("gone__"), F.col("text_key").alias("gone_key__")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(F.col("gone__")) & (F.xxhash64(docs[column]) == F.col("gone_key__")), "left_anti")
+    gone = cut(grouped(docs, size, percent, key, column).where("not kept").select(F.col("doc_id").alias("gone__"), F.col("text_key").alias("gone_key__")).distinct())
+    return docs.join(listed(gone), docs[key].eqNullSafe(F.col("gone__")) & (F.xxhash64(docs[column]) == F.col("gone_key__")), "left_anti")

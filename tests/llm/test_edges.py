@@ -224,6 +224,7 @@ def test_near_duplicates_brute(spark, monkeypatch, small):
     from test_contracts import slow_components, slow_shingles
 
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", small)
     rng, texts = random.Random(8), []
     for g in range(14):
         base = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([2, 5, 40, 80]))]
