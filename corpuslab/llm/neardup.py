@@ -335,10 +335,11 @@ class Join:
         return rows.join(self.parts, rows["class"] == self.parts["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")
 
     def unsettled(self, rows: DataFrame) -> DataFrame:
-        """Rows of nodes that hold more than one component."""
-        rows = self.placed(rows)
-        mixed_nodes = rows.groupBy("path").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("path")
-        return rows.join(mixed_nodes, "path", "left_semi")
+        """Rows of nodes that hold more than one component. Names alone are brought together with
+        components first; sketches move only for the nodes that are left."""
+        held = self.placed(rows.select("path", "class"))
+        open_nodes = cut(held.groupBy("path").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("path"))
+        return self.placed(rows.join(listed(open_nodes), "path", "left_semi"))
 
     def gathered(self, rows: DataFrame) -> DataFrame:
         """Small nodes as one row each: at most `SMALL` members."""
@@ -375,8 +376,8 @@ class Join:
             self.confirm(self.rest(small))
             return
         lower, wide, any_wide = self.placed_nodes(cut(branched(rows, threshold, DEEPER)))
-        self.confirm(self.rest(small).unionByName(self.sketch(lower, wide if any_wide else None)).distinct())
-        last = self.rest(lower)
+        self.confirm(self.sketch(lower, wide if any_wide else None))
+        last = self.rest(small).unionByName(self.rest(lower)).distinct()
         if any_wide:
             last = last.unionByName(self.blocked(cut(self.unsettled(wide)))).distinct()
         self.confirm(last)
