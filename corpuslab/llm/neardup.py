@@ -4,8 +4,9 @@ A document is its set of word shingles, sketched by minwise tokens. Every tree s
 document down the branches of a few of its tokens, chosen by hash so that about 1 / threshold
 branches are followed at a node: documents of that similarity meet below each node with a
 probability that does not fade with depth, and independent trees repeat the chance. Nodes
-of few documents are compared exhaustively; larger ones link their members to a pivot first, and
-branch on where that leaves more than one component; what then is large still is compared in blocks. Links are confirmed on full sets.
+of few documents are compared exhaustively; larger ones below the roots link their members to a pivot first, and
+branch on where that leaves more than one component. Branches only find links early: what they leave in more than one
+component is compared in blocks, all of the node, so a pair that meets below a root is never lost. Links are confirmed on full sets.
 
 Equal sets are one class from the start, so copies cost nothing, and within a component
 nothing more is compared, so a group of near copies takes about as many comparisons as members.
@@ -31,8 +32,8 @@ TOKENS = 64  # minwise tokens of a sketch
 BINS = 512  # ranges of hashes of which a sketch keeps one byte of the smallest member
 TREES = 8
 SMALL = 256  # documents of a node that are compared exhaustively
-BLOCK = 2048  # documents of a side of a block of a large node that branching does not part
-DEEPER = 3  # levels that large nodes go down at once
+BLOCK = 2048  # documents of a side of a block of a large node
+DEEPER = 3  # levels that large nodes go down at once to find links
 U64 = np.uint64
 SALTS = np.array([xxhash.xxh64_intdigest(b"", i) for i in range(4 * TOKENS)], U64)
 
@@ -169,19 +170,20 @@ class Rule:
         spread = np.sqrt(np.maximum(filled * p * (1 - p) * np.clip((whole - filled) / np.maximum(whole - 1, 1), 0.02, 1), 0))
         return equal >= p * filled - 6 * spread - 2
 
-    def candidates(self, tokens: np.ndarray, bins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, tokens: np.ndarray, bins: np.ndarray, n: np.ndarray, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Pairs i < j of rows that may be linked, from sketches and sizes. One byte of each token is
-        compared first, which only ever finds more of them equal."""
+        compared first, which only ever finds more of them equal. `split`: only pairs of one of
+        the first so many rows and one of the rest."""
         low, found = np.ascontiguousarray(tokens & 255).astype(np.uint8), ([], [])
         step = max(1, 4_000_000 // (len(n) * TOKENS))
-        for at in range(0, len(n), step):
-            part = slice(at, at + step)
-            close = (low[part, None, :] == low[None, at:, :]).sum(2, dtype=np.uint8) >= self.seen
-            sizes = n[part, None], n[None, at:]
+        for at in range(0, split or len(n), step):
+            part, first = slice(at, min(at + step, split or len(n))), split or at
+            close = (low[part, None, :] == low[None, first:, :]).sum(2, dtype=np.uint8) >= self.seen
+            sizes = n[part, None], n[None, first:]
             close &= 100 * np.minimum(*sizes) >= self.percent * np.maximum(*sizes)
-            i, j = np.nonzero(np.triu(close, 1))
+            i, j = np.nonzero(close if split else np.triu(close, 1))
             for k in range(0, len(i), 4096):
-                a, b = at + i[k : k + 4096], at + j[k : k + 4096]
+                a, b = at + i[k : k + 4096], first + j[k : k + 4096]
                 same = ((tokens[a] == tokens[b]).sum(1) >= self.seen) & self.likely(bins[a], bins[b], n[a], n[b])
                 found[0].append(a[same])
                 found[1].append(b[same])
@@ -216,10 +218,10 @@ def forest_of(a: np.ndarray, b: np.ndarray, score: np.ndarray, size: int) -> lis
 
 
 def node_pairs(nodes: DataFrame, rule: Rule, forest: bool, slots: list[tuple[int, int]]) -> DataFrame:
-    """Candidate pairs (a, b) of gathered small nodes (slot, members: class, n, tokens, bins, mask,
-    component). `forest`: of each node only a spanning forest of the most similar ones; else all
-    pairs whose components differ. Of the small nodes below the roots that two documents
-    share, the first alone passes their pair on; `mask` has the slots of a document's small nodes."""
+    """Candidate pairs (a, b) of gathered nodes or blocks (slot, members: class, n, tokens, bins, mask,
+    component, side). `forest`: of each node only a spanning forest of the most similar ones; else all
+    pairs whose components differ, and of members of both sides only those between them. Of the nodes below the roots
+    that two documents share, the first alone passes their pair on; `mask` has the slots of a document's nodes."""
     at = np.array([i for _, i in slots])
     bit = U64(1) << np.arange(len(slots), dtype=U64)
 
@@ -232,12 +234,13 @@ def node_pairs(nodes: DataFrame, rule: Rule, forest: bool, slots: list[tuple[int
             ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
             name, part = names(members.field("class")), names(members.field("component"))
             tokens, bins = matrix(members.field("tokens"), "<u4"), matrix(members.field("bins"), np.uint8)
-            n, mask = np.asarray(members.field("n")), np.asarray(members.field("mask")).view(U64)
+            n, mask, side = np.asarray(members.field("n")), np.asarray(members.field("mask")).view(U64), np.asarray(members.field("side"))
             left, right = [], []
             for start, end, slot in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column("slot").to_pylist()):
-                order = start + np.lexsort((name[start:end, 1], name[start:end, 0]))
+                order = start + np.lexsort((name[start:end, 1], name[start:end, 0], side[start:end]))
                 sets, own, sizes = tokens[order], part[order], n[order]
-                a, b = rule.candidates(sets, bins[order], sizes)
+                first = int((side[order] == side[order[0]]).sum())
+                a, b = rule.candidates(sets, bins[order], sizes, first if first < len(order) else 0)
                 differ = (own[a] != own[b]).any(1)
                 a, b = a[differ], b[differ]
                 if forest and len(a) > 1:
@@ -247,8 +250,10 @@ def node_pairs(nodes: DataFrame, rule: Rule, forest: bool, slots: list[tuple[int
                     shared = np.where(sets[a][:, at] == sets[b][:, at], bit, U64(0)).sum(1, dtype=U64) & mask[order[a]] & mask[order[b]]
                     here = (shared & (~shared + U64(1))) == bit[slot]
                     a, b = a[here], b[here]
-                left.append(order[a])
-                right.append(order[b])
+                x, y = name[order[a]], name[order[b]]
+                rising = (x[:, 0] < y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] < y[:, 1]))
+                left.append(order[np.where(rising, a, b)])
+                right.append(order[np.where(rising, b, a)])
             digests = members.field("class")
             yield pa.RecordBatch.from_arrays([digests.take(pa.array(np.concatenate(left))), digests.take(pa.array(np.concatenate(right)))], names=["a", "b"])
 
@@ -343,14 +348,14 @@ class Join:
 
     def gathered(self, rows: DataFrame) -> DataFrame:
         """Small nodes as one row each: at most `SMALL` members."""
-        return rows.groupBy("path").agg(F.min("slot").alias("slot"), F.collect_list(F.struct("class", "n", "tokens", "bins", "mask", "component")).alias("members"))
+        return rows.groupBy("path").agg(F.min("slot").alias("slot"), F.collect_list(F.struct("class", "n", "tokens", "bins", "mask", "component", F.lit(0).alias("side"))).alias("members"))
 
     def placed_nodes(self, paths: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
         """Members of the small and of the large nodes, and whether there are large ones."""
         nodes = cut(populated(paths))
         members = paths.drop("slot").join(nodes, "path").join(self.classes.select("class", F.col("n_shingles").alias("n"), "tokens", "bins"), "class")
         # A class is in as many nodes as it has slots at most.
-        own = F.when((F.col("size") <= SMALL) & F.col("slot").isNotNull(), F.expr("shiftleft(1L, slot)")).otherwise(0)
+        own = F.when(F.col("slot").isNotNull(), F.expr("shiftleft(1L, slot)")).otherwise(0)
         members = cut(members.withColumn("mask", F.bit_or(own).over(Window.partitionBy("class"))))
         large = members.where(F.col("size") > SMALL)
         return members.where(F.col("size") <= SMALL), large, not large.isEmpty()
@@ -377,23 +382,22 @@ class Join:
             return
         lower, wide, any_wide = self.placed_nodes(cut(branched(rows, threshold, DEEPER)))
         self.confirm(self.sketch(lower, wide if any_wide else None))
-        last = self.rest(small).unionByName(self.rest(lower)).distinct()
-        if any_wide:
-            last = last.unionByName(self.blocked(cut(self.unsettled(wide)))).distinct()
-        self.confirm(last)
+        # Branches of a pair may all die or part, so what is open is compared in the nodes below the roots.
+        self.confirm(self.rest(small).unionByName(self.blocked(cut(self.unsettled(rows)))).distinct())
 
     def blocked(self, rows: DataFrame) -> DataFrame:
-        """Candidates of large nodes that branching did not part: those outside the node's most
-        frequent component against all members, in blocks of `BLOCK` by `BLOCK`."""
-        rows = self.placed(rows)
+        """All candidates of large nodes that components found so far leave open: those outside the node's most
+        frequent component against each other and against that component, in blocks of `BLOCK` by `BLOCK`."""
         by = rows.groupBy("path", "component").agg(F.count("*").alias("many"))
-        largest = by.groupBy("path").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.sum("many").alias("all"), (F.sum("many") - F.max("many")).alias("outside"))
-        rows = rows.join(largest, "path").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("out_blocks", F.greatest(F.lit(1), F.ceil(F.col("outside") / BLOCK)).cast("int"))
-        spot = F.xxhash64("class")
-        inner = rows.select("path", F.pmod(spot, "blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, out_blocks - 1)")).alias("j"), F.lit(0).alias("side"), "class", "n", "tokens", "bins", "mask", "component")
-        outer = rows.where(~F.col("component").eqNullSafe(F.col("largest"))).select("path", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.pmod(spot, "out_blocks").cast("int").alias("j"), F.lit(1).alias("side"), "class", "n", "tokens", "bins", "mask", "component")
-        both = inner.unionByName(outer).groupBy("path", "i", "j").agg(F.lit(None).cast("int").alias("slot"), F.collect_set(F.struct("class", "n", "tokens", "bins", "mask", "component")).alias("members"))
-        return node_pairs(both, self.rule, False, [])
+        largest = by.groupBy("path").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.max("many").alias("inside"), (F.sum("many") - F.max("many")).alias("outside"))
+        rows = rows.join(largest, "path").withColumn("blocks", F.ceil(F.col("inside") / BLOCK).cast("int")).withColumn("out_blocks", F.ceil(F.col("outside") / BLOCK).cast("int"))
+        out, spot = ~F.col("component").eqNullSafe(F.col("largest")), F.xxhash64("class")
+        # Blocks outside come first; a pair of blocks (i, j) has i <= j and at least i outside.
+        own = F.when(out, F.pmod(spot, "out_blocks")).otherwise(F.col("out_blocks") + F.pmod(spot, "blocks")).cast("int")
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(out, F.expr("sequence(0, out_blocks + blocks - 1)")).otherwise(F.expr("sequence(0, out_blocks - 1)"))))
+        member = F.struct("class", "n", "tokens", "bins", "mask", "component", (F.col("own") > F.col("other")).cast("int").alias("side"))
+        both = rows.groupBy("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.min("slot").alias("slot"), F.collect_list(member).alias("members"))
+        return node_pairs(both, self.rule, False, self.slots)
 
 
 def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text") -> DataFrame:

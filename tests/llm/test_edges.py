@@ -239,6 +239,20 @@ def test_near_duplicates_brute(spark, monkeypatch, small):
     assert got == want
 
 
+def test_near_duplicates_of_a_large_family(spark, monkeypatch):
+    """400 documents share a passage, so their nodes are large; only the two of a pair are at the
+    threshold. In this family no branch is left that 59 of the pairs follow together."""
+    monkeypatch.setattr(neardup, "BLOCK", 150)
+    passage = " ".join(f"p20x{i}" for i in range(700))
+    rows = []
+    for i in range(200):
+        both = " ".join(f"c20x{i}x{k}" for k in range(10))
+        rows += [(2 * i + e, f"{passage} {both} " + " ".join(f"u20x{i}x{e}x{k}" for k in range(60))) for e in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.grouped(df, size=1, percent=85).collect()}
+    assert got == {i: i - i % 2 for i in range(400)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(70)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     out = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
