@@ -67,13 +67,13 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 12, stay: float = 0
     return ranks
 
 
-def host_verdicts(hosts: DataFrame, edges: DataFrame, least: float = 0.5, floor: float = 1e-9, **walk) -> DataFrame:
+def host_verdicts(hosts: DataFrame, edges: DataFrame, least: float = 0.5, **walk) -> DataFrame:
     """host, trust, distrust, verdict of every host of `hosts` (host, allowed, blocked: pages that a
     rule allows or blocks).
 
     A host is a trusted seed if more of its pages are allowed than blocked, a blocked one in the
-    other case. Block if the host's distrust is over `floor` and makes up more than `least` of trust and distrust;
-    else allow. Hosts that no seed reaches are allowed."""
+    other case. Block if distrust makes up more than `least` of the host's trust and distrust, however small both
+    are: scores shrink with the number of seeds; else allow. Hosts that no seed reaches are allowed."""
     hosts = cut(hosts)
     lean = F.col("allowed") - F.col("blocked")
 
@@ -86,7 +86,7 @@ def host_verdicts(hosts: DataFrame, edges: DataFrame, least: float = 0.5, floor:
     trust = spread(edges, seeds(lean > 0), **walk).withColumnRenamed("score", "trust")
     distrust = spread(back, seeds(lean < 0), **walk).withColumnRenamed("score", "distrust")
     out = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    bad = (F.col("distrust") > floor) & (F.col("distrust") > least * (F.col("trust") + F.col("distrust")))
+    bad = F.col("distrust") > least * (F.col("trust") + F.col("distrust"))
     return out.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
 
 

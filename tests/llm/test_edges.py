@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.llm import chat, graph, licenses, linkgraph, neardup, quality, secretscan, tiling, tokencount, warc, wordbpe
-from corpuslab.session import new_folder
+from corpuslab.session import cut, new_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, row int, a string"
 WORD_BPE, PIECE_BPE = (public_tokenizers.path(p) for p in ("word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -338,3 +338,17 @@ def test_distrust_flows_back(spark):
     ]
     out = {r["page_id"]: r["verdict"] for r in linkgraph.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert out == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
+
+
+def test_verdicts_of_a_graph_copied_many_times(spark):
+    """b is blocked; y and 1,999 more link to b, x and 1,999 more to y. Copies of the graph keep its verdicts."""
+    def verdicts(copies):
+        many = spark.range(copies).select(F.concat(F.lit("."), "id").alias("copy")).crossJoin(spark.range(2000).withColumnRenamed("id", "i"))
+        fans = many.select(F.explode(F.array(*[F.struct(F.when(F.col("i") == 0, first).otherwise(F.concat(F.lit(first), F.lit("-"), "i")).alias("s"), F.lit(to).alias("t")) for first, to in (("y", "b"), ("x", "y"))])).alias("e"), "copy")
+        edges = cut(fans.select(F.concat("e.s", "copy").alias("source"), F.concat("e.t", "copy").alias("target"), F.lit(1).alias("weight")))
+        hosts = edges.select(F.col("source").alias("host")).unionByName(edges.select(F.col("target").alias("host"))).distinct()
+        out = linkgraph.host_verdicts(hosts.withColumn("allowed", F.lit(0)).withColumn("blocked", F.col("host").startswith("b").cast("int")), edges)
+        return {r["host_verdict"]: r["n"] for r in out.groupBy("host_verdict").agg(F.count("*").alias("n")).collect()}
+
+    assert verdicts(1) == {"block": 4001}
+    assert verdicts(40) == {"block": 40 * 4001}
