@@ -46,24 +46,34 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return edges.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 12, stay: float = 0.85, each: int = 4) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, stay: float = 0.85, each: int = 4, tolerance: float = 1e-6, most: int = 2000) -> DataFrame:
     """Personalised PageRank of hosts: (host, score), sums to at most 1.
 
     edges: source, target, weight; seeds: host, mass (sums to 1). Rank follows an edge by its share of the
-    source's weight; a source without edges gives its rank up. `rounds` bound the error by stay^rounds. Edges are one
-    row per pair of hosts, so a popular host costs as many rows as hosts that link to it, which
+    source's weight; a source without edges gives its rank up. Scores only grow from round to round. Rounds go on until
+    in `each` of them no host is reached for the first time and no score grows by more than `tolerance` of itself, so the
+    smallest scores are as settled as the largest; over `most` rounds raise. `rounds`: exactly so many instead.
+    Edges are one row per pair of hosts, so a popular host costs as many rows as hosts that link to it, which
     are summed in the tasks. The ranks are written every `each` rounds."""
     total = edges.groupBy("source").agg(F.sum("weight").alias("total"))
     shares = cut(edges.join(total, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")))
     begin = seeds.select("host", ((1 - stay) * F.col("mass")).alias("score"))
-    ranks = seeds.select("host", F.col("mass").alias("score"))
     if shares.isEmpty():
         return begin
-    for i in range(rounds):
-        moved = shares.join(ranks, shares["source"] == ranks["host"]).select(F.col("target").alias("host"), (stay * F.col("share") * F.col("score")).alias("score"))
-        ranks = begin.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if (i + 1) % each == 0:
-            ranks = cut(ranks)
+    begin = ranks = cut(begin)
+    done = 0
+    while done < (most if rounds is None else rounds):
+        before = ranks
+        for _ in range(each if rounds is None else min(each, rounds - done)):
+            moved = shares.join(ranks, shares["source"] == ranks["host"]).select(F.col("target").alias("host"), (stay * F.col("share") * F.col("score")).alias("score"))
+            ranks = begin.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
+            done += 1
+        ranks = cut(ranks)
+        grown = F.col("score") - F.coalesce("was", F.lit(0.0)) > tolerance * F.col("score")
+        if rounds is None and ranks.join(before.withColumnRenamed("score", "was"), "host", "left").where(grown).isEmpty():
+            return ranks
+    if rounds is None:
+        raise ValueError(f"ranks did not settle in {most} rounds")
     return ranks
 
 

@@ -352,3 +352,20 @@ def test_verdicts_of_a_graph_copied_many_times(spark):
 
     assert verdicts(1) == {"block": 4001}
     assert verdicts(40) == {"block": 40 * 4001}
+
+
+def test_ranks_settle(spark):
+    """Defaults on a chain of 40 hosts towards a blocked one, and against the linear solve on a ring with chords."""
+    hosts = spark.createDataFrame([(f"h{i:02}", 0, int(i == 0)) for i in range(41)], "host string, allowed long, blocked long")
+    edge = "source string, target string, weight long"
+    chain = spark.createDataFrame([(f"h{i + 1:02}", f"h{i:02}", 1) for i in range(40)], edge)
+    out = {r["host"]: (r["host_verdict"], r["distrust"]) for r in linkgraph.host_verdicts(hosts, chain).collect()}
+    assert all(out[f"h{i:02}"][0] == "block" and abs(out[f"h{i:02}"][1] / (0.15 * 0.85**i) - 1) < 1e-9 for i in range(41))
+    with pytest.raises(ValueError, match="settle"):
+        linkgraph.spread(chain, spark.createDataFrame([("h40", 1.0)], "host string, mass double"), most=12)
+    links, p = [(i, (i + 1) % 9, 2) for i in range(9)] + [(4, 1, 1), (7, 2, 3)], np.zeros((9, 9))
+    for s, t, w in links:
+        p[s, t] = w / sum(e[2] for e in links if e[0] == s)
+    want = np.linalg.solve(np.eye(9) - 0.85 * p.T, 0.15 * np.eye(9)[0])
+    got = linkgraph.spread(spark.createDataFrame([(f"n{s}", f"n{t}", w) for s, t, w in links], edge), spark.createDataFrame([("n0", 1.0)], "host string, mass double"))
+    assert all(abs(r["score"] / want[int(r["host"][1:])] - 1) < 1e-5 for r in got.collect()) and got.count() == 9
