@@ -78,4 +78,4 @@ def knn_pruned(t: Tables) -> DataFrame:
 
 @query()
 def knn_lsh(t: Tables) -> DataFrame:
-    return rounded(nn.nearest_lsh(as_queries(t), as_docs(t), 5, 64, width=1.0, tables=4, hashes=2))
+    return rounded(nn.nearest_lsh(as_queries(t), as_docs(t), 5, 64, width=5.0, tables=40, hashes=14))

@@ -110,6 +110,24 @@ def test_lsh_recall(spark, folder):
     assert sum((a, b) in found for a, b, _ in exact) / len(exact) > 0.9
 
 
+def test_lsh_recall_of_the_registered_query(spark, folder, monkeypatch):
+    """Recall@5 of `knn_lsh` as registered, over all embeddings, by an index under which not nearly all pairs meet."""
+    from __spark_entry__ import queries
+
+    used, plain = {}, nn.bucketed
+    monkeypatch.setattr(nn, "bucketed", lambda df, *how: used.update(how=how) or plain(df, *how))
+    found = {(a, b) for a, b, _ in as_set(queries()["knn_lsh"](spark, folder))}
+    vecs = spark.read.parquet(f"{folder}/embeddings.parquet")
+    q = vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    exact = {(a, b) for a, b, _ in as_set(nn.nearest(q, q.withColumnRenamed("query_id", "doc_id"), 5))}
+    assert len(exact & found) / len(exact) > 0.9
+    rows = plain(q, *used["how"]).select("query_id", "_table", "_bucket").toPandas()
+    n, met = rows["query_id"].nunique(), set()
+    for _, ids in rows.groupby(["_table", "_bucket"])["query_id"]:
+        met |= {(a, b) for a in ids for b in ids}
+    assert len(met) < 0.75 * n * n
+
+
 def test_unit_keeps_zero(spark):
     rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r.u for r in rows.select(unit(F.col("v")).alias("u")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
