@@ -90,6 +90,48 @@ URLS = rf"""WITH rows_ AS (SELECT page_id, html, {_host('url')} AS host, coalesc
     SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN distrust > 1e-9 AND distrust > 0.5 * (trust + distrust) THEN 'block' END, 'allow') AS verdict,
       round(coalesce(trust, 0), 12) AS trust, round(coalesce(distrust, 0), 12) AS distrust FROM ruled r LEFT JOIN marks m ON m.host = r.host"""
 
+
+def _assign(name: str, book: str) -> str:
+    """The nearest entry of every part, as squared distance * 64 + entry."""
+    far = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))"
+    return f"{name} AS MATERIALIZED (SELECT p.vec_id, p.part, CAST(min({far} * 64 + entry) AS BIGINT) AS m FROM parts p JOIN {book} b ON b.part = p.part GROUP BY ALL)"
+
+
+def _average(name: str, assigned: str, book: str) -> str:
+    """Entries of the next round."""
+    return f"""{name}_p AS (SELECT part, entry, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT a.part, m % 64 AS entry, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM {assigned} a JOIN parts p ON p.vec_id = a.vec_id AND p.part = a.part) GROUP BY ALL),
+    {name}_n AS (SELECT part, entry, list(x ORDER BY i) AS x FROM {name}_p GROUP BY ALL),
+    {name} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM {book} b LEFT JOIN {name}_n n ON n.part = b.part AND n.entry = b.entry)"""
+
+
+CODES = f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT vec_id, CAST(k AS INT) AS part, v[k * len(v) // 16 + 1 : (k + 1) * len(v) // 16] AS x FROM v, range(16) r(k)),
+    book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM parts QUALIFY entry < 64),
+    {_assign('a1', 'book0')}, {_average('book1', 'a1', 'book0')}, {_assign('a2', 'book1')}, {_average('book2', 'a2', 'book1')}, {_assign('a3', 'book2')},
+    c AS (SELECT vec_id, string_agg(lpad(to_hex(m % 64), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a3 GROUP BY vec_id),
+    h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM book2)
+    SELECT c.vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM c JOIN v ON v.vec_id = c.vec_id, h"""
+
+EXACT = rf"""WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '{SPACE}', '', 'g') AS norm FROM documents),
+    g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g"""
+
+RESAMPLED = rf"""WITH both_ AS (SELECT doc_id, 1 AS source, text FROM documents UNION ALL SELECT NULL, 0, text FROM benchmark),
+    w AS (SELECT doc_id, source, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM both_),
+    crc_table AS (SELECT list(c ORDER BY i) AS c FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+    bytes AS (SELECT w, list_transform(range(0, strlen(w)), lambda i: 16 * (strpos('0123456789ABCDEF', hex(w)[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', hex(w)[2 * i + 2]) - 1) AS b FROM (SELECT DISTINCT w FROM w)),
+    buckets AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda x, y: xor(x // 256, c[xor(x, y) % 256 + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc_table),
+    f AS MATERIALIZED (SELECT doc_id, source, bucket, count(*) AS n FROM w JOIN buckets USING (w) GROUP BY ALL),
+    n AS (SELECT bucket, CAST(sum(n * source) AS BIGINT) AS s, CAST(sum(n * (1 - source)) AS BIGINT) AS t FROM f GROUP BY bucket),
+    gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (CAST((SELECT sum(s) FROM n) AS DOUBLE) + 10000) / (CAST(s + 1 AS DOUBLE) * (CAST((SELECT sum(t) FROM n) AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM n),
+    d AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM f JOIN gains USING (bucket) WHERE source = 1 GROUP BY doc_id),
+    s AS (SELECT o.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256('2024:' || o.doc_id), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM documents o LEFT JOIN d ON d.doc_id = o.doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS many FROM s)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= many * 10 // 100 THEN r END AS rank FROM r"""
+
 ORACLES = {
+    "op11_vector_codes": CODES, "op12_exact_duplicates": EXACT, "op13_importance_resampling": RESAMPLED,
     "op1_quality_rules": QUALITY, "op3_warc": WARC, "op6_license_scan": LICENSES, "op7_near_duplicates": NEAR, "op10_url_filter": URLS,
 }

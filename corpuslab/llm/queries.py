@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import chat, licenses, linkgraph, neardup, quality, secretscan, tiling, tokencount, warc, wordbpe
+from corpuslab.llm import chat, exactdup, licenses, linkgraph, neardup, quality, resample, secretscan, tiling, tokencount, vectorcodes, warc, wordbpe
 from corpuslab.llm.oracles import ORACLES  # noqa: F401  registered beside QUERIES
 from corpuslab.session import new_folder
 
@@ -98,6 +98,18 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("trust", F.round("trust", 12)).withColumn("distrust", F.round("distrust", 12))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vectorcodes.compressed(table(spark, folder, "embeddings")).drop("label")
+
+
+def op12_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return exactdup.grouped(table(spark, folder, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_words")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_secret_scans, op3_warc, op4_bpe_codec, op5_chat_format, op6_license_scan,
-        op7_near_duplicates, op8_token_counts, op9_decontamination, op10_url_filter, pipeline,
+        op7_near_duplicates, op8_token_counts, op9_decontamination, op10_url_filter, op11_vector_codes,
+        op12_exact_duplicates, op13_importance_resampling, pipeline,
     )
 }
