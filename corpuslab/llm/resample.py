@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.rows import slices
 from corpuslab.llm.worker import Bounded, kept
 from corpuslab.operators.ordering import sorted_ordinal
 from corpuslab.session import cut
@@ -27,7 +28,6 @@ from corpuslab.session import cut
 #: On lower-cased UTF-8: runs of ASCII letters and digits and of all bytes beyond ASCII; or the sentinel.
 WORD = re.compile(b"[0-9a-z\x80-\xff]+|\x00")
 SENTINEL = b"\x00"
-BATCH_BYTES = 1 << 20
 WORDS_KEPT = 200_000
 
 
@@ -60,24 +60,12 @@ def features(texts: list[bytes], low: int = 1, high: int = 1, buckets: int = 10_
     return np.concatenate(hashes) % buckets, np.concatenate(owners), n_words
 
 
-def _batches(batches):
-    """Slices of record batches that hold about BATCH_BYTES of text (column 0) or one text, and their texts."""
-    for whole in batches:
-        sizes = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in whole.column(0).cast(pa.binary()).to_pylist()])])
-        at = 0
-        while at < whole.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BATCH_BYTES, "right")) - 1)
-            part = whole.slice(at, end - at)
-            yield part, [x or b"" for x in part.column(0).cast(pa.binary()).to_pylist()]
-            at = end
-
-
 def bucket_counts(docs: DataFrame, column: str = "text", low: int = 1, high: int = 1, buckets: int = 10_000) -> np.ndarray:
     """Features of all texts by bucket. Each task adds up its own; one row per bucket comes to the driver."""
 
     def run(batches):
         counts = np.zeros(buckets, np.int64)
-        for _, texts in _batches(batches):
+        for _, texts in slices(batches):
             counts += np.bincount(features(texts, low, high, buckets)[0], minlength=buckets)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=["bucket", "n"])
@@ -102,7 +90,7 @@ def weighed(docs: DataFrame, gain: np.ndarray, seed: int, doc_id: str = "doc_id"
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for part, texts in _batches(batches):
+        for part, texts in slices(batches):
             found, owner, n_words = features(texts, low, high, len(gain))
             n = np.bincount(owner, minlength=len(texts))
             total = np.zeros(len(texts), np.int64)

@@ -28,6 +28,21 @@ def unpacked(df: DataFrame, results: list[str], row: str = "row") -> DataFrame:
     return df.select(*[F.col(row)[c].alias(c) for c in inner], *results)
 
 
+def slices(batches, column: int = 0, most: int = 1 << 20, rows: int = ROWS_A_BATCH):
+    """Parts of record batches with about `most` bytes of text in a column, or one text, and its values as
+    bytes (null: empty)."""
+    for whole in batches:
+        texts = [x or b"" for x in whole.column(column).cast(pa.binary()).to_pylist()]
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < min(len(texts), at + rows) and size + len(texts[end]) <= most:
+                size += len(texts[end])
+                end += 1
+            yield whole.slice(at, end - at), texts[at:end]
+            at = end
+
+
 def batched(df: DataFrame, inputs: dict[str, str], keep: list[str] | None, added: str, fn) -> DataFrame:
     """`fn(lists of the input columns) -> lists of the added columns`, batch by batch.
 
