@@ -6,19 +6,18 @@ the easy band, which is all the rest, by its size and by exact random draws from
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.vectors import pair_distance
+from corpuslab.functions.vectors import as_doubles, pair_distance, unit
 from corpuslab.operators import nearest as nn
-from corpuslab.operators.ordering import hashed_ordinal
+from corpuslab.operators.ordering import sorted_ordinal
 from corpuslab.session import cut
 
 # Default sizes and the score scale.
 N_POS, GAP, N_NEG = 5, 0, 200
-LONGEST_STRETCH = 4096
 SCORE_SCALE, SCORE_SHIFT = 10.0, 0.01
 
 
@@ -79,85 +78,124 @@ def easy_band_sizes(queries: DataFrame, docs: DataFrame, n_pos: int = N_POS, gap
     )
 
 
-def next_prime(n: int) -> int:
-    def prime(x: int) -> bool:
-        return x > 1 and all(x % f for f in range(2, int(x**0.5) + 1))
+#: Half the bits of the largest corpus that draws number: 2**40 documents.
+MOST_HALF = 20
+# Multipliers and shifts of the rounds of `shuffled`.
+MIX = (1103515245, 1540483477)
+MIX_MODULUS, MIX_FOLD, MIX_LOW, KEY_DIGITS, ROUNDS = 1 << 31, 1 << 15, 1 << 11, 6, 4
 
-    while not prime(n):
-        n += 1
-    return n
 
+def shuffled(place: np.ndarray, size: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place-th number of a keyed permutation of 0..size-1, element by element.
 
-def _hash_number(seed: str, tag: str, key: Column) -> Column:
-    text = F.concat_ws("|", F.lit(seed), F.lit(tag), key.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+    A Feistel network of `ROUNDS` rounds permutes the numbers of the next power of four; what falls
+    outside is permuted again until it is inside, which takes under four steps on average.
+    keys: one row of `ROUNDS` numbers below 2**24 for each element."""
+    half = np.zeros(len(size), np.int64)
+    while (short := (np.int64(1) << (2 * half)) < size).any():
+        half[short] += 1
+    if len(half) and half.max() > MOST_HALF:
+        raise ValueError(f"more than 2**{2 * MOST_HALF} documents")
+    out, open_ = place.astype(np.int64), np.arange(len(place))
+    while len(open_):
+        many = np.int64(1) << half[open_]
+        left, right = out[open_] // many, out[open_] % many
+        for i in range(ROUNDS):
+            x = (right + keys[open_, i]) * MIX[0] % MIX_MODULUS
+            x = (x ^ (x // MIX_FOLD)) * MIX[1] % MIX_MODULUS
+            left, right = right, left ^ (x // MIX_LOW % many)
+        out[open_] = left * many + right
+        open_ = open_[out[open_] >= size[open_]]
+    return out
 
 
-def walk_of(key: Column, prime: int, seed: str) -> tuple[Column, Column]:
-    """Start and stride of a walk through 0..prime-1 that visits each number once."""
-    start = F.pmod(_hash_number(seed, "start", key), F.lit(prime))
-    stride = F.pmod(_hash_number(seed, "stride", key), F.lit(prime - 1)) + 1
-    return start, stride
+def copy_key(vec: Column, metric: str) -> Column:
+    """What copies of a vector have in common: the vector or, for cosine, its direction to 12 digits."""
+    exact = as_doubles(vec) if metric != "cosine" else F.transform(unit(vec), lambda x: F.round(x, 12))
+    return F.transform(exact, lambda x: x + F.lit(0.0))  # -0.0 is 0.0
 
 
 def draw(
     draws: DataFrame, docs: DataFrame, n: int, seed: str, excluded: DataFrame | None = None,
-    metric: str = "l2", skip_zero: bool = False, prime: int | None = None,
+    metric: str = "l2", skip_zero: bool = False,
 ) -> DataFrame:
     """n documents per draw, at random without replacement, outside `excluded`.
 
     draws:    draw_id, query_id, vec;  docs: doc_id, vec;  excluded: query_id, doc_id
     returns   draw_id, query_id, doc_id, distance, pick (1..n)
 
-    Each draw walks through all document numbers in its own order and takes the first
-    n that count, so no (draw, document) table is formed. Draws that are still short after a
-    stretch of the walk go on with the next one, longer up to `LONGEST_STRETCH`; what was met
-    is not met again. Only ids walk; vectors are brought to the n picks. With `skip_zero`
-    documents of the query's very vector do not count. A draw that has walked through all
-    documents and is short raises.
+    A draw with fewer free documents gives all of them, in random order; without one it gives no row.
+    With `skip_zero` copies of the query's vector (of its direction, for cosine) are not free.
+
+    Documents are numbered with copies side by side, so those of a query are one interval whatever
+    their number. A query's excluded numbers are sorted once; the j-th number that is free is found among them by
+    binary search, and j runs through a keyed permutation of the free ones. So each draw is one pass of its own row,
+    however much is excluded and however many documents there are; no (draw, document) table is formed.
     """
-    numbered = cut(hashed_ordinal(docs.select("doc_id", F.xxhash64("vec").alias("_dh")), ["doc_id"], seed))
-    total = docs.count()
-    prime = prime or next_prime(max(total, 3))
-    taken = None if excluded is None else cut(excluded.select("query_id", "doc_id").distinct())
-    start, stride = walk_of(F.col("draw_id"), prime, seed)
-    pending = draws.select(
-        "draw_id", "query_id", F.xxhash64("vec").alias("_qh"), start.alias("_start"), stride.alias("_stride"), F.lit(0).alias("_have")
-    )
-    done: list[DataFrame] = []
-    begin, stretch = 0, 2 * n + 8
-    while True:
-        end = min(begin + stretch, prime)
-        steps = pending.select("*", F.explode(F.sequence(F.lit(begin), F.lit(end - 1))).alias("_step")).withColumn(
-            "ordinal", F.pmod(F.col("_start") + F.col("_step") * F.col("_stride"), F.lit(prime))
-        )
-        met = steps.where(F.col("ordinal") < total).join(numbered, "ordinal")
-        if taken is not None:
-            met = met.join(taken, ["query_id", "doc_id"], "left_anti")
-        if skip_zero:
-            met = met.where("_qh <> _dh")
-        place = F.col("_have") + F.row_number().over(Window.partitionBy("draw_id").orderBy("_step"))
-        picks = cut(met.select("draw_id", "query_id", "doc_id", place.alias("pick")).where(F.col("pick") <= n))
-        done.append(picks)
-        got = picks.groupBy("draw_id").agg(F.max("pick").alias("_got"))
-        pending = pending.join(got, "draw_id", "left").withColumn("_have", F.greatest("_have", F.coalesce("_got", F.lit(0)))).drop("_got")
-        pending = cut(pending.where(F.col("_have") < n))
-        if pending.isEmpty():
-            break
-        if end >= prime:
-            raise ValueError(f"too few negatives for {pending.count()} draws of {n}")
-        begin, stretch = end, min(2 * stretch, LONGEST_STRETCH)
-    picked = reduce(DataFrame.unionByName, done)
+    key = copy_key(F.col("vec"), metric)
+    if skip_zero:
+        # Two hashes of 64 bits name a vector from here on.
+        ordered = sorted_ordinal(docs.select("doc_id", key.alias("_v")), ["_v", "doc_id"])
+        numbered = cut(ordered.select("doc_id", "ordinal", *_names(F.col("_v"))))
+        runs = numbered.groupBy("_k1", "_k2").agg(F.min("ordinal").alias("_a"), F.count("*").alias("_c"))
+        asked = draws.select("draw_id", "query_id", *_names(key)).join(runs, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    else:
+        numbered = cut(sorted_ordinal(docs.select("doc_id"), ["doc_id"]))
+        asked = draws.select("draw_id", "query_id", F.lit(None).cast("bigint").alias("_a"), F.lit(None).cast("bigint").alias("_c"))
+    if excluded is None:
+        asked = asked.withColumn("_out", F.array().cast("array<bigint>"))
+    else:
+        taken = excluded.join(numbered.select("doc_id", "ordinal"), "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_set("ordinal")).alias("_out"))
+        asked = asked.join(taken, "query_id", "left")
+    total = numbered.count()
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("draw_id").cast("string")))
+    keys = F.array(*[F.conv(F.substring(digest, 1 + i * KEY_DIGITS, KEY_DIGITS), 16, 10).cast("bigint") for i in range(ROUNDS)])
+    asked = asked.select("draw_id", "query_id", F.coalesce("_a", F.lit(total)).alias("_a"), F.coalesce("_c", F.lit(0)).alias("_c"), F.coalesce("_out", F.array().cast("array<bigint>")).alias("_out"), keys.alias("_keys"))
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+    picked = asked.mapInArrow(_picker(n, total), f"draw_id {kinds['draw_id']}, query_id {kinds['query_id']}, ordinal bigint, pick int").join(numbered.select("ordinal", "doc_id"), "ordinal").drop("ordinal")
     picked = picked.join(draws.select("draw_id", F.col("vec").alias("_qvec")), "draw_id").join(docs.select("doc_id", "vec"), "doc_id")
     distance = pair_distance(F.col("_qvec"), F.col("vec"), metric)
     return picked.select("draw_id", "query_id", "doc_id", distance.alias("distance"), "pick")
 
 
+def _names(vec: Column) -> list[Column]:
+    return [F.xxhash64(vec).alias("_k1"), F.xxhash64(F.lit(1), vec).alias("_k2")]
+
+
+def _picker(n: int, total: int):
+    """For draws (draw_id, query_id, start and length of the interval that is out, sorted numbers that are out,
+    keys): their picks as numbers 0..total-1."""
+
+    def run(batches):
+        for batch in batches:
+            start, length = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            keys = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, ROUNDS)
+            gaps = []
+            for a, c, out in zip(start, length, batch.column(4)):
+                out = np.array(out.as_py(), np.int64)
+                out = out[(out < a) | (out >= a + c)]
+                # Numbers without the interval; what is free below the i-th of them.
+                gaps.append(np.where(out < a, out, out - c) - np.arange(len(out)))
+            free = total - length - np.array([len(g) for g in gaps], np.int64)
+            many = np.minimum(free, n)
+            row = np.repeat(np.arange(len(many)), many)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            j = shuffled(place, free[row], keys[row])
+            ends = np.cumsum(many)
+            skipped = [np.searchsorted(g, j[e - m : e], "right") for g, e, m in zip(gaps, ends, many)]
+            j = j + (np.concatenate(skipped) if skipped else 0)
+            ordinal = np.where(j < start[row], j, j + length[row])
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(ordinal), pa.array(place + 1, pa.int32())], names=["draw_id", "query_id", "ordinal", "pick"])
+
+    return run
+
+
 def easy_draws(
     queries: DataFrame, docs: DataFrame, n: int, seed: str, n_pos: int = N_POS, gap: int = GAP, n_neg: int = N_NEG,
     metric: str = "l2",
 ) -> DataFrame:
-    """n random easy negatives per query: ranked behind all other bands (mode distance)."""
+    """n random easy negatives per query, or all of a smaller easy band: ranked behind all other bands (mode distance)."""
     near = nn.nearest(queries, docs, n_pos + gap + n_neg, metric, drop_zero=True)
     drawn = draw(
         queries.withColumn("draw_id", F.col("query_id").cast("string")), docs, n, seed, near, metric, skip_zero=True
@@ -167,7 +205,8 @@ def easy_draws(
 
 def mine_pos_neg(queries: DataFrame, docs: DataFrame, n: int = 5, seed: str = "12345", metric: str = "l2") -> DataFrame:
     """n nearest that are not copies, and n random ones ranked between the n+1 nearest
-    and the very last. Random picks are never positives and never at distance 0."""
+    and the very last. Random picks are never positives and never copies of the query; a query with fewer than n
+    such documents gets all of them. Under ip a distance may be 0 without a copy: that pick has no score."""
     near = cut(after_own_run(queries, docs, n, metric))
     head = nn.nearest(queries, docs, n + 1, metric)
     last = nn.nearest(queries, docs, 1, metric, farthest=True)
@@ -183,6 +222,6 @@ def mine_pos_neg(queries: DataFrame, docs: DataFrame, n: int = 5, seed: str = "1
     )
     neg = drawn.select(
         "query_id", "doc_id", F.lit("neg").alias("band"), F.col("pick").alias("slot"),
-        (F.lit(SCORE_SCALE) / F.col("distance")).alias("score"),
+        F.try_divide(F.lit(SCORE_SCALE), F.col("distance")).alias("score"),
     )
     return pos.unionByName(neg)

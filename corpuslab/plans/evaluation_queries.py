@@ -80,18 +80,27 @@ def maxsim_split(t: Tables) -> DataFrame:
     return scores.withColumn("score", F.round("score", 6))
 
 
-@query(
+SQL_RERANKED = (
     f"""WITH {sql_ranking("l2")}, qt AS (SELECT vec_id // 4 AS query_id, vec_id % 4 AS pos, v FROM vecs), dt AS (SELECT vec_id // 8 AS doc_id, vec_id % 7 <> 0 AS keep, v FROM vecs),
     cands AS (SELECT DISTINCT q.vec_id // 4 AS query_id, d.vec_id // 8 AS doc_id FROM vecs q, vecs d WHERE q.vec_id % 4 = 0 AND d.vec_id % 8 = 0), {sql_maxsim(DOT)},
     s AS (SELECT query_id, doc_id, sum(best) AS score FROM best GROUP BY ALL)
     SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s
     QUALIFY rank <= 5"""
 )
+
+
+@query(SQL_RERANKED)
 def rerank_all(t: Tables) -> DataFrame:
     best = interaction.rerank_all(query_tokens(t), doc_tokens(t), 5)
     return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(SQL_RERANKED)
+def rerank_pruned(t: Tables) -> DataFrame:
+    best = interaction.rerank_pruned(query_tokens(t), doc_tokens(t), 5)
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(
     f"""WITH {SQL_TOKEN_PAIRS}, {sql_maxsim(DOT)}, s AS (SELECT query_id, doc_id, sum(best) AS score FROM best GROUP BY ALL)
     SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3"""
@@ -120,7 +129,7 @@ GROUP = ["query_id", "pos_id"]
 
 
 @query(
-    f"""WITH {SQL_SCORED}, l AS (SELECT query_id, pos_id, ln(sum(exp(score))) AS a, ln(sum(CASE WHEN slot = 0 OR slot >= 6 THEN exp(score) END)) AS e, max(CASE WHEN slot = 0 THEN score END) AS s0 FROM scored GROUP BY ALL)
+    f"""WITH RECURSIVE {SQL_SCORED}, l AS (SELECT query_id, pos_id, ln(sum(exp(score))) AS a, ln(sum(CASE WHEN slot = 0 OR slot >= 6 THEN exp(score) END)) AS e, max(CASE WHEN slot = 0 THEN score END) AS s0 FROM scored GROUP BY ALL)
     SELECT query_id, pos_id, round(a - s0, 6) AS self_loss, round(e - s0, 6) AS easy_loss FROM l"""
 )
 def contrastive_ce(t: Tables) -> DataFrame:
@@ -131,7 +140,7 @@ def contrastive_ce(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_SCORED}, l AS (SELECT *, target * 0.1 - ln(sum(exp(target * 0.1)) OVER w) AS lt, score - ln(sum(exp(score)) OVER w) AS ls FROM scored WINDOW w AS (PARTITION BY query_id, pos_id)),
+    f"""WITH RECURSIVE {SQL_SCORED}, l AS (SELECT *, target * 0.1 - ln(sum(exp(target * 0.1)) OVER w) AS lt, score - ln(sum(exp(score)) OVER w) AS ls FROM scored WINDOW w AS (PARTITION BY query_id, pos_id)),
     g AS (SELECT query_id, pos_id, sum(exp(lt) * (lt - ls)) AS loss FROM l GROUP BY ALL) SELECT round(avg(loss), 6) AS loss, count(*) AS n_groups FROM g"""
 )
 def listwise_kl(t: Tables) -> DataFrame:
@@ -140,7 +149,7 @@ def listwise_kl(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_SCORED}, g AS (SELECT query_id, pos_id, arg_max(slot, (score, -slot)) = arg_max(slot, (target, -slot)) AS hit FROM scored GROUP BY ALL)
+    f"""WITH RECURSIVE {SQL_SCORED}, g AS (SELECT query_id, pos_id, arg_max(slot, (score, -slot)) = arg_max(slot, (target, -slot)) AS hit FROM scored GROUP BY ALL)
     SELECT round(avg(CAST(hit AS INT)), 6) AS top1_rate, count(*) AS n_groups FROM g"""
 )
 def top1_rate(t: Tables) -> DataFrame:
@@ -148,7 +157,7 @@ def top1_rate(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_SCORED}, m AS (SELECT avg(CASE WHEN slot = 0 THEN score END) AS p, avg(CASE WHEN slot = 1 THEN score END) AS n FROM scored)
+    f"""WITH RECURSIVE {SQL_SCORED}, m AS (SELECT avg(CASE WHEN slot = 0 THEN score END) AS p, avg(CASE WHEN slot = 1 THEN score END) AS n FROM scored)
     SELECT round(p, 6) AS positive, round(n, 6) AS negative, round(round(p, 2) - round(n, 2), 6) AS margin FROM m"""
 )
 def score_margin(t: Tables) -> DataFrame:

@@ -42,26 +42,30 @@ def easy_band_sizes(t: Tables) -> DataFrame:
     return mining.easy_band_sizes(as_queries(t), as_docs(t), n_pos=5, gap=5, n_neg=50)
 
 
-def sql_walk(seed: str, draws: str, steps: str) -> str:
-    """CTEs `ords` (documents in md5 order), `sized` (their number and the next prime)
-    and `steps` (draw_id, query_id, step, doc_id), from a relation of draws."""
-    number = "CAST('0x' || substr(md5('{s}|{tag}|' || draw_id), 1, 12) AS BIGINT)"
-    start = number.format(s=seed, tag="start")
-    stride = number.format(s=seed, tag="stride")
-    return f"""ords AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY md5('{seed}|' || vec_id), vec_id) - 1 AS ordinal FROM embeddings),
-    sized AS (SELECT n, (SELECT min(c) FROM (SELECT unnest(range(n, n + 1000)) AS c) WHERE len(list_filter(range(2, CAST(floor(sqrt(c)) AS BIGINT) + 1), lambda x: c % x = 0)) = 0) AS p
-      FROM (SELECT count(*) AS n FROM embeddings)),
-    walks AS (SELECT draw_id, query_id, p, {start} % p AS a, {stride} % (p - 1) + 1 AS b FROM ({draws}), sized),
-    steps AS (SELECT draw_id, query_id, step, o.doc_id FROM (SELECT *, unnest(range(0, {steps})) AS step FROM walks) w JOIN ords o ON o.ordinal = (a + step * b) % p)"""
+def sql_draws(seed: str, draws: str, free: str, n: int, order: str = "embedding, vec_id") -> str:
+    """CTEs up to `picks` (draw_id, query_id, doc_id, pick): for each of `draws` (draw_id, query_id), n documents
+    of those `free` (query_id, doc_id) for its query. To be used under WITH RECURSIVE."""
+    keys = ", ".join(f"CAST('0x' || substr(md5('{seed}|' || draw_id), {1 + i * mining.KEY_DIGITS}, {mining.KEY_DIGITS}) AS BIGINT) AS k{i}" for i in range(mining.ROUNDS))
+    rounds = ", ".join(
+        f"({right} + k{i}) * {mining.MIX[0]} % {mining.MIX_MODULUS} AS y{i}, xor({left}, xor(y{i}, y{i} // {mining.MIX_FOLD}) * {mining.MIX[1]} % {mining.MIX_MODULUS} // {mining.MIX_LOW} % m) AS r{i + 1}"
+        for i, (left, right) in enumerate([("l0", "r0"), ("r0", "r1"), ("r1", "r2"), ("r2", "r3")])
+    )
+    same = "draw_id, query_id, size, i, m, k0, k1, k2, k3"
+    return f"""ords AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {order}) AS ordinal FROM embeddings),
+    free_ AS MATERIALIZED (SELECT f.query_id, f.doc_id, row_number() OVER (PARTITION BY f.query_id ORDER BY ordinal) - 1 AS j, count(*) OVER (PARTITION BY f.query_id) AS size FROM ({free}) f JOIN ords USING (doc_id)),
+    begun AS (SELECT draw_id, query_id, size, unnest(range(0, least({n}, size))) AS i, CAST(2 ** list_filter(range(0, 21), lambda h: 4 ** h >= size)[1] AS BIGINT) AS m, {keys}
+      FROM ({draws}) JOIN (SELECT DISTINCT query_id, size FROM free_) USING (query_id)),
+    walk AS (SELECT {same}, 0 AS step, i AS x FROM begun
+      UNION ALL SELECT {same}, step + 1, r3 * m + r4 FROM (SELECT *, x // m AS l0, x % m AS r0, {rounds} FROM walk WHERE step = 0 OR x >= size)),
+    picks AS (SELECT draw_id, w.query_id, doc_id, i + 1 AS pick FROM walk w JOIN free_ f ON f.query_id = w.query_id AND f.j = w.x WHERE step > 0 AND x < w.size)"""
 
 
 OWN_DRAWS = "SELECT CAST(vec_id AS VARCHAR) AS draw_id, vec_id AS query_id FROM embeddings"
 
 
 @query(
-    f"""WITH {sql_bands(5, 5, 50)}, {sql_walk(SEED, OWN_DRAWS, "200")},
-    met AS (SELECT s.*, b.distance, b.score, row_number() OVER (PARTITION BY draw_id ORDER BY step) AS pick FROM steps s JOIN banded b ON b.query_id = s.query_id AND b.doc_id = s.doc_id WHERE band = 'easy')
-    SELECT query_id, doc_id, pick, round(distance, 6) AS distance, round(score, 6) AS score FROM met WHERE pick <= 5"""
+    f"""WITH RECURSIVE {sql_bands(5, 5, 50)}, {sql_draws(SEED, OWN_DRAWS, "SELECT query_id, doc_id FROM banded WHERE band = 'easy'", 5)}
+    SELECT p.query_id, p.doc_id, pick, round(distance, 6) AS distance, round(score, 6) AS score FROM picks p JOIN banded b ON b.query_id = p.query_id AND b.doc_id = p.doc_id"""
 )
 def easy_draws(t: Tables) -> DataFrame:
     drawn = mining.easy_draws(as_queries(t), as_docs(t), 5, SEED, n_pos=5, gap=5, n_neg=50)
@@ -72,13 +76,13 @@ def easy_draws(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql_bands(5, 0, 0)}, {sql_walk(SEED, OWN_DRAWS, "200")},
+    f"""WITH RECURSIVE {sql_bands(5, 0, 0)},
     ends AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM ranked),
     open AS (SELECT e.query_id, e.doc_id, e.distance FROM ends e WHERE e.rank > 6 AND e.rank < e.n AND e.distance > 0
       AND NOT EXISTS (SELECT 1 FROM banded b WHERE b.band = 'pos' AND b.query_id = e.query_id AND b.doc_id = e.doc_id)),
-    met AS (SELECT s.*, o.distance, row_number() OVER (PARTITION BY draw_id ORDER BY step) AS pick FROM steps s JOIN open o ON o.query_id = s.query_id AND o.doc_id = s.doc_id)
+    {sql_draws(SEED, OWN_DRAWS, "SELECT query_id, doc_id FROM open", 5)}
     SELECT query_id, doc_id, band, rank AS slot, round(score, 6) AS score FROM banded WHERE band = 'pos'
-    UNION ALL SELECT query_id, doc_id, 'neg', pick, round(10.0 / distance, 6) FROM met WHERE pick <= 5"""
+    UNION ALL SELECT p.query_id, p.doc_id, 'neg', pick, round(10.0 / distance, 6) FROM picks p JOIN open o ON o.query_id = p.query_id AND o.doc_id = p.doc_id"""
 )
 def mine_pos_neg(t: Tables) -> DataFrame:
     rows = mining.mine_pos_neg(as_queries(t), as_docs(t), 5, SEED)
@@ -118,8 +122,8 @@ def mine_bands_text(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql_walk(SEED, OWN_DRAWS, "100")}, met AS (SELECT *, row_number() OVER (PARTITION BY draw_id ORDER BY step) AS rank FROM steps)
-    SELECT query_id, doc_id, rank FROM met WHERE rank <= 5"""
+    f"""WITH RECURSIVE {sql_draws(SEED, OWN_DRAWS, "SELECT q.vec_id AS query_id, d.vec_id AS doc_id FROM embeddings q, embeddings d", 5, "vec_id")}
+    SELECT query_id, doc_id, pick AS rank FROM picks"""
 )
 def select_random(t: Tables) -> DataFrame:
     return selection.select_random(as_queries(t), as_docs(t), 5, SEED).withColumn("rank", F.col("rank").cast("bigint"))
@@ -164,13 +168,13 @@ def resort_reversed(t: Tables) -> DataFrame:
 # Training groups: 2 positives, 40 hard; 8 ways with 2 easy.
 SQL_GROUPS = f"""{sql_bands(2, 0, 40)},
     pairs_ AS (SELECT query_id, doc_id AS pos_id, score AS pos_score FROM banded WHERE band = 'pos'),
-    {sql_walk(SEED + "|0", "SELECT query_id || '|' || pos_id AS draw_id, query_id FROM pairs_", "150")},
+    {sql_draws(SEED + "|0", "SELECT query_id || '|' || pos_id AS draw_id, query_id FROM pairs_", "SELECT query_id, doc_id FROM banded WHERE band = 'easy'", 2)},
     hard_ AS (SELECT p.query_id, pos_id, doc_id, score, row_number() OVER (PARTITION BY p.query_id, pos_id ORDER BY md5('{SEED}|0|' || p.query_id || '|' || pos_id || '|' || doc_id)) AS slot
       FROM pairs_ p JOIN banded b ON b.query_id = p.query_id AND band = 'hard'),
-    easy_ AS (SELECT s.draw_id, s.query_id, s.doc_id, b.score, row_number() OVER (PARTITION BY s.draw_id ORDER BY step) AS pick FROM steps s JOIN banded b ON b.query_id = s.query_id AND b.doc_id = s.doc_id WHERE band = 'easy'),
+    easy_ AS (SELECT p.draw_id, p.query_id, p.doc_id, b.score, pick FROM picks p JOIN banded b ON b.query_id = p.query_id AND b.doc_id = p.doc_id),
     groups AS (SELECT query_id, pos_id, 0 AS slot, pos_id AS doc_id, pos_score AS score FROM pairs_
       UNION ALL SELECT query_id, pos_id, slot, doc_id, score FROM hard_ WHERE slot <= 5
-      UNION ALL SELECT query_id, CAST(string_split(draw_id, '|')[2] AS BIGINT), pick + 5, doc_id, score FROM easy_ WHERE pick <= 2)"""
+      UNION ALL SELECT query_id, CAST(string_split(draw_id, '|')[2] AS BIGINT), pick + 5, doc_id, score FROM easy_)"""
 
 
 def groups_of(t: Tables) -> DataFrame:
@@ -178,7 +182,7 @@ def groups_of(t: Tables) -> DataFrame:
     return batching.nway_groups(bands, as_queries(t), as_docs(t), nway=8, easy_nway=2, seed=SEED)
 
 
-@query(f"WITH {SQL_GROUPS} SELECT query_id, pos_id, CAST(slot AS BIGINT) AS slot, doc_id, round(score, 6) AS score FROM groups")
+@query(f"WITH RECURSIVE {SQL_GROUPS} SELECT query_id, pos_id, CAST(slot AS BIGINT) AS slot, doc_id, round(score, 6) AS score FROM groups")
 def nway_groups(t: Tables) -> DataFrame:
     return groups_of(t).select(
         "query_id", "pos_id", F.col("slot").cast("bigint").alias("slot"), "doc_id", F.round("score", 6).alias("score")
@@ -186,7 +190,7 @@ def nway_groups(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_GROUPS} SELECT query_id, pos_id, CAST(slot AS BIGINT) AS slot, doc_id, q.label || ' asks' AS query, d.label || ' tells' AS doc
+    f"""WITH RECURSIVE {SQL_GROUPS} SELECT query_id, pos_id, CAST(slot AS BIGINT) AS slot, doc_id, q.label || ' asks' AS query, d.label || ' tells' AS doc
     FROM groups JOIN embeddings q ON q.vec_id = query_id JOIN embeddings d ON d.vec_id = doc_id"""
 )
 def group_texts(t: Tables) -> DataFrame:

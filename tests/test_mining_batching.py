@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def test_bands_of_one_query(spark):
     sizes = mining.easy_band_sizes(q.where("query_id = 0"), d, 1, 1, 1).first()
     assert (sizes.run, sizes.first_rank, sizes.n_easy) == (1, 4, 1)
     drawn = mining.easy_draws(q.where("query_id = 0"), d, 3, "s", 1, 1, 1).collect()
-    # Only one document is easy, so the walk ends with it.
+    # Only one document is easy, so that one is all there is.
     assert [(r.doc_id, round(r.score, 6)) for r in drawn] == [(4, 4.975124)]
 
 
@@ -32,7 +33,7 @@ def test_all_copies_give_nothing(spark):
 
 
 def test_draws_are_complete_and_distinct(spark):
-    # A third of all documents are copies of the query, and draws must walk past them.
+    # A third of all documents are copies of the query, which draws skip.
     q, d = line(spark, [0] * 30 + list(range(1, 61)))
     drawn = mining.easy_draws(q.where("query_id < 3"), d, 40, "seed", n_pos=5, gap=2, n_neg=10)
     rows = drawn.collect()
@@ -60,8 +61,50 @@ def test_pos_neg(spark):
     assert text.startswith('["0", ["3", ') and text.count("[") == 11
 
 
-def test_next_prime():
-    assert [mining.next_prime(n) for n in (3, 4, 90, 500)] == [3, 5, 97, 503]
+def test_shuffled_is_a_permutation():
+    for size in (1, 2, 3, 4, 5, 17, 64, 65, 1000):
+        for key in range(3):
+            keys = np.tile(np.array([key * 7919 + 11, 5 << key, 123456 + key, 0xFFFFFF - key]), (size, 1))
+            got = mining.shuffled(np.arange(size), np.full(size, size), keys)
+            assert sorted(got.tolist()) == list(range(size))
+    far = mining.shuffled(np.arange(1000), np.full(1000, 10**11), np.tile(np.arange(4), (1000, 1)))
+    assert len(set(far.tolist())) == 1000 and 0 <= far.min() and far.max() < 10**11 and far.std() > 10**10
+
+
+def test_draws_are_even(spark):
+    """Over many draws every free document comes equally often, the others never."""
+    q, d = line(spark, [0, 0, 0] + list(range(1, 18)))
+    asked = q.where("query_id = 0").crossJoin(spark.range(600)).select(F.col("id").cast("string").alias("draw_id"), "query_id", "vec")
+    out = spark.createDataFrame([(0, i) for i in (4, 9, 10, 19)], "query_id bigint, doc_id bigint")
+    rows = mining.draw(asked, d, 4, "s", out, skip_zero=True).collect()
+    count = {}
+    for r in rows:
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    assert len(rows) == 2400 and set(count) == set(range(3, 20)) - {4, 9, 10, 19}
+    assert max(abs(n - 2400 / 13) for n in count.values()) < 60
+    firsts = {r.doc_id for r in rows if r.pick == 1}
+    assert firsts == set(count)
+
+
+def test_draws_skip_copies_by_direction(spark):
+    rows = [(0, [1.0, 0.1, 0.3]), (1, [3.0, 0.3, 0.9]), (2, [0.7, 0.07, 0.21]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [-1.0, -0.1, -0.3])]
+    d = spark.createDataFrame(rows, "doc_id bigint, vec array<double>")
+    q = d.where("doc_id = 0").select(F.lit("a").alias("draw_id"), F.col("doc_id").alias("query_id"), "vec")
+    assert {r.doc_id for r in mining.draw(q, d, 9, "s", None, "cosine", skip_zero=True).collect()} == {3, 4, 5}
+    assert {r.doc_id for r in mining.draw(q, d, 9, "s", None, "l2", skip_zero=True).collect()} == {1, 2, 3, 4, 5}
+    assert len(mining.draw(q, d, 9, "s").collect()) == 6
+
+
+def test_jobs_do_not_grow_with_documents(spark):
+    """What is excluded and how many documents there are changes no number of jobs."""
+    tracker, seen = spark.sparkContext.statusTracker(), []
+    for i, many in enumerate((40, 4000)):
+        q, d = line(spark, [0] * (many // 2) + list(range(1, many // 2 + 1)))
+        spark.sparkContext.setJobGroup(f"draws{i}", "")
+        mining.draw(q.where("query_id < 5").withColumn("draw_id", F.col("query_id").cast("string")), d, 10, "s", None, skip_zero=True).collect()
+        seen.append(len(tracker.getJobIdsForGroup(f"draws{i}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert seen[0] == seen[1]
 
 
 def test_groups(spark):
