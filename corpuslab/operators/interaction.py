@@ -135,6 +135,20 @@ def best_by_maxsim(scores: DataFrame, k: int) -> DataFrame:
 BLOCK_TOKENS = 65_536
 
 
+def _matrices(tokens: DataFrame, text_id: str, masked: bool, by: list[str] | None) -> DataFrame:
+    """(text_id, by.., m): all token vectors of a text in order, without masked ones."""
+    parts = pieces(tokens, text_id, "m", masked, by)
+    return parts.groupBy(text_id, *(by or [])).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "m"))), lambda x: x["m"])).alias("m")
+    )
+
+
+def _blocks(df: DataFrame, column: str, items: int) -> int:
+    """Blocks that hold at most `items` elements of an array column each, were all as long as the longest."""
+    size = df.agg(F.count("*").alias("n"), F.max(F.size(column)).alias("longest")).first()
+    return max(1, -(-size.n * (size.longest or 1) // items))
+
+
 def rerank_all(
     query_tokens: DataFrame, doc_tokens: DataFrame, k: int, block_tokens: int = BLOCK_TOKENS, by: list[str] | None = None
 ) -> DataFrame:
@@ -146,19 +160,8 @@ def rerank_all(
     `block_tokens` tokens if all were as long as the longest. A document is one array of its
     kept tokens here, as the windows of the padding step are.
     """
-    def whole(tokens: DataFrame, text_id: str, masked: bool) -> DataFrame:
-        parts = pieces(tokens, text_id, "m", masked, by)
-        return parts.groupBy(text_id, *(by or [])).agg(
-            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "m"))), lambda x: x["m"])).alias("m")
-        )
-
-    q, d = cut(whole(query_tokens, "query_id", False)), cut(whole(doc_tokens, "doc_id", True))
-
-    def blocks(df: DataFrame) -> int:
-        size = df.agg(F.count("*").alias("n"), F.max(F.size("m")).alias("longest")).first()
-        return max(1, -(-size.n * (size.longest or 1) // block_tokens))
-
-    n_q, n_d = blocks(q), blocks(d)
+    q, d = cut(_matrices(query_tokens, "query_id", False, by)), cut(_matrices(doc_tokens, "doc_id", True, by))
+    n_q, n_d = _blocks(q, "m", block_tokens), _blocks(d, "m", block_tokens)
     q = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
         "_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1)))
     )
@@ -192,3 +195,171 @@ def rerank_all(
         .applyInArrow(kernel, f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double")
     )
     return top(best, k).select("query_id", "doc_id", (-F.col("distance")).alias("score"), "rank")
+
+
+def _sketched(docs: DataFrame, centres: np.ndarray) -> DataFrame:
+    """`docs` with cells (those of its tokens' nearest centres) and reach (the largest distance
+    of its tokens there to the centre). Row by row."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrices, _ = _ragged(pa.Table.from_batches([batch]), "m")
+            cells, reach = [], []
+            for m in matrices:
+                if not len(m):
+                    cells.append([])
+                    reach.append([])
+                    continue
+                own = (0.5 * (centres * centres).sum(axis=1) - m @ centres.T).argmin(axis=1)
+                far = np.sqrt(((m - centres[own]) ** 2).sum(axis=1))
+                held, place = np.unique(own, return_inverse=True)
+                most = np.zeros(len(held))
+                np.maximum.at(most, place, far)
+                cells.append(held.tolist())
+                reach.append(most.tolist())
+            added = [pa.array(cells, pa.list_(pa.int32())), pa.array(reach, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, "cells", "reach"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, kinds + ", cells array<int>, reach array<double>")
+
+
+def _bounds(asked: list[np.ndarray], centres: np.ndarray, cells: np.ndarray, reach: np.ndarray, sizes: np.ndarray):
+    """For each query matrix the estimate and the upper bound of its score with every sketched document.
+
+    q . t = q . c + q . (t - c) is at most q . c + |q| reach for a token t of a cell with centre c; a score is the
+    sum over q of the largest q . t, so the sum of the largest bounds is not below it."""
+    held = np.flatnonzero(sizes)
+    starts = np.cumsum(sizes[held]) - sizes[held]
+    for matrix in asked:
+        estimate, bound = (np.full(len(sizes), NO_TOKEN * len(matrix)) for _ in range(2))
+        if len(held) and len(matrix):
+            near = (matrix @ centres.T)[:, cells]
+            estimate[held] = np.maximum.reduceat(near, starts, axis=1).sum(axis=0)
+            near = near + np.sqrt((matrix * matrix).sum(axis=1))[:, None] * reach
+            bound[held] = np.maximum.reduceat(near, starts, axis=1).sum(axis=0)
+        yield estimate, bound
+
+
+def _met(q: DataFrame, d: DataFrame, n_q: int, n_d: int, by: list[str], kernel, ddl: str) -> DataFrame:
+    """Blocks of queries (with _qb) beside blocks of sketches, each pair of blocks once."""
+    left = q.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
+    right = d.select("doc_id", *by, "cells", "reach", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int").alias("_db"))
+    right = right.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    keys = [*by, "_qb", "_db"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, ddl)
+
+
+def _scored(wanted: DataFrame, q: DataFrame, d: DataFrame, n_d: int, by: list[str], k: int, types: dict[str, str], out: pa.Schema) -> DataFrame:
+    """Exact scores of `wanted` (query_id, doc_id, _qb, bound): the k best of each pair of blocks.
+
+    A document goes once to each block of queries that wants it. There a query takes its documents by falling bound,
+    and ends once the next bound is below the k-th score that it has."""
+    asking = wanted.groupBy("doc_id", "_qb").agg(F.collect_list(F.struct("query_id", "bound")).alias("asking"))
+    right = asking.join(d.select("doc_id", *by, "m"), "doc_id").withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int"))
+    left = q.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
+    keys = [*by, "_qb", "_db"]
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        wants = right.column("asking").combine_chunks()
+        docs = np.repeat(np.arange(len(wants)), wants.value_lengths().to_numpy(zero_copy_only=False).astype(int))
+        flat = wants.flatten()
+        who = np.asarray(flat.field("query_id").to_pylist() if len(flat) else [], dtype=object)
+        bound = flat.field("bound").to_numpy(zero_copy_only=False) if len(flat) else np.empty(0)
+        matrices, _ = _ragged(right, "m")
+        ids = _ids(right, "doc_id")
+        asked, _ = _ragged(left, "m")
+        of = {query_id: i for i, query_id in enumerate(left.column("query_id").to_pylist())}
+        order = np.lexsort((-bound, [of[x] for x in who])) if len(who) else []
+        best: dict[int, list] = {}
+        for at in order:
+            i = of[who[at]]
+            kept = best.setdefault(i, [])
+            if len(kept) >= k and bound[at] < kept[k - 1][0] - SLACK * (1 + abs(kept[k - 1][0])):
+                continue
+            matrix, tokens = asked[i], matrices[docs[at]]
+            score = float((tokens @ matrix.T).max(axis=0).sum()) if len(tokens) else NO_TOKEN * len(matrix)
+            kept.append((score, ids[docs[at]]))
+            kept.sort(key=lambda x: (-x[0], x[1]))
+            del kept[k:]
+        rows = [(left.column("query_id")[i].as_py(), doc, -score) for i, kept in best.items() for score, doc in kept]
+        columns = list(zip(*rows)) or [[], [], []]
+        return pa.table({n: pa.array([x.item() if hasattr(x, "item") else x for x in c], t) for n, c, t in zip(out.names, columns, out.types)})
+
+    ddl = f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double"
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, ddl)
+
+
+#: Bounds are compared with this relative slack, as sums of doubles are rounded.
+SLACK = 1e-9
+
+
+def rerank_pruned(
+    query_tokens: DataFrame, doc_tokens: DataFrame, k: int, cells: int = 256, block_tokens: int = BLOCK_TOKENS,
+    by: list[str] | None = None, seed: int = 17, counted: dict | None = None,
+) -> DataFrame:
+    """Top k of the whole collection by MaxSim, exact, without scoring all documents: the rows of `rerank_all`.
+
+    Document tokens belong to the cell of their nearest centre, and a document's sketch is the cells of its tokens
+    and how far they lie from the centres. Sketches alone meet all queries. A first round scores the k documents
+    of the best estimates, whose k-th score is a floor; a second one passes on the documents whose upper bound reaches
+    the floor, and takes these by falling bound until no bound reaches the k-th score so far. Tokens
+    move only for documents that a block of queries still wants. In data without clusters that may be all of them, and the result
+    is the same.
+
+    Centres, at most `cells` tokens, are fetched and go along with the tasks. `counted` gets the numbers of pairs
+    (`scored` at most, of `all`).
+    """
+    by = by or []
+    q, d = _matrices(query_tokens, "query_id", False, by), cut(_matrices(doc_tokens, "doc_id", True, by))
+    sample = d.select("doc_id", F.posexplode("m").alias("pos", "vec")).orderBy(F.xxhash64("doc_id", "pos", F.lit(seed)), "doc_id", "pos").limit(cells)
+    picked = sample.select("vec").collect()
+    if not picked:
+        return rerank_all(query_tokens, doc_tokens, k, block_tokens, by)
+    centres = np.stack([np.asarray(r.vec, dtype=np.float64) for r in picked])
+    d = cut(_sketched(d, centres))
+    q = cut(q)
+    n_q, n_d, n_sketch = _blocks(q, "m", block_tokens), _blocks(d, "m", block_tokens), _blocks(d, "cells", block_tokens)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("_qb")
+    q = q.select("*", block)
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (d, "doc_id"))}
+    out = pa.schema([("query_id", _id_type(q, "query_id")), ("doc_id", _id_type(d, "doc_id")), ("distance", pa.float64())])
+
+    def sketches(right: pa.Table):
+        cells_of = right.column("cells").combine_chunks()
+        reach = right.column("reach").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return cells_of.flatten().to_numpy(zero_copy_only=False), reach, cells_of.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+
+    def made(found: list) -> pa.Table:
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [[], [], []]
+        return pa.table(dict(zip(out.names, columns))).cast(out)
+
+    def promising(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, ids, found = _ragged(left, "m")[0], _ids(right, "doc_id"), []
+        for query_id, (estimate, _) in zip(_ids(left, "query_id"), _bounds(asked, centres, *sketches(right))):
+            order = np.lexsort((ids, -estimate))[:k]
+            found.append((np.full(len(order), query_id), ids[order], -estimate[order]))
+        return made(found if len(ids) else [])
+
+    def reaching(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, ids, found = _ragged(left, "m")[0], _ids(right, "doc_id"), []
+        floors = left.column("floor").to_numpy(zero_copy_only=False)
+        for query_id, floor, (_, bound) in zip(_ids(left, "query_id"), floors, _bounds(asked, centres, *sketches(right))):
+            some = np.flatnonzero(bound >= floor - SLACK * (1 + abs(floor))) if np.isfinite(floor) else np.arange(len(ids))
+            found.append((np.full(len(some), query_id), ids[some], bound[some]))
+        return made(found if len(ids) else [])
+
+    ddl = f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double"
+    first = cut(top(_met(q, d, n_q, n_sketch, by, promising, ddl), k))
+    wanted = first.select("query_id", "doc_id", block, F.lit(float("inf")).alias("bound"))
+    floors = cut(_scored(wanted, q, d, n_d, by, k, types, out)).groupBy("query_id").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
+    floor = F.when(F.col("_n") >= k, -F.col("_far")).otherwise(F.lit(float("-inf")))
+    q2 = q.join(floors.select("query_id", floor.alias("floor")), "query_id", "left").fillna(float("-inf"), ["floor"])
+    wanted = cut(_met(q2, d, n_q, n_sketch, by, reaching, ddl).withColumnRenamed("distance", "bound"))
+    if counted is not None:
+        counted |= {"scored": wanted.count() + first.count(), "all": q.count() * d.count()}
+    best = top(_scored(wanted.select("*", block), q, d, n_d, by, k, types, out), k)
+    return best.select("query_id", "doc_id", (-F.col("distance")).alias("score"), "rank")

@@ -46,6 +46,48 @@ def test_maxsim_pieces_masks_and_split(spark):
         assert [r.doc_id for r in sorted(top, key=lambda r: r["rank"]) if r.query_id == a] == order
 
 
+def clustered(rng, texts, centres, spread):
+    out = []
+    for i in range(texts):
+        # A text's tokens come from three centres.
+        own = rng.integers(0, len(centres), 3) if spread < 1 else rng.integers(0, len(centres), 8)
+        out.append(centres[rng.choice(own, 2 + i % 7)] + spread * rng.standard_normal((2 + i % 7, centres.shape[1])))
+    return out
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_rerank_pruned_equals_all(spark, spread):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((24, 16)) * 2
+    q = tokens(spark, "query_id", clustered(rng, 40, centres, spread))
+    docs = clustered(rng, 600, centres, spread)
+    keep = [list(map(bool, rng.random(len(d)) < 0.9)) for d in docs]
+    keep[3] = [False] * len(docs[3])
+    docs += docs[10:20]  # ties
+    keep += keep[10:20]
+    d = tokens(spark, "doc_id", docs, keep)
+    counted = {}
+    got = interaction.rerank_pruned(q, d, 4, cells=64, counted=counted).collect()
+    want = interaction.rerank_all(q, d, 4).collect()
+    assert {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 9)) for r in got} == {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 9)) for r in want}
+    assert len(got) == 160 and counted["all"] == 40 * 610
+    print("scored share", spread, counted["scored"] / counted["all"])
+    assert spread > 1 or counted["scored"] < 0.15 * counted["all"]
+
+
+def test_rerank_pruned_small(spark):
+    """Fewer documents than k, texts without a kept token, groups, small blocks, no documents."""
+    rng = np.random.default_rng(6)
+    docs = [rng.standard_normal((n, 3)) for n in (1, 4, 2, 6, 3)]
+    d = tokens(spark, "doc_id", docs, [[True], [True] * 4, [False] * 2, [True, False] * 3, [True] * 3]).withColumn("type", F.col("doc_id") % 2)
+    q = tokens(spark, "query_id", [rng.standard_normal((n, 3)) for n in (2, 3, 5)]).withColumn("type", F.col("query_id") % 2)
+    for by in (None, ["type"]):
+        for block in (4, 65_536):
+            got, want = (sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in f(q, d, 9, by=by, block_tokens=block).collect()) for f in (interaction.rerank_pruned, interaction.rerank_all))
+            assert got == want and len(got) == (15 if by is None else 8)
+    assert interaction.rerank_pruned(q, d.limit(0), 3).isEmpty()
+
+
 def test_recall_counts_texts(spark):
     e = spark.createDataFrame([(0, i + 1, x) for i, x in enumerate("aabcd")], "query_id int, rank int, text string")
     g = spark.createDataFrame([(0, i + 1, x) for i, x in enumerate("abxyz")], "query_id int, rank int, text string")
