@@ -11,12 +11,16 @@ give the ids, and a counter beside them the token count of every prefix.
 from __future__ import annotations
 
 import heapq
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 
 from corpuslab.llm.worker import Bounded
 
 PAIRS_KEPT = 2_000_000
+#: Pair tests that `encode_many` remembers, by place: a power of two.
+PAIR_SLOTS = 1 << 20
 END = "\x01"  # stands behind the last symbol of a word where the vocabulary marks word ends
 
 
@@ -97,6 +101,72 @@ class PrefixBPE:
             at = begin[at]
         return ids[::-1]
 
+    def _follows(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Pair tests for many pairs. Each pair has one place in a table of fixed size, where it takes that of the one before."""
+        if not hasattr(self, "pair_keys"):
+            self.pair_keys, self.pair_fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
+        key = (last << 32) | token
+        place = ((last * 0x9E3779B1) ^ (token * 0x85EBCA6B)) >> 9 & (PAIR_SLOTS - 1)
+        out = self.pair_fits[place]
+        new = np.flatnonzero(self.pair_keys[place] != key)
+        if len(new):
+            keys, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            fits = np.fromiter((self._apart(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in keys), bool, len(keys))
+            out[new] = fits[back]
+            at = place[new][first]
+            self.pair_keys[at], self.pair_fits[at] = keys, fits
+        return out
+
+    def encode_many(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Exact ids of many strings, joined by NUL, one after the other, and how many each has.
+
+        The same dynamic program as `table`, for all strings together: one pass of an automaton finds the
+        tokens that end at each place, then prefixes are settled in the order of their lengths. A string may be empty."""
+        if not hasattr(self, "token_at"):
+            # As `automaton`, with bare ids, of which a flat array is quickly made.
+            self.token_at, self.size = ahocorasick.Automaton(ahocorasick.STORE_INTS), np.zeros(max(self.texts) + 1, np.int64)
+            for text, (token, size) in self.automaton.items():
+                self.token_at.add_word(text, token)
+                self.size[token] = size
+            self.token_at.make_automaton()
+        stops = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 0)
+        start = np.concatenate([[0], stops + 1])
+        length = np.concatenate([stops, [len(joined)]]) - start
+        hits = list(self.token_at.iter(joined))
+        end, token = np.fromiter(chain.from_iterable(hits), np.int64, 2 * len(hits)).reshape(-1, 2).T
+        end, size = end + 1, self.size[token]
+        owner = np.searchsorted(start, end, "right") - 1
+        prefix = end - start[owner]
+        order = np.argsort(prefix, kind="stable")
+        end, token, begin, prefix = end[order], token[order], (end - size)[order], prefix[order]
+        at_start = begin == start[owner[order]]
+        # The last token of the prefix that ends at a place of the joined string; -1: none.
+        last, back = np.full(int((length + 1).sum()) + 1, -1, np.int64), np.zeros(int((length + 1).sum()) + 1, np.int64)
+        steps = np.flatnonzero(np.diff(prefix, prepend=-1, append=-1)) if len(prefix) else []
+        for a, b in zip(steps, steps[1:]):
+            fits = at_start[a:b].copy()
+            before = last[begin[a:b]]
+            open_ = np.flatnonzero(~fits & (before >= 0))
+            fits[open_] = self._follows(before[open_], token[a:b][open_])
+            last[end[a:b][fits]], back[end[a:b][fits]] = token[a:b][fits], begin[a:b][fits]
+        rows, at = np.flatnonzero(length > 0), (start + length)[length > 0]
+        found = []
+        while len(rows):
+            if (last[at] < 0).any():
+                raise ValueError("a symbol is not in the vocabulary")
+            found.append((rows, last[at]))
+            at = back[at]
+            more = at > start[rows]
+            rows, at = rows[more], at[more]
+        count = np.zeros(len(start), np.int64)
+        for rows, _ in found:
+            count[rows] += 1
+        place = np.cumsum(count) - 1
+        ids = np.empty(int(count.sum()), np.int64)
+        for step, (rows, tokens) in enumerate(found):
+            ids[place[rows] - step] = tokens
+        return ids, count
+
 
 def merge_by_rank(symbols: list[int], order, join) -> list[int]:
     """Plain merging, always the pair of the lowest rank and of these the leftmost. For tests."""
