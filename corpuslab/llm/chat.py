@@ -24,18 +24,38 @@ def linked(calls: DataFrame, results: DataFrame, on: str = "call_id") -> DataFra
     return out.withColumn("n_results", F.coalesce("n_results", F.lit(0)))
 
 
-def levels(calls: DataFrame, on: str = "call_id", needs: str = "depends_on", most: int = 10_000) -> DataFrame:
+def levels(calls: DataFrame, on: str = "call_id", needs: str = "depends_on") -> DataFrame:
     """call_id and its level in the order of dependence: 0 without a dependency among the calls,
     else one more than the highest level it depends on. Calls in or behind a cycle have null.
 
-    Each round settles the calls that all of whose dependencies are settled, so there are as
-    many rounds as levels (`most` of them raise); each works on what is left and is written.
-    A dependency that names no call is ignored; null identifiers have no row."""
+    A dependency that names no call is ignored; null identifiers have no row; repeated calls count once, with all
+    their dependencies. Where no call has more than one, levels come by pointer doubling, in as many rounds of joins as the
+    longest chain has binary digits; else each round settles the calls all of whose dependencies are settled. Every round is written."""
     ids = calls.where(F.col(on).isNotNull()).groupBy(F.col(on).alias("id")).agg(F.flatten(F.collect_set(needs)).alias("needs"))
     ids = cut(ids.select("id", F.array_distinct(F.coalesce("needs", F.array().cast("array<string>"))).alias("needs")))
     edges = ids.select("id", F.explode("needs").alias("need")).join(ids.select(F.col("id").alias("need")), "need", "left_semi")
-    edges = cut(edges)
-    left, level = cut(ids.select("id")), 0
+    edges = cut(edges.select("id", "need"))
+    several = not edges.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    out = by_rounds(ids.select("id"), edges) if several else by_doubling(ids.select("id"), edges)
+    return out.withColumnRenamed("id", on)
+
+
+def by_doubling(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels of `ids` where `edges` (id, need) has one row an id at most: each call knows the
+    call some steps before it, and these steps double with every round."""
+    at = cut(ids.join(edges, "id", "left").select("id", F.col("need").alias("before"), F.col("need").isNotNull().cast("int").alias("steps")))
+    # No chain is longer than the calls; what still goes on after that runs in a circle.
+    for _ in range(max(1, ids.count()).bit_length() + 1):
+        if at.where("before IS NOT NULL").isEmpty():
+            break
+        there = at.select(F.col("id").alias("there"), F.col("before").alias("beyond"), F.col("steps").alias("more"))
+        at = cut(at.join(there, at["before"] == there["there"], "left").select("id", F.col("beyond").alias("before"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    return at.select("id", F.when(F.col("before").isNull(), F.col("steps")).alias("level"))
+
+
+def by_rounds(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels of `ids` by `edges` (id, need): every round settles a call at least, or is the last."""
+    left, level = ids, 0
     done: list[DataFrame] = []
     while True:
         blocked = edges.join(left.select(F.col("id").alias("need")), "need", "left_semi").select("id").distinct()
@@ -48,12 +68,10 @@ def levels(calls: DataFrame, on: str = "call_id", needs: str = "depends_on", mos
         if left.isEmpty():
             break
         level += 1
-        if level > most:
-            raise ValueError(f"more than {most} levels of calls")
     out = left.withColumn("level", F.lit(None).cast("int"))
     for part in done:
         out = part.unionByName(out)
-    return out.withColumnRenamed("id", on)
+    return out
 
 
 def kind_of(value: Column) -> Column:
@@ -110,8 +128,12 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str,
     """One row per call: its columns, result, n_results, level, errors, arguments_json, valid and
     call_json, the canonical JSON of {arguments, id, level, name, result}; in a conversation calls
     are ordered by (level, turn, call_id). A result is its text. Rows are not gathered by
-    conversation, so a long one is as many rows."""
+    conversation, so a long one is as many rows.
+
+    Null names and arguments are errors of their call, null identifiers have no level and no result; texts of any length
+    stay whole; repeated calls each keep their row, and an empty table gives an empty one. Columns of `calls` of the name of a result give way."""
     order = levels(calls)
+    calls = calls.drop("level", "valid", "call_json")
     out = checked(linked(calls, results), schemas)
     order = order.withColumnRenamed("call_id", "id__")
     out = out.join(order.hint("shuffle_hash"), out["call_id"] == order["id__"], "left").drop("id__")
@@ -124,6 +146,20 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str,
     return out.withColumn("call_json", text)
 
 
+def messages(turns: DataFrame, calls: DataFrame, results: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """Turns that are neither a call nor the result of one: conv_id, turn, role and message_json, the canonical JSON of
+    {content, role}.
+
+    turns: conv_id, turn, role, text; calls and results have the turns' place in columns conv_id and turn, results also
+    call_id. A null text or role is a JSON null; repeated turns each keep their row."""
+    linked_turns = results.join(calls.select("call_id").distinct(), "call_id", "left_semi").select(conversation, "turn")
+    taken = linked_turns.unionByName(calls.select(conversation, "turn")).distinct()
+    taken = taken.select(F.col(conversation).alias("conv__"), F.col("turn").alias("turn__"))
+    left = turns.join(taken, turns[conversation].eqNullSafe(taken["conv__"]) & turns["turn"].eqNullSafe(taken["turn__"]), "left_anti")
+    text = F.concat(F.lit('{"content":'), json_text(F.col("text")), F.lit(',"role":'), json_text(F.col("role")), F.lit("}"))
+    return left.select(conversation, "turn", "role", text.alias("message_json"))
+
+
 def json_text(value: Column) -> Column:
     """A string as JSON."""
     return F.coalesce(F.to_json(F.when(value.isNotNull(), F.parse_json(F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)))), F.lit("null"))

@@ -57,24 +57,29 @@ TOOLS = {
 
 
 def conversation_calls(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Assistant turns as calls, and the turns after them as their results. A call depends on
-    the call of half its turn, so that chains of any conversation are short."""
+    """Assistant turns as calls, and the user turns after them as their results. A call depends on
+    the assistant turn before it, two turns back, if there is one."""
     name = F.when(F.col("turn") % 2 == 1, "ask").otherwise("tell")
     call_id = F.concat_ws(":", "conv_id", "turn")
     words = F.size(F.filter(F.split("text", "[\x20\x09-\x0d]+"), lambda w: w != ""))
     arguments = F.to_json(F.struct(F.col("turn"), F.col("text").alias("query"), F.when(F.length("text") > 0, words).alias("words")))
     calls = rows.where("role = 'assistant'").select(
         "conv_id", "turn", call_id.alias("call_id"), name.alias("name"), arguments.alias("arguments"),
-        F.when(F.col("turn") > 0, F.array(F.concat_ws(":", "conv_id", F.expr("turn div 2")))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        F.array(F.concat_ws(":", F.col("conv_id"), F.col("turn") - 2)).alias("depends_on"),
     )
-    results = rows.where("role = 'user'").select(F.concat_ws(":", "conv_id", F.expr("turn - 1")).alias("call_id"), "text")
+    results = rows.where("role = 'user'").select(F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("call_id"), "conv_id", "turn", "text")
     return calls, results
 
 
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
-    calls, results = conversation_calls(table(spark, folder, "conversations"))
-    out = chat.formatted(calls, results, TOOLS)
-    return out.select("conv_id", "turn", "call_id", "name", "level", "n_results", "valid", F.array_join("errors", "; ").alias("errors"), "call_json")
+    """Calls with their results, and the other turns as messages."""
+    turns = table(spark, folder, "conversations")
+    calls, results = conversation_calls(turns)
+    out = chat.formatted(calls, results.select("call_id", "text"), TOOLS).select(
+        "conv_id", "turn", F.lit("assistant").alias("role"), "call_id", "name", "level", "n_results", "valid", F.array_join("errors", "; ").alias("errors"), F.col("call_json").alias("json")
+    )
+    rest = chat.messages(turns, calls, results).withColumnRenamed("message_json", "json")
+    return out.unionByName(rest, allowMissingColumns=True)
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
