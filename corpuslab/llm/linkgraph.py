@@ -46,13 +46,13 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return edges.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, stay: float = 0.85, each: int = 4, tolerance: float = 1e-6, most: int = 2000) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, stay: float = 0.85, each: int = 4, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank of hosts: (host, score), sums to at most 1.
 
     edges: source, target, weight; seeds: host, mass (sums to 1). Rank follows an edge by its share of the
     source's weight; a source without edges gives its rank up. Scores only grow from round to round. Rounds go on until
     in `each` of them no host is reached for the first time and no score grows by more than `tolerance` of itself, so the
-    smallest scores are as settled as the largest; over `most` rounds raise. `rounds`: exactly so many instead.
+    smallest scores are as settled as the largest. That ends: hosts are finite, and growth fades by `stay` a round. `rounds`: exactly so many instead.
     Edges are one row per pair of hosts, so a popular host costs as many rows as hosts that link to it, which
     are summed in the tasks. The ranks are written every `each` rounds."""
     total = edges.groupBy("source").agg(F.sum("weight").alias("total"))
@@ -62,7 +62,7 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, stay:
         return begin
     begin = ranks = cut(begin)
     done = 0
-    while done < (most if rounds is None else rounds):
+    while rounds is None or done < rounds:
         before = ranks
         for _ in range(each if rounds is None else min(each, rounds - done)):
             moved = shares.join(ranks, shares["source"] == ranks["host"]).select(F.col("target").alias("host"), (stay * F.col("share") * F.col("score")).alias("score"))
@@ -72,8 +72,6 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, stay:
         grown = F.col("score") - F.coalesce("was", F.lit(0.0)) > tolerance * F.col("score")
         if rounds is None and ranks.join(before.withColumnRenamed("score", "was"), "host", "left").where(grown).isEmpty():
             return ranks
-    if rounds is None:
-        raise ValueError(f"ranks did not settle in {most} rounds")
     return ranks
 
 
@@ -103,8 +101,8 @@ def host_verdicts(hosts: DataFrame, edges: DataFrame, least: float = 0.5, **walk
 def judged(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, **limits) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every row of `pages`.
 
-    A rule's verdict stands; else that of the host. Rows without :// have an empty host and
-    path, no rule, and are allowed. Repeated rows give repeated results. Hosts are counted in
+    A rule's verdict stands; else that of the host. Rows without :// (null ones too) have an empty host and
+    path, no rule, and are allowed; a null html has no links. An empty table gives an empty result, and other columns take no part, whatever their names. Repeated rows give repeated results. Hosts are counted in
     the tasks first; the table of hosts is joined back by host, where Spark splits a hot one."""
     at = host(F.col(url))
     rows = pages.select(F.col(key).alias("page_id"), at.alias("host"), path(F.col(url)).alias("path"))

@@ -64,30 +64,24 @@ def _host(url: str) -> str:
     return rf"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
 
 
-def _walk(name: str, seeds: str, source: str, target: str, rounds: int = 12) -> str:
-    """Rounds of PageRank, one after the other."""
-    steps = [
-        f"{name}_s AS MATERIALIZED (SELECT {source} AS source, {target} AS target, weight / sum(weight) OVER (PARTITION BY {source}) AS share FROM edges)",
-        f"{name}_0 AS MATERIALIZED (SELECT host, 1.0 / count(*) OVER () AS mass, 1.0 / count(*) OVER () AS score FROM seeds WHERE {seeds})",
-    ]
-    for i in range(rounds):
-        steps.append(
-            f"{name}_{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT host, 0.15 * mass AS score FROM {name}_0 UNION ALL "
-            f"SELECT target, 0.85 * share * score FROM {name}_s JOIN {name}_{i} ON source = host) GROUP BY host)"
-        )
-    return ", ".join(steps)
+def _walk(name: str, seeds: str, source: str, target: str) -> str:
+    """PageRank as the sum of what arrives over paths of 0, 1, 2, .. links, until that is next to nothing."""
+    return f"""{name}_s AS (SELECT {source} AS source, {target} AS target, weight / sum(weight) OVER (PARTITION BY {source}) AS share FROM edges),
+    {name}_p AS (SELECT host, 0.15 / count(*) OVER () AS score, 0 AS n FROM seeds WHERE {seeds}
+      UNION ALL SELECT target, 0.85 * sum(share * score), n + 1 FROM {name}_p JOIN {name}_s ON source = host WHERE n < 300 GROUP BY target, n),
+    {name} AS MATERIALIZED (SELECT host, sum(score) AS score FROM {name}_p GROUP BY host)"""
 
 
 _link = LINK.replace("'", "''")
-URLS = rf"""WITH rows_ AS (SELECT page_id, html, {_host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+URLS = rf"""WITH RECURSIVE rows_ AS (SELECT page_id, html, {_host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
     ruled AS (SELECT *, {_rule} AS rule, {_by} AS by_rule FROM rows_),
     links AS (SELECT host AS source, unnest(regexp_extract_all(html, '{_link}', 1)) AS link FROM ruled),
     ends AS (SELECT source, {_host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS target FROM links),
     edges AS MATERIALIZED (SELECT source, target, count(*) AS weight FROM ends WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL),
     seeds AS MATERIALIZED (SELECT host, count(*) FILTER (by_rule = 'allow') AS yes, count(*) FILTER (by_rule = 'block') AS no FROM ruled WHERE host <> '' GROUP BY host),
     {_walk('good', 'yes > no', 'source', 'target')}, {_walk('bad', 'no > yes', 'target', 'source')},
-    marks AS (SELECT s.host, coalesce(g.score, 0) AS trust, coalesce(b.score, 0) AS distrust FROM seeds s LEFT JOIN good_12 g ON g.host = s.host LEFT JOIN bad_12 b ON b.host = s.host)
-    SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN distrust > 1e-9 AND distrust > 0.5 * (trust + distrust) THEN 'block' END, 'allow') AS verdict,
+    marks AS (SELECT s.host, coalesce(g.score, 0) AS trust, coalesce(b.score, 0) AS distrust FROM seeds s LEFT JOIN good g ON g.host = s.host LEFT JOIN bad b ON b.host = s.host)
+    SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN distrust > 0.5 * (trust + distrust) THEN 'block' END, 'allow') AS verdict,
       round(coalesce(trust, 0), 12) AS trust, round(coalesce(distrust, 0), 12) AS distrust FROM ruled r LEFT JOIN marks m ON m.host = r.host"""
 
 
