@@ -135,19 +135,18 @@ def draw(
     key = copy_key(F.col("vec"), metric)
     if skip_zero:
         # Two hashes of 64 bits name a vector from here on.
-        ordered = sorted_ordinal(docs.select("doc_id", key.alias("_v")), ["_v", "doc_id"])
-        numbered = cut(ordered.select("doc_id", "ordinal", *_names(F.col("_v"))))
+        numbered = sorted_ordinal(docs.select("doc_id", key.alias("_v")).select("*", *_names(F.col("_v"))), ["_v", "doc_id"]).drop("_v")
         runs = numbered.groupBy("_k1", "_k2").agg(F.min("ordinal").alias("_a"), F.count("*").alias("_c"))
         asked = draws.select("draw_id", "query_id", *_names(key)).join(runs, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     else:
-        numbered = cut(sorted_ordinal(docs.select("doc_id"), ["doc_id"]))
+        numbered = sorted_ordinal(docs.select("doc_id"), ["doc_id"])
         asked = draws.select("draw_id", "query_id", F.lit(None).cast("bigint").alias("_a"), F.lit(None).cast("bigint").alias("_c"))
     if excluded is None:
         asked = asked.withColumn("_out", F.array().cast("array<bigint>"))
     else:
         taken = excluded.join(numbered.select("doc_id", "ordinal"), "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_set("ordinal")).alias("_out"))
         asked = asked.join(taken, "query_id", "left")
-    total = numbered.count()
+    total = docs.count()
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("draw_id").cast("string")))
     keys = F.array(*[F.conv(F.substring(digest, 1 + i * KEY_DIGITS, KEY_DIGITS), 16, 10).cast("bigint") for i in range(ROUNDS)])
     asked = asked.select("draw_id", "query_id", F.coalesce("_a", F.lit(total)).alias("_a"), F.coalesce("_c", F.lit(0)).alias("_c"), F.coalesce("_out", F.array().cast("array<bigint>")).alias("_out"), keys.alias("_keys"))
