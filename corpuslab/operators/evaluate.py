@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import sqltext
 from corpuslab.functions.vectors import pair_distance
+from corpuslab.operators import execution
 from corpuslab.operators.catalog import maskable_names
 from corpuslab.operators.linking import attach_catalog
 from corpuslab.operators.ordering import running_totals
@@ -240,48 +241,11 @@ def result_match(a: DataFrame, b: DataFrame) -> DataFrame:
     return uneven.agg((F.count("*") == 0).alias("match"))
 
 
-def is_plain_query(spark, statement: str) -> bool:
-    """Whether a statement parses as a query and holds no command or change of data."""
-    types = [
-        spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{name}")
-        for name in ("Command", "ParsedStatement")
-    ]
-
-    def plain(plan) -> bool:
-        if any(t.isInstance(plan) for t in types):
-            return False
-        children = plan.children()
-        return all(plain(children.apply(i)) for i in range(children.size()))
-
-    try:
-        return plain(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement))
-    except Exception:  # noqa: BLE001  a statement that is no SQL
-        return False
-
-
 def execution_match(spark, statements: list[tuple], tables: dict[str, str]) -> DataFrame:
-    """Run gold and prediction of each (id, gold, prediction) over `tables` (name: Parquet path).
-
-    A session of its own holds the views, so that none of the caller's is replaced. Predictions are not
-    trusted: only plain queries are run, and one that fails, also while it runs, is a
-    mismatch for that id alone. A gold statement that fails is an error. The results stay
-    distributed; one row per statement comes back, and the list is the caller's and short.
-    """
-    apart = spark.newSession()
-    for name, path in tables.items():
-        apart.read.parquet(path).createOrReplaceTempView(name)
-
-    def one(gold: str, prediction: str) -> bool:
-        wanted = apart.sql(gold)
-        if not is_plain_query(apart, prediction):
-            return False
-        try:
-            return result_match(wanted, apart.sql(prediction)).first().match
-        except Exception:  # noqa: BLE001  whose failure it is, is looked at next
-            wanted.write.format("noop").mode("overwrite").save()
-            return False
-
-    return spark.createDataFrame([(key, one(gold, prediction)) for key, gold, prediction in statements], "id string, match boolean")
+    """(id, match) of a short list of (id, gold, prediction) over `tables` (name: Parquet path); tables of
+    predictions go to `execution.execution_match` themselves."""
+    pairs = spark.createDataFrame(statements, "id string, gold string, prediction string").withColumn("db_id", F.lit("db"))
+    return execution.execution_match(pairs, {"db": tables}).select("id", "match")
 
 
 def accuracy_by(rows: DataFrame, correct: str = "correct", tags: str = "tags", level: str = "hardness") -> DataFrame:

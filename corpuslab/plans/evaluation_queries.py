@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import sqltext
 from corpuslab.functions.vectors import pair_distance
-from corpuslab.operators import evaluate, interaction, losses
+from corpuslab.operators import evaluate, execution, interaction, losses
 from corpuslab.operators import nearest as nn
 from corpuslab.plans.derived import query_log, raw_catalog
 from corpuslab.plans.mining_queries import SQL_GROUPS, groups_of, sql_tilted, tilted
@@ -383,27 +383,54 @@ def wrong_predictions(t: Tables) -> DataFrame:
     return evaluate.wrong_rows(evaluate.exact_match(predicted_log(t)), "log_id", "exact")
 
 
-STATEMENTS = [
-    ("same", "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1", "SELECT o_orderstatus, count(o_orderkey) FROM orders GROUP BY o_orderstatus"),
-    ("other rows", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 200000"),
-    ("other counts", "SELECT o_custkey FROM orders", "SELECT DISTINCT o_custkey FROM orders"),
-    ("joined", "SELECT c_name FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000", "SELECT c.c_name AS who FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND NOT o.o_totalprice <= 300000"),
-    ("wide", "SELECT c_custkey, c_name FROM customer", "SELECT c_custkey FROM customer"),
-    ("broken", "SELECT c_custkey FROM customer", "SELECT no_such_column FROM customer"),
-    ("failing", "SELECT c_custkey FROM customer", "SELECT CAST(c_name AS INT) FROM customer"),
-    ("command", "SELECT c_custkey FROM customer", "DROP VIEW customer"),
+# A prediction file over the order log: pairs (gold, prediction) in turn, {p} and {s} from the order. The flag
+# says whether the prediction can run at all.
+PAIRS = [
+    ("SELECT o_orderstatus AS s, count(*) AS n FROM orders WHERE o_orderpriority = '{p}' GROUP BY 1", "SELECT o_orderstatus, count(o_orderkey) FROM orders WHERE o_orderpriority IN ('{p}') GROUP BY o_orderstatus", True),
+    ("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = '{s}'", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 200000 AND o_orderstatus = '{s}'", True),
+    ("SELECT o_custkey FROM orders WHERE o_orderpriority = '{p}' AND o_orderstatus = '{s}'", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '{p}' AND o_orderstatus = '{s}'", True),
+    ("SELECT c_name FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = '{s}' AND o_totalprice > 300000", "SELECT c.c_name AS who FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND NOT o.o_totalprice <= 300000 AND o.o_orderstatus = '{s}'", True),
+    ("SELECT c_custkey, c_name FROM customer", "SELECT c_custkey FROM customer", True),
+    ("SELECT count(*) FROM orders WHERE o_orderpriority = '{p}'", "SELECT CAST(sum(1) AS DOUBLE) FROM orders WHERE o_orderpriority = '{p}'", True),
+    ("SELECT c_custkey FROM customer", "SELECT no_such_{s} FROM customer", False),
+    ("SELECT c_custkey FROM customer", "SELECT CAST(c_name AS INT) FROM customer", False),
+    ("SELECT c_custkey FROM customer", "DROP VIEW customer", False),
+    ("SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = '{s}'", "SELECT o_orderkey FROM orders WHERE o_orderstatus = '{s}' ORDER BY o_orderkey DESC LIMIT 1", True),
+    ("SELECT o_orderpriority, o_orderstatus FROM orders", "SELECT o_orderpriority, o_orderstatus FROM orders UNION ALL SELECT o_orderpriority, o_orderstatus FROM orders WHERE 1 = 0", True),
 ]
+PRIORITIES, STATUSES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), ("F", "O", "P")
 
 
-def _sql_match(key: str, a: str, b: str) -> str:
-    if key in ("wide", "broken", "failing", "command"):
-        return f"SELECT '{key}' AS id, FALSE AS match"
-    return f"SELECT '{key}' AS id, NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a})) AS match"
+def _sql_matches() -> str:
+    """What is to be, for each pair and each value it takes, by comparing the results themselves."""
+    out = []
+    for i, (gold, prediction, runs) in enumerate(PAIRS):
+        for p in PRIORITIES if "{p}" in gold else ("",):
+            for s in STATUSES if "{s}" in gold else ("",):
+                a, b = (x.replace("{p}", p).replace("{s}", s) for x in (gold, prediction))
+                same = f"NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a}))" if runs and a.split(" FROM ")[0].count(",") == b.split(" FROM ")[0].count(",") else "FALSE"
+                out.append(f"SELECT {i} AS turn, {f"'{p}'" if p else 'NULL'} AS p, {f"'{s}'" if s else 'NULL'} AS s, {same} AS match")
+    return " UNION ALL ".join(out)
 
 
-@query(" UNION ALL ".join(_sql_match(*s) for s in STATEMENTS))
+def prediction_pairs(t: Tables) -> DataFrame:
+    def text(which: int):
+        turn, out = F.col("o_orderkey") % len(PAIRS), F.lit(None).cast("string")
+        for i, pair in enumerate(PAIRS):
+            out = F.when(turn == i, F.lit(pair[which])).otherwise(out)
+        return F.replace(F.replace(out, F.lit("{p}"), F.col("o_orderpriority")), F.lit("{s}"), F.col("o_orderstatus"))
+
+    rows = t.wide("orders", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    return rows.select(F.col("o_orderkey").alias("log_id"), F.lit("shop").alias("db_id"), text(0).alias("gold"), text(1).alias("prediction"))
+
+
+@query(
+    f"""WITH known AS MATERIALIZED ({_sql_matches()}) SELECT o_orderkey AS log_id, match FROM orders
+    JOIN known ON turn = o_orderkey % {len(PAIRS)} AND coalesce(p = o_orderpriority, TRUE) AND coalesce(s = o_orderstatus, TRUE)"""
+)
 def execution_match(t: Tables) -> DataFrame:
-    return evaluate.execution_match(t.spark, STATEMENTS, {n: f"{t.folder}/{n}.parquet" for n in ("orders", "customer")})
+    tables = {n: f"{t.folder}/{n}.parquet" for n in ("orders", "customer")}
+    return execution.execution_match(prediction_pairs(t), {"shop": tables}).select("log_id", "match")
 
 
 @query(
