@@ -11,6 +11,7 @@ from corpuslab.functions import sqltext
 from corpuslab.operators.catalog import wrap_primary_keys
 from corpuslab.operators.linking import statement_field
 from corpuslab.operators.ordering import file_ordinal
+from corpuslab.sources import jsonarray
 
 SAMPLE_SCHEMA = "question string, db_id string, query string, SQL string, evidence string, question_id long"
 CATALOG_SCHEMA = (
@@ -41,12 +42,14 @@ difficulty_type array<string>"""
 
 
 def _read_json(spark: SparkSession, path, schema: str, lines: bool) -> DataFrame:
-    """A JSON array is one unit to read; `lines` is for one record per line, which splits.
+    """Records of JSON arrays, or with `lines` one per line; both are read in parts.
 
     Two statement fields differ only by what they are called, so names keep their case.
     """
-    reader = spark.read.schema(schema).option("mode", "FAILFAST")
-    return reader.json(path) if lines else reader.option("multiLine", True).json(path)
+    if not lines:
+        return jsonarray.read_array(spark, path, schema)
+    raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return file_ordinal(raw.select("*", "_metadata")).drop("_metadata")
 
 
 def read_samples(spark: SparkSession, path, dataset: str, lines: bool = False) -> DataFrame:
@@ -55,18 +58,18 @@ def read_samples(spark: SparkSession, path, dataset: str, lines: bool = False) -
     field = statement_field(dataset)
     names = [f"{n}" for n in ("question string", "db_id string", "evidence string", "question_id long")]
     raw = _read_json(spark, path, ", ".join([*names, f"{field} string"]), lines)
-    return file_ordinal(raw.select("*", "_metadata")).drop("_metadata").withColumnRenamed(field, "sql")
+    return raw.withColumnRenamed(field, "sql")
 
 
 def read_catalogs(spark: SparkSession, path, lines: bool = False) -> DataFrame:
     """Raw catalog rows; each primary key becomes a list of column indexes."""
-    raw = _read_json(spark, path, CATALOG_SCHEMA, lines)
+    raw = _read_json(spark, path, CATALOG_SCHEMA, lines).drop("ordinal")
     return raw.withColumn("primary_keys", wrap_primary_keys(F.col("primary_keys")))
 
 
 def read_prepared(spark: SparkSession, path, lines: bool = True, retrieval: bool = False) -> DataFrame:
     """Typed read of prepared samples, or of retrieval samples."""
-    return _read_json(spark, path, RETRIEVAL_SCHEMA if retrieval else PREPARED_SCHEMA, lines)
+    return _read_json(spark, path, RETRIEVAL_SCHEMA if retrieval else PREPARED_SCHEMA, lines).drop("ordinal")
 
 
 def pair_by_position(left: DataFrame, right: DataFrame, ordinal: str = "ordinal") -> DataFrame:
