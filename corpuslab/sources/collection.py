@@ -1,9 +1,16 @@
 """A vector collection: documents, vectors and metadata as Parquet, one folder per
-dataset, and a settings record beside them."""
+dataset, and a settings record beside them.
+
+Settings have versions. A writer prepares its data beside the others', then claims the version after the one it
+read by a rename that fails if that version is there already. Who comes second reads the newer settings and
+does its work again on top of them, so datasets that are ingested at the same time are all kept and no id comes twice.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import md5
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +22,7 @@ from corpuslab.operators import nearest as nn
 
 SETTINGS_SCHEMA = (
     "collection_name string, rag_dataset_paths array<string>, datasets array<string>, "
-    "embedding_method string, similarity_method string, used_embedding_fields string"
+    "embedding_method string, similarity_method string, used_embedding_fields string, folders array<string>"
 )
 
 
@@ -46,16 +53,17 @@ class VectorCollection:
         if encoder is None and method not in emb.ENCODERS:
             raise ValueError(f"embedding method {method!r} not supported")
         settings = {
-            "collection_name": name, "rag_dataset_paths": [], "datasets": [],
+            "collection_name": name, "rag_dataset_paths": [], "datasets": [], "folders": [],
             "embedding_method": method, "similarity_method": similarity, "used_embedding_fields": fields,
         }
         made = cls(spark, root, settings, encoder)
-        try:
-            made.version = cls.load(spark, root, name, encoder).version
-        except FileNotFoundError:
-            pass
-        made._save()
-        return made
+        while True:
+            try:
+                made.version = cls.load(spark, root, name, encoder).version
+            except FileNotFoundError:
+                pass
+            if made._commit(settings):
+                return made
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, name: str, encoder=None) -> "VectorCollection":
@@ -67,26 +75,64 @@ class VectorCollection:
             raise FileNotFoundError(f"no collection settings at {folder}") from error
         if row is None:
             raise FileNotFoundError(f"no collection settings at {folder}")
-        held = cls(spark, root, {k: v for k, v in row.asDict().items() if k != "version"}, encoder)
+        settings = {k: v for k, v in row.asDict().items() if k != "version"}
+        if settings["folders"] is None:  # written before folders had names of their own
+            settings["folders"] = [md5(p.encode()).hexdigest() for p in settings["rag_dataset_paths"]]
+        held = cls(spark, root, settings, encoder)
         held.version = row["version"]
         return held
 
-    def _save(self) -> None:
-        """A version of its own beside the older ones: until it is whole, those hold."""
-        self.version += 1
-        one = self.spark.createDataFrame([self.settings], SETTINGS_SCHEMA)
-        one.coalesce(1).write.mode("overwrite").json(f"{self.folder}/settings/version={self.version}")
+    def _refresh(self) -> None:
+        newest = VectorCollection.load(self.spark, self.root, self.settings["collection_name"], self.encoder)
+        self.settings, self.version = newest.settings, newest.version
+
+    def _store(self, path: str):
+        """The Hadoop path and its file system."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _commit(self, settings: dict) -> bool:
+        """Make `settings` the next version; False if another writer did so first. A version is written
+        elsewhere and takes its name in one step, so readers see whole ones only."""
+        waiting = f"{self.folder}/waiting/{uuid4().hex}"
+        self.spark.createDataFrame([settings], SETTINGS_SCHEMA).coalesce(1).write.json(waiting)
+        source, store = self._store(waiting)
+        target, _ = self._store(f"{self.folder}/settings/version={self.version + 1}")
+        store.mkdirs(target.getParent())
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(store.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        try:
+            context.rename(store.makeQualified(source), store.makeQualified(target), plain)
+        except Exception:  # noqa: BLE001  there already, or the store failed
+            store.delete(source, True)
+            if store.exists(target):
+                return False
+            raise
+        self.settings, self.version = settings, self.version + 1
+        return True
 
     def rows(self) -> DataFrame:
         """All documents of the datasets in the settings. A folder that a broken ingest
         left behind is not listed there and not read."""
-        folders = [self._data(p) for p in self.settings["rag_dataset_paths"]]
+        folders = [f"{self.folder}/data/{f}" for f in self.settings["folders"]]
         if not folders:
             raise ValueError("the collection is empty")
         return self.spark.read.parquet(*folders)
 
-    def _data(self, path: str) -> str:
-        return f"{self.folder}/data/{md5(path.encode()).hexdigest()}"
+    def _add(self, path: str, dataset: str, made: Callable[[], DataFrame]) -> bool:
+        """Write the rows that `made` gives for the settings as they are, and list them; again if these have changed."""
+        while True:
+            self._refresh()
+            if path in self.settings["rag_dataset_paths"]:
+                return False
+            folder = f"{md5(path.encode()).hexdigest()}-{uuid4().hex}"
+            made().withColumn("dataset", F.lit(dataset)).write.parquet(f"{self.folder}/data/{folder}")
+            more = {"rag_dataset_paths": path, "datasets": dataset, "folders": folder}
+            if self._commit(self.settings | {k: [*self.settings[k], v] for k, v in more.items()}):
+                return True
+            at, store = self._store(f"{self.folder}/data/{folder}")
+            store.delete(at, True)
 
     def insert(self, samples: DataFrame, path: str, dataset: str, order: str | None = None) -> bool:
         """Embed and add a dataset known by its path; False if it is already there.
@@ -94,10 +140,8 @@ class VectorCollection:
         samples: id, difficulty_type [, domain] and the columns of the chosen fields.
         Ids that the collection holds already are left out; of equal ids in `samples` the
         last counts, by the column `order` if it is named, else by the values of the row.
-        Writing replaces the dataset's own folder, so a repeated try leaves no doubles.
+        Several writers may insert at the same time; a broken try leaves nothing that is read.
         """
-        if path in self.settings["rag_dataset_paths"]:
-            return False
         text = documents.document(self.settings["used_embedding_fields"])
         domain = F.coalesce("domain", F.lit("")) if "domain" in samples.columns else F.lit("")
         flags = [c.alias(f"tag_{n}") for n, c in sqltext.tag_flags(F.col("difficulty_type")).items()]
@@ -105,24 +149,16 @@ class VectorCollection:
         new = samples.select("id", place, text.alias("document"), domain.alias("domain"), *flags)
         values = F.struct(*[c for c in new.columns if c != "id"])
         new = new.groupBy("id").agg(F.max(values).alias("v")).select("id", "v.*").drop("_place")
-        if self.settings["rag_dataset_paths"]:
-            new = new.join(self.rows().select("id"), "id", "left_anti")
-        rows = emb.embed(new, "document", self.encoder)
-        rows.withColumn("dataset", F.lit(dataset)).write.mode("overwrite").parquet(self._data(path))
-        self.settings["rag_dataset_paths"] = [*self.settings["rag_dataset_paths"], path]
-        self.settings["datasets"] = [*self.settings["datasets"], dataset]
-        self._save()
-        return True
+
+        def made() -> DataFrame:
+            fresh = new.join(self.rows().select("id"), "id", "left_anti") if self.settings["folders"] else new
+            return emb.embed(fresh, "document", self.encoder)
+
+        return self._add(path, dataset, made)
 
     def add_rows(self, rows: DataFrame, path: str, dataset: str) -> bool:
         """As `insert`, for rows that carry their own id, document, vec and metadata."""
-        if path in self.settings["rag_dataset_paths"]:
-            return False
-        rows.withColumn("dataset", F.lit(dataset)).write.mode("overwrite").parquet(self._data(path))
-        self.settings["rag_dataset_paths"] = [*self.settings["rag_dataset_paths"], path]
-        self.settings["datasets"] = [*self.settings["datasets"], dataset]
-        self._save()
-        return True
+        return self._add(path, dataset, lambda: rows)
 
     def query(self, queries: DataFrame, n_results: int, where=None) -> DataFrame:
         """Nearest documents (query_id, doc_id, distance, rank, document) for queries with

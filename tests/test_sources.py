@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import documents
 from corpuslab.operators import embed, linking, masking
-from corpuslab.sources import samples, sinks
+from corpuslab.sources import jsonarray, samples, sinks
 from corpuslab.sources.collection import VectorCollection, collection_name
 from corpuslab.streaming.ingest import ingest_stream
 
@@ -24,6 +24,77 @@ def test_read_samples(spark, tmp_path):
         samples.read_samples(spark, "x", "other")
 
 
+def odd_records():
+    """Strings that hold brackets, quotes and escapes; nested objects and arrays; long and short records."""
+    texts = ["", "}", "{", '"', "\\", '\\"}', "[{", "}]", "a\nb", "é 東京", '\\\\"', "},{", '{"a": "}"}', "x" * 5000, "\u2028}", "}" * 50, '"' * 30]
+    return [{"i": i, "t": texts[i % len(texts)], "n": {"a": [texts[(i * 7) % len(texts)], {"b": [i, [i]]}], "c": None}} for i in range(700)]
+
+
+ODD_SCHEMA = "i long, t string, n struct<c:string>"
+
+
+@pytest.mark.parametrize("indent,size", [(None, 64), (2, 97), (None, 4096), (1, 1 << 27)])
+def test_json_array_in_parts(spark, tmp_path, indent, size):
+    """Whatever the borders of the splits, rows and places are those of the file."""
+    path, want = tmp_path / "a.json", odd_records()
+    if size < 100:
+        want = want[:40]
+    path.write_text(json.dumps(want, indent=indent, ensure_ascii=indent is None), encoding="utf-8")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        texts = jsonarray.records(spark, str(path)).orderBy("ordinal").collect()
+        assert [r.ordinal for r in texts] == list(range(len(want))) and [json.loads(r.text) for r in texts] == want
+        got = jsonarray.read_array(spark, str(path), ODD_SCHEMA).orderBy("ordinal").collect()
+        plain = spark.read.schema(ODD_SCHEMA).option("multiLine", True).json(str(path)).collect()
+        assert [(r.i, r.t, r.n) for r in got] == [(r.i, r.t, r.n) for r in plain]
+        assert size > 100 or spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 40
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_json_array_forms(spark, tmp_path):
+    def read(text):
+        path = tmp_path / f"f{abs(hash(text))}.json"
+        path.write_text(text)
+        return [(r.ordinal, json.loads(r.text)) for r in jsonarray.records(spark, str(path)).orderBy("ordinal").collect()]
+
+    assert read("[]") == read("") == read(" [ ] \n") == []
+    assert read('{"a": 1}') == [(0, {"a": 1})] and read('[{"a": 1}]') == [(0, {"a": 1})]
+    assert read('{"a": {}}\n{"b": [{}]}\n') == [(0, {"a": {}}), (1, {"b": [{}]})]
+    for bad in ('[{"a": 1}, 7, {"b": 2}]', '[{"a": 1}, {"b": {"c": 2}', '[{"a": "open}]'):
+        with pytest.raises(Exception, match="not an array of objects|ends inside a record"):
+            read(bad)
+    two = tmp_path / "two"
+    two.mkdir()
+    for i in range(2):
+        (two / f"{i}.json").write_text(json.dumps([{"k": 10 * i + j} for j in range(3)]))
+    assert [json.loads(r.text)["k"] for r in jsonarray.records(spark, str(two)).orderBy("ordinal").collect()] == [0, 1, 2, 10, 11, 12]
+
+
+def test_write_array(spark, tmp_path):
+    """One file that json.load reads; a failed job leaves the old one and nothing else."""
+    path = str(tmp_path / "out.json")
+    df = spark.range(0, 1000, numPartitions=7).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit('}"{ '), "id")).alias("t"), F.array("id").alias("a"))
+    jsonarray.write_array(df, path, [F.col("id").desc()])
+    want = [{"id": i, "t": f'}}"{{ {i}' if i % 3 else None, "a": [i]} for i in range(999, -1, -1)]
+    with open(path) as f:
+        assert json.load(f) == want
+    broken = df.withColumn("t", F.when(F.col("id") == 900, F.raise_error(F.lit("killed"))).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="killed"):
+        jsonarray.write_array(broken, path)
+    with open(path) as f:
+        assert json.load(f) == want
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["out.json"]
+    jsonarray.write_array(df.limit(0), path)
+    with open(path) as f:
+        assert json.load(f) == []
+    back = jsonarray.read_array(spark, path, "id long")
+    assert back.isEmpty()
+
+
 def test_predictions(spark, tmp_path):
     base = samples.read_samples(spark, write_samples(tmp_path), "spider")
     good, short = tmp_path / "a.sql", tmp_path / "b.sql"
@@ -156,3 +227,46 @@ def test_masking(spark):
     assert abs(got[1, "grade"] - (2.5 / 2 + 0.9) / 2) < 1e-12 and abs(got[1, "the"] - 0.5) < 1e-12
     out = {r.question_id: r.skeleton for r in masking.mask_questions(asked, scores).collect()}
     assert out == {1: "Show the Name and [Mask] of [Mask]", 2: "Quiet"}
+
+
+def numbered_samples(spark, ids):
+    return spark.createDataFrame([(str(i), f"select {i}", []) for i in ids], "id string, sql string, difficulty_type array<string>")
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Both read the same version; the second one's commit fails, and its work is done again on top of the first."""
+    root = str(tmp_path)
+    VectorCollection.create(spark, root, "n", fields="SQL")
+    first, second = (VectorCollection.load(spark, root, "n") for _ in range(2))
+    commit, tried = VectorCollection._commit, []
+
+    def late(self, settings):
+        if self is second and not tried:
+            tried.append(True)
+            assert first.insert(numbered_samples(spark, range(10)), "a", "a")
+        return commit(self, settings)
+
+    monkeypatch.setattr(VectorCollection, "_commit", late)
+    assert second.insert(numbered_samples(spark, range(5, 20)), "b", "b")
+    held = VectorCollection.load(spark, root, "n")
+    assert held.settings["datasets"] == ["a", "b"] and held.version == 3
+    rows = held.rows().collect()
+    assert sorted(int(r.id) for r in rows) == list(range(20)) and {r.dataset for r in rows if int(r.id) in range(5, 10)} == {"a"}
+    assert not first.insert(numbered_samples(spark, [99]), "b", "b")
+    assert len(list((tmp_path / "n" / "data").iterdir())) == 2 and not list((tmp_path / "n" / "waiting").iterdir())
+
+
+def test_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path)
+    VectorCollection.create(spark, root, "n", fields="SQL")
+
+    def write(i):
+        return VectorCollection.load(spark, root, "n").insert(numbered_samples(spark, range(4 * i, 4 * i + 8)), f"p{i}", f"d{i}")
+
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(write, range(4)))
+    held = VectorCollection.load(spark, root, "n")
+    assert sorted(held.settings["datasets"]) == ["d0", "d1", "d2", "d3"]
+    assert sorted(int(r.id) for r in held.rows().collect()) == list(range(20))
