@@ -201,6 +201,25 @@ def column_descriptions(schema: Column, fk: Column, mark_keys: bool = True) -> C
     return F.transform(schema, describe)
 
 
+def with_contents(samples: DataFrame, contents: DataFrame, key: str = "id") -> DataFrame:
+    """`samples` whose db_schema has the values found for their columns as db_contents, by position.
+
+    contents: <key>, table_name, column_name, contents (list of texts), as `valuelink.column_contents` gives them;
+    names in any case, a column once per sample. A column without an entry has an empty list, and entries for columns that
+    the schema lacks are left out. One map per sample is joined to it, and the nested schema is never taken apart."""
+    name = F.lower(F.concat_ws(".", "table_name", "column_name"))
+    entry = F.struct(name, F.coalesce("contents", F.array().cast("array<string>")))
+    maps = contents.groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.collect_list(entry)).alias("_held"))
+    joined = samples.join(maps, samples[key] == maps["_key"], "left")
+    none = F.array().cast("array<string>")
+
+    def filled(t: Column) -> Column:
+        values = F.transform(t["column_names_original"], lambda c: F.coalesce(F.try_element_at("_held", F.lower(F.concat_ws(".", t["table_name_original"], c))), none))
+        return t.withField("db_contents", values)
+
+    return joined.withColumn("db_schema", F.transform("db_schema", filled)).drop("_key", "_held")
+
+
 def classifier_samples(prepared: DataFrame) -> DataFrame:
     """Question, tables with labels, column descriptions per table, flat column labels."""
     return prepared.select(

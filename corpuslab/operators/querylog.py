@@ -75,3 +75,60 @@ def hardness_counts(sql: Column) -> tuple[Column, Column, Column]:
     conditions = F.regexp_count(text, F.lit(r"\band\b"))
     further = (aggregates > 1).cast("int") + (conditions > 0).cast("int")
     return clauses, nested, further
+
+
+# The clauses of a select in their order, and the words that join two arms.
+CLAUSES = ["select", "from", "where", "group by", "having", "order by", "limit"]
+ARMS = r" (?:union all|union|intersect|except) "
+
+
+def clauses_of(sql: Column) -> dict[str, Column]:
+    """The clauses of the outermost select of a normalised statement (tokens a blank apart), as texts
+    with a blank at each end; null where the statement has none. Sub-queries read `( ? )`, literals `''`; `arms` is the number of
+    selects that set operations join.
+
+    The statement is folded by depth once (`sqltext.subqueries`), so what is left holds the outer level only."""
+    plain = sqltext.without_literals(F.lower(sql))
+    outer = F.aggregate(sqltext.subqueries(plain), plain, lambda text, part: F.replace(text, part, F.lit("?")))
+    arms = F.split(F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(outer, r"[(),;]", " $0 "), r"\s+", " "), F.lit(" ")), ARMS)
+    first = F.get(arms, F.lit(0))
+    out = {"arms": F.size(arms)}
+    for i, name in enumerate(CLAUSES):
+        behind = "|".join([f" {n} " for n in CLAUSES[i + 1 :]] + ["$"])
+        text = F.regexp_extract(first, rf" {name} (.*?)(?:{behind})", 1)
+        out[name] = F.when(first.contains(f" {name} "), F.concat(F.lit(" "), text, F.lit(" ")))
+    return out
+
+
+def _flat(text: Column) -> Column:
+    """Without what stands in parentheses, three deep."""
+    for _ in range(3):
+        text = F.regexp_replace(text, r"\([^()]*\)", "")
+    return text
+
+
+def structure_counts(sql: Column) -> tuple[Column, Column, Column]:
+    """Three component counts of a normalised statement, from its clauses.
+
+    clauses   where, group by, order by and limit, the tables beyond the first, each `or`, each `like`
+    nested    sub-queries in conditions, and one for a set operation
+    further   of more than one aggregate, selected item, condition, and grouping item: how many hold"""
+    parts = clauses_of(sql)
+
+    def count(names: list[str], pattern: str) -> Column:
+        return sum((F.coalesce(F.regexp_count(parts[n], F.lit(pattern)), F.lit(0)) for n in names[1:]), F.coalesce(F.regexp_count(parts[names[0]], F.lit(pattern)), F.lit(0)))
+
+    def there(name: str) -> Column:
+        return parts[name].isNotNull().cast("int")
+
+    tables = F.coalesce(F.regexp_count(_flat(parts["from"]), F.lit(r"\bjoin\b|,")), F.lit(0))
+    clauses = sum((there(n) for n in ("group by", "order by", "limit")), there("where")) + tables + count(["from", "where", "having"], r"\b(?:or|like)\b")
+    # A sub-query behind from, join or a comma is a table.
+    as_tables = F.coalesce(F.regexp_count(F.concat(F.lit(" ,"), parts["from"]), F.lit(r"(?:,|\bjoin) \( \? \)")), F.lit(0))
+    nested = count(["from", "where", "having"], r"\( \? \)") - as_tables + (parts["arms"] > 1).cast("int")
+    aggregates = count(["select", "where", "group by", "having", "order by"], r"\b(?:max|min|count|sum|avg) \(")
+    # The `and` of a between joins no two conditions.
+    conditions = F.coalesce(F.regexp_count(F.regexp_replace(parts["where"], r"\bbetween \S+ and\b", "between"), F.lit(r"\b(?:and|or)\b")), F.lit(0))
+    items = {n: F.coalesce(F.regexp_count(_flat(parts[n]), F.lit(",")), F.lit(0)) for n in ("select", "group by")}
+    further = (aggregates > 1).cast("int") + (items["select"] > 0).cast("int") + (conditions > 0).cast("int") + (items["group by"] > 0).cast("int")
+    return clauses, nested, further

@@ -367,3 +367,42 @@ def classifier_samples(t: Tables) -> DataFrame:
         F.array_join(F.flatten("column_infos"), "|").alias("column_infos"),
         F.array_join(F.col("column_labels").cast("array<string>"), ",").alias("column_labels"),
     )
+
+
+# Values that a statement names, for the columns that it compares them with.
+NAMED_VALUES = [("o_orderpriority", 'o_orderpriority = "([^"]*)"'), ("o_orderstatus", "o_orderstatus = '([^']*)'")]
+
+
+def named_contents(t: Tables) -> DataFrame:
+    """(id, table_name, column_name, contents) of the log's samples."""
+    found = F.array(*[F.struct(F.lit(c).alias("column_name"), F.regexp_extract("sql", pattern, 1).alias("v")) for c, pattern in NAMED_VALUES])
+    rows = query_log(t).select(F.concat(F.lit("bird_dev_"), F.col("log_id").cast("string")).alias("id"), F.explode(found).alias("f")).where("f.v <> ''")
+    # The column's name in another case than the schema's.
+    return rows.select("id", F.lit("Orders").alias("table_name"), F.upper("f.column_name").alias("column_name"), F.array("f.v", F.lower("f.v")).alias("contents"))
+
+
+@query(
+    f"""WITH {LABELS}, v AS (SELECT log_id, regexp_extract(sql, 'o_orderpriority = "([^"]*)"', 1) AS p, regexp_extract(sql, 'o_orderstatus = ''([^'']*)''', 1) AS s FROM qlog),
+    fkc AS (SELECT lab.*, column_name || CASE WHEN column_name_original IN ('c_custkey', 'o_custkey') OR column_name_original = table_name_original || '_col1' THEN ' ( [FK] ) '
+      WHEN column_name_original = 'o_orderpriority' AND p <> '' THEN ' ( ' || p || ' , ' || lower(p) || ' ) '
+      WHEN column_name_original = 'o_orderstatus' AND s <> '' THEN ' ( ' || s || ' , ' || lower(s) || ' ) ' ELSE '' END AS info FROM lab JOIN v ON v.log_id = lab.log_id)
+    SELECT 'bird_dev_' || log_id AS id, string_agg(info, '|' ORDER BY column_idx) AS column_infos FROM fkc GROUP BY log_id"""
+)
+def classifier_samples_filled(t: Tables) -> DataFrame:
+    """Column descriptions that hold the values found for the sample."""
+    prepared = cat.with_contents(linking.prepare(log_samples(t), nested(t)), named_contents(t))
+    return cat.classifier_samples(prepared).select("id", F.array_join(F.flatten("column_infos"), "|").alias("column_infos"))
+
+
+# Component counts of the six forms of the log, counted by hand.
+FORM_COUNTS = [(2, 0, 0, "medium"), (1, 0, 0, "easy"), (1, 1, 0, "hard"), (0, 1, 0, "hard"), (2, 0, 0, "medium"), (1, 0, 2, "medium")]
+
+
+@query(
+    f"""SELECT o_orderkey AS log_id, comp1, comp2, others, hardness FROM orders
+    JOIN (VALUES {", ".join(f"({i}, {a}, {b}, {c}, '{h}')" for i, (a, b, c, h) in enumerate(FORM_COUNTS))}) f(form, comp1, comp2, others, hardness) ON form = o_orderkey % 6"""
+)
+def log_structure(t: Tables) -> DataFrame:
+    """Hardness by the clauses of each statement."""
+    named = norm_log(t).select("log_id", *[c.cast("int").alias(n) for n, c in zip(("comp1", "comp2", "others"), querylog.structure_counts(F.col("norm_sql")))])
+    return named.withColumn("hardness", sqltext.hardness(F.col("comp1"), F.col("comp2"), F.col("others")))

@@ -81,3 +81,16 @@ def test_prepared_schema_round_trip(spark, tmp_path):
     assert back.db_schema[0].column_names_original == ["x", "y"] and back.pk[1].column_name_original == ["y", "x"]
     test = linking.prepare(rows, n, mode="test", alternative="second").first()
     assert (test.sql, test.norm_sql, test.sql_skeleton, test.natsql, test.schema_links) == ("", "", "", "", [])
+
+
+def test_contents_attached_by_position(spark):
+    schema = f"id string, db_schema array<{samples.TABLE_DDL}>, fk array<{samples.FK_DDL}>"
+    tables = [("t", "t", ["A", "B"], ["a", "b"], ["text", "text"], []), ("u", "u", ["A"], ["a"], ["text"], [])]
+    rows = spark.createDataFrame([("1", tables, [("t", "b", "u", "a")]), ("2", tables, []), ("3", [], [])], schema)
+    found = spark.createDataFrame(
+        [("1", "T", "B", ["x", "y"]), ("1", "u", "a", ["z"]), ("1", "u", "gone", ["w"]), ("2", "t", "a", None), ("9", "t", "a", ["q"])],
+        "id string, table_name string, column_name string, contents array<string>",
+    )
+    out = {r.id: r for r in cat.with_contents(rows, found).withColumn("d", cat.column_descriptions(F.col("db_schema"), F.col("fk"))).collect()}
+    assert len(out) == 3 and out["1"].db_schema[0].db_contents == [[], ["x", "y"]] and out["2"].db_schema[0].db_contents == [[], []]
+    assert out["1"].d == [["A", "B ( x , y , [FK] ) "], ["A ( z , [FK] ) "]] and out["2"].d == [["A", "B"], ["A"]] and out["3"].db_schema == []

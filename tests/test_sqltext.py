@@ -90,3 +90,47 @@ def test_fingerprints(spark):
     log = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", "b"), ("t", "c")], "sql_skeleton string, norm_sql string")
     rows = {r.sql_skeleton: tuple(r)[1:] for r in querylog.fingerprint_counts(log).collect()}
     assert rows == {"s": (3, 2, "a"), "t": (1, 1, "c")}
+
+
+STRUCTURES = [
+    ("select a from t", (0, 0, 0)),
+    ("select a , b from t", (0, 0, 1)),
+    ("select count ( * ) from t", (0, 0, 0)),
+    ("select count ( * ) , max ( a ) from t", (0, 0, 2)),
+    ("select a from t where b = 1", (1, 0, 0)),
+    ("select a from t where b = 1 and c = 2", (1, 0, 1)),
+    ("select a from t where b = 1 or c = 2", (2, 0, 1)),
+    ("select a from t where b between 1 and 2", (1, 0, 0)),
+    ("select a from t where b between 1 and 2 and c like 'x%'", (2, 0, 1)),
+    ("select a from t where b = 'where x or y like z'", (1, 0, 0)),
+    ("select a from t group by a", (1, 0, 0)),
+    ("select a , b from t group by a , b", (1, 0, 2)),
+    ("select a from t group by a having count ( * ) > 3", (1, 0, 0)),
+    ("select a , count ( * ) from t group by a having count ( * ) > 3", (1, 0, 2)),
+    ("select a from t order by b asc", (1, 0, 0)),
+    ("select a from t order by b desc limit 3", (2, 0, 0)),
+    ("select a from t order by count ( * ) desc limit 1", (2, 0, 0)),
+    ("select t.a from t join u on t.i = u.i", (1, 0, 0)),
+    ("select t.a from t join u on t.i = u.i join v on v.i = u.i where v.x > 1", (3, 0, 0)),
+    ("select t.a from t , u where t.i = u.i", (2, 0, 0)),
+    ("select a from t where b in ( select c from u )", (1, 1, 0)),
+    ("select a from t where b in ( select c from u where d = 1 or e = 2 )", (1, 1, 0)),
+    ("select a from t where b in ( select c from u where d in ( select e from v ) )", (1, 1, 0)),
+    ("select a from t where b > ( select avg ( b ) from t ) and c not in ( select d from u )", (1, 2, 1)),
+    ("select a from ( select b from u where c = 1 ) where a = 2", (1, 0, 0)),
+    ("select a from ( select b from u ) join ( select c from v ) on b = c", (1, 0, 0)),
+    ("select a from t union select b from u", (0, 1, 0)),
+    ("select a from t where x = 1 intersect select a from t where x = 2", (1, 1, 0)),
+    ("select a from t except select b from u where c like 'q' or d = 1", (0, 1, 0)),
+    ("select a from t union select b from u union select c from v", (0, 1, 0)),
+    ("select a from t group by a having max ( b ) > ( select min ( c ) from u )", (1, 1, 0)),
+    ("select max ( a ) , min ( b ) , c from t where d like 'x' or e like 'y' group by c , d order by c asc limit 2", (7, 0, 4)),
+]
+
+
+def test_structure_counts(spark):
+    """Counted by hand."""
+    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(STRUCTURES)], "i int, s string")
+    got = {r.i: (r.a, r.b, r.c) for r in rows.select("i", *[c.alias(n) for n, c in zip("abc", querylog.structure_counts(F.col("s")))]).collect()}
+    for i, (statement, want) in enumerate(STRUCTURES):
+        assert got[i] == want, statement
