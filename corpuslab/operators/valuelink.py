@@ -15,6 +15,11 @@ on only if the edit distance, never above the insertions and deletions, allows t
 Shorter values: at most one character is inserted or deleted. The keys are the text
 itself and the text without one character, of the value as of every short span between
 word boundaries.
+
+Lower thresholds t: S >= t / (2 - t) L, and the span but for its last two characters is a part of the value still. Values
+whose least span is long are found as above. For the others every span of whole words that such a value allows is
+listed; its key is its beginning, of the largest size that the common part is sure to have, and a value has keys of all
+sizes that its spans may have.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.functions.matching import COMMON_WORDS, KEY_TERMS, SEPARATORS, STOP_WORDS, Words, compared, fold_case
+from corpuslab.functions.matching import COMMON_WORDS, KEY_TERMS, LOOK_AHEAD, SEPARATORS, STOP_WORDS, Words, compared, fold_case
 from corpuslab.functions.sqltext import strip
 from corpuslab.operators.skew import HOT_ROWS, blocked_join
 from corpuslab.session import cut
@@ -38,6 +43,9 @@ SHORT, SHORT_SPAN = 5, 6
 # Keys up to this size carry their span; values under them have at most 17 characters
 # and their spans at most 23.
 SPAN_KEYS, LONGEST_SPAN = 8, 23
+# Key sizes for any threshold; values are sought by listed spans if a common part may be shorter than this.
+LOOSE_SIZES = sorted({1, 2, *KEY_SIZES})
+LISTED_UNDER = 12
 
 
 def _fold(text: Column) -> Column:
@@ -135,6 +143,82 @@ def question_keys(questions: DataFrame, sizes: list[int]) -> DataFrame:
     return questions.select("question_id", F.explode(F.concat(*lists)).alias("k")).select("question_id", "k.*")
 
 
+def _least_span(length: Column, threshold: float) -> Column:
+    """Characters that a span has at least for a ratio of `threshold` to a value of this length."""
+    return F.ceil(length * F.lit(threshold / (2 - threshold)) - 1e-9).cast("int")
+
+
+def _largest_span(length, threshold: float):
+    return (2 - threshold) / threshold * length + 1e-9
+
+
+def loose_value_keys(values: DataFrame, threshold: float) -> DataFrame:
+    """(value, size, key, listed): as `value_keys`, for any threshold. `listed`: sought by spans of whole words."""
+    v, length = F.col("_v"), F.length("_v")
+    sized = (
+        values.select("value").distinct().withColumn("_v", _fold(F.col("value")))
+        .withColumn("_first", F.regexp_extract("_v", f"([^{SEPARATORS}])", 1))
+        .where("_first <> ''")
+        .withColumn("_sure", _least_span(length, threshold) - 2)
+    )
+    sizes = F.array(*[F.lit(s) for s in LOOSE_SIZES])
+    most = F.floor(_largest_span(length, threshold)).cast("int") - 2
+    # A listed span of S characters has the size for S - 2; the others have that for the least span.
+    own = F.filter(sizes, lambda s: (s <= F.greatest(most, F.lit(1))) & (s <= length) & (s >= F.array_max(F.filter(sizes, lambda r: r <= F.greatest("_sure", F.lit(1))))))
+    listed = F.col("_sure") < LISTED_UNDER
+    own = F.when(listed, own).otherwise(F.array(F.array_max(F.filter(sizes, lambda s: s <= F.col("_sure")))))
+
+    def parts(size: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), length - size), lambda o: F.substr(v, o + 1, size))
+        begun = F.filter(every, lambda p: p.startswith(F.col("_first")) | p.rlike(r"(?U)^\s"))
+        return F.transform(F.array_distinct(begun), lambda p: F.struct(size.alias("size"), F.xxhash64(p).alias("key")))
+
+    return sized.select("value", listed.alias("listed"), F.explode(F.flatten(F.transform(own, parts))).alias("k")).select("value", "listed", "k.*")
+
+
+def loose_question_keys(questions: DataFrame, sizes: list[int], longest: int) -> DataFrame:
+    """(question_id, size, key, span): spans of whole words of up to `longest` characters under the beginning that
+    a common part surely covers; and, for the `sizes` of values sought without spans, the beginnings at all word starts."""
+
+    @F.pandas_udf("array<struct<size:int, part:string, span:string>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            words, found = Words(text), set()
+            for i, begin in enumerate(words.begins):
+                for end in words.ends[i:]:
+                    size = len(text[begin:end].strip())
+                    if size > longest:
+                        break
+                    sure = max(s for s in LOOSE_SIZES if s <= max(1, size - LOOK_AHEAD))
+                    found.add((sure, text[begin : begin + sure], text[begin:end].strip()))
+                found.update((s, text[begin : begin + s], None) for s in sizes if begin + s <= len(text))
+            out.append([{"size": a, "part": b, "span": c} for a, b, c in found])
+        return pd.Series(out)
+
+    found = questions.select("question_id", F.explode(spans.asNondeterministic()(_fold(F.col("question")))).alias("k"))
+    return found.select("question_id", "k.size", F.xxhash64("k.part").alias("key"), "k.span")
+
+
+def loose_pairs(questions: DataFrame, values: DataFrame, threshold: float, hot: int = HOT_ROWS) -> DataFrame:
+    """Distinct (question_id, value) pairs that may match, for any threshold above 0."""
+    keys = cut(loose_value_keys(values, threshold))
+    # At most one row per key size, some forty in all.
+    sizes = sorted(r["size"] for r in keys.where("NOT listed").select("size").distinct().collect())
+    longest = keys.where("listed").agg(F.max(F.length(_fold(F.col("value")))).alias("n")).first().n or 0
+    if not longest and not sizes:
+        return questions.select("question_id").limit(0).withColumn("value", F.lit(""))
+    asked = cut(loose_question_keys(questions, sizes, int(_largest_span(longest, threshold))))
+    # Listed values meet spans, the others meet word starts.
+    keys = keys.withColumn("kind", F.col("listed").cast("int")).drop("listed")
+    asked = asked.withColumn("kind", F.col("span").isNotNull().cast("int"))
+    met = blocked_join(asked, keys, ["kind", "size", "key"], "question_id", "value", hot)
+    low = _fold(F.col("value"))
+    total = F.length(low) + F.length("span")
+    near = met.where(F.col("span").isNull() | (F.levenshtein("span", low) <= (1 - threshold) * total + 1e-6))
+    return near.select("question_id", "value").distinct()
+
+
 def candidate_pairs(questions: DataFrame, values: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """Distinct (question_id, value) pairs that may match."""
     keys = cut(value_keys(values))
@@ -203,11 +287,12 @@ def link_values(
     Per matched text the last value in text order counts, and the first one fixes the
     order among equals. Columns called after a name need an exact match.
     """
-    if threshold < THRESHOLD:
-        raise ValueError(f"the candidate keys hold for thresholds from {THRESHOLD} on")
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is above 0 and at most 1")
     asked = questions.select("question_id", strip(F.col("question")).alias("question"))
     held = cut(usable_values(values))
-    found = judged_pairs(candidate_pairs(asked, held, hot), asked, threshold)
+    pairs = candidate_pairs(asked, held, hot) if threshold >= THRESHOLD else loose_pairs(asked, held, threshold, hot)
+    found = judged_pairs(pairs, asked, threshold)
     placed = found.join(held, "value")
     per_match = placed.groupBy("question_id", "table_name", "column_name", "match_text").agg(
         F.max_by(F.struct("value", "source", "score", "match_size"), "value").alias("m"), F.min("value").alias("_first")

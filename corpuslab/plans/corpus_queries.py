@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import documents
+from corpuslab.functions.matching import KEY_TERMS, SEPARATORS, STOP_WORDS
 from corpuslab.operators import catalog as cat
 from corpuslab.operators import embed, evaluate, linking, masking, mining, repair, selection, valuelink
 from corpuslab.operators.ordering import sorted_ordinal
@@ -180,6 +181,35 @@ def value_links(t: Tables) -> DataFrame:
     return links.select("question_id", "table_name", "column_name", "value", "source", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def value_links_loose(t: Tables) -> DataFrame:
+    """Words of the documents linked to the benchmark texts with half the words' letters wrong at most."""
+    asked = t.benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    links = valuelink.link_values(asked, document_words(t), threshold=0.7)
+    return links.select("question_id", "table_name", "column_name", "value", "source", F.round("score", 6).alias("score"), "rank")
+
+
+_out = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(STOP_WORDS | KEY_TERMS))
+_edge = "'" + SEPARATORS.replace("'", "''") + "'"
+
+
+@query(
+    rf"""WITH words AS (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS value FROM documents),
+    usable AS (SELECT * FROM words WHERE length(value) >= 2 AND lower(value) NOT IN ({_out}) AND NOT regexp_matches(value, '{valuelink.NUMBER}')),
+    asked AS (SELECT item_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS q FROM benchmark),
+    met AS (SELECT item_id, lang, value, q, strpos(lower(q), lower(value)) AS pos FROM asked, usable WHERE strpos(lower(q), lower(value)) > 0),
+    whole AS (SELECT *, substr(q, pos, length(value)) AS source FROM met
+      WHERE (pos = 1 OR strpos({_edge}, substr(q, pos - 1, 1)) > 0) AND (pos + length(value) > length(q) OR strpos({_edge}, substr(q, pos + length(value), 1)) > 0)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, lang ORDER BY CAST(1e16 AS DOUBLE) + 1e8 + length(value) DESC, value) AS rank FROM whole)
+    SELECT item_id AS question_id, 'documents' AS table_name, lang AS column_name, value, source, CAST(1 AS DOUBLE) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 2"""
+)
+def value_links_exact(t: Tables) -> DataFrame:
+    """Only words of the texts that are values as they stand."""
+    asked = t.benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    links = valuelink.link_values(asked, document_words(t), threshold=1.0)
+    return links.select("question_id", "table_name", "column_name", "value", "source", F.round("score", 6).alias("score"), "rank")
+
+
 @query()
 def value_contents(t: Tables) -> DataFrame:
     """Names of parts linked to texts that mention them, as sorted contents per column."""

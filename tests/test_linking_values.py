@@ -113,7 +113,29 @@ def test_contents_and_internal_tables(spark):
     rows = valuelink.column_contents(valuelink.link_values(q, v)).collect()
     assert [(r.table_name, r.contents) for r in rows] == [("city", ["Boston", "Denver"])]
     with pytest.raises(ValueError):
-        valuelink.link_values(q, v, threshold=0.5)
+        valuelink.link_values(q, v, threshold=0.0)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 0.85])
+def test_candidates_lose_no_pair(spark, threshold):
+    """Every pair of a question and a value judged, against the pairs that the keys find."""
+    rows, values = [], []
+    for seed, alphabet in ((12, "abcdeE"), (14, "abcdefghij"), (15, "aéßñdk"), (16, "abς'.")):
+        questions, found = corpus(seed, alphabet)
+        rows += [(len(rows) + i, text) for i, (_, text) in enumerate(questions)]
+        values += [(t, f"{c}{seed}", v) for t, c, v in found] + [("t", f"e{seed}", f"{a} {b} {c}, {d}") for (_, _, a), (_, _, b), (_, _, c), (_, _, d) in zip(found, found[3:], found[6:], found[9:])]
+    rows += [(len(rows), "say\nhello world"), (len(rows) + 1, LONG[:300] + " end"), (len(rows) + 2, "")]
+    values += [("t", "f", "hello worlds"), ("t", "f", LONG[:280]), ("t", "f", LONG[5:60]), ("t", "f", "ab"), ("t", "f", "hel")]
+    q = spark.createDataFrame(rows, "question_id int, question string")
+    v = valuelink.usable_values(spark.createDataFrame(values, "table_name string, column_name string, value string"))
+    every = q.select("question_id").crossJoin(v.select("value").distinct())
+    want = {(r.question_id, r.value, r.source, round(r.score, 9)) for r in valuelink.judged_pairs(every, q, threshold).collect()}
+    pairs = valuelink.candidate_pairs(q, v) if threshold >= valuelink.THRESHOLD else valuelink.loose_pairs(q, v, threshold)
+    got = {(r.question_id, r.value, r.source, round(r.score, 9)) for r in valuelink.judged_pairs(pairs, q, threshold).collect()}
+    assert want and got == want
+    if threshold < valuelink.THRESHOLD:
+        again = valuelink.loose_pairs(q, v, threshold, hot=7)
+        assert set(map(tuple, again.collect())) == set(map(tuple, pairs.collect())) and again.count() < every.count()
 
 
 def test_binary_values(spark):
