@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.operators import coded
 from corpuslab.operators import nearest as nn
 from corpuslab.plans.registry import Tables, query
 
@@ -79,3 +80,9 @@ def knn_pruned(t: Tables) -> DataFrame:
 @query()
 def knn_lsh(t: Tables) -> DataFrame:
     return rounded(nn.nearest_lsh(as_queries(t), as_docs(t), 5, 64, width=5.0, tables=40, hashes=14))
+
+
+@query()
+def knn_coded(t: Tables) -> DataFrame:
+    """By codes of 16 bytes; 40 documents of each query are compared by their vectors."""
+    return rounded(coded.nearest_coded(as_queries(t), as_docs(t), 5, "l2", rerank=40))

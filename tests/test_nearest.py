@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.vectors import native_distance, unit
 from corpuslab.operators import mining
+from corpuslab.operators import coded
 from corpuslab.operators import nearest as nn
 
 
@@ -128,6 +129,37 @@ def test_lsh_recall_of_the_registered_query(spark, folder, monkeypatch):
     assert len(met) < 0.75 * n * n
 
 
+def test_coded_recall_of_the_registered_query(spark):
+    """Recall@5 of `knn_coded` as registered, with under a tenth of the pairs compared by their vectors."""
+    from __spark_entry__ import queries
+
+    folder = "/root/testdata/sf0.01"
+    found = as_set(queries()["knn_coded"](spark, folder))
+    vecs = spark.read.parquet(f"{folder}/embeddings.parquet")
+    q = vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    exact = as_set(nn.nearest(q, q.withColumnRenamed("query_id", "doc_id"), 5))
+    pairs = {(a, b) for a, b, _ in found}
+    assert sum((a, b) in pairs for a, b, _ in exact) / len(exact) > 0.9 and len(found) == len(exact)
+    assert 40 < 0.1 * vecs.count()
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_coded_search(spark, metric):
+    """All ranked exactly: the result of exact search. Few: what is found has its exact distance and the right order."""
+    rng = np.random.default_rng(8)
+    q, d = frames(spark, rng.standard_normal((300, 7)))
+    want = nn.nearest(q, d, 6, metric)
+    assert as_set(coded.nearest_coded(q, d, 6, metric, rerank=300, parts=3, block_rows=64)) == as_set(want)
+    few = coded.nearest_coded(q, d, 6, metric, rerank=30, parts=7, entries=16, sample=100, block_rows=64).collect()
+    exact = {(r.query_id, r.doc_id): round(r.distance, 9) for r in nn.nearest(q, d, 300, metric).collect()}
+    assert all(exact[r.query_id, r.doc_id] == round(r.distance, 9) for r in few)
+    best = {(r.query_id, r.doc_id) for r in want.collect()}
+    assert sum((r.query_id, r.doc_id) in best for r in few) > 0.9 * len(best)
+    assert coded.nearest_coded(q, d.limit(0), 3).isEmpty()
+    with pytest.raises(ValueError):
+        coded.nearest_coded(q, d, 3, "ip")
+
+
 def test_unit_keeps_zero(spark):
     rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r.u for r in rows.select(unit(F.col("v")).alias("u")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
