@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,14 @@ def local_session(cores: str | int = "*", app: str = "corpuslab") -> SparkSessio
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, for this application's intermediate tables: under
-    `spark.checkpoint.dir` as the cluster names it, or, where that is unset, under the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = folder or spark.conf.get("spark.sql.warehouse.dir")
+    `spark.checkpoint.dir` as the cluster names it, or, where that is unset, under the warehouse. A
+    warehouse on the driver's own disk is refused on a cluster, where executors do not see it."""
+    conf = spark.sparkContext.getConf()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        if folder.startswith(("file:", "/")) and not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{folder.rstrip('/')}/corpuslab-{spark.sparkContext.applicationId}"
 
 
