@@ -35,13 +35,21 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, ", ".join(kinds))
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) of every node of `links` (a, b); a component is named by its smallest node.
+#: Links that one task puts together, some 20 MB; more of them take rounds of joins.
+FEW = 100_000
 
-    Tasks first put their own links together, which leaves short paths. Each round takes the smallest label of a node's neighbours and then the label of that
+
+def components(links: DataFrame, most: int = 60, few: int = FEW) -> DataFrame:
+    """(node, component) of every node of `links` (a, b); a component is named by its smallest node. Links with
+    a null end are none, and no links give no rows.
+
+    Tasks first put their own links together, which leaves short paths. If no more than `few` are left, one task does the rest.
+    Otherwise each round takes the smallest label of a node's neighbours and then the label of that
     label, so that distances halve about every round; every round is written. Sums over a hub's links
     are pre-aggregated in the tasks. No link or label reaches the driver."""
-    links = cut(contracted(links))
+    links = cut(contracted(links.where("a IS NOT NULL AND b IS NOT NULL")))
+    if links.count() <= few:
+        return cut(contracted(links.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component")))
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
     for _ in range(most):

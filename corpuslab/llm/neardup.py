@@ -4,8 +4,8 @@ A document is its set of word shingles, sketched by minwise tokens. Every tree s
 document down the branches of a few of its tokens, chosen by hash so that about 1 / threshold
 branches are followed at a node: documents of that similarity meet below each node with a
 probability that does not fade with depth, and independent trees repeat the chance. Nodes
-of few documents are compared exhaustively; larger ones below the roots link their members to a pivot first, and
-branch on where that leaves more than one component. Branches only find links early: what they leave in more than one
+of few documents are compared exhaustively; larger ones below the roots link their members to a pivot first, a
+member that agrees with the most others, and branch on where that leaves more than one component. Branches only find links early: what they leave in more than one
 component is compared in blocks, all of the node, so a pair that meets below a root is never lost. Links are confirmed on full sets.
 
 Equal sets are one class from the start, so copies cost nothing, and within a component
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ from corpuslab.llm.rows import ROWS_A_BATCH
 from corpuslab.session import cut
 
 TOKENS = 64  # minwise tokens of a sketch
-BINS = 512  # ranges of hashes of which a sketch keeps one byte of the smallest member
-TREES = 8
+BINS = 512  # ranges of hashes of which a sketch keeps four bits of the smallest member
+TREES = 7
 SMALL = 256  # documents of a node that are compared exhaustively
-BLOCK = 2048  # documents of a side of a block of a large node
+BLOCK = 4096  # documents of a side of a block of a large node
 DEEPER = 3  # levels that large nodes go down at once to find links
+VOTERS = 512  # members of a large node, about, among which its pivot is chosen
 U64 = np.uint64
 SALTS = np.array([xxhash.xxh64_intdigest(b"", i) for i in range(4 * TOKENS)], U64)
 
@@ -60,11 +62,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def binned(own: np.ndarray) -> np.ndarray:
-    """Of each range of hashes one byte of the smallest member of the sorted set; 0: none."""
+    """Of each range of hashes a number from 1 to 15 by the smallest member of the sorted set, or 0 for none; two a byte."""
     out = np.zeros(BINS, np.uint8)
     spot, first = np.unique(own >> U64(64 - (BINS.bit_length() - 1)), return_index=True)
-    out[spot.astype(np.int64)] = np.maximum(own[first] & U64(255), U64(1))
-    return out
+    out[spot.astype(np.int64)] = own[first] % U64(15) + U64(1)
+    return out[::2] << 4 | out[1::2]
 
 
 def sketched(docs: DataFrame, size: int, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -151,6 +153,40 @@ def populated(rows: DataFrame) -> DataFrame:
     return sizes.groupBy("size", "members").agg(first).select("first.path", "size", "first.slot")
 
 
+def slim(classes: DataFrame, slots: list[tuple[int, int]]) -> DataFrame:
+    """What nodes need of the classes: class, n, low (a byte of each token), roots (the tokens of the root slots), bins."""
+    at = np.array([i for _, i in slots])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                tokens = matrix(batch.column("tokens"), "<u4")
+                low, roots = ([row.tobytes() for row in x] for x in ((tokens & 255).astype(np.uint8), np.ascontiguousarray(tokens[:, at])))
+                yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n_shingles"), pa.array(low, pa.binary()), pa.array(roots, pa.binary()), batch.column("bins")], names=["class", "n", "low", "roots", "bins"])
+
+    return classes.select("class", "n_shingles", "tokens", "bins").mapInArrow(run, "class binary, n long, low binary, roots binary, bins binary")
+
+
+def voted(rows: DataFrame) -> DataFrame:
+    """(path, class) of one pivot of each gathered group (path, voters: class, low): the voter that
+    agrees most often with what most voters have."""
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("voters")
+            members = lists.flatten()
+            if not len(members):
+                continue
+            low, ends = matrix(members.field("low"), np.uint8), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            best = []
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                part = low[start:end]
+                most = np.array([np.bincount(column, minlength=256).argmax() for column in part.T])
+                best.append(start + int((part == most).sum(1).argmax()))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), members.field("class").take(pa.array(best))], names=["path", "class"])
+
+    return rows.select("path", "voters").mapInArrow(run, "path long, class binary")
+
+
 class Rule:
     """What links two sets: 100 * shared >= percent * all. `seen`: tokens that a linked pair has in common all but surely."""
 
@@ -159,36 +195,39 @@ class Rule:
         # Over five standard deviations below the threshold: about one linked pair in a million has fewer.
         self.seen = max(1, math.floor(TOKENS * p - 5.3 * math.sqrt(TOKENS * p * (1 - p))))
 
-    def likely(self, left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """Rows of two tables of bins that may be linked. The share of equal bins among the filled
-        ones estimates the similarity from as many members, drawn without putting back from what
-        the two sets have together; small sets are seen nearly whole."""
-        filled = ((left | right) > 0).sum(1)
-        equal = ((left == right) & (left > 0)).sum(1)
+    def likely(self, left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows of two tables of bins which may be linked, and the share of equal bins among the filled
+        ones. It estimates the similarity from as many members, drawn without putting back from what
+        the two sets have together; small sets are seen nearly whole. Members that differ fall on one number by
+        chance, which only ever finds more. A linked pair is over four and a half deviations from being missed."""
+        filled, equal = 0, 0
+        for high in (True, False):
+            a, b = (left >> 4, right >> 4) if high else (left & 15, right & 15)
+            filled = filled + ((a | b) > 0).sum(1)
+            equal = equal + ((a == b) & (a > 0)).sum(1)
         p = self.percent / 100
         whole = (n + m) / (1 + p)
         spread = np.sqrt(np.maximum(filled * p * (1 - p) * np.clip((whole - filled) / np.maximum(whole - 1, 1), 0.02, 1), 0))
-        return equal >= p * filled - 6 * spread - 2
+        return equal >= p * filled - 4.7 * spread - 0.5, equal / np.maximum(filled, 1)
 
-    def candidates(self, tokens: np.ndarray, bins: np.ndarray, n: np.ndarray, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs i < j of rows that may be linked, from sketches and sizes. One byte of each token is
-        compared first, which only ever finds more of them equal. `split`: only pairs of one of
+    def candidates(self, low: np.ndarray, bins: np.ndarray, n: np.ndarray, group: np.ndarray, split: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs i < j of rows of different groups that may be linked, and their estimated similarity, from sketches and
+        sizes. What is held grows with these pairs only. A byte of each token is compared first, which only ever finds more of them equal. `split`: only pairs of one of
         the first so many rows and one of the rest."""
-        low, found = np.ascontiguousarray(tokens & 255).astype(np.uint8), ([], [])
+        found = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)])
         step = max(1, 4_000_000 // (len(n) * TOKENS))
         for at in range(0, split or len(n), step):
             part, first = slice(at, min(at + step, split or len(n))), split or at
             close = (low[part, None, :] == low[None, first:, :]).sum(2, dtype=np.uint8) >= self.seen
             sizes = n[part, None], n[None, first:]
-            close &= 100 * np.minimum(*sizes) >= self.percent * np.maximum(*sizes)
+            close &= (100 * np.minimum(*sizes) >= self.percent * np.maximum(*sizes)) & (group[part, None] != group[None, first:])
             i, j = np.nonzero(close if split else np.triu(close, 1))
             for k in range(0, len(i), 4096):
                 a, b = at + i[k : k + 4096], first + j[k : k + 4096]
-                same = ((tokens[a] == tokens[b]).sum(1) >= self.seen) & self.likely(bins[a], bins[b], n[a], n[b])
-                found[0].append(a[same])
-                found[1].append(b[same])
-        empty = [np.empty(0, np.int64)]
-        return np.concatenate(found[0] + empty).astype(np.int64), np.concatenate(found[1] + empty).astype(np.int64)
+                same, score = self.likely(bins[a], bins[b], n[a], n[b])
+                for out, x in zip(found, (a, b, score)):
+                    out.append(x[same])
+        return tuple(map(np.concatenate, found))
 
 
 def matrix(column: pa.Array, kind: str) -> np.ndarray:
@@ -218,11 +257,10 @@ def forest_of(a: np.ndarray, b: np.ndarray, score: np.ndarray, size: int) -> lis
 
 
 def node_pairs(nodes: DataFrame, rule: Rule, forest: bool, slots: list[tuple[int, int]]) -> DataFrame:
-    """Candidate pairs (a, b) of gathered nodes or blocks (slot, members: class, n, tokens, bins, mask,
+    """Candidate pairs (a, b) of gathered nodes or blocks (slot, members: class, n, low, roots, bins, mask,
     component, side). `forest`: of each node only a spanning forest of the most similar ones; else all
     pairs whose components differ, and of members of both sides only those between them. Of the nodes below the roots
     that two documents share, the first alone passes their pair on; `mask` has the slots of a document's nodes."""
-    at = np.array([i for _, i in slots])
     bit = U64(1) << np.arange(len(slots), dtype=U64)
 
     def run(batches):
@@ -233,21 +271,20 @@ def node_pairs(nodes: DataFrame, rule: Rule, forest: bool, slots: list[tuple[int
                 continue
             ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
             name, part = names(members.field("class")), names(members.field("component"))
-            tokens, bins = matrix(members.field("tokens"), "<u4"), matrix(members.field("bins"), np.uint8)
+            low, roots, bins = matrix(members.field("low"), np.uint8), matrix(members.field("roots"), "<u4"), matrix(members.field("bins"), np.uint8)
             n, mask, side = np.asarray(members.field("n")), np.asarray(members.field("mask")).view(U64), np.asarray(members.field("side"))
             left, right = [], []
             for start, end, slot in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column("slot").to_pylist()):
                 order = start + np.lexsort((name[start:end, 1], name[start:end, 0], side[start:end]))
-                sets, own, sizes = tokens[order], part[order], n[order]
+                sets, group = roots[order], np.unique(part[order], axis=0, return_inverse=True)[1].ravel()
                 first = int((side[order] == side[order[0]]).sum())
-                a, b = rule.candidates(sets, bins[order], sizes, first if first < len(order) else 0)
-                differ = (own[a] != own[b]).any(1)
-                a, b = a[differ], b[differ]
+                a, b, score = rule.candidates(low[order], bins[order], n[order], group, first if first < len(order) else 0)
                 if forest and len(a) > 1:
-                    keep = forest_of(a, b, (sets[a] == sets[b]).sum(1), len(order))
+                    # Members of one component count as one.
+                    keep = forest_of(group[a], group[b], score, len(order))
                     a, b = a[keep], b[keep]
                 elif slot is not None and len(a):
-                    shared = np.where(sets[a][:, at] == sets[b][:, at], bit, U64(0)).sum(1, dtype=U64) & mask[order[a]] & mask[order[b]]
+                    shared = np.where(sets[a] == sets[b], bit, U64(0)).sum(1, dtype=U64) & mask[order[a]] & mask[order[b]]
                     here = (shared & (~shared + U64(1))) == bit[slot]
                     a, b = a[here], b[here]
                 x, y = name[order[a]], name[order[b]]
@@ -261,20 +298,20 @@ def node_pairs(nodes: DataFrame, rule: Rule, forest: bool, slots: list[tuple[int
 
 
 def row_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs of rows (class, n, tokens, bins, other: the same fields)."""
+    """Candidate pairs of rows (class, n, low, bins, other: the same fields)."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             other = batch.column("other")
-            left, right = (matrix(x, "<u4") for x in (batch.column("tokens"), other.field("tokens")))
+            left, right = (matrix(x, np.uint8) for x in (batch.column("low"), other.field("low")))
             n, m = np.asarray(batch.column("n")), np.asarray(other.field("n"))
             good = ((left == right).sum(1) >= rule.seen) & (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m))
-            good &= rule.likely(matrix(batch.column("bins"), np.uint8), matrix(other.field("bins"), np.uint8), n, m)
+            good &= rule.likely(matrix(batch.column("bins"), np.uint8), matrix(other.field("bins"), np.uint8), n, m)[0]
             pairs = [(min(a, b), max(a, b)) for a, b, g in zip(batch.column("class").to_pylist(), other.field("class").to_pylist(), good) if g and a != b]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
-    return rows.select("class", "n", "tokens", "bins", "other").mapInArrow(run, "a binary, b binary").distinct()
+    return rows.select("class", "n", "low", "bins", "other").mapInArrow(run, "a binary, b binary").distinct()
 
 
 class Join:
@@ -289,16 +326,14 @@ class Join:
 
     def confirm(self, pairs: DataFrame) -> bool:
         """Tests candidate pairs on full sets; keeps the links. False: there was nothing to test."""
-        for seen in self.tested:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        if self.tested:
+            pairs = pairs.join(reduce(DataFrame.unionByName, self.tested), ["a", "b"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
             return False
         self.tested.append(pairs)
         self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-        full = self.sets[0]
-        for more in self.sets[1:]:
-            full = full.unionByName(more)
+        full = reduce(DataFrame.unionByName, self.sets)
         both = pairs.join(full.select(F.col("class").alias("a"), F.col("items").alias("items_a")), "a")
         both = both.join(full.select(F.col("class").alias("b"), F.col("items").alias("items_b")), "b")
         both = both.withColumn("shared", F.size(F.array_intersect("items_a", "items_b")))
@@ -315,8 +350,8 @@ class Join:
 
     def fetch(self, wanted: DataFrame) -> None:
         """Full sets of the wanted classes that are not there yet, from one text of each."""
-        for held in self.sets:
-            wanted = wanted.join(held.select("class"), "class", "left_anti")
+        if self.sets:
+            wanted = wanted.join(reduce(DataFrame.unionByName, self.sets).select("class"), "class", "left_anti")
         wanted = cut(wanted.join(self.classes.select("class", "text_key"), "class").select("text_key"))
         texts = self.docs.select(F.xxhash64(self.column).alias("text_key"), F.col(self.column).alias("text"))
         texts = texts.join(listed(wanted), "text_key", "left_semi").dropDuplicates(["text_key"])
@@ -347,26 +382,32 @@ class Join:
         return self.placed(rows.join(listed(open_nodes), "path", "left_semi"))
 
     def gathered(self, rows: DataFrame) -> DataFrame:
-        """Small nodes as one row each: at most `SMALL` members."""
-        return rows.groupBy("path").agg(F.min("slot").alias("slot"), F.collect_list(F.struct("class", "n", "tokens", "bins", "mask", "component", F.lit(0).alias("side"))).alias("members"))
+        """Small nodes as one row each: at most `SMALL` members, which get their sketches here only."""
+        member = F.struct("class", "n", "low", "roots", "bins", "mask", "component", F.lit(0).alias("side"))
+        return rows.join(self.slim, "class").groupBy("path").agg(F.min("slot").alias("slot"), F.collect_list(member).alias("members"))
 
     def placed_nodes(self, paths: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-        """Members of the small and of the large nodes, and whether there are large ones."""
+        """Members (path, class, size, slot, mask) of the small and of the large nodes, and whether there are large ones."""
         nodes = cut(populated(paths))
-        members = paths.drop("slot").join(nodes, "path").join(self.classes.select("class", F.col("n_shingles").alias("n"), "tokens", "bins"), "class")
+        members = paths.drop("slot").join(nodes, "path")
         # A class is in as many nodes as it has slots at most.
         own = F.when(F.col("slot").isNotNull(), F.expr("shiftleft(1L, slot)")).otherwise(0)
         members = cut(members.withColumn("mask", F.bit_or(own).over(Window.partitionBy("class"))))
         large = members.where(F.col("size") > SMALL)
         return members.where(F.col("size") <= SMALL), large, not large.isEmpty()
 
+    def stars(self, large: DataFrame) -> DataFrame:
+        """Candidate pairs of the members of large nodes and one pivot each. Any member would do; one in the
+        middle of the others finds the most links."""
+        some = F.pmod(F.xxhash64("class", "path"), F.ceil(F.col("size") / VOTERS)) == 0
+        voters = large.where(some).join(self.slim.select("class", "low"), "class").groupBy("path").agg(F.collect_list(F.struct("class", "low")).alias("voters"))
+        pivots = voted(voters).join(self.slim, "class").select("path", F.struct("class", "n", "low", "bins").alias("other"))
+        return row_pairs(large.join(self.slim, "class").join(listed(cut(pivots), 50_000), "path"), self.rule)
+
     def sketch(self, small: DataFrame, large: DataFrame | None) -> DataFrame:
         """Forests of small nodes and stars around a pivot of large ones."""
         pairs = node_pairs(self.gathered(self.placed(small)), self.rule, True, self.slots)
-        if large is None:
-            return pairs
-        pivot = large.groupBy("path").agg(F.min_by(F.struct("class", "n", "tokens", "bins"), F.xxhash64("class", "path")).alias("other"))
-        return pairs.unionByName(row_pairs(large.join(pivot, "path"), self.rule)).distinct()
+        return pairs if large is None else pairs.unionByName(self.stars(large)).distinct()
 
     def rest(self, small: DataFrame) -> DataFrame:
         """All candidates of small nodes that components found so far leave open."""
@@ -374,13 +415,15 @@ class Join:
 
     def run(self, threshold: float) -> None:
         self.slots = root_slots(threshold)
+        self.slim = slim(self.classes, self.slots)
         small, large, any_large = self.placed_nodes(rooted(self.classes, self.slots))
         self.confirm(self.sketch(small, large if any_large else None))
         rows = cut(self.unsettled(large)) if any_large else None
         if rows is None or rows.isEmpty():
             self.confirm(self.rest(small))
             return
-        lower, wide, any_wide = self.placed_nodes(cut(branched(rows, threshold, DEEPER)))
+        paths = branched(rows.join(self.classes.select("class", "tokens"), "class"), threshold, DEEPER)
+        lower, wide, any_wide = self.placed_nodes(cut(paths))
         self.confirm(self.sketch(lower, wide if any_wide else None))
         # Branches of a pair may all die or part, so what is open is compared in the nodes below the roots.
         self.confirm(self.rest(small).unionByName(self.blocked(cut(self.unsettled(rows)))).distinct())
@@ -395,7 +438,8 @@ class Join:
         # Blocks outside come first; a pair of blocks (i, j) has i <= j and at least i outside.
         own = F.when(out, F.pmod(spot, "out_blocks")).otherwise(F.col("out_blocks") + F.pmod(spot, "blocks")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(out, F.expr("sequence(0, out_blocks + blocks - 1)")).otherwise(F.expr("sequence(0, out_blocks - 1)"))))
-        member = F.struct("class", "n", "tokens", "bins", "mask", "component", (F.col("own") > F.col("other")).cast("int").alias("side"))
+        rows = rows.join(self.slim, "class")
+        member = F.struct("class", "n", "low", "roots", "bins", "mask", "component", (F.col("own") > F.col("other")).cast("int").alias("side"))
         both = rows.groupBy("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.min("slot").alias("slot"), F.collect_list(member).alias("members"))
         return node_pairs(both, self.rule, False, self.slots)
 
@@ -411,19 +455,43 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
 
     A row comes back for every row. What is confirmed are pairs between classes of equal sets;
     the trees miss a pair of exactly the threshold with a chance below 1e-5."""
+    out = joined(docs, size, percent, key, column)
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def joined(docs: DataFrame, size: int, percent: int, key: str, column: str) -> DataFrame:
+    """doc_id, text_key, n_shingles, component (null without shingles) and component_id (its smallest doc_id)."""
     sketches = cut(sketched(docs, size, key, column))
     classes = cut(sketches.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("bins").alias("bins")))
     join = Join(docs, classes, size, Rule(percent), column)
     join.run(percent / 100)
     least = join.placed(classes.select("class", "least"))
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(least.join(names, "component").select("class", "component_id"))
-    out = sketches.drop("tokens", "bins").join(named, "class", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    named = cut(least.join(names, "component").select("class", "component", "component_id"))
+    return sketches.drop("tokens", "bins").join(named, "class", "left").drop("class")
 
 
 def thinned(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """Documents without those that are not `kept`, with all their columns."""
-    gone = cut(grouped(docs, size, percent, key, column).where("not kept").select(F.col("doc_id").alias("gone__"), F.col("text_key").alias("gone_key__")).distinct())
-    return docs.join(listed(gone), docs[key].eqNullSafe(F.col("gone__")) & (F.xxhash64(docs[column]) == F.col("gone_key__")), "left_anti")
+    """One row of each group of near duplicates, with all its columns; rows without shingles all stay.
+
+    It is the row of the smallest doc_id (null ids last); of several texts under that id one by its hash,
+    and of rows alike in both any one."""
+    rows = cut(joined(docs, size, percent, key, column).where("n_shingles > 0").select("component", "doc_id", "text_key"))
+    stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("stays")
+    groups = cut(rows.groupBy("component").agg(stays, F.count("*").alias("many")).where("many > 1"))
+    held = rows.join(listed(groups, 200_000), "component")
+    mine = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_key") == F.col("stays.text_key"))
+    counted = cut(held.select(F.col("doc_id").alias("id__"), F.col("text_key").alias("key__"), mine.alias("mine__")).groupBy("id__", "key__", "mine__").agg(F.count("*").alias("rows__")))
+
+    def named(names: DataFrame):
+        return docs[key].eqNullSafe(names["id__"]) & (F.xxhash64(docs[column]) == names["key__"])
+
+    # All rows of a listed name leave, but for one of each name that stays in several rows.
+    gone, again = counted.where("not mine__ or rows__ > 1"), counted.where("mine__ and rows__ > 1")
+    left = docs.join(listed(gone), named(gone), "left_anti")
+    if again.isEmpty():
+        return left
+    text_key = F.xxhash64(column).alias("key__")
+    one = docs.join(listed(again), named(again), "left_semi").select("*", text_key).dropDuplicates([key, "key__"]).drop("key__")
+    return left.unionByName(one)
