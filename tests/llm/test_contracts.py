@@ -1,6 +1,7 @@
 """Every opN query over the whole smallest tables against a brute-force version."""
 
 import hashlib
+import json
 import re
 import struct
 from collections import Counter
@@ -187,12 +188,86 @@ def test_urls(data, result):
             assert mine["verdict"] in ("allow", "block")
 
 
-def test_chat_and_licenses(data, result):
-    calls = result("op5_")
-    assert {(c["conv_id"], c["turn"]) for c in calls} == {(c["conv_id"], c["turn"]) for c in data("conversations") if c["role"] == "assistant"}
+def test_chat(data, result):
+    """Every turn once, with every column, against plain Python."""
+    from corpuslab.llm.queries import TOOLS
+
+    turns = data("conversations")
+    texts = {}
+    for t in turns:
+        if t["role"] == "user":
+            texts.setdefault((t["conv_id"], t["turn"]), []).append(t["text"])
+    calls = {(t["conv_id"], t["turn"]) for t in turns if t["role"] == "assistant"}
+    want = []
+    for t in turns:
+        conv, turn, text = t["conv_id"], t["turn"], t["text"]
+        if t["role"] != "assistant":
+            if t["role"] != "user" or (conv, turn - 1) not in calls:
+                want.append((conv, turn, t["role"], None, None, None, None, None, None, {"content": text, "role": t["role"]}))
+            continue
+        level = 0
+        while (conv, turn - 2 * level - 2) in calls:
+            level += 1
+        name, args = "ask" if turn % 2 else "tell", {"turn": turn, "query": text, "words": len(words_of(text)) if text else None}
+        args = {k: v for k, v in args.items() if v is not None}
+        errors = []
+        for field, rule in TOOLS[name].items():
+            value = args.get(field)
+            if value is None:
+                errors += [f"missing {field}"] * bool(rule.get("required"))
+                continue
+            errors += [f"{field} too small"] * (value < rule["minimum"] if "minimum" in rule else False) + [f"{field} too large"] * (value > rule["maximum"] if "maximum" in rule else False)
+        answers = texts.get((conv, turn + 1), [])
+        body = {"arguments": args, "id": f"{conv}:{turn}", "level": level, "name": name, "result": min((a for a in answers if a is not None), default=None)}
+        want.append((conv, turn, "assistant", f"{conv}:{turn}", name, level, len(answers), not errors, "; ".join(sorted(errors)), body))
+    got = []
+    for r in result("op5_"):
+        body = json.loads(r["json"])
+        assert list(body) == sorted(body) and json.loads(json.dumps(body, sort_keys=True)) == body
+        got.append((r["conv_id"], r["turn"], r["role"], r["call_id"], r["name"], r["level"], r["n_results"], r["valid"], r["errors"], body))
+    assert len(got) == len(turns) - sum((t["conv_id"], t["turn"] - 1) in calls for t in turns if t["role"] == "user")
+    plain = lambda rows: sorted(repr((*r[:-1], json.dumps(r[-1], sort_keys=True))) for r in rows)
+    assert plain(got) == plain(want) and any(w[5] for w in want)
+
+
+def test_licenses(data, result):
     found = result("op6_")
     texts = {d["doc_id"]: (d["text"] or "").split("\n") for d in data("documents")}
     assert found
     for r in found:
         line = texts[r["doc_id"]][r["line"] - 1] if r["line"] else "\n".join(texts[r["doc_id"]])
         assert re.search("licen|public domain", line, re.I)
+
+
+def test_decontamination_both_ways(data, result):
+    """Every pair of a text and an item tiled by looking for the longest match again and again; of matches of one
+    length either may be marked first, so pairs within a few words of the threshold are left to either side."""
+    from test_edges import slow_cover
+
+    got = {(r["doc_id"], r["item_id"]): r["covered"] for r in result("op9_")}
+    plain = lambda t: re.findall(r"\w+", (t or "").lower())
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    items = {b["item_id"]: plain(b["text"]) for b in data("benchmark")}
+    tried = 0
+    for d in data("documents"):
+        words = plain(d["text"])
+        held = grams(words)
+        for item, own in items.items():
+            if not held & grams(own):
+                assert (d["doc_id"], item) not in got
+                continue
+            # Only the parts of the text that hold a window of the item can be in a tile.
+            mine, near = grams(own), set()
+            for i in range(len(words) - 4):
+                if tuple(words[i : i + 5]) in mine:
+                    near.update(range(i, i + 5))
+            part = [words[i] if i in near else f"#{i}" for i in range(len(words)) if i in near or i - 1 in near]
+            covered = slow_cover(own, part, 5)
+            tried += 1
+            if covered >= 0.8 * len(own) + 6:
+                assert (d["doc_id"], item) in got
+            elif covered < 0.8 * len(own) - 6:
+                assert (d["doc_id"], item) not in got
+            if (d["doc_id"], item) in got:
+                assert abs(got[d["doc_id"], item] - covered) <= 6
+    assert tried >= len(got) > 0
