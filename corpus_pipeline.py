@@ -1,4 +1,6 @@
-"""Training-data pipeline: stages over `documents`, each written and read again for the next."""
+"""Training-data pipeline: stages over `documents`, each written and read again for the next.
+
+An empty table goes through all stages as one; other columns than those of `documents` are carried along."""
 
 from __future__ import annotations
 
@@ -15,29 +17,31 @@ cloudpickle.register_pickle_by_value(corpuslab)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host does."""
+    """Documents that pass the rules and whose host does. Null and empty texts fail; a null source is judged by the text
+    alone; repeated rows are judged alike."""
     return quality.judged(docs, host="source").where("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
+    """One row of each group of near duplicates, that of the smallest id (null ids last); of rows alike in id and text any
+    one. Texts without words are in no group and stay."""
     return neardup.thinned(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage. Null and empty texts hold none, and null or empty items are in none."""
     return tiling.cleaned(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts."""
+    """All documents, with secrets masked in their texts. Null texts stay null, repeated rows stay repeated."""
     model = secretscan.train(secretscan.samples(docs))
     out = secretscan.scanned(docs, model, keep=docs.columns, masked="[SECRET]")
     return out.select([out["masked_text"].alias(c) if c == "text" else out[c] for c in docs.columns])
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the texts that they decode to."""
+    """Token ids of every document, and the texts that they decode to, in place of the text. A null text has no ids."""
     return wordbpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=[c for c in docs.columns if c != "text"])
 
 
