@@ -92,6 +92,8 @@ class PrefixBPE:
 
     def encode(self, symbols: str) -> list[int]:
         """Exact ids of the whole string, by its back-pointers."""
+        if self.automaton is None:
+            return self.encode_many(symbols)[0].tolist()
         last, begin, _ = self.table(symbols)
         ids, at = [], len(symbols)
         while at:
@@ -123,12 +125,13 @@ class PrefixBPE:
         The same dynamic program as `table`, for all strings together: one pass of an automaton finds the
         tokens that end at each place, then prefixes are settled in the order of their lengths. A string may be empty."""
         if not hasattr(self, "token_at"):
-            # As `automaton`, with bare ids, of which a flat array is quickly made.
+            # As `automaton`, which goes, with bare ids, of which a flat array is quickly made.
             self.token_at, self.size = ahocorasick.Automaton(ahocorasick.STORE_INTS), np.zeros(max(self.texts) + 1, np.int64)
             for text, (token, size) in self.automaton.items():
                 self.token_at.add_word(text, token)
                 self.size[token] = size
             self.token_at.make_automaton()
+            self.automaton = None
         stops = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 0)
         start = np.concatenate([[0], stops + 1])
         length = np.concatenate([stops, [len(joined)]]) - start

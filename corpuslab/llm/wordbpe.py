@@ -205,11 +205,12 @@ def share(spark, path: str, most: int = 64 << 20):
     return spark.sparkContext.broadcast(text)
 
 
-def encode(docs: DataFrame, path: str, column: str = "text", keep: list[str] | None = None, texts: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, column: str = "text", keep: list[str] | None = None, texts: bool = True, forget: bool = False) -> DataFrame:
     """Adds bpe_n_tokens (long), bpe_ids_sha256, bpe_decoded_sha256 and, with `texts`,
     bpe_ids (array<long>) and bpe_decoded to the columns `keep` (default: all) of `docs`.
 
     The contract columns are lower-case hex of the packed ids and of the decoded UTF-8 text.
+    `forget`: a worker keeps the tokenizer but not the memo of words from task to task, which leaves memory to what runs beside it.
     A null text is an empty one: no ids, an empty decoded text. Work is by row: repeated rows
     give repeated results, an empty table an empty one. A column of `docs` of the name of a
     result gives way to it."""
@@ -232,5 +233,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", keep: list[str] | N
             if texts:
                 out += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int64())), pa.array(shown, pa.string())]
             yield pa.RecordBatch.from_arrays([part.column(1), *[x.cast(k) for x, k in zip(out, kinds.types)]], names=["row", *kinds.names])
+        if forget:
+            model.forget()
 
     return unpacked(rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, " + added), kinds.names)
