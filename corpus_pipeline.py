@@ -42,7 +42,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the texts that they decode to, in place of the text. A null text has no ids."""
-    return wordbpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=[c for c in docs.columns if c != "text"])
+    return wordbpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=[c for c in docs.columns if c != "text"], forget=True)
 
 
 STAGES = [
