@@ -41,7 +41,7 @@ def mentions(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """(question_id, pos, n): in how many items the token is a word."""
     words = vocab.select("question_id", F.col("word").alias("token"), "item_idx").distinct()
     per_word = words.groupBy("question_id", "token").agg(F.count("*").alias("n"))
-    return tokens.select("question_id", "pos", "token").join(per_word, ["question_id", "token"]).select("question_id", "pos", "n")
+    return tokens.select("question_id", "pos", "token").join(per_word.hint("merge"), ["question_id", "token"]).select("question_id", "pos", "n")
 
 
 def token_scores(tokens: DataFrame, vocab: DataFrame, sensitivity: DataFrame) -> DataFrame:
@@ -51,23 +51,28 @@ def token_scores(tokens: DataFrame, vocab: DataFrame, sensitivity: DataFrame) ->
     Values are scaled by the question's maximum, averaged per item and summed over items,
     half a point is added per item the token is a word of; the mean over items is then
     averaged with the noun score.
+
+    All tables here grow with the questions, and files of few distinct words are far smaller than their rows:
+    by their size Spark would broadcast them, so the joins are set to merge.
     """
     high = sensitivity.groupBy("question_id").agg(F.max("value").alias("_high"))
-    shape = vocab.select("question_id", "token_idx", "n_words")
-    share = F.col("value") / F.when(F.col("_high") == 0, F.lit(1.0)).otherwise(F.col("_high")) / F.col("n_words")
+    shape = vocab.where("token_idx IS NOT NULL").groupBy("question_id", "token_idx").agg(F.collect_list("n_words").alias("n"))
+    shape = shape.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("token_idx", "n"))).alias("_shape"))
+    # All on the question alone, so sensitivities that are dealt by it stay where they are.
+    scaled = sensitivity.join(high.join(shape.hint("merge"), "question_id").hint("merge"), "question_id")
+    share = F.col("value") / F.when(F.col("_high") == 0, F.lit(1.0)).otherwise(F.col("_high"))
     effect = (
-        sensitivity.join(shape, ["question_id", "token_idx"])
-        .join(high, "question_id")
+        scaled.select("question_id", "pos", share.alias("_share"), F.explode(F.col("_shape")[F.col("token_idx")]).alias("n_words"))
         .groupBy("question_id", "pos")
-        .agg(F.sum(share).alias("_effect"))
+        .agg(F.sum(F.col("_share") / F.col("n_words")).alias("_effect"))
     )
     n_items = vocab.select("question_id", "n_items").distinct()
     noun = F.when(F.col("tag").isin(NOUN_TAGS), F.lit(NOUN_SCORE)).otherwise(F.lit(0.0))
     total = F.coalesce("_effect", F.lit(0.0)) + MENTION_WEIGHT * F.coalesce("n", F.lit(0))
     return (
-        tokens.join(n_items, "question_id")
-        .join(effect, ["question_id", "pos"], "left")
-        .join(mentions(tokens, vocab), ["question_id", "pos"], "left")
+        tokens.join(n_items.hint("merge"), "question_id")
+        .join(effect.hint("merge"), ["question_id", "pos"], "left")
+        .join(mentions(tokens, vocab).hint("merge"), ["question_id", "pos"], "left")
         .select("question_id", "pos", "token", F.round((total / F.col("n_items") + noun) / 2, DIGITS).alias("score"))
     )
 

@@ -279,12 +279,13 @@ def mask_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     schema = cat.nested_catalog(raw_catalog(t)).select(
         "db_id", F.concat(F.transform("db_schema", lambda s: s["table_name"]), F.flatten(F.transform("db_schema", lambda s: s["column_names"]))).alias("items")
     )
-    items = words.join(schema, "db_id").select("question_id", F.concat("items", F.array(F.array_join(F.slice("w", 1, 2), " "))).alias("items"))
+    # Catalogs and item words are large beside their files: they are not to be broadcast by the files' size.
+    items = words.join(schema.hint("merge"), "db_id").select("question_id", F.concat("items", F.array(F.array_join(F.slice("w", 1, 2), " "))).alias("items"))
     tokens = words.select("question_id", F.posexplode("w").alias("pos", "token")).withColumn(
         "tag", F.when(F.length("token") > 5, F.lit("NOUN")).otherwise(F.lit("VERB"))
     )
     vocab = cut(masking.vocabulary(items))
-    sensitivity = tokens.join(vocab, "question_id").select(
+    sensitivity = tokens.join(vocab.hint("merge"), "question_id").select(
         "question_id", "pos", "token_idx", ((F.length("token") * 7 + F.length("word") * 3) % 11 / 10.0).cast("double").alias("value")
     )
     return asked, tokens, vocab, sensitivity

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import documents
 from corpuslab.operators import embed, linking, masking
+from corpuslab.session import cut
 from corpuslab.sources import jsonarray, samples, sinks
 from corpuslab.sources.collection import VectorCollection, collection_name
 from corpuslab.streaming.ingest import ingest_stream
@@ -229,6 +230,31 @@ def test_masking(spark):
     assert out == {1: "Show the Name and [Mask] of [Mask]", 2: "Quiet"}
 
 
+def mask_tables(spark, twice=1):
+    asked = spark.createDataFrame([(1, "one two"), (2, "two three four")] * twice, "question_id int, question string")
+    tokens = asked.select("question_id", F.posexplode(masking.question_words(F.col("question"))).alias("pos", "token")).withColumn("tag", F.lit("X"))
+    items = spark.createDataFrame([(1, ["two", "a b"]), (2, ["c"])] * twice, "question_id int, items array<string>")
+    vocab = masking.vocabulary(items)
+    sens = tokens.distinct().join(vocab.distinct(), "question_id").select("question_id", "pos", "token_idx", (F.col("pos") + F.col("token_idx")).cast("double").alias("value"))
+    return asked, tokens, vocab, sens
+
+
+def test_masking_broadcasts_nothing(spark):
+    """Item words, scores and chosen words grow with the questions."""
+    asked, tokens, vocab, sens = (cut(df) for df in mask_tables(spark))
+    scores = masking.token_scores(tokens, vocab, sens)
+    for df in (scores,):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masking_of_items_that_come_twice(spark):
+    """A word of an item that is listed twice counts twice."""
+    once, twice = ({(r.question_id, r.pos): r.score for r in masking.token_scores(tokens.distinct(), vocab, sens).collect()}
+                   for _, tokens, vocab, sens in (mask_tables(spark), mask_tables(spark, 2)))
+    assert once[1, 0] == round((1 / 3 / 2 + 2 / 3 / 2) / 2 / 2, 12) and once[2, 2] == 0.5
+    assert twice[1, 0] == 2 * once[1, 0] and twice[2, 2] == 2 * once[2, 2]
+
+
 def numbered_samples(spark, ids):
     return spark.createDataFrame([(str(i), f"select {i}", []) for i in ids], "id string, sql string, difficulty_type array<string>")
 
