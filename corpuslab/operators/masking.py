@@ -89,6 +89,6 @@ def mask_questions(questions: DataFrame, scores: DataFrame) -> DataFrame:
     masked = F.array_join(
         F.transform(parts, lambda p: F.when(F.array_contains("_masked", F.lower(p)), F.lit(MASK)).otherwise(p)), ""
     )
-    return questions.join(chosen, "question_id", "left").select(
+    return questions.join(chosen.hint("merge"), "question_id", "left").select(
         "question_id", F.when(F.col("_masked").isNull(), F.col("question")).otherwise(masked).alias("skeleton")
     )

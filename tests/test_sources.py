@@ -243,7 +243,7 @@ def test_masking_broadcasts_nothing(spark):
     """Item words, scores and chosen words grow with the questions."""
     asked, tokens, vocab, sens = (cut(df) for df in mask_tables(spark))
     scores = masking.token_scores(tokens, vocab, sens)
-    for df in (scores,):
+    for df in (scores, masking.mask_questions(asked, scores)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
