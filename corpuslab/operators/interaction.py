@@ -133,6 +133,8 @@ def best_by_maxsim(scores: DataFrame, k: int) -> DataFrame:
 
 
 BLOCK_TOKENS = 65_536
+#: A block of queries holds this part of a block of documents: it sets how long one pair of blocks takes.
+QUERY_PART = 8
 
 
 def _matrices(tokens: DataFrame, text_id: str, masked: bool, by: list[str] | None) -> DataFrame:
@@ -161,7 +163,7 @@ def rerank_all(
     kept tokens here, as the windows of the padding step are.
     """
     q, d = cut(_matrices(query_tokens, "query_id", False, by)), cut(_matrices(doc_tokens, "doc_id", True, by))
-    n_q, n_d = _blocks(q, "m", block_tokens), _blocks(d, "m", block_tokens)
+    n_q, n_d = _blocks(q, "m", max(1, block_tokens // QUERY_PART)), _blocks(d, "m", block_tokens)
     q = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
         "_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1)))
     )
@@ -185,7 +187,8 @@ def rerank_all(
             if len(held):
                 best = np.maximum.reduceat(tokens @ matrix.T, starts, axis=0)
                 score[held] = best.sum(axis=1)
-            order = np.lexsort((ids, -score))[:k]
+            some = np.flatnonzero(~(-score > np.partition(-score, k - 1)[k - 1])) if k < len(score) else np.arange(len(score))
+            order = some[np.lexsort((ids[some], -score[some]))[:k]]
             found.append((np.full(len(order), query_id), ids[order], -score[order]))
         columns = [np.concatenate(x) for x in zip(*found)] if found and len(ids) else [[], [], []]
         return pa.table(dict(zip(out.names, columns))).cast(out)
@@ -227,21 +230,21 @@ def _sketched(docs: DataFrame, centres: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, kinds + ", cells array<int>, reach array<double>")
 
 
-def _bounds(asked: list[np.ndarray], centres: np.ndarray, cells: np.ndarray, reach: np.ndarray, sizes: np.ndarray):
-    """For each query matrix the estimate and the upper bound of its score with every sketched document.
+def _bounds(asked: list[np.ndarray], centres: np.ndarray, cells: np.ndarray, reach: np.ndarray, sizes: np.ndarray, wide: bool):
+    """For each query matrix the upper bound of its score with every sketched document or, unless `wide`, the estimate.
 
     q . t = q . c + q . (t - c) is at most q . c + |q| reach for a token t of a cell with centre c; a score is the
     sum over q of the largest q . t, so the sum of the largest bounds is not below it."""
     held = np.flatnonzero(sizes)
     starts = np.cumsum(sizes[held]) - sizes[held]
     for matrix in asked:
-        estimate, bound = (np.full(len(sizes), NO_TOKEN * len(matrix)) for _ in range(2))
+        bound = np.full(len(sizes), NO_TOKEN * len(matrix))
         if len(held) and len(matrix):
             near = (matrix @ centres.T)[:, cells]
-            estimate[held] = np.maximum.reduceat(near, starts, axis=1).sum(axis=0)
-            near = near + np.sqrt((matrix * matrix).sum(axis=1))[:, None] * reach
+            if wide:
+                near += np.sqrt((matrix * matrix).sum(axis=1))[:, None] * reach
             bound[held] = np.maximum.reduceat(near, starts, axis=1).sum(axis=0)
-        yield estimate, bound
+        yield bound
 
 
 def _met(q: DataFrame, d: DataFrame, n_q: int, n_d: int, by: list[str], kernel, ddl: str) -> DataFrame:
@@ -295,6 +298,49 @@ def _scored(wanted: DataFrame, q: DataFrame, d: DataFrame, n_d: int, by: list[st
 
 #: Bounds are compared with this relative slack, as sums of doubles are rounded.
 SLACK = 1e-9
+#: Documents that a query takes at once by falling bound.
+TAKEN = 1024
+
+
+def _sketches(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cells_of = right.column("cells").combine_chunks()
+    reach = right.column("reach").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return cells_of.flatten().to_numpy(zero_copy_only=False), reach, cells_of.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+
+
+def _within(bound: np.ndarray, floor: float) -> np.ndarray:
+    """Whether a bound reaches the floor; every one does where there is none (-inf)."""
+    return bound >= floor - SLACK * (1 + abs(floor)) if np.isfinite(floor) else np.ones(len(bound), bool)
+
+
+def _best_within(matrix: np.ndarray, floor: float, bound: np.ndarray, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, k: int) -> list:
+    """The k best (score, id) of one query among documents whose bound reaches the floor, taken by falling bound until
+    none reaches the k-th score. One product of many documents only nominates; what comes near is scored by itself, so copies score alike."""
+    def near(least: float) -> float:
+        return least - SLACK * (1 + abs(least))
+
+    some = np.flatnonzero(_within(bound, floor))
+    some = some[np.argsort(-bound[some], kind="stable")]
+    best: list = []
+    for lo in range(0, len(some), TAKEN):
+        if len(best) >= k and bound[some[lo]] < near(best[k - 1][0]):
+            break
+        part = some[lo : lo + TAKEN]
+        score = np.full(len(part), NO_TOKEN * len(matrix))
+        full = np.flatnonzero(sizes[part])
+        if len(full):
+            n = sizes[part[full]]
+            ends = np.cumsum(n)
+            rows = np.arange(ends[-1]) + np.repeat(starts[part[full]] - (ends - n), n)
+            score[full] = np.maximum.reduceat(tokens[rows] @ matrix.T, ends - n, axis=0).sum(axis=1)
+        least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else -np.inf
+        least = max(least, best[k - 1][0]) if len(best) >= k else least
+        for at in part[score >= near(least)] if np.isfinite(least) else part:
+            own = tokens[starts[at] : starts[at] + sizes[at]]
+            best.append((float((own @ matrix.T).max(axis=0).sum()) if len(own) else NO_TOKEN * len(matrix), ids[at]))
+        best.sort(key=lambda x: (-x[0], x[1]))
+        del best[k:]
+    return best
 
 
 def rerank_pruned(
@@ -308,7 +354,7 @@ def rerank_pruned(
     of the best estimates, whose k-th score is a floor; a second one passes on the documents whose upper bound reaches
     the floor, and takes these by falling bound until no bound reaches the k-th score so far. Tokens
     move only for documents that a block of queries still wants. In data without clusters that may be all of them, and the result
-    is the same.
+    is the same. Bounds are formed in both rounds, so that pairs are never listed: a task holds two blocks.
 
     Centres, at most `cells` tokens, are fetched and go along with the tasks. `counted` gets the numbers of pairs
     (`scored` at most, of `all`).
@@ -322,34 +368,41 @@ def rerank_pruned(
     centres = np.stack([np.asarray(r.vec, dtype=np.float64) for r in picked])
     d = cut(_sketched(d, centres))
     q = cut(q)
-    n_q, n_d, n_sketch = _blocks(q, "m", block_tokens), _blocks(d, "m", block_tokens), _blocks(d, "cells", block_tokens)
+    n_q, n_d, n_sketch = _blocks(q, "m", max(1, block_tokens // QUERY_PART)), _blocks(d, "m", block_tokens), _blocks(d, "cells", block_tokens)
     block = F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("_qb")
     q = q.select("*", block)
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (d, "doc_id"))}
     out = pa.schema([("query_id", _id_type(q, "query_id")), ("doc_id", _id_type(d, "doc_id")), ("distance", pa.float64())])
 
-    def sketches(right: pa.Table):
-        cells_of = right.column("cells").combine_chunks()
-        reach = right.column("reach").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return cells_of.flatten().to_numpy(zero_copy_only=False), reach, cells_of.value_lengths().to_numpy(zero_copy_only=False).astype(int)
-
     def made(found: list) -> pa.Table:
         columns = [np.concatenate(x) for x in zip(*found)] if found else [[], [], []]
         return pa.table(dict(zip(out.names, columns))).cast(out)
 
     def promising(left: pa.Table, right: pa.Table) -> pa.Table:
         asked, ids, found = _ragged(left, "m")[0], _ids(right, "doc_id"), []
-        for query_id, (estimate, _) in zip(_ids(left, "query_id"), _bounds(asked, centres, *sketches(right))):
+        for query_id, estimate in zip(_ids(left, "query_id"), _bounds(asked, centres, *_sketches(right), False)):
             order = np.lexsort((ids, -estimate))[:k]
             found.append((np.full(len(order), query_id), ids[order], -estimate[order]))
         return made(found if len(ids) else [])
 
     def reaching(left: pa.Table, right: pa.Table) -> pa.Table:
+        """How many queries of the block each document may matter to: no table of pairs."""
+        asked, n = _ragged(left, "m")[0], np.zeros(right.num_rows, np.int64)
+        for floor, bound in zip(left.column("floor").to_numpy(zero_copy_only=False), _bounds(asked, centres, *_sketches(right), True)):
+            n += _within(bound, floor)
+        of = left.column("_qb")[0].as_py() if left.num_rows else 0
+        some = np.flatnonzero(n)
+        return pa.table({"doc_id": right.column("doc_id").take(pa.array(some)), "_qb": pa.array(np.full(len(some), of), pa.int32()), "n": pa.array(n[some])})
+
+    def scoring(left: pa.Table, right: pa.Table) -> pa.Table:
         asked, ids, found = _ragged(left, "m")[0], _ids(right, "doc_id"), []
+        matrices, sizes = _ragged(right, "m")
+        held = [m for m in matrices if len(m)]
+        tokens, starts = np.concatenate(held) if held else np.empty((0, 0)), np.cumsum(sizes) - sizes
         floors = left.column("floor").to_numpy(zero_copy_only=False)
-        for query_id, floor, (_, bound) in zip(_ids(left, "query_id"), floors, _bounds(asked, centres, *sketches(right))):
-            some = np.flatnonzero(bound >= floor - SLACK * (1 + abs(floor))) if np.isfinite(floor) else np.arange(len(ids))
-            found.append((np.full(len(some), query_id), ids[some], bound[some]))
+        for query_id, matrix, floor, bound in zip(_ids(left, "query_id"), asked, floors, _bounds(asked, centres, *_sketches(right), True)):
+            best = _best_within(matrix, floor, bound, tokens, starts, sizes, ids, k)
+            found.append((np.full(len(best), query_id), np.array([x[1] for x in best], ids.dtype), np.array([-x[0] for x in best])))
         return made(found if len(ids) else [])
 
     ddl = f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double"
@@ -357,9 +410,14 @@ def rerank_pruned(
     wanted = first.select("query_id", "doc_id", block, F.lit(float("inf")).alias("bound"))
     floors = cut(_scored(wanted, q, d, n_d, by, k, types, out)).groupBy("query_id").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
     floor = F.when(F.col("_n") >= k, -F.col("_far")).otherwise(F.lit(float("-inf")))
-    q2 = q.join(floors.select("query_id", floor.alias("floor")), "query_id", "left").fillna(float("-inf"), ["floor"])
-    wanted = cut(_met(q2, d, n_q, n_sketch, by, reaching, ddl).withColumnRenamed("distance", "bound"))
+    # What grows with the texts is merged; files of ids are far smaller than their rows.
+    q2 = cut(q.join(floors.select("query_id", floor.alias("floor")).hint("merge"), "query_id", "left").fillna(float("-inf"), ["floor"]))
+    wanted = cut(_met(q2, d, n_q, n_sketch, by, reaching, f"doc_id {types['doc_id']}, _qb int, n bigint"))
     if counted is not None:
-        counted |= {"scored": wanted.count() + first.count(), "all": q.count() * d.count()}
-    best = top(_scored(wanted.select("*", block), q, d, n_d, by, k, types, out), k)
+        counted |= {"scored": (wanted.agg(F.sum("n")).first()[0] or 0) + first.count(), "all": q.count() * d.count()}
+    right = wanted.select("doc_id", "_qb").distinct().join(d.select("doc_id", *by, "m", "cells", "reach").hint("merge"), "doc_id")
+    right = right.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int"))
+    left = q2.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
+    keys = [*by, "_qb", "_db"]
+    best = top(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scoring, ddl), k)
     return best.select("query_id", "doc_id", (-F.col("distance")).alias("score"), "rank")

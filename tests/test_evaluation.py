@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import evaluate, interaction, losses
+from corpuslab.session import cut
 
 
 def tokens(spark, name, texts, keep=None):
@@ -75,6 +76,22 @@ def test_rerank_pruned_equals_all(spark, spread):
     assert spread > 1 or counted["scored"] < 0.15 * counted["all"]
 
 
+def test_rerank_pruned_lists_no_pairs(spark, monkeypatch):
+    """Where nothing can be pruned, what is kept on the way grows with the texts, not with their pairs. Copies tie by id."""
+    rng = np.random.default_rng(3)
+    vecs = rng.standard_normal((400, 8))
+    vecs[200:] = vecs[:200]
+    q = spark.createDataFrame([(i // 2, i % 2, v.tolist()) for i, v in enumerate(vecs[:100])], "query_id int, pos int, vec array<double>")
+    d = spark.createDataFrame([(i // 2, i % 2, v.tolist()) for i, v in enumerate(vecs)], "doc_id int, pos int, vec array<double>")
+    kept = []
+    monkeypatch.setattr(interaction, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = interaction.rerank_pruned(q, d, 4, cells=4).collect()
+    assert max(df.count() for df in kept) <= 50 * 4
+    want = interaction.rerank_all(q, d, 4, block_tokens=16).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in got) == sorted((r.query_id, r["rank"], r.doc_id) for r in want)
+    assert all(r.doc_id < 100 for r in got if r["rank"] == 1)
+
+
 def test_rerank_pruned_small(spark):
     """Fewer documents than k, texts without a kept token, groups, small blocks, no documents."""
     rng = np.random.default_rng(6)
