@@ -20,8 +20,9 @@ from corpuslab.functions.vectors import exact_distances, unit
 from corpuslab.session import cut
 
 BLOCK_ROWS = 8192
-_CHUNK_CELLS = 4_000_000
-_EXACT_CELLS = 8_000_000
+_CHUNK_CELLS = 500_000
+_EXACT_CELLS = 1_000_000
+_STRIDES = 16
 
 
 def _floats(table: pa.Table, name: str) -> np.ndarray:
@@ -46,13 +47,26 @@ def _approximate(q: np.ndarray, d: np.ndarray, metric: str) -> tuple[np.ndarray,
     product = q @ d.T
     q2, d2 = (q * q).sum(axis=1), (d * d).sum(axis=1)
     scale = 1.0 + float(q2.max(initial=0.0)) + float(d2.max(initial=0.0))
+    # In place: a matrix as wide as the block is what takes the memory.
     if metric == "l2":
-        product = q2[:, None] + d2[None, :] - 2.0 * product
+        product *= -2.0
+        product += q2[:, None]
+        product += d2[None, :]
     else:
-        product = 1.0 - product
+        np.subtract(1.0, product, out=product)
     return product, 1e-11 * scale
 
 
+def _limit(values: np.ndarray, k: int) -> np.ndarray:
+    """Per row a number that at least k values do not exceed, near the k-th smallest: that of the least
+    values of many strides of the row, or of the values themselves in short rows."""
+    step = values.shape[1] // (_STRIDES * k)
+    if step > 1:
+        whole = values.shape[1] // step * step
+        values = values[:, :whole].reshape(len(values), step, -1).min(axis=1)
+    return np.partition(values, k - 1, axis=1)[:, k - 1]
+
+
 def _exact(q, d, rows, cols, metric) -> np.ndarray:
     step = max(1, _EXACT_CELLS // max(1, q.shape[1]))
     parts = [
@@ -86,8 +100,7 @@ def block_best(q, d, d_ids, k, metric, farthest=False, skip=None, after=None):
             before = (dist < bound[rows]) | ((dist == bound[rows]) & (d_ids[cols] < bound_id[rows]))
             approx[rows[before], cols[before]] = np.inf
         if k < len(d):
-            cut = np.partition(approx, k - 1, axis=1)[:, k - 1]
-            rows, cols = np.nonzero(approx <= cut[:, None] + 2 * eps)
+            rows, cols = np.divmod(np.flatnonzero(approx <= _limit(approx, k)[:, None] + 2 * eps), len(d))
             finite = np.isfinite(approx[rows, cols])
             rows, cols = rows[finite], cols[finite]
         else:

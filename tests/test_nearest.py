@@ -181,3 +181,21 @@ def test_rows_without_vectors(spark):
     uneven = d.unionByName(spark.createDataFrame([(4, [1.0])], "doc_id long, vec array<double>"))
     with pytest.raises(Exception, match="vectors of"):
         nn.nearest(q, uneven, 2).collect()
+
+
+def test_block_takes_little_memory():
+    """What the kernel holds beside its two blocks is a bounded part of their product; the nominated rows are those of a full sort."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    q, d = rng.integers(0, 4, (3000, 6)).astype(float), rng.integers(0, 4, (4000, 6)).astype(float)
+    ids = rng.permutation(len(d))
+    tracemalloc.start()
+    rows, cols, dist = nn.block_best(q, d, ids, 7, "l2")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 0.5 * 8 * len(q) * len(d)
+    for row in (0, 1777, 2999):
+        every = ((q[row] - d) ** 2).sum(1)
+        order = np.lexsort((ids, every))[:7]
+        assert cols[rows == row].tolist() == order.tolist() and dist[rows == row].tolist() == every[order].tolist()
