@@ -76,6 +76,16 @@ def test_rerank_pruned_equals_all(spark, spread):
     assert spread > 1 or counted["scored"] < 0.15 * counted["all"]
 
 
+def test_rerank_all_cuts_queries_finer(spark, monkeypatch):
+    """A pair of blocks takes as long as its queries times its documents, so more queries make more tasks, not longer ones."""
+    q = spark.createDataFrame([(i, 0, [float(i)]) for i in range(64)], "query_id int, pos int, vec array<double>")
+    d = spark.createDataFrame([(i, 0, [float(i)]) for i in range(64)], "doc_id int, pos int, vec array<double>")
+    made, blocks = [], interaction._blocks
+    monkeypatch.setattr(interaction, "_blocks", lambda *a: made.append(blocks(*a)) or made[-1])
+    assert len(interaction.rerank_all(q, d, 2, block_tokens=32).collect()) == 128
+    assert made == [16, 2]
+
+
 def test_rerank_pruned_lists_no_pairs(spark, monkeypatch):
     """Where nothing can be pruned, what is kept on the way grows with the texts, not with their pairs. Copies tie by id."""
     rng = np.random.default_rng(3)
