@@ -71,6 +71,24 @@ def encoded(docs: DataFrame, books: list[np.ndarray]) -> DataFrame:
     return docs.select("doc_id", "vec").mapInArrow(run, f"doc_id {kind}, code binary")
 
 
+#: Queries whose tables of distances are held at once.
+TABLE_ROWS = 1024
+
+
+def _nominated(vectors: np.ndarray, books: list[np.ndarray], held: np.ndarray, rerank: int):
+    """For each vector the places and distances of the `rerank` nearest of the codes (a row of `held` for each part)."""
+    ends = _cuts(books)
+    for lo in range(0, len(vectors), TABLE_ROWS):
+        some = vectors[lo : lo + TABLE_ROWS]
+        tables = [_squares(some[:, a:b], book) for a, b, book in zip(ends, ends[1:], books)]
+        for i in range(len(some)):
+            distance = np.zeros(held.shape[1])
+            for table, code in zip(tables, held):
+                distance += table[i][code]
+            best = np.argpartition(distance, rerank - 1)[:rerank] if len(distance) > rerank else np.arange(len(distance))
+            yield best, distance[best]
+
+
 def nearest_coded(
     queries: DataFrame, docs: DataFrame, k: int, metric: str = "l2", rerank: int = 100, parts: int = PARTS,
     entries: int = ENTRIES, sample: int = SAMPLE, block_rows: int = 4 * BLOCK_ROWS, seed: int = 17,
@@ -91,7 +109,7 @@ def nearest_coded(
     if not books:
         return queries.sparkSession.createDataFrame([], ddl + ", rank int")
     codes = cut(encoded(d, books))
-    ends, cores = _cuts(books), queries.sparkSession.sparkContext.defaultParallelism
+    cores = queries.sparkSession.sparkContext.defaultParallelism
     n_q, n_d = _blocks(q.count(), block_rows, 1), _blocks(codes.count(), block_rows, cores)
     left = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
     right = codes.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int")).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
@@ -102,14 +120,9 @@ def nearest_coded(
             return out.empty_table()
         vectors, ids = _floats(left, "vec"), _ids(right, "doc_id")
         held = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), len(books)).T
-        tables = [_squares(vectors[:, a:b], book) for a, b, book in zip(ends, ends[1:], books)]
         found = []
-        for i, query_id in enumerate(_ids(left, "query_id")):
-            distance = np.zeros(len(ids))
-            for table, code in zip(tables, held):
-                distance += table[i][code]
-            best = np.argpartition(distance, rerank - 1)[:rerank] if len(ids) > rerank else np.arange(len(ids))
-            found.append((np.full(len(best), query_id), ids[best], distance[best]))
+        for query_id, (best, distance) in zip(_ids(left, "query_id"), _nominated(vectors, books, held, rerank)):
+            found.append((np.full(len(best), query_id), ids[best], distance))
         return pa.table(dict(zip(out.names, map(np.concatenate, zip(*found))))).cast(out)
 
     keys = ["_qb", "_db"]

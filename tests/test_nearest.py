@@ -199,3 +199,20 @@ def test_block_takes_little_memory():
         every = ((q[row] - d) ** 2).sum(1)
         order = np.lexsort((ids, every))[:7]
         assert cols[rows == row].tolist() == order.tolist() and dist[rows == row].tolist() == every[order].tolist()
+
+
+def test_tables_of_codes_take_little_memory():
+    """A block of any number of queries holds the tables of a bounded number."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    books = [rng.random((256, 2)) for _ in range(4)]
+    vectors, held = rng.random((8192, 8)), rng.integers(0, 256, (4, 50)).astype(np.uint8)
+    tracemalloc.start()
+    found = [(best, distance) for best, distance in coded._nominated(vectors, books, held, 5)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 8192 and most < 0.5 * 8192 * 4 * 256 * 8
+    for row in (0, 1023, 1024, 8191):
+        every = sum(((vectors[row, 2 * i : 2 * i + 2] - books[i][held[i]]) ** 2).sum(1) for i in range(4))
+        assert sorted(found[row][0]) == sorted(np.argsort(every)[:5]) and np.allclose(found[row][1], every[found[row][0]])
