@@ -20,9 +20,20 @@ from corpuslab.functions.vectors import exact_distances, unit
 from corpuslab.session import cut
 
 BLOCK_ROWS = 8192
+#: Without groups a block of documents holds so many times the rows, while its vectors have so many numbers
+#: at most: every query passes on k rows from each block of documents.
+DOC_BLOCKS, DOC_NUMBERS = 8, 1 << 22
+#: Beyond so many pairs of blocks each is a task, up to so many tasks.
+FEW_TASKS, MOST_TASKS = 256, 20_000
 _CHUNK_CELLS = 500_000
+#: Rows of a block of documents that are compared at a time, and of queries at least.
+_WIDTH, _LEAST_ROWS = 8192, 32
 _EXACT_CELLS = 1_000_000
 _STRIDES = 16
+# Squared lengths up to which short numbers hold the products; and how many cells they may leave
+# to be measured, by row and as a share, before long numbers are taken.
+_SHORT_MOST = 1e30
+_FEW, _SHARE = 64, 64
 
 
 def _floats(table: pa.Table, name: str) -> np.ndarray:
@@ -39,22 +50,23 @@ def _ids(table: pa.Table, name: str) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _approximate(q: np.ndarray, d: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
-    """Distances by matrix product, with a bound on their rounding error."""
+def _factors(x: np.ndarray, metric: str, asked: bool, kind: type, scale: float = 1.0) -> np.ndarray:
+    """Rows whose products with the rows of the other side are distances; `scale`: of the squared lengths in l2."""
     if metric == "cosine":
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
-        d = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-30)
-    product = q @ d.T
-    q2, d2 = (q * q).sum(axis=1), (d * d).sum(axis=1)
-    scale = 1.0 + float(q2.max(initial=0.0)) + float(d2.max(initial=0.0))
-    # In place: a matrix as wide as the block is what takes the memory.
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    out = np.ones((len(x), x.shape[1] + (2 if metric == "l2" else 1)), kind)
+    dim = x.shape[1]
     if metric == "l2":
-        product *= -2.0
-        product += q2[:, None]
-        product += d2[None, :]
+        out[:, dim + asked] = scale * (x * x).sum(axis=1)
+        out[:, :dim] = -2.0 * x if asked else x
     else:
-        np.subtract(1.0, product, out=product)
-    return product, 1e-11 * scale
+        out[:, :dim] = -x if asked else x
+    return out
+
+
+def _share(dim: int) -> float:
+    """Bound on the error of a product of short numbers, as a share of both squared lengths, and twice as much."""
+    return 4 * (dim + 8) * 2.0**-24
 
 
 def _limit(values: np.ndarray, k: int) -> np.ndarray:
@@ -78,40 +90,81 @@ def _exact(q, d, rows, cols, metric) -> np.ndarray:
 def block_best(q, d, d_ids, k, metric, farthest=False, skip=None, after=None):
     """The k best of block d for each row of q by (distance, id): rows, cols, distances.
 
-    `skip` is a boolean matrix function over a slice of q rows. `after` gives per row
-    the lowest (distance, id) that still counts. The matrix product only nominates;
-    everything near a boundary is measured again exactly, so ties fall by id.
+    `skip` gives, for a slice of q rows and one of d rows, the cells (rows, cols) that do not count. `after` gives
+    per row the lowest (distance, id) that still counts. The matrix product only nominates;
+    everything near a boundary is measured again exactly, so ties fall by id. Products are of
+    short numbers, with their larger error, unless these are too coarse for the vectors at hand.
+    What d's first rows gave bounds what the later ones can add.
     """
     out = []
     _, id_rank = np.unique(d_ids, return_inverse=True)
-    chunk = max(1, _CHUNK_CELLS // max(1, len(d)))
-    for lo in range(0, len(q), chunk):
-        part = q[lo : lo + chunk]
-        approx, eps = _approximate(part, d, metric)
+    square = (q * q).sum(axis=1) if metric != "cosine" else np.ones(len(q))
+    d_most = float(np.fmax.reduce((d * d).sum(axis=1), initial=0.0)) if metric != "cosine" else 1.0
+    # Short numbers would overflow beyond; numbers that are not finite go the long way as well.
+    fits = bool(np.isfinite(q).all() and np.isfinite(d).all()) and max(float(np.fmax.reduce(square, initial=0.0)), d_most) < _SHORT_MOST
+    # Merging takes time by k, so a large k has fewer parts.
+    width = max(1, min(len(d), max(_WIDTH, 640 * k)))
+    chunk = max(_LEAST_ROWS, _CHUNK_CELLS // width)
+    room = np.empty((min(chunk, len(q)), width), np.float32) if fits else None
+    sides, share = {}, _share(q.shape[1])
+
+    def nominated(lo: int, hi: int, begin: int, end: int, known: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Cells that may be among the k best of rows lo to hi, of which the k-th is `known` or infinite so far;
+        None if short numbers leave too many."""
+        part, kind, size = q[lo:hi], np.float32 if short else np.float64, end - begin
+        # Short l2 products are lower bounds: less the error that the two lengths allow.
+        lower = short and metric == "l2"
+        scale = 1.0 if not lower else 1.0 + share if farthest else 1.0 - share
+        if kind not in sides:
+            sides[kind] = _factors(d, metric, False, kind, scale).T
+        approx = np.matmul(_factors(part, metric, True, kind, scale), sides[kind][:, begin:end], out=room[: hi - lo, :size] if short else None)
+        most = float(np.fmax.reduce(square[lo:hi], initial=0.0)) + d_most
+        eps = 0.0 if lower else share * most + 1e-30 if short else 1e-11 * (1.0 + most)
         if farthest:
-            approx = -approx
+            np.negative(approx, out=approx)
         if skip is not None:
-            approx[skip(lo, lo + len(part))] = np.inf
+            approx[skip(lo, hi, begin, end)] = np.inf
         if after is not None:
-            bound, bound_id = after[0][lo : lo + chunk], after[1][lo : lo + chunk]
-            approx[approx < bound[:, None] - eps] = np.inf
-            rows, cols = np.nonzero(np.abs(approx - bound[:, None]) <= eps)
-            dist = _exact(part, d, rows, cols, metric)
-            before = (dist < bound[rows]) | ((dist == bound[rows]) & (d_ids[cols] < bound_id[rows]))
+            bound, bound_id = after[0][lo:hi], after[1][lo:hi]
+            rows, cols = np.divmod(np.flatnonzero(approx <= (bound + eps).astype(kind)[:, None]), size)
+            if short and len(rows) > _FEW * len(part) + approx.size // _SHARE:
+                return None
+            near = lower | (np.abs(approx[rows, cols] - bound[rows]) <= eps)
+            approx[rows[~near], cols[~near]] = np.inf
+            rows, cols = rows[near], cols[near]
+            dist = _exact(part, d[begin:end], rows, cols, metric)
+            before = (dist < bound[rows]) | ((dist == bound[rows]) & (d_ids[begin + cols] < bound_id[rows]))
             approx[rows[before], cols[before]] = np.inf
-        if k < len(d):
-            rows, cols = np.divmod(np.flatnonzero(approx <= _limit(approx, k)[:, None] + 2 * eps), len(d))
-            finite = np.isfinite(approx[rows, cols])
-            rows, cols = rows[finite], cols[finite]
-        else:
-            rows, cols = np.nonzero(np.isfinite(approx))
-        dist = _exact(part, d, rows, cols, metric)
-        sign = -1 if farthest else 1
-        order = np.lexsort((sign * id_rank[cols], sign * dist, rows))
-        rows, cols, dist = rows[order], cols[order], dist[order]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - first < k
-        out.append((rows[keep] + lo, cols[keep], dist[keep]))
+        limit = known + eps
+        if k < size and not np.isfinite(known).all():
+            least = _limit(approx, k).astype(float)
+            # What is this near in l2 has a length near that of the row, which bounds its own error.
+            limit = np.minimum(limit, least + (16 * share * (square[lo:hi] + np.abs(least)) + 1e-30 if lower else 2 * eps))
+        rows, cols = np.divmod(np.flatnonzero(approx <= limit.astype(kind)[:, None]), size)
+        if short and len(rows) > (4 * k + _FEW) * len(part) + approx.size // _SHARE:
+            return None
+        finite = np.isfinite(approx[rows, cols])
+        return rows[finite], begin + cols[finite]
+
+    sign = -1 if farthest else 1
+    for lo in range(0, len(q), chunk):
+        hi = min(lo + chunk, len(q))
+        rows, cols, dist = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        for begin in range(0, len(d), width):
+            known, last = np.full(hi - lo, np.inf), np.searchsorted(rows, np.arange(hi - lo), "right")
+            full = last - np.searchsorted(rows, np.arange(hi - lo)) >= k
+            known[full] = sign * dist[last[full] - 1]
+            at = (lo, hi, begin, min(begin + width, len(d)), known)
+            cells = nominated(*at, True) if fits else None
+            more = nominated(*at, False) if cells is None else cells
+            rows, cols = np.concatenate([rows, more[0]]), np.concatenate([cols, more[1]])
+            dist = np.concatenate([dist, _exact(q[lo:hi], d, *more, metric)])
+            order = np.lexsort((sign * id_rank[cols], sign * dist, rows))
+            rows, cols, dist = rows[order], cols[order], dist[order]
+            first = np.searchsorted(rows, rows, side="left")
+            keep = np.arange(len(rows)) - first < k
+            rows, cols, dist = rows[keep], cols[keep], dist[keep]
+        out.append((rows + lo, cols, dist))
     if not out:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -125,6 +178,14 @@ def _shared_codes(q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return codes[: len(q)], codes[len(q) :]
 
 
+def _equal(asked: np.ndarray, order: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (rows, cols) where a number asked for equals one held; `held` is sorted, by `order`."""
+    begin, end = (np.searchsorted(held, asked, side) for side in ("left", "right"))
+    many = end - begin
+    rows = np.repeat(np.arange(len(asked)), many)
+    return rows, order[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(len(rows))]
+
+
 def _kernel(k, metric, farthest, drop_zero, drop_same_key, has_after, out_type):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
@@ -138,9 +199,13 @@ def _kernel(k, metric, farthest, drop_zero, drop_same_key, has_after, out_type):
             codes.append(_shared_codes(_ids(left, "key"), _ids(right, "key")))
         skip = None
         if codes:
-            def skip(lo, hi):
-                hits = [a[lo:hi, None] == b[None, :] for a, b in codes]
-                return np.logical_or.reduce(hits)
+            held = {}
+
+            def skip(lo, hi, begin, end):
+                if begin not in held:
+                    held[begin] = [(order, b[begin:end][order]) for _, b in codes for order in [np.argsort(b[begin:end], kind="stable")]]
+                cells = [_equal(a[lo:hi], order, b) for (a, _), (order, b) in zip(codes, held[begin])]
+                return tuple(np.concatenate(x) for x in zip(*cells))
 
         after = None
         if has_after:
@@ -163,6 +228,14 @@ def _blocks(rows: int, block_rows: int, at_least: int) -> int:
     return max(1, math.ceil(rows / block_rows), min(at_least, math.ceil(rows / 256)))
 
 
+def dealt(q: DataFrame, d: DataFrame, pairs: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt out to a task for each pair of blocks, where these are many: then their number
+    grows with the pairs, not the time of one. A few pairs are dealt out as Spark's settings have it."""
+    if pairs <= FEW_TASKS:
+        return q, d
+    return tuple(df.repartition(min(MOST_TASKS, pairs), *keys) for df in (q, d))
+
+
 def nearest(
     queries: DataFrame,
     docs: DataFrame,
@@ -199,8 +272,11 @@ def nearest(
     d = docs.select(*[F.col(c).alias(c) for c in ("doc_id", "vec", *extra_d, *(by or []))])
 
     if not by:
-        nq = F.lit(_blocks(q.count(), block_rows, 1))
-        nd_count = _blocks(d.count(), block_rows, cores)
+        nq_count = _blocks(q.count(), block_rows, 1)
+        nq = F.lit(nq_count)
+        held = d.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+        doc_rows = min(DOC_BLOCKS * block_rows, max(block_rows, DOC_NUMBERS // max(1, held.dim or 1)))
+        nd_count = _blocks(held.n, doc_rows, cores)
         nd = F.lit(nd_count)
         q = q.withColumn("_nq", nq).withColumn("_nd", nd).withColumn("_g", F.lit(0))
         d = d.withColumn("_nq", nq).withColumn("_nd", nd).withColumn("_g", F.lit(0))
@@ -237,6 +313,8 @@ def nearest(
         f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, distance double"
     )
+    if not by:
+        q, d = dealt(q, d, nq_count * nd_count, keys)
     best = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInArrow(kernel, ddl)
     if not keep_rank:
         return best

@@ -216,3 +216,34 @@ def test_tables_of_codes_take_little_memory():
     for row in (0, 1023, 1024, 8191):
         every = sum(((vectors[row, 2 * i : 2 * i + 2] - books[i][held[i]]) ** 2).sum(1) for i in range(4))
         assert sorted(found[row][0]) == sorted(np.argsort(every)[:5]) and np.allclose(found[row][1], every[found[row][0]])
+
+
+def test_kernel_takes_short_numbers_where_they_do(spark, monkeypatch):
+    """Products are of short numbers unless the vectors lie far from zero or are not finite; the rows are those of a full sort."""
+    rng, kinds, factors = np.random.default_rng(8), [], nn._factors
+    monkeypatch.setattr(nn, "_factors", lambda *a: kinds.append(a[3]) or factors(*a))
+    monkeypatch.setattr(nn, "_WIDTH", 300)
+    q, d = rng.standard_normal((40, 5)), rng.standard_normal((900, 5))
+    d[7] = 1e7  # one long vector does not make the others coarse
+    for shift, wanted in ((0.0, {np.float32}), (1e6, {np.float32, np.float64})):
+        for far, k in ((False, 1), (False, 9), (True, 2)):
+            kinds.clear()
+            rows, cols, dist = nn.block_best(q + shift, d + shift, np.arange(900), k, "l2", far)
+            assert set(kinds) == wanted or far
+            every = ((q[:, None] + shift - (d[None] + shift)) ** 2).sum(2)
+            order = np.argsort(-every if far else every, axis=1, kind="stable")
+            for row in range(40):
+                assert sorted(dist[rows == row]) == sorted(np.sort(-every[row] if far else every[row])[:k] * (-1 if far else 1))
+                assert shift or set(cols[rows == row]) == set(order[row][:k])
+
+
+def test_search_passes_on_few_rows(spark):
+    """A query brings k rows from each block of documents, which hold more rows than those of queries."""
+    q, d = frames(spark, np.random.default_rng(9).standard_normal((64, 3)))
+    assert nn.nearest(q, d, 3, block_rows=8, keep_rank=False).count() == 3 * 64
+
+
+def test_many_pairs_of_blocks_are_tasks_of_their_own(spark):
+    q, d = frames(spark, np.random.default_rng(9).standard_normal((64, 3)))
+    assert nn.dealt(q, d, nn.FEW_TASKS + 44, ["tag"])[0].rdd.getNumPartitions() == nn.FEW_TASKS + 44
+    assert nn.dealt(q, d, nn.FEW_TASKS, ["tag"])[0] is q
