@@ -204,3 +204,10 @@ def test_rerank_whole_pool_by_type(spark):
     assert {(r.query_id, r.doc_id) for r in typed} == {("a", "a"), ("a", "b"), ("b", "a"), ("b", "b"), ("c", "c")}
     picked = selection.select_examples(rows, rows, 1, fields="QUESTION_SQL", similarity="COSINE")
     assert all(r.query_id == r.doc_id for r in picked.collect())
+
+
+def test_text_mode_searches_twice(spark):
+    """The first search is written once, not run again for what the second one asks of its queries."""
+    q, d = line(spark, [0, 1, 2, 3], "aabb")
+    plan = mining.after_own_run(q, d, 2, mode="text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
