@@ -211,3 +211,10 @@ def test_text_mode_searches_twice(spark):
     q, d = line(spark, [0, 1, 2, 3], "aabb")
     plan = mining.after_own_run(q, d, 2, mode="text")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_two_stages_run_once(spark, folder):
+    from corpuslab.plans import load
+
+    plan = load().QUERIES["select_two_stage"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" not in plan
