@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.operators.nearest import _id_type, _ids, top
+from corpuslab.operators.nearest import _id_type, _ids, dealt, top
 from corpuslab.session import cut
 
 PIECE = 64
@@ -193,6 +193,7 @@ def rerank_all(
         columns = [np.concatenate(x) for x in zip(*found)] if found and len(ids) else [[], [], []]
         return pa.table(dict(zip(out.names, columns))).cast(out)
 
+    q, d = dealt(q, d, n_q * n_d, keys)
     best = (
         q.groupBy(*keys).cogroup(d.groupBy(*keys))
         .applyInArrow(kernel, f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double")

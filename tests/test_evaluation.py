@@ -227,3 +227,13 @@ def test_execution_match(spark, folder):
     assert spark.table("customer").count() == 3
     with pytest.raises(Exception):
         evaluate.execution_match(spark, [("x", "SELECT nothing FROM customer", gold)], {"customer": f"{folder}/customer.parquet"})
+
+
+def test_rerank_all_has_a_task_for_each_pair_of_blocks(spark, monkeypatch):
+    from corpuslab.operators import nearest as nn
+
+    monkeypatch.setattr(nn, "FEW_TASKS", 4)
+    q = spark.createDataFrame([(i, 0, [float(i)]) for i in range(64)], "query_id int, pos int, vec array<double>")
+    found = interaction.rerank_all(q, q.withColumnRenamed("query_id", "doc_id"), 2, block_tokens=32)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and ", 32\n" in plan and len(found.collect()) == 128
