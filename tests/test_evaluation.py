@@ -237,3 +237,12 @@ def test_rerank_all_has_a_task_for_each_pair_of_blocks(spark, monkeypatch):
     found = interaction.rerank_all(q, q.withColumnRenamed("query_id", "doc_id"), 2, block_tokens=32)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 2 and ", 32\n" in plan and len(found.collect()) == 128
+
+
+def test_tags_read_one_normal_form(spark, folder, monkeypatch):
+    """Three normal forms, of the log, the gold and the prediction, and not one for each test of the tags."""
+    from corpuslab.plans import load
+
+    monkeypatch.setattr(evaluate, "accuracy_by", lambda rows: rows)
+    plan = load().QUERIES["accuracy_by_tag"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 3
