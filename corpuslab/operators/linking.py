@@ -35,9 +35,9 @@ def train_id(dataset: str, given: Column, ordinal: Column) -> Column:
 
 
 def attach_catalog(samples: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Join on db_id. Spark broadcasts the catalog while it is under the configured
-    size and otherwise shuffles, splitting a hot database by AQE."""
-    return samples.join(catalog, "db_id")
+    """Join on db_id by a shuffle; AQE splits a hot database. Not by broadcast: the names made of a
+    catalog are many times the file that Spark goes by, and each task would hold those of all databases."""
+    return samples.join(catalog.hint("merge"), "db_id")
 
 
 def table_labels(tokens: Column, schema: Column) -> Column:

@@ -94,3 +94,13 @@ def test_contents_attached_by_position(spark):
     out = {r.id: r for r in cat.with_contents(rows, found).withColumn("d", cat.column_descriptions(F.col("db_schema"), F.col("fk"))).collect()}
     assert len(out) == 3 and out["1"].db_schema[0].db_contents == [[], ["x", "y"]] and out["2"].db_schema[0].db_contents == [[], []]
     assert out["1"].d == [["A", "B ( x , y , [FK] ) "], ["A ( z , [FK] ) "]] and out["2"].d == [["A", "B"], ["A"]] and out["3"].db_schema == []
+
+
+def test_catalog_is_not_broadcast(spark):
+    """However small the file behind it: what tasks hold does not grow with all databases."""
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "db_id string, n int")
+    names = spark.createDataFrame([("a", ["x"]), ("c", ["y"]), (None, ["z"])], "db_id string, names array<string>")
+    joined = linking.attach_catalog(rows, names)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [tuple(r) for r in joined.collect()] == [("a", 1, ["x"])]
