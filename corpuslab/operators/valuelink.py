@@ -291,20 +291,30 @@ def link_values(
         raise ValueError("a threshold is above 0 and at most 1")
     asked = questions.select("question_id", strip(F.col("question")).alias("question"))
     held = cut(usable_values(values))
-    pairs = candidate_pairs(asked, held, hot) if threshold >= THRESHOLD else loose_pairs(asked, held, threshold, hot)
-    found = judged_pairs(pairs, asked, threshold)
+    # A link depends on the text alone, so each text is judged once, and questions with the same texts share their
+    # links; dealing out the texts also spreads the row work, which files would leave to as many tasks as they have splits.
+    texts = cut(asked.select("question").distinct().withColumn("question_id", F.monotonically_increasing_id()))
+    known = asked.where("question_id IS NOT NULL").join(texts.withColumnRenamed("question_id", "_text"), "question")
+    # One text each, but for questions that come with several.
+    sets = cut(known.groupBy("question_id").agg(F.array_sort(F.collect_set("_text")).alias("_texts")))
+    groups = cut(sets.select("_texts").distinct().withColumn("_group", F.monotonically_increasing_id()))
+    pairs = candidate_pairs(texts, held, hot) if threshold >= THRESHOLD else loose_pairs(texts, held, threshold, hot)
+    members = groups.select("_group", F.explode("_texts").alias("question_id"))
+    found = judged_pairs(pairs, texts, threshold).join(members, "question_id").drop("question_id")
     placed = found.join(held, "value")
-    per_match = placed.groupBy("question_id", "table_name", "column_name", "match_text").agg(
+    per_match = placed.groupBy("_group", "table_name", "column_name", "match_text").agg(
         F.max_by(F.struct("value", "source", "score", "match_size"), "value").alias("m"), F.min("value").alias("_first")
     )
     weight = F.lit(1e16) * F.col("m.score") + F.lit(1e8) * F.col("m.score") + F.col("m.match_size")
     needs_exact = F.col("column_name").contains("name")
-    w = Window.partitionBy("question_id", "table_name", "column_name").orderBy(weight.desc(), "_first")
-    return (
+    w = Window.partitionBy("_group", "table_name", "column_name").orderBy(weight.desc(), "_first")
+    best = (
         per_match.where(~needs_exact | (F.col("m.score") * F.col("m.score") >= 1))
         .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= top_k)
-        .select("question_id", "table_name", "column_name", "m.value", "m.source", "m.score", "rank")
+    )
+    return best.join(groups, "_group").join(sets, "_texts").select(
+        "question_id", "table_name", "column_name", "m.value", "m.source", "m.score", "rank"
     )
 
 

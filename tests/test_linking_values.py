@@ -175,3 +175,15 @@ def test_repair_leaves_functions_aliases_and_literals(spark):
     out = {r.log_id: r.repaired for r in repair.repair(log, n, nearest=True).collect()}
     assert out[0] == texts[0] and out[2] == texts[2] and out[9] == "select nmae" and out[10] is None
     assert out[1] == "SELECT T1.name , abs(T1.age) FROM people T1 WHERE T1.name = 'nmae' OR T1.name = \"agee\""
+
+
+def test_each_text_is_judged_once(spark, monkeypatch):
+    """However many questions share a text; a question that comes with two texts has the links of both."""
+    asked, pairs = [], valuelink.candidate_pairs
+    monkeypatch.setattr(valuelink, "candidate_pairs", lambda q, *a: asked.append(q.count()) or pairs(q, *a))
+    rows = [(i, "where is the green bolt") for i in range(30)] + [(3, "where is the green bolt"), (4, "and the copper ring"), (None, "green bolt")]
+    questions = spark.createDataFrame(rows, "question_id int, question string")
+    values = spark.createDataFrame([("t", "c", "green bolt"), ("t", "c", "copper ring")], "table_name string, column_name string, value string")
+    links = valuelink.link_values(questions, values).collect()
+    assert asked == [3]
+    assert sorted((r.question_id, r.value) for r in links) == sorted([(i, "green bolt") for i in range(30)] + [(4, "copper ring")])
