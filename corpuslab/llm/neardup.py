@@ -7,6 +7,7 @@ probability that does not fade with depth, and independent trees repeat the chan
 of few documents are compared exhaustively; larger ones below the roots link their members to a pivot first, a
 member that agrees with the most others, and branch on where that leaves more than one component. Branches only find links early: what they leave in more than one
 component is compared in blocks, all of the node, so a pair that meets below a root is never lost. Links are confirmed on full sets.
+The candidates of blocks, of which most are no links, travel as parcels: full sets are brought to a parcel once for each of its members, not for each pair.
 
 Equal sets are one class from the start, so copies cost nothing, and within a component
 nothing more is compared, so a group of near copies takes about as many comparisons as members.
@@ -36,6 +37,8 @@ SMALL = 256  # documents of a node that are compared exhaustively
 BLOCK = 4096  # documents of a side of a block of a large node
 DEEPER = 3  # levels that large nodes go down at once to find links
 VOTERS = 512  # members of a large node, about, among which its pivot is chosen
+STRIP, PAIRS = 512, 8192  # first members, and candidate pairs, of a parcel that is confirmed in one piece
+ITEMS = 1 << 20  # shingles of a parcel's sets, but for a parcel of one pair
 U64 = np.uint64
 SALTS = np.array([xxhash.xxh64_intdigest(b"", i) for i in range(4 * TOKENS)], U64)
 
@@ -256,11 +259,28 @@ def forest_of(a: np.ndarray, b: np.ndarray, score: np.ndarray, size: int) -> lis
     return keep
 
 
-def node_pairs(nodes: DataFrame, rule: Rule, forest: bool, slots: list[tuple[int, int]]) -> DataFrame:
+def parcelled(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Pairs of rows of sizes `n` dealt into parcels, as places in a and b. Those of a strip of `STRIP` first members are
+    taken by the second, so a parcel has few members for its pairs."""
+    strip = np.unique(a, return_inverse=True)[1] // STRIP
+    order = np.lexsort((a, b, strip))
+    cuts = np.flatnonzero(np.diff(strip[order])) + 1
+    todo, out = [part[i : i + PAIRS] for part in np.split(order, cuts) for i in range(0, len(part), PAIRS)], []
+    while todo:
+        part = todo.pop()
+        if len(part) > 1 and n[np.union1d(a[part], b[part])].sum() > ITEMS:
+            todo += np.array_split(part, 2)
+        else:
+            out.append(part)
+    return out
+
+
+def node_pairs(nodes: DataFrame, rule: Rule, forest: bool, slots: list[tuple[int, int]], parcels: bool = False) -> DataFrame:
     """Candidate pairs (a, b) of gathered nodes or blocks (slot, members: class, n, low, roots, bins, mask,
     component, side). `forest`: of each node only a spanning forest of the most similar ones; else all
     pairs whose components differ, and of members of both sides only those between them. Of the nodes below the roots
-    that two documents share, the first alone passes their pair on; `mask` has the slots of a document's nodes."""
+    that two documents share, the first alone passes their pair on; `mask` has the slots of a document's nodes.
+    `parcels`: pairs come as parcels (members: their classes; pairs: places of two members after each other)."""
     bit = U64(1) << np.arange(len(slots), dtype=U64)
 
     def run(batches):
@@ -287,16 +307,60 @@ def node_pairs(nodes: DataFrame, rule: Rule, forest: bool, slots: list[tuple[int
                     shared = np.where(sets[a] == sets[b], bit, U64(0)).sum(1, dtype=U64) & mask[order[a]] & mask[order[b]]
                     here = (shared & (~shared + U64(1))) == bit[slot]
                     a, b = a[here], b[here]
+                if parcels:
+                    for some in parcelled(a, b, n[order]):
+                        used, spot = np.unique(np.stack([a[some], b[some]], 1), return_inverse=True)
+                        left.append(order[used])
+                        right.append(spot.ravel().astype(np.int32))
+                    continue
                 x, y = name[order[a]], name[order[b]]
                 rising = (x[:, 0] < y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] < y[:, 1]))
                 left.append(order[np.where(rising, a, b)])
                 right.append(order[np.where(rising, b, a)])
             digests = members.field("class")
-            yield pa.RecordBatch.from_arrays([digests.take(pa.array(np.concatenate(left))), digests.take(pa.array(np.concatenate(right)))], names=["a", "b"])
+            for x, y in zip(left, right) if parcels else ():
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], digests.take(pa.array(x))), pa.ListArray.from_arrays([0, len(y)], pa.array(y))], names=["members", "pairs"])
+            if not parcels:
+                yield pa.RecordBatch.from_arrays([digests.take(pa.array(np.concatenate(left))), digests.take(pa.array(np.concatenate(right)))], names=["a", "b"])
 
+    if parcels:
+        return nodes.select("slot", "members").mapInArrow(run, "members array<binary>, pairs array<int>")
     return nodes.select("slot", "members").mapInArrow(run, "a binary, b binary").distinct()
 
 
+def parcel_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of parcels (pairs, sets: at, class, items), tested on the full sets. A pair that links found before in the
+    parcel already connect is passed over, so these are fewer than the parcel's members."""
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sets = batch.column("sets")[row].values
+                at, digests, lists = np.asarray(sets.field("at")), sets.field("class"), sets.field("items")
+                items, ends = np.asarray(lists.flatten()), np.cumsum([0, *lists.value_lengths().to_pylist()])
+                own = [None] * len(at)
+                for i, (start, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    own[at[i]] = items[start:end]
+                place, top, found = np.argsort(at), list(range(len(at))), []
+                for a, b in np.asarray(batch.column("pairs")[row].values).reshape(-1, 2).tolist():
+                    x, y = a, b
+                    while top[x] != x:
+                        x = top[x]
+                    while top[y] != y:
+                        y = top[y]
+                    if x == y:
+                        continue
+                    both = np.concatenate([own[a], own[b]])
+                    both.sort(kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (len(both) - shared):
+                        top[max(x, y)] = min(x, y)
+                        found.append((a, b))
+                ordered = [sorted((digests[int(place[a])].as_py(), digests[int(place[b])].as_py())) for a, b in found]
+                yield pa.RecordBatch.from_arrays([pa.array([x[side] for x in ordered], pa.binary()) for side in (0, 1)], names=["a", "b"])
+
+    return rows.select("pairs", "sets").mapInArrow(run, "a binary, b binary")
+
+
 def row_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     """Candidate pairs of rows (class, n, low, bins, other: the same fields)."""
     def run(batches):
@@ -338,7 +402,23 @@ class Join:
         both = both.join(full.select(F.col("class").alias("b"), F.col("items").alias("items_b")), "b")
         both = both.withColumn("shared", F.size(F.array_intersect("items_a", "items_b")))
         union = F.size("items_a") + F.size("items_b") - F.col("shared")
-        found = cut(both.where(100 * F.col("shared") >= self.rule.percent * union).select("a", "b"))
+        self.link(both.where(100 * F.col("shared") >= self.rule.percent * union).select("a", "b"))
+        return True
+
+    def confirm_parcels(self, parcels: DataFrame) -> None:
+        """Tests the candidates of parcels (members, pairs) on full sets, which are joined to the members; keeps the links."""
+        parcels = cut(parcels.withColumn("parcel", F.monotonically_increasing_id()))
+        if parcels.isEmpty():
+            return
+        members = parcels.select("parcel", F.posexplode("members").alias("at", "class"))
+        self.fetch(members.select("class").distinct())
+        full = reduce(DataFrame.unionByName, self.sets)
+        sets = members.join(full, "class").groupBy("parcel").agg(F.collect_list(F.struct("at", "class", "items")).alias("sets"))
+        self.link(parcel_links(sets.join(parcels.select("parcel", "pairs"), "parcel"), self.rule.percent))
+
+    def link(self, found: DataFrame) -> None:
+        """Keeps confirmed links and joins the components that they connect."""
+        found = cut(found)
         if not found.isEmpty():
             self.links.append(found)
             every = found
@@ -346,7 +426,6 @@ class Join:
                 # Components found before stand for their links.
                 every = every.unionByName(self.parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
             self.parts = components(every)
-        return True
 
     def fetch(self, wanted: DataFrame) -> None:
         """Full sets of the wanted classes that are not there yet, from one text of each."""
@@ -426,10 +505,11 @@ class Join:
         lower, wide, any_wide = self.placed_nodes(cut(paths))
         self.confirm(self.sketch(lower, wide if any_wide else None))
         # Branches of a pair may all die or part, so what is open is compared in the nodes below the roots.
-        self.confirm(self.rest(small).unionByName(self.blocked(cut(self.unsettled(rows)))).distinct())
+        self.confirm(self.rest(small))
+        self.confirm_parcels(self.blocked(cut(self.unsettled(rows))))
 
     def blocked(self, rows: DataFrame) -> DataFrame:
-        """All candidates of large nodes that components found so far leave open: those outside the node's most
+        """All candidates of large nodes that components found so far leave open, as parcels: those outside the node's most
         frequent component against each other and against that component, in blocks of `BLOCK` by `BLOCK`."""
         by = rows.groupBy("path", "component").agg(F.count("*").alias("many"))
         largest = by.groupBy("path").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.max("many").alias("inside"), (F.sum("many") - F.max("many")).alias("outside"))
@@ -441,7 +521,7 @@ class Join:
         rows = rows.join(self.slim, "class")
         member = F.struct("class", "n", "low", "roots", "bins", "mask", "component", (F.col("own") > F.col("other")).cast("int").alias("side"))
         both = rows.groupBy("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.min("slot").alias("slot"), F.collect_list(member).alias("members"))
-        return node_pairs(both, self.rule, False, self.slots)
+        return node_pairs(both, self.rule, False, self.slots, parcels=True)
 
 
 def grouped(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text") -> DataFrame:
