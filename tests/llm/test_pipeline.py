@@ -48,3 +48,13 @@ def test_stages_keep_columns(spark, small):
         kept[name] = {r["doc_id"] for r in out.collect()}
         assert stage(spark, docs.where("false"), small).count() == 0
     assert kept == {"quality_rules": {1, 2, 3, 5, 6, 7, 8}, "near_duplicates": {1, 4, 5, 6, 7, 8, 9, 10}, "decontamination": {1, 2, 3, 4, 7, 8, 9, 10}, "secrets": set(range(1, 11))}
+
+
+def test_memory_of_a_task(spark, small, monkeypatch):
+    """Texts go to the tasks once, in batches bounded in bytes."""
+    kept, scanned = [], corpus_pipeline.secretscan.scanned
+    monkeypatch.setattr(corpus_pipeline.secretscan, "scanned", lambda *a, **k: kept.append(k["keep"]) or scanned(*a, **k))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    out = corpus_pipeline.secrets(spark, docs, small)
+    assert "text" not in kept[0] and out.columns == docs.columns
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == corpus_pipeline.BATCH_BYTES
