@@ -294,11 +294,10 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch):
 
 def test_near_duplicates_of_near_misses(spark, monkeypatch):
     """120 variants of a text are just under the threshold of each other, and two more are over it of the first. The candidates
-    that are no links make few rows: they are tested in parcels, also in very small ones."""
+    of large nodes are tested in parcels, also in very small ones."""
     for name, value in {"SMALL": 8, "PAIRS": 200, "STRIP": 16, "ITEMS": 8000}.items():
         monkeypatch.setattr(neardup, name, value)
-    tested, parcels, confirm, piled = [], [], neardup.Join.confirm, neardup.Join.confirm_parcels
-    monkeypatch.setattr(neardup.Join, "confirm", lambda self, pairs: tested.append(cut(pairs)) or confirm(self, tested[-1]))
+    parcels, piled = [], neardup.Join.confirm_parcels
     monkeypatch.setattr(neardup.Join, "confirm_parcels", lambda self, rows: parcels.append(cut(rows)) or piled(self, parcels[-1]))
     rng, rows = random.Random(3), []
     for i in range(120):
@@ -310,10 +309,21 @@ def test_near_duplicates_of_near_misses(spark, monkeypatch):
     df = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in neardup.grouped(df, size=1, percent=85).collect()}
     assert got == {i: i if i < 120 else 0 for i in range(122)}
-    by = parcels[0].selectExpr("count(*)", "sum(size(members))", "sum(size(pairs)) / 2").first()
+    assert not parcels[0].isEmpty()
     assert by[0] > 20 and by[1] < by[2] / 2 and by[2] > 2500 and sum(x.count() for x in tested) < 2500
 
 
+def test_parcels(monkeypatch):
+    """Every pair is in one parcel, and parcels have few members for their pairs, within their bounds."""
+    for name, value in {"PAIRS": 200, "STRIP": 16, "ITEMS": 2000}.items():
+        monkeypatch.setattr(neardup, name, value)
+    a, b = np.triu_indices(100, 1)
+    parts = neardup.parcelled(a, b, np.full(100, 50))
+    members = [len(np.union1d(a[p], b[p])) for p in parts]
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(a)))
+    assert max(map(len, parts)) <= 200 and max(members) <= 40 and sum(members) < len(a) / 2
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(70)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     links = spark.createDataFrame([*chain, (None, 3), (4, None)], "a long, b long")
