@@ -396,8 +396,7 @@ class Join:
         if pairs.isEmpty():
             return False
         self.tested.append(pairs)
-        self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-        full = reduce(DataFrame.unionByName, self.sets)
+        full = self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
         both = pairs.join(full.select(F.col("class").alias("a"), F.col("items").alias("items_a")), "a")
         both = both.join(full.select(F.col("class").alias("b"), F.col("items").alias("items_b")), "b")
         both = both.withColumn("shared", F.size(F.array_intersect("items_a", "items_b")))
@@ -411,9 +410,7 @@ class Join:
         if parcels.isEmpty():
             return
         members = parcels.select("parcel", F.posexplode("members").alias("at", "class"))
-        self.fetch(members.select("class").distinct())
-        full = reduce(DataFrame.unionByName, self.sets)
-        sets = members.join(full, "class").groupBy("parcel").agg(F.collect_list(F.struct("at", "class", "items")).alias("sets"))
+        sets = members.join(self.full_sets(members.select("class").distinct()), "class").groupBy("parcel").agg(F.collect_list(F.struct("at", "class", "items")).alias("sets"))
         self.link(parcel_links(sets.join(parcels.select("parcel", "pairs"), "parcel"), self.rule.percent))
 
     def link(self, found: DataFrame) -> None:
@@ -427,13 +424,20 @@ class Join:
                 every = every.unionByName(self.parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
             self.parts = components(every)
 
+    def full_sets(self, wanted: DataFrame) -> DataFrame:
+        """Full sets of the wanted classes alone; those of other classes stay out of the joins that follow."""
+        wanted = cut(wanted)
+        self.fetch(wanted)
+        full = reduce(DataFrame.unionByName, self.sets)
+        return full if len(self.sets) == 1 else full.join(listed(wanted), "class", "left_semi")
+
     def fetch(self, wanted: DataFrame) -> None:
-        """Full sets of the wanted classes that are not there yet, from one text of each."""
+        """Fetches the full sets of the wanted classes that are not there yet, from one text of each."""
         if self.sets:
             wanted = wanted.join(reduce(DataFrame.unionByName, self.sets).select("class"), "class", "left_anti")
         wanted = cut(wanted.join(self.classes.select("class", "text_key"), "class").select("text_key"))
         texts = self.docs.select(F.xxhash64(self.column).alias("text_key"), F.col(self.column).alias("text"))
-        texts = texts.join(listed(wanted), "text_key", "left_semi").dropDuplicates(["text_key"])
+        texts = texts.join(listed(wanted), "text_key", "left_semi")
         size = self.size
 
         def sets(batches):
@@ -443,7 +447,7 @@ class Join:
                     names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], names=["class", "items"])
 
-        # Texts of one class may differ where their sets do not; one set each is enough.
+        # Copies, and texts of one class that differ where their sets do not, give one set: tasks drop those of their own first.
         self.sets.append(cut(texts.select("text").mapInArrow(sets, "class binary, items array<long>").dropDuplicates(["class"])))
 
     def placed(self, rows: DataFrame) -> DataFrame:
@@ -494,14 +498,17 @@ class Join:
 
     def run(self, threshold: float) -> None:
         self.slots = root_slots(threshold)
-        self.slim = slim(self.classes, self.slots)
         small, large, any_large = self.placed_nodes(rooted(self.classes, self.slots))
+        # Classes that share no node are compared with nothing, so their sketches stay where they are from here on.
+        inside = cut(small.select("class").unionByName(large.select("class")).distinct())
+        sketches = cut(self.classes.select("class", "n_shingles", "tokens", "bins").join(listed(inside), "class", "left_semi"))
+        self.slim = slim(sketches, self.slots)
         self.confirm(self.sketch(small, large if any_large else None))
         rows = cut(self.unsettled(large)) if any_large else None
         if rows is None or rows.isEmpty():
             self.confirm(self.rest(small))
             return
-        paths = branched(rows.join(self.classes.select("class", "tokens"), "class"), threshold, DEEPER)
+        paths = branched(rows.join(sketches.select("class", "tokens"), "class"), threshold, DEEPER)
         lower, wide, any_wide = self.placed_nodes(cut(paths))
         self.confirm(self.sketch(lower, wide if any_wide else None))
         # Branches of a pair may all die or part, so what is open is compared in the nodes below the roots.

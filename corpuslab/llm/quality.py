@@ -107,10 +107,15 @@ def judged(docs: DataFrame, host: str = "source", column: str = "text", keep: li
 
     Null and empty texts have no words and fail. A document without a host is judged by its
     own text alone. Repeated rows each count and each come back. Empty tables give empty
-    ones. Statistics are written once and read for both uses, so texts are scanned once."""
+    ones. Statistics are written once and read for both uses, so texts are scanned once; where the texts themselves are
+    kept, they are scanned twice instead, as what is written would be as large as the documents."""
     keep = docs.columns if keep is None else keep
-    stats = cut(with_stats(docs, column, keep if host in keep else [*keep, host]))
-    hosts = host_rates(stats, host, rules).select(F.col("host").alias("host__"), F.greatest(*[F.col(f"rate_{r}") for r in rules], F.lit(0.0)).alias("host_rate"))
+    stats = with_stats(docs, column, keep if host in keep else [*keep, host])
+    if column in keep:
+        counted = with_stats(docs, column, [host])
+    else:
+        counted = stats = cut(stats)
+    hosts = host_rates(counted, host, rules).select(F.col("host").alias("host__"), F.greatest(*[F.col(f"rate_{r}") for r in rules], F.lit(0.0)).alias("host_rate"))
     stats = stats.drop("host_rate", "host_rejected", "kept")
     out = stats.join(hosts, stats[host] == hosts["host__"], "left").drop("host__")
     out = out.withColumn("host_rejected", F.coalesce(F.col("host_rate") > most, F.lit(False)))

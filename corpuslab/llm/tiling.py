@@ -171,7 +171,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 5, covera
     spots = hits.select("doc_key", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("doc_key", "item").agg(F.first("n_words").alias("n_words"), F.first("length").alias("length"), F.array_sort(F.collect_set("at")).alias("at"))
     reach = F.expr("aggregate(at, named_struct('end', 0, 'sum', 0), (s, x) -> named_struct('end', x + length, 'sum', s.sum + x + length - greatest(x, s.end)), s -> s.sum)")
     pairs = cut(spots.where(reach >= coverage * F.col("n_words")).select("doc_key", "item"))
-    picked = hits.select("doc_key", "text").join(pairs.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    picked = hits.select("doc_key", "text").join(listed(cut(pairs.select("doc_key").distinct())), "doc_key", "left_semi").dropDuplicates(["doc_key"])
     items = benchmark.where(F.col(bench_column).isNotNull()).select(F.md5(bench_column).alias("item"), F.col(bench_column).alias("item_text")).dropDuplicates(["item"])
     both = pairs.join(picked, "doc_key").join(items, "item").select("doc_key", "item", "text", "item_text")
 
