@@ -46,6 +46,10 @@ SPAN_KEYS, LONGEST_SPAN = 8, 23
 # Key sizes for any threshold; values are sought by listed spans if a common part may be shorter than this.
 LOOSE_SIZES = sorted({1, 2, *KEY_SIZES})
 LISTED_UNDER = 12
+#: Keys of questions, with their spans, that are sent to all tasks: some 30 MB at most.
+FEW_ASKED = 300_000
+# White space as Unicode has it.
+WHITE = [chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
 
 
 def _fold(text: Column) -> Column:
@@ -152,28 +156,45 @@ def _largest_span(length, threshold: float):
     return (2 - threshold) / threshold * length + 1e-9
 
 
-def loose_value_keys(values: DataFrame, threshold: float) -> DataFrame:
-    """(value, size, key, listed): as `value_keys`, for any threshold. `listed`: sought by spans of whole words."""
-    v, length = F.col("_v"), F.length("_v")
-    sized = (
-        values.select("value").distinct().withColumn("_v", _fold(F.col("value")))
-        .withColumn("_first", F.regexp_extract("_v", f"([^{SEPARATORS}])", 1))
-        .where("_first <> ''")
-        .withColumn("_sure", _least_span(length, threshold) - 2)
+def _reached(bound: Column) -> Column:
+    """How many of `LOOSE_SIZES` are no larger than `bound`, by plain comparisons: functions of array elements are not compiled."""
+    count = F.when(bound < LOOSE_SIZES[1], 1)
+    for many, size in enumerate(LOOSE_SIZES[2:], 2):
+        count = count.when(bound < size, many)
+    return count.otherwise(len(LOOSE_SIZES))
+
+
+def loose_values(values: DataFrame, threshold: float) -> DataFrame:
+    """(value, folded, first, sure, listed): what the keys of values are made of, for any threshold. `sure`: characters
+    that a common part has at least; `listed`: sought by spans of whole words."""
+    return (
+        values.select("value", _fold(F.col("value")).alias("folded"))
+        .withColumn("first", F.regexp_extract("folded", f"([^{SEPARATORS}])", 1))
+        .where("first <> ''")
+        .withColumn("sure", _least_span(F.length("folded"), threshold) - 2)
+        .withColumn("listed", F.col("sure") < LISTED_UNDER)
     )
+
+
+def loose_value_keys(values: DataFrame, threshold: float) -> DataFrame:
+    """(value, folded, size, key, listed): as `value_keys`, for any threshold."""
     sizes = F.array(*[F.lit(s) for s in LOOSE_SIZES])
+    length = F.length("folded")
     most = F.floor(_largest_span(length, threshold)).cast("int") - 2
     # A listed span of S characters has the size for S - 2; the others have that for the least span.
-    own = F.filter(sizes, lambda s: (s <= F.greatest(most, F.lit(1))) & (s <= length) & (s >= F.array_max(F.filter(sizes, lambda r: r <= F.greatest("_sure", F.lit(1))))))
-    listed = F.col("_sure") < LISTED_UNDER
-    own = F.when(listed, own).otherwise(F.array(F.array_max(F.filter(sizes, lambda s: s <= F.col("_sure")))))
-
-    def parts(size: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(0), length - size), lambda o: F.substr(v, o + 1, size))
-        begun = F.filter(every, lambda p: p.startswith(F.col("_first")) | p.rlike(r"(?U)^\s"))
-        return F.transform(F.array_distinct(begun), lambda p: F.struct(size.alias("size"), F.xxhash64(p).alias("key")))
-
-    return sized.select("value", listed.alias("listed"), F.explode(F.flatten(F.transform(own, parts))).alias("k")).select("value", "listed", "k.*")
+    least, many = _reached(F.greatest("sure", F.lit(1))), _reached(F.least(F.greatest(most, F.lit(1)), length))
+    last = F.when(F.col("listed"), many).otherwise(least)
+    # Places of the first letter, or of white space that is no separator, are few, so they come before the sizes.
+    letter = F.substr(F.col("folded"), F.col("place") + 1, F.lit(1))
+    # Dealt out first, as keys are many times their values and these end in a few tasks.
+    spark = values.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = values.select("value").repartition(tasks, "value").distinct()
+    sized = loose_values(dealt, threshold).withColumn("place", F.explode(F.sequence(F.lit(0), length - 1)))
+    begun = sized.where((letter == F.col("first")) | letter.isin(*WHITE))
+    begun = begun.withColumn("nth", F.explode(F.sequence(least, last))).withColumn("size", F.element_at(sizes, F.col("nth")))
+    part = F.substr(F.col("folded"), F.col("place") + 1, F.col("size"))
+    return begun.where(F.col("place") + F.col("size") <= length).select("value", "folded", "size", F.xxhash64(part).alias("key"), "listed")
 
 
 def loose_question_keys(questions: DataFrame, sizes: list[int], longest: int) -> DataFrame:
@@ -202,20 +223,28 @@ def loose_question_keys(questions: DataFrame, sizes: list[int], longest: int) ->
 
 def loose_pairs(questions: DataFrame, values: DataFrame, threshold: float, hot: int = HOT_ROWS) -> DataFrame:
     """Distinct (question_id, value) pairs that may match, for any threshold above 0."""
-    keys = cut(loose_value_keys(values, threshold))
     # At most one row per key size, some forty in all.
-    sizes = sorted(r["size"] for r in keys.where("NOT listed").select("size").distinct().collect())
-    longest = keys.where("listed").agg(F.max(F.length(_fold(F.col("value")))).alias("n")).first().n or 0
+    held = loose_values(values, threshold)
+    size = F.element_at(F.array(*[F.lit(s) for s in LOOSE_SIZES]), _reached(F.greatest("sure", F.lit(1))))
+    needs = held.groupBy("listed", F.when(~F.col("listed"), size).alias("size")).agg(F.max(F.length("folded")).alias("longest")).collect()
+    sizes = sorted(r["size"] for r in needs if not r["listed"])
+    longest = max((r["longest"] for r in needs if r["listed"]), default=0)
     if not longest and not sizes:
         return questions.select("question_id").limit(0).withColumn("value", F.lit(""))
     asked = cut(loose_question_keys(questions, sizes, int(_largest_span(longest, threshold))))
     # Listed values meet spans, the others meet word starts.
-    keys = keys.withColumn("kind", F.col("listed").cast("int")).drop("listed")
+    keys = loose_value_keys(values, threshold).withColumn("kind", F.col("listed").cast("int")).drop("listed")
     asked = asked.withColumn("kind", F.col("span").isNotNull().cast("int"))
-    met = blocked_join(asked, keys, ["kind", "size", "key"], "question_id", "value", hot)
-    low = _fold(F.col("value"))
-    total = F.length(low) + F.length("span")
-    near = met.where(F.col("span").isNull() | (F.levenshtein("span", low) <= (1 - threshold) * total + 1e-6))
+    if asked.count() <= min(hot, FEW_ASKED):
+        # Keys of the values, which are many more, meet these where they are made.
+        met = keys.join(F.broadcast(asked), ["kind", "size", "key"])
+    else:
+        met = blocked_join(asked, cut(keys.distinct()), ["kind", "size", "key"], "question_id", "value", hot)
+    total = F.length("folded") + F.length("span")
+    allowed = (1 - threshold) * total + 1e-6
+    # No edit distance is below the difference of the lengths.
+    close = (F.abs(F.length("folded") - F.length("span")) <= allowed) & (F.levenshtein("span", "folded") <= allowed)
+    near = met.where(F.col("span").isNull() | close)
     return near.select("question_id", "value").distinct()
 
 
@@ -257,7 +286,7 @@ def judged_pairs(pairs: DataFrame, questions: DataFrame, threshold: float = THRE
     def found(question: pd.Series, value: pd.Series) -> pd.DataFrame:
         folded = {q: (f, Words(f)) for q in question.unique() for f in [fold_case(q)]}
         none = (None, None, None, None)
-        rows = [compared(q, *folded[q], v) or none for q, v in zip(question, value)]
+        rows = [m if (m := compared(q, *folded[q], v)) and m[2] >= threshold else none for q, v in zip(question, value)]
         out = pd.DataFrame(rows, columns=["match_text", "source", "score", "match_size"])
         return out.astype({"match_size": "Int32", "score": "float64"})
 

@@ -187,3 +187,33 @@ def test_each_text_is_judged_once(spark, monkeypatch):
     links = valuelink.link_values(questions, values).collect()
     assert asked == [3]
     assert sorted((r.question_id, r.value) for r in links) == sorted([(i, "green bolt") for i in range(30)] + [(4, "copper ring")])
+
+
+def test_few_questions_meet_the_keys_where_they_are_made(spark, monkeypatch):
+    """Keys of values, many times the values, are neither written nor sent between tasks for a few questions; with more
+    questions than the bound the blocked join finds the same pairs. The same value in two columns is one."""
+    written, joined, cut, join = [], [], valuelink.cut, valuelink.blocked_join
+    monkeypatch.setattr(valuelink, "cut", lambda df: written.append(df.columns) or cut(df))
+    monkeypatch.setattr(valuelink, "blocked_join", lambda *a: joined.append(1) or join(*a))
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(2, 30))) for _ in range(200)]
+    q = spark.createDataFrame([(i, " ".join(rng.sample(words, 6)) + "x") for i in range(8)], "question_id int, question string")
+    v = spark.createDataFrame([("t", c, w) for w in words for c in "ab"] + [("t", "a", " ab cd"), ("t", "a", "''")], "table_name string, column_name string, value string")
+    pairs = sorted(map(tuple, valuelink.loose_pairs(q, v, 0.7).collect()))
+    assert pairs and not joined and not any({"value", "key"} <= set(columns) for columns in written)
+    assert sorted(map(tuple, valuelink.loose_pairs(q, v, 0.7, hot=7).collect())) == pairs and joined
+
+
+def test_sizes_of_keys(spark):
+    """The sizes that a value's keys have, against their definition."""
+    values = spark.createDataFrame([("a" + "b" * (n - 1),) for n in range(1, 60)], "value string")
+    for threshold in (0.3, 0.7):
+        got = {}
+        for r in valuelink.loose_value_keys(values, threshold).collect():
+            got.setdefault(len(r.value), set()).add(r["size"])
+        for n in range(1, 60):
+            sure = -int(-(n * (threshold / (2 - threshold)) - 1e-9) // 1) - 2
+            most = int((2 - threshold) / threshold * n + 1e-9) - 2
+            least = max(s for s in valuelink.LOOSE_SIZES if s <= max(sure, 1))
+            want = {s for s in valuelink.LOOSE_SIZES if least <= s <= min(max(most, 1), n)} if sure < valuelink.LISTED_UNDER else {least}
+            assert got.get(n, set()) == want
