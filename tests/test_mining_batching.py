@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import batching, mining, ordering, selection
+from corpuslab.operators import nearest as nn
 from corpuslab.sources import sinks
 
 
@@ -218,3 +219,25 @@ def test_two_stages_run_once(spark, folder):
 
     plan = load().QUERIES["select_two_stage"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" not in plan
+
+
+def test_run_by_text_searches_all_documents_once(spark, monkeypatch):
+    """Documents with the query's text are searched among themselves, and only where some may come after the run; rows without a text are alike."""
+    rng, searched, plain = np.random.default_rng(12), [], nn.nearest
+    monkeypatch.setattr(nn, "nearest", lambda q, d, *a, **how: searched.append((q.count(), how.get("by"))) or plain(q, d, *a, **how))
+    for apart in (False, True):
+        vectors = rng.integers(0, 2, (60, 2)).astype(float)
+        texts = ["abc"[i] for i in rng.integers(0, 3, 60)] if not apart else [f"{v[0]}{v[1]}" for v in vectors]
+        texts = [None if x in ("c", "0.00.0") else x for x in texts]
+        docs = spark.createDataFrame([(i, v.tolist(), x) for i, (v, x) in enumerate(zip(vectors, texts))], "doc_id bigint, vec array<double>, key string")
+        searched.clear()
+        got = {(r.query_id, r["rank"], r.doc_id) for r in mining.after_own_run(docs.withColumnRenamed("doc_id", "query_id"), docs, 7, mode="text").collect()}
+        want = set()
+        for i in range(60):
+            order = sorted(range(60), key=lambda j: (((vectors[i] - vectors[j]) ** 2).sum(), j))
+            while order and texts[order[0]] == texts[i]:
+                order.pop(0)
+            want |= {(i, r + 1, j) for r, j in enumerate(order[:7])}
+        assert got == want
+        assert [by for _, by in searched] == [None, ["key"]]
+        assert not apart or searched[1][0] == 0

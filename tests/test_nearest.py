@@ -247,3 +247,41 @@ def test_many_pairs_of_blocks_are_tasks_of_their_own(spark):
     q, d = frames(spark, np.random.default_rng(9).standard_normal((64, 3)))
     assert nn.dealt(q, d, nn.FEW_TASKS + 44, ["tag"])[0].rdd.getNumPartitions() == nn.FEW_TASKS + 44
     assert nn.dealt(q, d, nn.FEW_TASKS, ["tag"])[0] is q
+
+
+def test_blocks_are_not_copied_for_each_other(spark):
+    """Rows of vectors are not repeated for the blocks of the other side: only packed blocks meet, each in a row."""
+    q, d = frames(spark, np.random.default_rng(10).standard_normal((900, 4)))
+    found = nn.nearest(q, d, 3, block_rows=90)
+    plan = found._jdf.queryExecution().toString()
+    assert "explode" not in plan and "CartesianProduct" in plan
+    assert as_set(found) == as_set(nn.nearest(q, d, 3))
+
+
+@pytest.mark.parametrize("how", [{}, {"farthest": True}, {"drop_zero": True}])
+def test_lengths_only_spare_work(spark, how):
+    """Blocks by length, one length that most rows have, lengths without a range, sides of unlike lengths: the rows are those of a full sort."""
+    rng = np.random.default_rng(11)
+    vectors = rng.integers(-2, 3, (500, 3)) * np.where(rng.random((500, 1)) < 0.5, 1.0, rng.integers(1, 200, (500, 1)))
+    vectors[:200] = np.eye(3)[rng.integers(0, 3, 200)]
+    vectors[200:210] = 0
+    q, d = frames(spark, vectors)
+    q = q.where("query_id % 3 > 0 AND (query_id < 400 OR query_id > 480)")
+    got = {(r.query_id, r["rank"]): r.doc_id for r in nn.nearest(q, d.where("doc_id < 450"), 6, block_rows=40, **how).collect()}
+    for i in [r.query_id for r in q.collect()]:
+        every = [((vectors[i] - vectors[j]) ** 2).sum() for j in range(450)]
+        order = sorted((j for j in range(450) if not how.get("drop_zero") or every[j] > 0), key=lambda j: (every[j], j), reverse="farthest" in how)
+        assert [got[i, r + 1] for r in range(6)] == order[:6]
+
+
+def test_blocks_of_other_lengths_are_passed_over(monkeypatch):
+    """Sorted by length, most of the products are never formed."""
+    rng, formed, matmul = np.random.default_rng(13), [], np.matmul
+    d = rng.standard_normal((4000, 4)) * rng.integers(1, 5000, 4000)[:, None]
+    d = d[np.argsort((d * d).sum(axis=1))]
+    q = d[::10]
+    monkeypatch.setattr(nn, "_WIDTH", 20)
+    monkeypatch.setattr(nn.np, "matmul", lambda a, b, **how: formed.append(a.shape[0] * b.shape[1]) or matmul(a, b, **how))
+    monkeypatch.setattr(nn, "_CHUNK_CELLS", 640)
+    rows, cols, dist = nn.block_best(q, d, np.arange(4000), 1, "l2", bound=np.full(400, 1e4))
+    assert cols.tolist() == list(range(0, 4000, 10)) and not dist.any() and sum(formed) < 0.5 * 400 * 4000
