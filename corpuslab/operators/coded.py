@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by product quantisation, then exact ranking of a few.
 
 Vectors are cut into parts; each part is named by its nearest entry of a codebook, which is fitted by k-means to a bounded
-sample. What moves and meets the queries is the code, a byte a part. A query's distances to all entries make a
-table, and a document's distance is read from it by its code. Only the best of each query bring their vectors, and
+sample. What moves and meets the queries is the code, a byte a part. In the task the entries that a code names stand in for
+the vector, and are searched as vectors are. Only the best of each query bring their vectors, and
 are ranked by exact distances.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.vectors import pair_distance, unit
-from corpuslab.operators.nearest import BLOCK_ROWS, _blocks, _floats, _id_type, _ids, top
+from corpuslab.operators.nearest import BLOCK_ROWS, _blocks, _floats, _id_type, _ids, _streamed, block_best, top
 from corpuslab.session import cut
 
 PARTS, ENTRIES, SAMPLE, ROUNDS = 16, 256, 8_192, 10
@@ -71,22 +71,21 @@ def encoded(docs: DataFrame, books: list[np.ndarray]) -> DataFrame:
     return docs.select("doc_id", "vec").mapInArrow(run, f"doc_id {kind}, code binary")
 
 
-#: Queries whose tables of distances are held at once.
-TABLE_ROWS = 1024
+def _read(held: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
+    """The entries that codes (a row of `held` for each part) name, in place of the vectors."""
+    return np.concatenate([book[code] for book, code in zip(books, held)], axis=1)
+
+
+def _codes(table: pa.Table, parts: int) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, parts).T
 
 
 def _nominated(vectors: np.ndarray, books: list[np.ndarray], held: np.ndarray, rerank: int):
     """For each vector the places and distances of the `rerank` nearest of the codes (a row of `held` for each part)."""
-    ends = _cuts(books)
-    for lo in range(0, len(vectors), TABLE_ROWS):
-        some = vectors[lo : lo + TABLE_ROWS]
-        tables = [_squares(some[:, a:b], book) for a, b, book in zip(ends, ends[1:], books)]
-        for i in range(len(some)):
-            distance = np.zeros(held.shape[1])
-            for table, code in zip(tables, held):
-                distance += table[i][code]
-            best = np.argpartition(distance, rerank - 1)[:rerank] if len(distance) > rerank else np.arange(len(distance))
-            yield best, distance[best]
+    rows, cols, distance = block_best(vectors, _read(held, books), np.arange(held.shape[1]), rerank, "l2")
+    ends = np.searchsorted(rows, np.arange(len(vectors) + 1))
+    for lo, hi in zip(ends, ends[1:]):
+        yield cols[lo:hi], distance[lo:hi]
 
 
 def nearest_coded(
@@ -96,7 +95,7 @@ def nearest_coded(
     """Top k documents per query as (query_id, doc_id, distance, rank); distances are exact, and so is the order of what is found.
 
     `rerank` documents of each query are compared by their vectors. Codes are a table of their own, written
-    once. Rows without a vector take no part. Blocks of queries meet blocks of codes as in `nearest`, and pass on `rerank` rows a query."""
+    once. Rows without a vector take no part. Blocks of queries meet blocks of codes as in `nearest`, and a task passes on `rerank` rows a query."""
     if metric not in ("l2", "cosine"):
         raise ValueError("codes stand for l2 and cosine")
     if entries > 256:
@@ -110,22 +109,25 @@ def nearest_coded(
         return queries.sparkSession.createDataFrame([], ddl + ", rank int")
     codes = cut(encoded(d, books))
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    n_q, n_d = _blocks(q.count(), block_rows, 1), _blocks(codes.count(), block_rows, cores)
-    left = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
-    right = codes.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int")).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    n_queries, n_docs = q.count(), codes.count()
+    n_q, n_d = _blocks(n_queries, block_rows, 1), _blocks(n_docs, block_rows, cores)
     out = pa.schema([("query_id", _id_type(q, "query_id")), ("doc_id", _id_type(d, "doc_id")), ("distance", pa.float64())])
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
-        vectors, ids = _floats(left, "vec"), _ids(right, "doc_id")
-        held = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), len(books)).T
-        found = []
-        for query_id, (best, distance) in zip(_ids(left, "query_id"), _nominated(vectors, books, held, rerank)):
+        ids, found = _ids(right, "doc_id"), []
+        for query_id, (best, distance) in zip(_ids(left, "query_id"), _nominated(_floats(left, "vec"), books, _codes(right, len(books)), rerank)):
             found.append((np.full(len(best), query_id), ids[best], distance))
         return pa.table(dict(zip(out.names, map(np.concatenate, zip(*found))))).cast(out)
 
-    keys = ["_qb", "_db"]
-    some = top(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, ddl), rerank).select("query_id", "doc_id")
+    if n_q > 1:
+        how = (rerank, "l2", False, False, False, False)
+        met = _streamed(q, codes, n_q, n_d, n_queries, n_docs, how, out, ddl, lambda table: _read(_codes(table, len(books)), books))
+    else:
+        left = q.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
+        right = codes.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int"))
+        met = left.groupBy("_db").cogroup(right.groupBy("_db")).applyInArrow(kernel, ddl)
+    some = top(met, rerank).select("query_id", "doc_id")
     pairs = some.join(queries.select("query_id", F.col("vec").alias("_q")), "query_id").join(docs.select("doc_id", F.col("vec").alias("_d")), "doc_id")
     return top(pairs.select("query_id", "doc_id", pair_distance(F.col("_q"), F.col("_d"), metric).alias("distance")), k)

@@ -48,6 +48,10 @@ def _floats(table: pa.Table, name: str) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def _vectors(table: pa.Table) -> np.ndarray:
+    return _floats(table, "vec")
+
+
 def _ids(table: pa.Table, name: str) -> np.ndarray:
     values = table.column(name).to_numpy(zero_copy_only=False)
     return values.astype(str) if values.dtype == object else values
@@ -204,9 +208,9 @@ def _equal(asked: np.ndarray, order: np.ndarray, held: np.ndarray) -> tuple[np.n
     return rows, order[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(len(rows))]
 
 
-def _searched(left: pa.Table, q: np.ndarray, right: pa.Table, k, metric, farthest, drop_zero, drop_same_key, has_after, bound=None):
-    """The k best of `right` for each row of `left`, of which q are the vectors: rows, ids, distances."""
-    d, d_ids = _floats(right, "vec"), _ids(right, "doc_id")
+def _searched(left: pa.Table, q: np.ndarray, right: pa.Table, k, metric, farthest, drop_zero, drop_same_key, has_after, bound=None, read=_vectors):
+    """The k best of `right`, whose vectors `read` gives, for each row of `left`, of which q are the vectors: rows, ids, distances."""
+    d, d_ids = read(right), _ids(right, "doc_id")
     codes = []
     if drop_zero:
         codes.append(_shared_codes(q + 0.0, d + 0.0))
@@ -252,8 +256,8 @@ def _unfolded(value: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(value.as_buffer()).read_all()
 
 
-def _by_length(table: pa.Table) -> pa.Table:
-    return table.take(pa.array(np.argsort(np.square(_floats(table, "vec")).sum(axis=1), kind="stable")))
+def _by_length(table: pa.Table, read=_vectors) -> pa.Table:
+    return table.take(pa.array(np.argsort(np.square(read(table)).sum(axis=1), kind="stable")))
 
 
 def _lengths(df: DataFrame, row_id: str, rows: int) -> np.ndarray:
@@ -289,7 +293,7 @@ def _pieces(place: Column, row_id: str, pieces: list[int]) -> Column:
     return (F.get(first, place) + F.pmod(F.xxhash64(row_id), F.get(many, place))).cast("int")
 
 
-def _streamed(q: DataFrame, d: DataFrame, nq: int, nd: int, n_queries: int, n_docs: int, how: tuple, out: pa.Schema, ddl: str) -> DataFrame:
+def _streamed(q: DataFrame, d: DataFrame, nq: int, nd: int, n_queries: int, n_docs: int, how: tuple, out: pa.Schema, ddl: str, read=_vectors) -> DataFrame:
     """The k best per query, for more than one block of queries: every block is a row, and a task takes a block of queries past
     many of documents, keeping k rows a query. So a table is moved twice, however many blocks it has.
 
@@ -298,8 +302,8 @@ def _streamed(q: DataFrame, d: DataFrame, nq: int, nd: int, n_queries: int, n_do
     k, metric, farthest = how[:3]
     cores = q.sparkSession.sparkContext.defaultParallelism
 
-    # Only in l2 the lengths bound a distance.
-    bounds = metric == "l2" and not farthest
+    # Only in l2 the lengths bound a distance, and only vectors have them before they are read.
+    bounds = metric == "l2" and not farthest and read is _vectors
     q_lengths, d_lengths = (_lengths(df, c, n) if bounds else np.zeros(1) for df, c, n in ((q, "query_id", n_queries), (d, "doc_id", n_docs)))
     q_ends, d_ends = _ends(q_lengths, nq), _ends(d_lengths, nd)
 
@@ -324,14 +328,14 @@ def _streamed(q: DataFrame, d: DataFrame, nq: int, nd: int, n_queries: int, n_do
         block, left = left.column("_qb")[0], _by_length(left.drop_columns(["_qb"]))
         bound = np.full(left.num_rows, -np.inf if farthest else np.inf)
         if right.num_rows:
-            rows, _, dist = _searched(left, _floats(left, "vec"), _by_length(right), *how)
+            rows, _, dist = _searched(left, _floats(left, "vec"), _by_length(right, read), *how, read=read)
             last = np.searchsorted(rows, np.arange(len(bound)), "right")
             full = last - np.searchsorted(rows, np.arange(len(bound))) >= k
             bound[full] = dist[last[full] - 1]
         return pa.table({"_qb": pa.array([block.as_py()], pa.int32()), "asked": pa.array([_folded(left.append_column("_bound", pa.array(bound)))], pa.binary())})
 
     def holding(right: pa.Table) -> pa.Table:
-        block, right = right.column("_db")[0], _by_length(right.drop_columns(["_db"]))
+        block, right = right.column("_db")[0], _by_length(right.drop_columns(["_db"]), read)
         return pa.table({"_db": pa.array([block.as_py()], pa.int32()), "held": pa.array([_folded(right)], pa.binary())})
 
     def past(batches):
@@ -345,7 +349,7 @@ def _streamed(q: DataFrame, d: DataFrame, nq: int, nd: int, n_queries: int, n_do
                     rest, vectors = left.drop_columns(["vec"]).take(pa.array(np.arange(left.num_rows))), _floats(left, "vec").copy()
                     states[at] = [rest, vectors, rest.column("_bound").to_numpy().copy(), None]
                 left, vectors, bound, best = states[at]
-                rows, ids, dist = _searched(left, vectors, _unfolded(held), *how, bound)
+                rows, ids, dist = _searched(left, vectors, _unfolded(held), *how, bound, read)
                 if best is not None:
                     rows, ids, dist = (np.concatenate(x) for x in zip(best, (rows, ids, dist)))
                     order = np.lexsort((sign * np.unique(ids, return_inverse=True)[1], sign * dist, rows))

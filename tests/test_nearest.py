@@ -285,3 +285,17 @@ def test_blocks_of_other_lengths_are_passed_over(monkeypatch):
     monkeypatch.setattr(nn, "_CHUNK_CELLS", 640)
     rows, cols, dist = nn.block_best(q, d, np.arange(4000), 1, "l2", bound=np.full(400, 1e4))
     assert cols.tolist() == list(range(0, 4000, 10)) and not dist.any() and sum(formed) < 0.5 * 400 * 4000
+
+
+def test_coded_blocks_are_not_copied_for_each_other(spark, monkeypatch):
+    """A task passes on `rerank` rows a query, not each pair of blocks; codes meet the queries by products, not by tables read entry by entry."""
+    q, d = frames(spark, np.random.default_rng(14).standard_normal((600, 8)))
+    met, plain = [], coded.top
+    monkeypatch.setattr(coded, "top", lambda df, k: met.append(df) or plain(df, k))
+    few = coded.nearest_coded(q, d, 4, rerank=20, parts=4, entries=32, block_rows=20)
+    assert few.count() == 4 * 600
+    plan = met[0]._jdf.queryExecution().toString()
+    assert "explode" not in plan and "CartesianProduct" in plan
+    assert met[0].count() < 600 * 20 * 30 / 4
+    one = coded.nearest_coded(q, d, 4, rerank=20, parts=4, entries=32, block_rows=600)
+    assert as_set(few) == as_set(one)
