@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.operators.nearest import _id_type, _ids, dealt, top
+from corpuslab.operators.nearest import _SHORT_MOST, _folded, _id_type, _ids, _share, _unfolded, dealt, passed, top
 from corpuslab.session import cut
 
 PIECE = 64
@@ -231,21 +231,81 @@ def _sketched(docs: DataFrame, centres: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, kinds + ", cells array<int>, reach array<double>")
 
 
+#: Query tokens and document tokens that are multiplied at a time.
+ASKED_TOKENS, HELD_TOKENS = 256, 4096
+
+
+def _chunks(sizes: np.ndarray, most: int):
+    """Ends of stretches that hold `most` items or one row."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _short(*tables: np.ndarray) -> bool | None:
+    """Whether short numbers hold the products of these rows; None if some are not finite."""
+    most = [float(np.square(x).sum(axis=1).max(initial=0.0)) if x.size else 0.0 for x in tables]
+    return max(most) < _SHORT_MOST if np.isfinite(most).all() else None
+
+
+def _maxima(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The largest of stretches of so many rows, none of them empty, column by column. Stretches of one size side by side are taken at once."""
+    out, at = np.empty((len(sizes), values.shape[1]), values.dtype), 0
+    ends = [0, *(np.flatnonzero(np.diff(sizes)) + 1), len(sizes)]
+    for lo, hi in zip(ends, ends[1:]):
+        rows = (hi - lo) * int(sizes[lo])
+        values[at : at + rows].reshape(hi - lo, int(sizes[lo]), -1).max(axis=1, out=out[lo:hi])
+        at += rows
+    return out
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of stretches of so many columns each, none of them empty, as rows."""
+    rows = np.ascontiguousarray(values.T)
+    if (sizes == sizes[0]).all():
+        return rows.reshape(len(sizes), int(sizes[0]), -1).sum(axis=1, dtype=np.float64)
+    return np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+
+
 def _bounds(asked: list[np.ndarray], centres: np.ndarray, cells: np.ndarray, reach: np.ndarray, sizes: np.ndarray, wide: bool):
     """For each query matrix the upper bound of its score with every sketched document or, unless `wide`, the estimate.
 
     q . t = q . c + q . (t - c) is at most q . c + |q| reach for a token t of a cell with centre c; a score is the
-    sum over q of the largest q . t, so the sum of the largest bounds is not below it."""
-    held = np.flatnonzero(sizes)
-    starts = np.cumsum(sizes[held]) - sizes[held]
-    for matrix in asked:
-        bound = np.full(len(sizes), NO_TOKEN * len(matrix))
-        if len(held) and len(matrix):
-            near = (matrix @ centres.T)[:, cells]
-            if wide:
-                near += np.sqrt((matrix * matrix).sum(axis=1))[:, None] * reach
-            bound[held] = np.maximum.reduceat(near, starts, axis=1).sum(axis=0)
-        yield bound
+    sum over q of the largest q . t, so the sum of the largest bounds is not below it. Short numbers add their error to the bound."""
+    # Documents of as many cells come side by side.
+    held, lengths = np.argsort(sizes, kind="stable")[np.count_nonzero(sizes == 0) :], np.array([len(m) for m in asked], int)
+    many_cells = sizes[held]
+    place = np.repeat((np.cumsum(sizes) - sizes)[held] - (np.cumsum(many_cells) - many_cells), many_cells) + np.arange(int(many_cells.sum()))
+    cells, reach = cells[place], reach[place]
+    far = float(np.max(reach, initial=0.0))
+    for lo, hi in _chunks(lengths, ASKED_TOKENS):
+        bounds = np.repeat(NO_TOKEN * lengths[lo:hi, None].astype(float), len(sizes), axis=1)
+        full = np.flatnonzero(lengths[lo:hi])
+        if len(held) and len(full):
+            tokens = np.concatenate([asked[lo + i] for i in full])
+            norms, many = np.sqrt((tokens * tokens).sum(axis=1)), lengths[lo + full]
+            kind = np.float32 if _short(tokens, centres) and np.isfinite(far) and far * far < _SHORT_MOST else np.float64
+            near, norms_of = (centres @ tokens.T).astype(kind), norms.astype(kind)
+            rim = reach.astype(kind)[:, None]
+            found, begin, room = np.empty((len(full), len(held))), 0, None
+            for first, last in _chunks(sizes[held], HELD_TOKENS):
+                n = sizes[held[first:last]]
+                end = begin + int(n.sum())
+                part = near[cells[begin:end]]
+                if wide:
+                    if room is None or len(room) < len(part):
+                        room = np.empty_like(part)
+                    part += np.multiply(rim[begin:end], norms_of, out=room[: len(part)])
+                found[:, first:last] = _sums(_maxima(part, n), many)
+                begin = end
+            if wide and kind is np.float32:
+                most = float(np.sqrt((centres * centres).sum(axis=1).max(initial=0.0))) + far
+                found += (_share(tokens.shape[1]) * most * np.add.reduceat(norms, np.cumsum(many) - many))[:, None]
+            bounds[np.ix_(full, held)] = found
+        yield from bounds
 
 
 def _met(q: DataFrame, d: DataFrame, n_q: int, n_d: int, by: list[str], kernel, ddl: str) -> DataFrame:
@@ -314,15 +374,15 @@ def _within(bound: np.ndarray, floor: float) -> np.ndarray:
     return bound >= floor - SLACK * (1 + abs(floor)) if np.isfinite(floor) else np.ones(len(bound), bool)
 
 
-def _best_within(matrix: np.ndarray, floor: float, bound: np.ndarray, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, k: int) -> list:
+def _best_within(matrix: np.ndarray, floor: float, bound: np.ndarray, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, k: int, best: list | None = None) -> list:
     """The k best (score, id) of one query among documents whose bound reaches the floor, taken by falling bound until
-    none reaches the k-th score. One product of many documents only nominates; what comes near is scored by itself, so copies score alike."""
+    none reaches the k-th score; `best` are those it has from before. One product of many documents only nominates; what comes near is scored by itself, so copies score alike."""
     def near(least: float) -> float:
         return least - SLACK * (1 + abs(least))
 
     some = np.flatnonzero(_within(bound, floor))
     some = some[np.argsort(-bound[some], kind="stable")]
-    best: list = []
+    best = list(best or [])
     for lo in range(0, len(some), TAKEN):
         if len(best) >= k and bound[some[lo]] < near(best[k - 1][0]):
             break
@@ -344,6 +404,93 @@ def _best_within(matrix: np.ndarray, floor: float, bound: np.ndarray, tokens: np
     return best
 
 
+#: Share of the pairs that bounds must leave out for these to be worth their time.
+SPARED = 0.5
+
+
+class _Asked:
+    """A block of queries that meets one block of documents after the other, and the k best of each so far."""
+
+    def __init__(self, left: pa.Table, k: int, centres: np.ndarray):
+        self.k, self.centres = k, centres
+        self.ids, (matrices, self.sizes) = _ids(left, "query_id"), _ragged(left, "m")
+        self.asked = [np.array(m) for m in matrices]
+        self.floors = left.column("floor").to_numpy(zero_copy_only=False).astype(float)
+        self.best: list[list] = [[] for _ in self.asked]
+
+    def least(self, i: int) -> float:
+        """What a score has to reach to count."""
+        return max(self.floors[i], self.best[i][-1][0]) if len(self.best[i]) >= self.k else self.floors[i]
+
+    def meet(self, right: pa.Table) -> None:
+        # Documents of as many tokens come side by side.
+        right = right.take(pa.array(np.argsort(_ragged(right, "m")[1], kind="stable")))
+        ids, (matrices, sizes) = _ids(right, "doc_id"), _ragged(right, "m")
+        if not len(ids) or not len(self.asked):
+            return
+        held = [m for m in matrices if len(m)]
+        tokens, starts = np.concatenate(held) if held else np.empty((0, 0)), np.cumsum(sizes) - sizes
+        sketches = _sketches(right)
+        short = _short(*self.asked, tokens) if min(self.sizes) else None
+        if short is None or self.spared(sketches) >= SPARED:
+            for i, bound in enumerate(_bounds(self.asked, self.centres, *sketches, True)):
+                self.best[i] = _best_within(self.asked[i], self.least(i), bound, tokens, starts, sizes, ids, self.k, self.best[i])
+        else:
+            self.multiply(tokens, starts, sizes, ids, np.float32 if short else np.float64)
+
+    def spared(self, sketches: tuple) -> float:
+        """The share of the pairs of some queries that their bounds leave out."""
+        lo, hi = next(_chunks(self.sizes, ASKED_TOKENS))
+        found = [1 - _within(b, self.least(i)).mean() for i, b in zip(range(lo, hi), _bounds(self.asked[lo:hi], self.centres, *sketches, True))]
+        return float(np.mean(found))
+
+    def multiply(self, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, kind: type) -> None:
+        """Scores of all pairs by products of many tokens, which only nominate: what may be among the k best is scored by itself."""
+        full = np.flatnonzero(sizes)
+        rows = tokens.astype(kind)
+        longest = float(np.sqrt(np.square(tokens).sum(axis=1).max(initial=0.0))) if tokens.size else 0.0
+        share = _share(tokens.shape[1]) if kind is np.float32 else 1e-11
+        for lo, hi in _chunks(self.sizes, ASKED_TOKENS):
+            asked = np.concatenate(self.asked[lo:hi])
+            norms = np.add.reduceat(np.sqrt((asked * asked).sum(axis=1)), np.cumsum(self.sizes[lo:hi]) - self.sizes[lo:hi])
+            eps = share * (longest * norms + 1e-30) + SLACK
+            side = np.ascontiguousarray(asked.astype(kind).T)
+            for first, last in _chunks(sizes[full], HELD_TOKENS):
+                some = full[first:last]
+                n = sizes[some]
+                begin, end = starts[some[0]], starts[some[-1]] + n[-1]
+                score = _sums(_maxima(rows[begin:end] @ side, n), self.sizes[lo:hi])
+                self.nominated(lo, score, eps, some, tokens, starts, sizes, ids)
+            empty = np.flatnonzero(sizes == 0)
+            if len(empty):
+                score = np.repeat(NO_TOKEN * self.sizes[lo:hi, None].astype(float), len(empty), axis=1)
+                self.nominated(lo, score, np.full(hi - lo, SLACK), empty, tokens, starts, sizes, ids)
+
+    def nominated(self, lo: int, score: np.ndarray, eps: np.ndarray, some: np.ndarray, tokens, starts, sizes, ids) -> None:
+        least = np.array([self.least(lo + i) for i in range(len(score))])
+        # What no score reaches as yet (-inf) has no slack.
+        limit = np.where(np.isfinite(least), least - SLACK * (1 + np.abs(least)) - eps, -np.inf)
+        if score.shape[1] > self.k:
+            own = np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k]
+            limit = np.maximum(limit, own - 2 * eps - SLACK * (1 + np.abs(own)))
+        at, cols = np.divmod(np.flatnonzero(score >= limit[:, None]), score.shape[1])
+        order = np.lexsort((-score[at, cols], at))
+        for i, col in zip(at[order].tolist(), cols[order].tolist()):
+            best, matrix, doc = self.best[lo + i], self.asked[lo + i], some[col]
+            if len(best) >= self.k and score[i, col] + eps[i] < best[-1][0] - SLACK * (1 + abs(best[-1][0])):
+                continue
+            own = tokens[starts[doc] : starts[doc] + sizes[doc]]
+            exact = float((own @ matrix.T).max(axis=0).sum()) if len(own) else NO_TOKEN * len(matrix)
+            best.append((exact, ids[doc]))
+            best.sort(key=lambda x: (-x[0], x[1]))
+            del best[self.k :]
+
+    def found(self, out: pa.Schema) -> pa.Table:
+        rows = [(i, x) for i, best in enumerate(self.best) for x in best]
+        columns = [pa.array(self.ids[[i for i, _ in rows]]), pa.array([x[1].item() if hasattr(x[1], "item") else x[1] for _, x in rows], out.types[1]), pa.array([-x[0] for _, x in rows], pa.float64())]
+        return pa.table(dict(zip(out.names, columns))).cast(out) if rows else out.empty_table()
+
+
 def rerank_pruned(
     query_tokens: DataFrame, doc_tokens: DataFrame, k: int, cells: int = 256, block_tokens: int = BLOCK_TOKENS,
     by: list[str] | None = None, seed: int = 17, counted: dict | None = None,
@@ -352,10 +499,11 @@ def rerank_pruned(
 
     Document tokens belong to the cell of their nearest centre, and a document's sketch is the cells of its tokens
     and how far they lie from the centres. Sketches alone meet all queries. A first round scores the k documents
-    of the best estimates, whose k-th score is a floor; a second one passes on the documents whose upper bound reaches
-    the floor, and takes these by falling bound until no bound reaches the k-th score so far. Tokens
-    move only for documents that a block of queries still wants. In data without clusters that may be all of them, and the result
-    is the same. Bounds are formed in both rounds, so that pairs are never listed: a task holds two blocks.
+    of the best estimates, whose k-th score is a floor; a second one takes the documents whose upper bound reaches
+    the floor by falling bound until no bound reaches the k-th score so far. In data without clusters that may be nearly all of them; where
+    bounds spare less than half of the pairs, all are scored by products of many tokens at once, and the result
+    is the same. Pairs are never listed: a task holds two blocks. Tokens are packed in blocks, which are read for each block of queries, not copied;
+    with one block of queries, or with `by`, tokens move only for documents that a block of queries still wants.
 
     Centres, at most `cells` tokens, are fetched and go along with the tasks. `counted` gets the numbers of pairs
     (`scored` at most, of `all`).
@@ -382,7 +530,8 @@ def rerank_pruned(
     def promising(left: pa.Table, right: pa.Table) -> pa.Table:
         asked, ids, found = _ragged(left, "m")[0], _ids(right, "doc_id"), []
         for query_id, estimate in zip(_ids(left, "query_id"), _bounds(asked, centres, *_sketches(right), False)):
-            order = np.lexsort((ids, -estimate))[:k]
+            some = np.flatnonzero(~(-estimate > np.partition(-estimate, k - 1)[k - 1])) if k < len(estimate) else np.arange(len(estimate))
+            order = some[np.lexsort((ids[some], -estimate[some]))[:k]]
             found.append((np.full(len(order), query_id), ids[order], -estimate[order]))
         return made(found if len(ids) else [])
 
@@ -396,15 +545,27 @@ def rerank_pruned(
         return pa.table({"doc_id": right.column("doc_id").take(pa.array(some)), "_qb": pa.array(np.full(len(some), of), pa.int32()), "n": pa.array(n[some])})
 
     def scoring(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked, ids, found = _ragged(left, "m")[0], _ids(right, "doc_id"), []
-        matrices, sizes = _ragged(right, "m")
-        held = [m for m in matrices if len(m)]
-        tokens, starts = np.concatenate(held) if held else np.empty((0, 0)), np.cumsum(sizes) - sizes
-        floors = left.column("floor").to_numpy(zero_copy_only=False)
-        for query_id, matrix, floor, bound in zip(_ids(left, "query_id"), asked, floors, _bounds(asked, centres, *_sketches(right), True)):
-            best = _best_within(matrix, floor, bound, tokens, starts, sizes, ids, k)
-            found.append((np.full(len(best), query_id), np.array([x[1] for x in best], ids.dtype), np.array([-x[0] for x in best])))
-        return made(found if len(ids) else [])
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        block = _Asked(left, k, centres)
+        block.meet(right)
+        return block.found(out)
+
+    def past(batches):
+        blocks: dict[int, _Asked] = {}
+        for batch in batches:
+            for at, asked, held in zip(*batch.columns):
+                if at.as_py() not in blocks:
+                    blocks[at.as_py()] = _Asked(_unfolded(asked), k, centres)
+                blocks[at.as_py()].meet(_unfolded(held))
+        for block in blocks.values():
+            yield from block.found(out).to_batches()
+
+    def packed(key: str, name: str):
+        def run(table: pa.Table) -> pa.Table:
+            return pa.table({key: pa.array([table.column(key)[0].as_py()], pa.int32()), name: pa.array([_folded(table.drop_columns([key]))], pa.binary())})
+
+        return run
 
     ddl = f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double"
     first = cut(top(_met(q, d, n_q, n_sketch, by, promising, ddl), k))
@@ -413,12 +574,19 @@ def rerank_pruned(
     floor = F.when(F.col("_n") >= k, -F.col("_far")).otherwise(F.lit(float("-inf")))
     # What grows with the texts is merged; files of ids are far smaller than their rows.
     q2 = cut(q.join(floors.select("query_id", floor.alias("floor")).hint("merge"), "query_id", "left").fillna(float("-inf"), ["floor"]))
-    wanted = cut(_met(q2, d, n_q, n_sketch, by, reaching, f"doc_id {types['doc_id']}, _qb int, n bigint"))
+    streamed = n_q > 1 and not by
+    if counted is not None or not streamed:
+        wanted = cut(_met(q2, d, n_q, n_sketch, by, reaching, f"doc_id {types['doc_id']}, _qb int, n bigint"))
     if counted is not None:
         counted |= {"scored": (wanted.agg(F.sum("n")).first()[0] or 0) + first.count(), "all": q.count() * d.count()}
-    right = wanted.select("doc_id", "_qb").distinct().join(d.select("doc_id", *by, "m", "cells", "reach").hint("merge"), "doc_id")
-    right = right.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int"))
-    left = q2.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
-    keys = [*by, "_qb", "_db"]
-    best = top(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scoring, ddl), k)
+    held = d.select("doc_id", *by, "m", "cells", "reach", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int").alias("_db"))
+    if streamed:
+        asked = q2.select("query_id", "m", "floor", "_qb").groupBy("_qb").applyInArrow(packed("_qb", "asked"), "_qb int, asked binary")
+        held = held.groupBy("_db").applyInArrow(packed("_db", "held"), "_db int, held binary")
+        best = top(passed(held, asked, n_q, n_d, past, ddl), k)
+    else:
+        right = wanted.select("doc_id", "_qb").distinct().join(held.hint("merge"), "doc_id")
+        left = q2.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
+        keys = [*by, "_qb", "_db"]
+        best = top(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scoring, ddl), k)
     return best.select("query_id", "doc_id", (-F.col("distance")).alias("score"), "rank")

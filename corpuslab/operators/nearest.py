@@ -300,7 +300,6 @@ def _streamed(q: DataFrame, d: DataFrame, nq: int, nd: int, n_queries: int, n_do
     Blocks hold vectors of like lengths. What documents of like length give bounds each query's distances before it meets the others.
     Lengths of `_LENGTHS` rows of each side at most, give or take, are fetched to set the ranges; they decide where a row is, not whether."""
     k, metric, farthest = how[:3]
-    cores = q.sparkSession.sparkContext.defaultParallelism
 
     # Only in l2 the lengths bound a distance, and only vectors have them before they are read.
     bounds = metric == "l2" and not farthest and read is _vectors
@@ -363,13 +362,20 @@ def _streamed(q: DataFrame, d: DataFrame, nq: int, nd: int, n_queries: int, n_do
             found = pa.table({"query_id": pa.array(_ids(left, "query_id")[rows]), "doc_id": pa.array(ids), "distance": pa.array(dist)})
             yield from found.cast(out).to_batches()
 
-    n_q, n_d = sum(q_pieces), sum(d_pieces)
-    parts = min(n_d, max(1, -(-_TASKS_A_CORE * cores // n_q)))
-    left = d.groupBy("_db").applyInArrow(holding, "_db int, held binary").repartitionById(parts, F.expr(f"_db % {parts}"))
+    left = d.groupBy("_db").applyInArrow(holding, "_db int, held binary")
     right = q.groupBy("_qb").cogroup(like.groupBy("_qb")).applyInArrow(asking, "_qb int, asked binary")
-    right = right.repartitionById(many := min(n_q, MOST_TASKS), F.expr(f"_qb % {many}"))
+    return passed(left, right, sum(q_pieces), sum(d_pieces), past, ddl)
+
+
+def passed(held: DataFrame, asked: DataFrame, n_q: int, n_d: int, run, ddl: str) -> DataFrame:
+    """Packed blocks of queries (_qb, asked) with each of documents (_db, held), for `run` as rows (_qb, asked, held): a task has one block of
+    queries, or few where these are very many, and as large a part of the documents as leaves each core some tasks."""
+    cores = held.sparkSession.sparkContext.defaultParallelism
+    parts, many = min(n_d, max(1, -(-_TASKS_A_CORE * cores // n_q))), min(n_q, MOST_TASKS)
+    left = held.repartitionById(parts, F.expr(f"_db % {parts}"))
+    right = asked.repartitionById(many, F.expr(f"_qb % {many}"))
     met = left.hint("shuffle_replicate_nl").crossJoin(right.hint("shuffle_replicate_nl"))
-    return met.select("_qb", "asked", "held").mapInArrow(past, ddl)
+    return met.select("_qb", "asked", "held").mapInArrow(run, ddl)
 
 
 def _id_type(df: DataFrame, column: str):

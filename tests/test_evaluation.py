@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,55 @@ def test_rerank_pruned_small(spark):
     assert interaction.rerank_pruned(q, d.limit(0), 3).isEmpty()
 
 
+def rows_of(matrices, **columns):
+    return pa.table({"m": pa.array([m.tolist() for m in matrices], pa.list_(pa.list_(pa.float64()))), **columns})
+
+
+@pytest.mark.parametrize("spread, scale", [(0.02, 1.0), (3.0, 1.0), (3.0, 1e17), (3.0, float("nan"))])
+def test_blocks_are_scored_by_products_of_many_tokens(monkeypatch, spread, scale):
+    """Where bounds spare little, documents are not taken one query at a time; the k best are those of a full sort, whatever the blocks."""
+    rng, taken, within = np.random.default_rng(15), [], interaction._best_within
+    monkeypatch.setattr(interaction, "_best_within", lambda *a: taken.append(1) or within(*a))
+    centres = rng.standard_normal((16, 8)) * 4
+    asked = [centres[rng.choice(16, 1 + i % 5)] + spread * rng.standard_normal((1 + i % 5, 8)) for i in range(90)]
+    docs = [centres[rng.choice(rng.integers(0, 16, 2), i % 12)] + spread * rng.standard_normal((i % 12, 8)) for i in range(300)]
+    docs += docs[:40]
+    if np.isfinite(scale):
+        docs = [m * scale for m in docs]
+    else:
+        docs[17][0, 0] = np.inf
+    cells = [np.unique([((t - centres * (scale if np.isfinite(scale) else 1)) ** 2).sum(axis=1).argmin() for t in m]).astype(np.int32) if len(m) else np.zeros(0, np.int32) for m in docs]
+    far = float(max(np.sqrt(((t - c) ** 2).sum()) for m in docs for t in m for c in centres if np.isfinite(t).all())) if spread > 1 else 0.2 * scale
+    held = rows_of(docs, doc_id=np.arange(340), cells=pa.array([c.tolist() for c in cells], pa.list_(pa.int32())), reach=pa.array([[far] * len(c) for c in cells], pa.list_(pa.float64())))
+    left = rows_of(asked, query_id=np.arange(90), floor=np.full(90, -np.inf))
+    block = interaction._Asked(left, 4, centres * (scale if np.isfinite(scale) else 1))
+    for some in (held.slice(0, 100), held.slice(100, 3), held.slice(103)):
+        block.meet(some)
+    out = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("distance", pa.float64())])
+    got = block.found(out).to_pylist()
+    if np.isfinite(scale):
+        for i, m in enumerate(asked):
+            score = [float((d @ m.T).max(axis=0).sum()) if len(d) else interaction.NO_TOKEN * len(m) for d in docs]
+            want = sorted(range(340), key=lambda j: (-score[j], j))[:4]
+            assert [(r["doc_id"], -r["distance"]) for r in got if r["query_id"] == i] == [(j, score[j]) for j in want]
+    assert bool(taken) == (spread < 1 or not np.isfinite(scale))
+
+
+def test_bounds_are_never_below_the_score():
+    rng = np.random.default_rng(16)
+    centres = rng.standard_normal((8, 5))
+    docs = [rng.standard_normal((n, 5)) for n in rng.integers(1, 9, 200)]
+    own = [((d[:, None] - centres) ** 2).sum(2).argmin(axis=1) for d in docs]
+    cells = [np.unique(o) for o in own]
+    reach = [np.array([np.sqrt(((d[o == c] - centres[c]) ** 2).sum(1)).max() for c in u]) for d, o, u in zip(docs, own, cells)]
+    sizes = np.array([len(c) for c in cells] + [0])
+    asked = [rng.standard_normal((n, 5)) for n in (3, 1, 0, 7, 3)]
+    for matrix, bound in zip(asked, interaction._bounds(asked, centres, np.concatenate(cells), np.concatenate(reach), sizes, True)):
+        score = np.array([(d @ matrix.T).max(axis=0).sum() if len(matrix) else 0.0 for d in docs])
+        plain = np.array([(matrix @ centres[c].T + np.sqrt((matrix**2).sum(1))[:, None] * r).max(axis=1).sum() for c, r in zip(cells, reach)])
+        assert (bound[:-1] >= score).all() and np.allclose(bound[:-1], plain, atol=1e-3) and bound[-1] == interaction.NO_TOKEN * len(matrix)
+
+
 def test_recall_counts_texts(spark):
     e = spark.createDataFrame([(0, i + 1, x) for i, x in enumerate("aabcd")], "query_id int, rank int, text string")
     g = spark.createDataFrame([(0, i + 1, x) for i, x in enumerate("abxyz")], "query_id int, rank int, text string")
