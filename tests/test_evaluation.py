@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,3 +297,17 @@ def test_tags_read_one_normal_form(spark, folder, monkeypatch):
     monkeypatch.setattr(evaluate, "accuracy_by", lambda rows: rows)
     plan = load().QUERIES["accuracy_by_tag"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 3
+
+
+def test_epoch_sweep_copies_no_vectors(spark, tmp_path):
+    """With several blocks of queries no run repeats vectors for the blocks that they meet. The last run ranks as the golden lists do."""
+    from __spark_entry__ import queries
+
+    rng = np.random.default_rng(17)
+    rows = pa.table({"vec_id": np.arange(9000), "embedding": pa.array(rng.standard_normal((9000, 4)).tolist(), pa.list_(pa.float32())), "label": pa.array(np.zeros(9000), pa.int32())})
+    pq.write_table(rows, f"{tmp_path}/embeddings.parquet")
+    found = queries()["epoch_sweep"](spark, str(tmp_path))
+    assert "explode" not in found._jdf.queryExecution().toString()
+    got = {r.epoch: r for r in found.collect()}
+    assert sorted(got) == [1, 2, 10, 20] and got[20].gap == 0 and got[20].golden_distance == got[1].golden_distance
+    assert min(got[i].gap for i in (1, 2, 10)) > 0
