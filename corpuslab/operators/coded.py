@@ -122,7 +122,7 @@ def nearest_coded(
         return pa.table(dict(zip(out.names, map(np.concatenate, zip(*found))))).cast(out)
 
     if n_q > 1:
-        how = (rerank, "l2", False, False, False, False)
+        how = (rerank, "l2", False, False, False, False, False)
         met = _streamed(q, codes, n_q, n_d, n_queries, n_docs, how, out, ddl, lambda table: _read(_codes(table, len(books)), books))
     else:
         left = q.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))

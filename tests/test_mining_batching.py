@@ -224,7 +224,7 @@ def test_two_stages_run_once(spark, folder):
 def test_run_by_text_searches_all_documents_once(spark, monkeypatch):
     """Documents with the query's text are searched among themselves, and only where some may come after the run; rows without a text are alike."""
     rng, searched, plain = np.random.default_rng(12), [], nn.nearest
-    monkeypatch.setattr(nn, "nearest", lambda q, d, *a, **how: searched.append((q.count(), how.get("by"))) or plain(q, d, *a, **how))
+    monkeypatch.setattr(nn, "nearest", lambda q, d, *a, **how: searched.append((q.count(), how.get("only_same_key", False))) or plain(q, d, *a, **how))
     for apart in (False, True):
         vectors = rng.integers(0, 2, (60, 2)).astype(float)
         texts = ["abc"[i] for i in rng.integers(0, 3, 60)] if not apart else [f"{v[0]}{v[1]}" for v in vectors]
@@ -239,5 +239,5 @@ def test_run_by_text_searches_all_documents_once(spark, monkeypatch):
                 order.pop(0)
             want |= {(i, r + 1, j) for r, j in enumerate(order[:7])}
         assert got == want
-        assert [by for _, by in searched] == [None, ["key"]]
+        assert [own for _, own in searched] == [False, True]
         assert not apart or searched[1][0] == 0
